@@ -1,9 +1,10 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate
+from . import decontaminate, quality
 
 QUERIES = {
     "op6_decontaminate": decontaminate.query,
+    "op10_quality": quality.query,
 }
 ORACLE_SQL = {
     "op6_decontaminate": decontaminate.SQL,
