@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, quality
+from . import decontaminate, licenses, quality
 
 QUERIES = {
+    "op2_licenses": licenses.query,
     "op6_decontaminate": decontaminate.query,
     "op10_quality": quality.query,
 }
