@@ -1,12 +1,14 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, licenses, quality
+from . import decontaminate, licenses, mixture, quality
 
 QUERIES = {
     "op2_licenses": licenses.query,
+    "op5_mixture": mixture.query,
     "op6_decontaminate": decontaminate.query,
     "op10_quality": quality.query,
 }
 ORACLE_SQL = {
+    "op5_mixture": mixture.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
