@@ -1,9 +1,10 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, licenses, mixture, quality
+from . import decontaminate, licenses, mixture, quality, tokens
 
 QUERIES = {
     "op2_licenses": licenses.query,
+    "op4_token_ids": tokens.query,
     "op5_mixture": mixture.query,
     "op6_decontaminate": decontaminate.query,
     "op10_quality": quality.query,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -22,11 +24,39 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_kept: list[str] | None = None
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, folders: list[str]):
+    """Notes the tables that are written inside in ``folders``, so that ``drop`` can delete them once their reader is done."""
+    global _kept
+    outer, _kept = _kept, folders
+    try:
+        yield
+    finally:
+        _kept = outer
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer used; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def drop(spark: SparkSession, folders: list[str]) -> None:
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(frame: DataFrame) -> DataFrame:
     """``frame`` written to a table in the shared folder and read back, so lost executors cost no more than a reread."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    if _kept is not None:
+        _kept.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
