@@ -1,8 +1,9 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, licenses, mixture, quality, tokens
+from . import decontaminate, licenses, mixture, near_dedup, quality, tokens
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_licenses": licenses.query,
     "op4_token_ids": tokens.query,
     "op5_mixture": mixture.query,
@@ -10,6 +11,7 @@ QUERIES = {
     "op10_quality": quality.query,
 }
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.SQL,
     "op5_mixture": mixture.SQL,
     "op6_decontaminate": decontaminate.SQL,
 }
