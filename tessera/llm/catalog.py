@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, licenses, mixture, near_dedup, quality, tokens
+from . import decontaminate, licenses, mixture, near_dedup, passages, quality, tokens
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -8,10 +8,12 @@ QUERIES = {
     "op4_token_ids": tokens.query,
     "op5_mixture": mixture.query,
     "op6_decontaminate": decontaminate.query,
+    "op9_passages": passages.query,
     "op10_quality": quality.query,
 }
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.SQL,
     "op5_mixture": mixture.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op9_passages": passages.SQL,
 }
