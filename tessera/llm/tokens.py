@@ -14,7 +14,10 @@ the order of their texts, so every row stays addressable.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -30,7 +33,26 @@ END_ID, WIDTH = 2, 2
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15  # a shard is closed at so many ids or documents
 SEGMENT = 4096  # keys in an index segment, on average
 PER_BUCKET = 4
-WORD_BLOCK, WORD_CACHE = 8 << 20, 1 << 20
+WORD_RECENT, WORD_CACHE = 1 << 15, 3 << 19  # words in the small table, words that a Python worker keeps
+
+
+class Words2Ids:
+    """A sorted table from word hashes to runs of ids."""
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.first, self.count = known[order], np.concatenate([self.first, first + len(self.ids)])[order], np.concatenate([self.count, count])[order]
+        self.ids = np.concatenate([self.ids, ids])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, hashes)
+        at[at == len(self.known)] = 0
+        return at, self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), bool)
 
 
 class Encoder:
@@ -39,7 +61,8 @@ class Encoder:
     For tokenizers whose pieces never span white space (they drop it), the ids of
     a text are those of its words one after the other. Words are looked up by
     hash and only new ones go through the tokenizer; ``spans`` is to be set for
-    other tokenizers, which then get whole texts.
+    other tokenizers, which then get whole texts. Seen words are kept in two
+    tables, of which the small one takes the new words.
     """
 
     def __init__(self, definition: str, spans: bool = False) -> None:
@@ -48,55 +71,66 @@ class Encoder:
 
         self.tokenizer, self.spans = Tokenizer.from_str(definition), spans
         self.powers, self.values, self.table = Powers(), byte_values(False), space_words()
-        self.forget()
+        self.main, self.recent = Words2Ids(), Words2Ids()
 
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    @classmethod
+    def of_worker(cls, definition: str, spans: bool) -> Encoder:
+        """The encoder of this Python worker: later tasks of the worker find the words that earlier ones have seen."""
+        store = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
+        key = hashlib.sha256(definition.encode()).hexdigest(), spans
+        if getattr(store, "encoder", (None,))[0] != key:
+            store.encoder = key, cls(definition, spans)
+        return store.encoder[1]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, column: pa.Array):
         """For each row an array of ids, the end id last."""
-        for lo, hi, data, offsets in blocks(column, WORD_BLOCK):
+        for lo, hi, data, offsets in blocks(column):
             if self.spans:
                 texts = [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield from (np.array([*ids, END_ID], np.uint32) for ids in self.encode(texts))
                 continue
             words = Words(data, offsets, self.table, self.values, self.powers)
-            self.learn(data, words)
-            at = np.searchsorted(self.known, words.hashes)
-            counts = self.count[at]
-            # The end id of a row is put in as one more word.
+            hashes, where, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+            first, count, ids = self.runs(data, words, hashes, where)
+            # The end id of a row goes in as one more word.
             ends = words.bounds[1:]
-            counts = np.insert(counts, ends, 1)
-            firsts = np.insert(self.first[at], ends, -1)
+            counts = np.insert(count[back], ends, 1)
+            firsts = np.insert(first[back], ends, len(ids))
+            ids = np.append(ids, np.uint32(END_ID))
             into = np.concatenate([[0], np.cumsum(counts)])
-            step = np.arange(into[-1]) - np.repeat(into[:-1], counts)
-            source = np.repeat(firsts, counts)
-            out = np.where(source < 0, END_ID, self.ids[np.maximum(source, 0) + np.where(source < 0, 0, step)] if len(self.ids) else END_ID).astype(np.uint32)
+            out = ids[np.repeat(firsts - into[:-1], counts) + np.arange(into[-1])]
             cut = into[words.bounds[1:] + np.arange(hi - lo) + 1]
             yield from np.split(out, cut[:-1])
 
-    def learn(self, data: np.ndarray, words: Words) -> None:
-        if len(self.known) > WORD_CACHE:
-            self.forget()
-        hashes, where = np.unique(words.hashes, return_index=True)
-        at = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != hashes[inside]
-        if not new.any():
-            return
-        where = where[new]
-        ids = self.encode([bytes(data[a:b]).decode() for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist())])
-        count = np.array([len(x) for x in ids])
-        first = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
-        known = np.concatenate([self.known, hashes[new]])
-        order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+    def runs(self, data: np.ndarray, words: Words, hashes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of each distinct word's ids, and the ids."""
+        at, old = self.main.find(hashes)
+        at2, old2 = self.recent.find(hashes)
+        new = np.flatnonzero(~old & ~old2)
+        if len(new):
+            ids = self.encode([bytes(data[a:b]).decode() for a, b in zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist())])
+            count = np.array([len(x) for x in ids], np.int64)
+            first = np.concatenate([[0], np.cumsum(count)[:-1]])
+            self.recent.add(hashes[new], first, count, np.array([i for x in ids for i in x], np.uint32))
+            at2, old2 = self.recent.find(hashes)
+        first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for table, spots, mine in ((self.main, at, old), (self.recent, at2, old2 & ~old)):
+            first[mine], count[mine] = table.first[spots[mine]], table.count[spots[mine]]
+        inside = np.concatenate([[0], np.cumsum(count)])
+        ids = np.empty(inside[-1], np.uint32)
+        step = np.arange(inside[-1]) - np.repeat(inside[:-1], count)
+        of_main = np.repeat(old, count)
+        source = np.repeat(first, count) + step
+        ids[of_main], ids[~of_main] = self.main.ids[source[of_main]], self.recent.ids[source[~of_main]]
+        if len(self.recent.known) > WORD_RECENT + len(self.main.known) // 4:
+            if len(self.main.known) + len(self.recent.known) > WORD_CACHE:
+                self.main = Words2Ids()
+            self.main.add(self.recent.known, self.recent.first, self.recent.count, self.recent.ids)
+            self.recent = Words2Ids()
+        return inside[:-1], count, ids
 
 
 def key_hash(doc_ids: np.ndarray, null: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
@@ -162,7 +196,7 @@ def packed(docs: DataFrame, definition: str, *, key: str, text: str, spans: bool
 
         longs = pa.list_(pa.int64())
         schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("keys", longs), ("occurrences", longs), ("offsets", longs), ("counts", longs)])
-        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder(shared.value, spans), Shard(), 0, (), 0
+        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder.of_worker(shared.value, spans), Shard(), 0, (), 0
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):
                 times = times + 1 if last == (key,) else 0
