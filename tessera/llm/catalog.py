@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, html_text, licenses, mixture, near_dedup, passages, quality, tokens
+from . import decontaminate, html_text, licenses, mixture, near_dedup, passages, quality, tokens, vectors
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_token_ids": tokens.query,
     "op5_mixture": mixture.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_vectors": vectors.query,
     "op8_html_text": html_text.query,
     "op9_passages": passages.query,
     "op10_quality": quality.query,
@@ -16,5 +17,6 @@ ORACLE_SQL = {
     "op1_near_dedup": near_dedup.SQL,
     "op5_mixture": mixture.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op7_vectors": vectors.SQL,
     "op9_passages": passages.SQL,
 }
