@@ -1,10 +1,11 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, html_text, licenses, mixture, near_dedup, passages, quality, tokens, vectors
+from . import decontaminate, html_text, licenses, mixture, near_dedup, passages, quality, substrings, tokens, vectors
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_licenses": licenses.query,
+    "op3_substrings": substrings.query,
     "op4_token_ids": tokens.query,
     "op5_mixture": mixture.query,
     "op6_decontaminate": decontaminate.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.SQL,
+    "op3_substrings": substrings.SQL,
     "op5_mixture": mixture.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_vectors": vectors.SQL,
