@@ -266,7 +266,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int = 75) -> DataFr
 
 
 def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component_id, kept`` for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept`` and ``row`` (xxhash64 of the text) for each row of ``docs``.
 
     A set is the distinct 5-word shingles of the text, A-Z lower-cased; with
     fewer words the whole sequence is one; a null, empty or blank text has an
@@ -275,7 +275,7 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     a null key takes part but names a component only if it has no other key.
     Repeated rows of the smallest key are all kept. Other columns are not read.
     """
-    rows = saved(signed(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"]))
+    rows = saved(signed(docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")), "text", ["doc_id", "row"]))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = saved(nodes.withColumn("id", F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")))
 
@@ -319,13 +319,13 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     roots = roots.join(nodes.select("node", "rep"), "node")
     named = roots.groupBy("root").agg(F.min("rep").alias("linked"))
     roots = roots.join(named, "root").select("node", "linked")
-    out = rows.select("doc_id", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(roots, "node", "left")
+    out = rows.select("doc_id", "row", "n_shingles", "node").join(nodes.select("node", "rep"), "node", "left").join(roots, "node", "left")
     component = F.coalesce("linked", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
 
 
 SQL = r"""
