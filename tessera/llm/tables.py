@@ -54,7 +54,7 @@ def saved(frame: DataFrame) -> DataFrame:
     """``frame`` written to a table in the shared folder and read back, so lost executors cost no more than a reread."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     if _kept is not None:
         _kept.append(path)
     return spark.read.schema(frame.schema).parquet(path)
