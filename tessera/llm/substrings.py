@@ -5,9 +5,8 @@ hash, so equal strings have equal anchors at equal places. Sorting suffixes at
 anchors, each with the bytes before it that its strings still need, therefore
 finds all equal strings; there are about 2 anchors in 28 bytes.
 
-1. Fingerprints. Each part of the texts gives its distinct anchor hashes, cut to
-   a length that follows from the input's size, as sorted gap-coded runs. Those
-   that stand in two documents are told back as bits. A suffix whose first
+1. Fingerprints. Anchor hashes that stand in two documents are found by
+   exchanging gap-coded fingerprints (``fingerprints``). A suffix whose first
    GRAM bytes are unique needs no further exchange (its distinguishing prefix
    is short already).
 2. Suffix runs. The others are sorted within their part, equal ones collapsed to
@@ -31,35 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fingerprints as fp
 from .textblocks import Powers, blocks, byte_values, slide
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM  # an anchor lies at most so many bytes into its string
-SPARE_BITS = 8  # a fingerprint has so many bits more than the number of anchors: one in 2 ** SPARE_BITS meets by chance
-
-
-def gaps(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences in bytes of 7 bits."""
-    d = np.diff(values, prepend=np.uint64(0))
-    size = np.ones(len(d), np.int64)
-    for k in range(1, 10):
-        size += d >= np.uint64(1 << (7 * k))
-    end = np.cumsum(size)
-    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    for k in range(int(size.max()) if len(size) else 0):
-        has = size > k
-        more = (size > k + 1)[has]
-        out[(end - size)[has] + k] = ((d[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
-    return out.tobytes()
-
-
-def ungaps(data: bytes) -> np.ndarray:
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    starts = np.concatenate([[0], np.flatnonzero(b < 128)[:-1] + 1])
-    place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
-    return np.cumsum(np.add.reduceat((b & 127).astype(np.uint64) << (np.uint64(7) * place.astype(np.uint64)), starts), dtype=np.uint64)
 
 
 class Part:
@@ -270,53 +245,22 @@ def answers(group: list) -> list[int]:
     return masks
 
 
-REPLY = "part int, kind int, rng int, data binary"
 RUN = "part int, rng int, shared binary, sizes binary, befores binary, tails binary, lefts binary, docs binary"
 
 
-def schema_of(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
-
-
-def live_of(replies: pa.Table, hashes: np.ndarray) -> np.ndarray:
-    """The fingerprints of a part that its replies of kind 0 keep."""
-    rows = sorted(((r["rng"], r["data"]) for r in replies.to_pylist() if r["kind"] == 0))
-    bits = [np.unpackbits(np.frombuffer(data[8:], np.uint8))[: int.from_bytes(data[:8], "little")] for _, data in rows]
-    return hashes[np.concatenate(bits).astype(bool)] if bits else hashes[:0]
-
-
 def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of (part, doc_id, text)."""
-    top = 1 << bits
-
     def fingerprints(table: pa.Table) -> pa.Table:
-        hashes, twice = Part(table, bits).fingerprints()
-        bounds = np.searchsorted(hashes, np.array([-(-r * top // parts) for r in range(parts + 1)], np.uint64))
-        number = table.column("part")[0].as_py()
-        rows = [(number, r, gaps(hashes[a:b]), np.packbits(twice[a:b]).tobytes()) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        return pa.table([list(c) for c in zip(*rows)] if rows else [[], [], [], []], schema=schema_of("part int, rng int, hashes binary, twice binary"))
-
-    def repeated(table: pa.Table) -> pa.Table:
-        runs = [ungaps(x) for x in table.column("hashes").to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(r)].astype(bool) for x, r in zip(table.column("twice").to_pylist(), runs)]
-        every = np.sort(np.concatenate(runs))
-        live = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(r[t] for r, t in zip(runs, twice))]))
-        data = []
-        for run in runs:
-            at = np.searchsorted(live, run)
-            at[at == len(live)] = 0
-            data.append(len(run).to_bytes(8, "little") + np.packbits(live[at] == run if len(live) else np.zeros(len(run), bool)).tobytes())
-        return pa.table([table.column("part"), pa.array([0] * len(runs), pa.int32()), table.column("rng"), pa.array(data, pa.binary())], schema=schema_of(REPLY))
+        return fp.runs(table.column("part")[0].as_py(), *Part(table, bits).fingerprints(), parts, bits)
 
     def suffix_runs(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         if len(table) and len(replies):
             part = Part(table, bits)
-            known, _ = part.entries(live_of(replies, part.fingerprints()[0]))
+            known, _ = part.entries(fp.live_of(replies, part.fingerprints()[0]))
             number = table.column("part")[0].as_py()
             rows = [{"part": number, "rng": r, **front_coded(run)} for r, run in enumerate(order_of(known, parts)) if run]
-        return pa.Table.from_pylist(rows, schema=schema_of(RUN))
+        return pa.Table.from_pylist(rows, schema=fp.schema_of(RUN))
 
     def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -334,14 +278,14 @@ def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
             group.append(e)
         if group:
             close()
-        return pa.table([table.column("part"), pa.array([1] * len(rows), pa.int32()), table.column("rng"), pa.array([m.tobytes() for m in masks], pa.binary())], schema=schema_of(REPLY))
+        return pa.table([table.column("part"), pa.array([1] * len(rows), pa.int32()), table.column("rng"), pa.array([m.tobytes() for m in masks], pa.binary())], schema=fp.schema_of(fp.REPLY))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         part = Part(table, bits)
         gone: dict[int, list] = {}
         found = [r for r in replies.to_pylist() if r["kind"] == 1]
         if found:
-            known, places = part.entries(live_of(replies, part.fingerprints()[0]))
+            known, places = part.entries(fp.live_of(replies, part.fingerprints()[0]))
             mask_of = np.zeros(len(known), np.int64)
             masks = {r["rng"]: np.frombuffer(r["data"], "<u4") for r in found}
             for r, run in enumerate(order_of(known, parts)):
@@ -358,10 +302,10 @@ def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
                         gone.setdefault(row, []).append(s)
         return digest(part.ids, part.texts, gone)
 
-    first = texts.groupBy("part").applyInArrow(fingerprints, "part int, rng int, hashes binary, twice binary")
-    live = first.groupBy("rng").applyInArrow(repeated, REPLY)
+    first = texts.groupBy("part").applyInArrow(fingerprints, fp.RUN)
+    live = fp.replies(first)
     runs = texts.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(suffix_runs, RUN)
-    masks = runs.groupBy("rng").applyInArrow(merge, REPLY)
+    masks = runs.groupBy("rng").applyInArrow(merge, fp.REPLY)
     return texts.groupBy("part").cogroup(live.union(masks).groupBy("part")).applyInArrow(cut, DIGEST)
 
 
@@ -384,7 +328,7 @@ def digest(ids, texts, gone: dict[int, list]) -> pa.Table:
             kept = np.frombuffer(text, np.uint8)[~cut].tobytes()
         for to, x in zip(out, (len(text), n, spans, hashlib.sha256(kept).hexdigest(), kept)):
             to.append(x)
-    return pa.table([pa.array(ids), *(pa.array(x) for x in out[:4]), pa.array(out[4], pa.binary())], schema=schema_of(DIGEST))
+    return pa.table([pa.array(ids), *(pa.array(x) for x in out[:4]), pa.array(out[4], pa.binary())], schema=fp.schema_of(DIGEST))
 
 
 def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
@@ -403,7 +347,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = min(64, max(16, (2 * size // (SPAN + 2)).bit_length() + SPARE_BITS))
+    bits = fp.bits_for(2 * size // (SPAN + 2))
     texts = rows.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
     loose = rows.where("doc_id is null").mapInArrow(lambda batches: (b for batch in batches for b in digest(batch.column(0), batch.column(1), {}).to_batches()), DIGEST)
     return cut_documents(texts, parts, bits).union(loose)
