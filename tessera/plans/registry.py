@@ -1,4 +1,7 @@
 """Registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import evidence, names
+
+MODULES = (names, evidence)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
