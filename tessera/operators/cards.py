@@ -86,7 +86,11 @@ def top_reference() -> Column:
 
 def source_summary(types=TYPES) -> Column:
     """The first evidence of each type in type order, joined by bars."""
-    parts = [F.get(F.filter("evidences", lambda e, t=t: e["doc_type"] == t), F.lit(0)) for t in types]
+
+    def first_of(t: str) -> Column:
+        return F.get(F.filter("evidences", lambda e: e["doc_type"] == t), F.lit(0))
+
+    parts = [first_of(t) for t in types]
     return text.joined_or_dash(F.array_compact(F.array(*[text.reference(p["doc_type"], p["page"]) for p in parts])), " | ")
 
 

@@ -53,15 +53,13 @@ def containing(pages: DataFrame, keywords: DataFrame, on: list[str], method: str
     size = F.least(F.length("form"), F.lit(GRAM))
     keyed = keywords.withColumn("gram", F.substring("form", F.lit(1), size))
     lengths = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # at most GRAM values
-
-    def grams_of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length("forms") - n + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.substring(F.col("forms"), i, F.lit(n)))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(grams_of, lengths))))
-    # Grams go out with the page's key alone; candidates are compared when they meet their page again.
-    opened = pages.select(*PAGE, F.explode(grams).alias("gram")) if lengths else pages.select(*PAGE, F.lit("").alias("gram")).limit(0)
-    candidates = opened.join(keyed, [*on, "gram"]).select(*PAGE, *[c for c in keywords.columns if c not in PAGE])
+    # Grams are cut from single lines (finding the i-th character takes longer in a longer text) and go out with the page's key alone.
+    lines = pages.select(*PAGE, F.explode(F.array_distinct(text.lines_of(F.col("forms")))).alias("line"))
+    opened = lines.select(*PAGE, F.lit("").alias("gram")).limit(0)
+    for n in lengths:
+        places = F.explode(F.sequence(F.lit(1), F.length("line") - n + 1))
+        opened = opened.union(lines.where(F.length("line") >= n).select(*PAGE, "line", places.alias("i")).select(*PAGE, F.substring("line", F.col("i"), F.lit(n)).alias("gram")))
+    candidates = opened.join(keyed, [*on, "gram"]).select(*PAGE, *[c for c in keywords.columns if c not in PAGE]).distinct()
     return pages.join(candidates, PAGE).where(F.contains("forms", F.col("form")))
 
 
