@@ -104,15 +104,15 @@ def numbered_names(spark, sf_dir):
 def query_variants(spark, sf_dir):
     """Variants of part names with their places; the suffix and the long and short forms are those of the parts."""
     name = F.concat("p_name", F.lit("  "), F.col("p_type"))
-    values = variants.short_rules(name, 4, ("BRASS", "COPPER", "STEEL"), ("large", "big"))
+    values = variants.short_rules(name, 4, ("ECONOMY", "MEDIUM", "SMALL"), ("small", "little"))
     return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(values).alias("pos", "variant")).select("p_partkey", F.col("pos").cast("long").alias("pos"), "variant")
 
 
 VARIANT_SQL = r"""
 WITH n AS (SELECT p_partkey, p_name || '  ' || p_type AS name FROM part),
 v AS (SELECT p_partkey, 0 AS o, name AS v FROM n
-  UNION ALL SELECT p_partkey, 1, CASE WHEN name LIKE '%BRASS' THEN left(name, length(name) - 5) WHEN name LIKE '%COPPER' THEN left(name, length(name) - 6) WHEN name LIKE '%STEEL' THEN left(name, length(name) - 5) END FROM n
-  UNION ALL SELECT p_partkey, 2, CASE WHEN contains(name, 'large') THEN replace(name, 'large', 'big') WHEN contains(name, 'big') THEN replace(name, 'big', 'large') END FROM n
+  UNION ALL SELECT p_partkey, 1, CASE WHEN name LIKE '%ECONOMY' THEN left(name, length(name) - 7) WHEN name LIKE '%MEDIUM' THEN left(name, length(name) - 6) WHEN name LIKE '%SMALL' THEN left(name, length(name) - 5) END FROM n
+  UNION ALL SELECT p_partkey, 2, CASE WHEN contains(name, 'small') THEN replace(name, 'small', 'little') WHEN contains(name, 'little') THEN replace(name, 'little', 'small') END FROM n
   UNION ALL SELECT p_partkey, 3, trim(regexp_replace(name, '\s+', ' ', 'g')) FROM n),
 f AS (SELECT p_partkey, v, min(o) AS o FROM v WHERE v IS NOT NULL GROUP BY p_partkey, v)
 SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY o) - 1 AS pos, v AS variant FROM f
