@@ -274,7 +274,7 @@ def duplicates(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = nodes.join(counts, "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
     per = per.select("label", "raw", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
+    scaled = F.transform("v", lambda x: x / F.nullif(F.array_max(F.transform("v", F.abs)), F.lit(0.0)))
     out = named.withColumn("raw", scaled).join(per, ["label", "raw"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
