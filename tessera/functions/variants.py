@@ -54,7 +54,11 @@ def keywords(canonical: Column, raw: Column, matched: Column, rules: Column | No
     """What is searched for: [canonical, raw] of a matched name, else [raw]; with the variants of the named rule set, distinct over both."""
     base = F.when(matched & (F.coalesce(canonical, F.lit("")) != ""), F.array(canonical, raw)).otherwise(F.array(raw))
     out = text.distinct_in_order(base) if rules is not None else base
-    for name, rule in RULES.items():
-        if rules is not None:
-            out = F.when(rules == name, F.array_distinct(F.flatten(F.transform(base, rule)))).otherwise(out)
+
+    def with_rule(rule) -> Column:
+        return F.array_distinct(F.flatten(F.transform(base, lambda c: rule(c))))
+
+    if rules is not None:
+        for name, rule in RULES.items():
+            out = F.when(rules == name, with_rule(rule)).otherwise(out)
     return out

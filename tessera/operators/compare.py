@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import cards as C
 
-HAS_CODE = F.col("coverage_code").isNotNull() & (F.col("coverage_code") != "")
+HAS_CODE = "coverage_code is not null and coverage_code <> ''"
 
 
 def last_of_code(cards: DataFrame, by: list[str] | None = None, order: str = "ord") -> DataFrame:
