@@ -2,19 +2,21 @@
 
 1. A document's set of distinct 5-word shingles gives a signature of SYMBOLS
    minhashes. Rows with equal sets (128-bit set hash) become one node.
-2. The first INDEXED symbols are split into chunks of CHUNK symbols. If two
-   signatures differ in at most DISTANCE of them, then by pigeonhole some chunk
-   differs in at most ERRORS; so every choice of ERRORS symbols of every chunk
-   is left out in turn and the others are a key, and the pair meets under a key.
-   DISTANCE lies 4.3 standard deviations above the mean of a pair at the
-   threshold. Nodes that share a key are compared on all symbols.
+2. The first INDEXED symbols, of 16 bits, are split into chunks of CHUNK symbols.
+   If two signatures differ in at most DISTANCE of them, then by pigeonhole some
+   chunk differs in at most ERRORS; so every choice of ERRORS symbols of every
+   chunk is left out in turn and the others are a key, and the pair meets under a
+   key. DISTANCE lies 4.3 standard deviations above the mean of a pair at the
+   threshold. Keys that only one node has are dropped by an exchange of short
+   fingerprints before rows are exchanged. Nodes that share a key are compared
+   on all symbols, of 4 bits, under the first key that they share.
 3. Candidates are confirmed on the whole sets, linked, and components labelled.
 
 Large buckets: up to SMALL members all pairs are compared and near ones given
-out. Beyond, a first pass links followers to leaders only; after these links
-are confirmed, a second pass gives out just the near pairs that lie in
+out. Beyond, a first pass gives out each member's nearest only; after these
+links are confirmed, a second pass gives out just the near pairs that lie in
 different components. A bucket beyond BLOCK members is dealt out in blocks. So
-a large group of copies costs a star, not its square, and no pair is dropped.
+a large group of copies costs about a row a member, and no pair is dropped.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fingerprints as fp
 from .components import components
 from .tables import release, saved
 from .textblocks import Powers, Words, append, blocks, byte_values, mix, space_words
 
 SHINGLE = 5
-SYMBOLS, INDEXED, CHUNK, ERRORS = 128, 64, 4, 1
+SYMBOLS, INDEXED, CHUNK, ERRORS = 512, 64, 4, 1
 DISTANCE = (INDEXED // CHUNK) * (ERRORS + 1) - 1  # 31 of 64
-NEAR = 57  # of all 128 symbols: 5 standard deviations above the mean of 32 at the threshold
+# Of all symbols cut to 4 bits, and of the first 64 of them: 4.3 and 5.6 standard deviations above the means at the threshold.
+NEAR, NEAR_FIRST = 161, 34
+ROW = 2 * INDEXED + SYMBOLS // 2  # bytes of a signature: the indexed symbols, then all in 4 bits
 SMALL, BLOCK, KNOWN = 64, 4096, 200_000
 
 
@@ -57,7 +62,7 @@ class Shingles:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """SYMBOLS minhashes of 16 bits for each non-empty set."""
+    """A row of ROW bytes for each non-empty set."""
     random = np.random.default_rng(5)
     a = random.integers(0, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = random.integers(0, 1 << 32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
@@ -76,7 +81,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             np.multiply(room, a[k], out=room)
             out[first:last, k] = np.minimum.reduceat(room, starts).astype(np.uint16)
         first = last
-    return out
+    low = (out & np.uint16(15)).astype(np.uint8)
+    return np.concatenate([out[:, :INDEXED].copy().view(np.uint8), low[:, ::2] | low[:, 1::2] << 4], axis=1)
 
 
 def signed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -116,39 +122,83 @@ def signed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return append(docs, text, keep, make, "n_shingles long, node binary, sig binary")
 
 
-def keys_of(nodes: DataFrame) -> DataFrame:
-    """``key, id`` for every chunk and every choice of ERRORS = 1 symbol of it that may differ."""
+def key_matrix(sig: np.ndarray) -> np.ndarray:
+    """For each signature the INDEXED keys: of every chunk, with each of its symbols left out in turn (ERRORS = 1)."""
+    symbols = sig[:, : 2 * INDEXED].copy().view(np.uint16).astype(np.uint64)
+    chunks = symbols.reshape(len(sig), -1, CHUNK)
+    packed = (chunks << (np.arange(CHUNK, dtype=np.uint64) * np.uint64(16))).sum(2, dtype=np.uint64)
+    salt = mix(np.arange(INDEXED, dtype=np.uint64) + np.uint64(99))
+    keys = np.empty((len(sig), INDEXED), np.uint64)
+    for left_out in range(CHUNK):
+        keys[:, left_out::CHUNK] = mix((packed & ~(np.uint64(0xFFFF) << np.uint64(16 * left_out))) ^ salt[left_out::CHUNK])
+    return keys
 
-    def run(batches):
-        salt = mix(np.arange(INDEXED, dtype=np.uint64) + np.uint64(99))
-        for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, SYMBOLS)[:, :INDEXED].astype(np.uint64)
-            chunks = sig.reshape(len(sig), -1, CHUNK)
-            packed = (chunks << (np.arange(CHUNK, dtype=np.uint64) * np.uint64(16))).sum(2, dtype=np.uint64)
-            keys = np.empty((len(sig), INDEXED), np.uint64)
-            for left_out in range(CHUNK):
-                part = packed & ~(np.uint64(0xFFFF) << np.uint64(16 * left_out))
-                keys[:, left_out::CHUNK] = mix(part ^ salt[left_out::CHUNK])
-            ids = np.repeat(batch.column(0).to_numpy(), INDEXED)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
 
-    return nodes.select("id", "sig").mapInArrow(run, "key long, id long")
+def as_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, ROW)
+
+
+def shared_keys(nodes: DataFrame, count: int, parts: int) -> DataFrame:
+    """``key, slot, id`` of the keys that several nodes have (and a few others by chance)."""
+    bits = fp.bits_for(count * INDEXED)
+    shift = np.uint64(64 - bits)
+    schema = pa.schema([("key", pa.int64()), ("slot", pa.int32()), ("id", pa.int64())])
+
+    def sorted_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(key_matrix(as_rows(table.column("sig"))).reshape(-1) >> shift, return_counts=True)
+
+    def fingerprints(table: pa.Table) -> pa.Table:
+        keys, counts = sorted_keys(table)
+        return fp.runs(table.column("part")[0].as_py(), keys, counts > 1, parts, bits)
+
+    def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(table) or not len(replies):
+            return schema.empty_table()
+        keys = key_matrix(as_rows(table.column("sig")))
+        live = fp.live_of(replies, sorted_keys(table)[0])
+        cut = keys >> shift
+        at = np.searchsorted(live, cut)
+        at[at == len(live)] = 0
+        row, slot = np.nonzero(live[at] == cut) if len(live) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table([pa.array(keys[row, slot].view(np.int64)), pa.array(slot.astype(np.int32)), pa.array(table.column("id").to_numpy()[row])], schema=schema)
 
+    dealt = nodes.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "sig")
+    live = fp.replies(dealt.groupBy("part").applyInArrow(fingerprints, fp.RUN))
+    return dealt.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(rows, "key long, slot int, id long")
 
-def near(sizes: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs have sizes and signatures that allow a link."""
+
+DIFFERENT = np.array([(x & 15 > 0) + (x >> 4 > 0) for x in range(256)], np.uint8)
+
+
+def near(sizes: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs have sizes and signatures that allow a link and their first common key in the slot of their bucket; and their distances."""
     small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    out, distances = [], []
     ok = np.flatnonzero(100 * small >= 75 * large)
-    step = 1 << 16
-    parts = [ok[a : a + step] for a in range(0, len(ok), step)]
-    return np.concatenate([p[(sigs[i[p]] != sigs[j[p]]).sum(1) <= NEAR] for p in parts]) if parts else ok
+    all_of, first = slice(2 * INDEXED, ROW), slice(2 * INDEXED, 2 * INDEXED + 32)
+    for a in range(0, len(ok), 1 << 15):
+        at = ok[a : a + (1 << 15)]
+        at = at[DIFFERENT[sigs[i[at], first] ^ sigs[j[at], first]].sum(1) <= NEAR_FIRST]
+        distance = DIFFERENT[sigs[i[at], all_of] ^ sigs[j[at], all_of]].sum(1, dtype=np.int64)
+        at, distance = at[distance <= NEAR], distance[distance <= NEAR]
+        if len(at):
+            x, y = (np.ascontiguousarray(sigs[k[at], : 2 * INDEXED]).view(np.uint16).reshape(len(at), -1, CHUNK) for k in (i, j))
+            differ = x != y
+            few = differ.sum(2) <= ERRORS
+            chunk = np.argmax(few, 1)
+            left_out = np.argmax(differ[np.arange(len(at)), chunk], 1)
+            mine = slots[i[at]] == chunk * CHUNK + left_out
+            at, distance = at[mine], distance[mine]
+        out.append(at)
+        distances.append(distance)
+    return (np.concatenate(out), np.concatenate(distances)) if out else (ok, ok)
 
 
 class Bucket:
     """Rows of buckets in key order; gives out candidate pairs of ids."""
 
-    def __init__(self, ids, sizes, sigs, blocks_of, groups, pivots) -> None:
-        self.ids, self.sizes, self.sigs, self.half, self.groups, self.pivots = ids, sizes, sigs, blocks_of, groups, pivots
+    def __init__(self, ids, sizes, sigs, slots, half, groups, pivots) -> None:
+        self.ids, self.sizes, self.sigs, self.slots, self.half, self.groups, self.pivots = ids, sizes, sigs, slots, half, groups, pivots
 
     def small(self, a: int, b: int):
         """All near pairs of rows a..b, which hold whole buckets of at most SMALL members; ``groups`` is the bucket of a row here."""
@@ -157,32 +207,36 @@ class Bucket:
             i = i[self.groups[i] == self.groups[i + d]]
             if not len(i):
                 return
-            ok = near(self.sizes, self.sigs, i, i + d)
+            ok, _ = near(self.sizes, self.sigs, i, i + d, self.slots)
             yield self.ids[i[ok]], self.ids[i[ok] + d]
 
-    def leaders(self, a: int, b: int):
-        """Pairs of a leader and each row near it; rows near a leader lead no more. Leaders also go with the bucket's pivot."""
-        left = np.arange(a, b)
-        while len(left):
-            i = np.full(len(left) - 1, left[0])
-            ok = near(self.sizes, self.sigs, i, left[1:])
-            yield self.ids[i[ok]], self.ids[left[1:][ok]]
-            yield self.ids[left[:1]], self.pivots[left[:1]]
-            rest = np.ones(len(left), bool)
-            rest[0] = False
-            rest[1 + ok] = False
-            left = left[rest]
+    def nearest(self, a: int, b: int):
+        """Each row with the nearest of those that it meets here first, and the first row with the bucket's pivot."""
+        best, other = np.full(b - a, NEAR + 1), np.full(b - a, -1)
+        for i in range(a, b - 1):
+            j = np.arange(i + 1, b)
+            ok, distance = near(self.sizes, self.sigs, np.full(len(j), i), j, self.slots)
+            if len(ok):
+                least = int(np.argmin(distance))
+                if distance[least] < best[i - a]:
+                    best[i - a], other[i - a] = distance[least], j[ok[least]]
+                closer = distance < best[j[ok] - a]
+                best[j[ok[closer]] - a], other[j[ok[closer]] - a] = distance[closer], i
+        with_one = np.flatnonzero(other >= 0)
+        yield self.ids[a + with_one], self.ids[other[with_one]]
+        yield self.ids[a : a + 1], self.pivots[a : a + 1]
 
     def across(self, a: int, b: int):
         """Near pairs of rows a..b that lie in different components, and in the two halves if the rows are two blocks."""
+        two = (self.half[a:b] != self.half[a]).any()
         for i in range(a, b - 1):
             j = np.arange(i + 1, b)
-            j = j[(self.groups[j] != self.groups[i])]
-            if self.half[a] != self.half[b - 1] or (self.half[a:b] != self.half[a]).any():
+            j = j[self.groups[j] != self.groups[i]]
+            if two:
                 j = j[self.half[j] != self.half[i]]
             if len(j):
                 at = np.full(len(j), i)
-                ok = near(self.sizes, self.sigs, at, j)
+                ok, _ = near(self.sizes, self.sigs, at, j, self.slots)
                 yield self.ids[at[ok]], self.ids[j[ok]]
 
 
@@ -190,7 +244,7 @@ PAIR = "a long, b long"
 
 
 def compare(members: DataFrame, how: str) -> DataFrame:
-    """Candidate pairs of ``members`` (bucket, id, n, sig, half, comp, pivot), partition-wise in bucket order.
+    """Candidate pairs of ``members`` (bucket, slot, id, n, sig, half, comp, pivot), partition-wise in bucket order.
 
     A task holds the rows of one bucket block, or of many small buckets.
     """
@@ -206,13 +260,13 @@ def compare(members: DataFrame, how: str) -> DataFrame:
                 return
             part = table.slice(0, cut)
             held[:] = table.slice(cut).combine_chunks().to_batches()
-            ids, sizes, half, comp, pivot = (part.column(c).to_numpy() for c in ("id", "n", "half", "comp", "pivot"))
-            sigs = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+            ids, sizes, slots, half, comp, pivot = (part.column(c).to_numpy() for c in ("id", "n", "slot", "half", "comp", "pivot"))
+            sigs = as_rows(part.column("sig"))
             bucket = bucket[:cut]
             if how == "small":
-                found = list(Bucket(ids, sizes, sigs, half, bucket, pivot).small(0, cut))
+                found = list(Bucket(ids, sizes, sigs, slots, half, bucket, pivot).small(0, cut))
             else:
-                rows = Bucket(ids, sizes, sigs, half, comp, pivot)
+                rows = Bucket(ids, sizes, sigs, slots, half, comp, pivot)
                 bounds = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [cut]]).tolist()
                 found = [pair for a, b in zip(bounds[:-1], bounds[1:]) for pair in getattr(rows, how)(a, b)]
             if found:
@@ -230,16 +284,10 @@ def compare(members: DataFrame, how: str) -> DataFrame:
         if held:
             yield from work(True)
 
-    rows = members.select("bucket", "id", "n", "sig", "half", "comp", "pivot").repartition("bucket").sortWithinPartitions("bucket", "half", "id")
+    rows = members.select("bucket", "slot", "id", "n", "sig", "half", "comp", "pivot").repartition("bucket").sortWithinPartitions("bucket", "half", "id")
     return rows.mapInArrow(run, PAIR).distinct()
 
 
-def narrow(sig: str) -> F.Column:
-    """The low byte of each 16-bit symbol."""
-    hexed = F.hex(sig)
-    return F.unhex(F.regexp_replace(hexed, "(..)..", "$1"))
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int = 75) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= threshold * union, as links of nodes."""
 
@@ -276,46 +324,56 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     Repeated rows of the smallest key are all kept. Other columns are not read.
     """
     rows = saved(signed(docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")), "text", ["doc_id", "row"]))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    place = F.struct("doc_id", "row")
+    one = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), place)), F.min(place))  # the row whose text stands for the node
+    nodes = rows.where("node is not null").groupBy("node").agg(one.alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    nodes = nodes.select("node", F.col("one.doc_id").alias("rep"), F.col("one.row").alias("rep_row"), "n", "sig")
     nodes = saved(nodes.withColumn("id", F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")))
 
-    keys = keys_of(nodes)
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = saved(shared_keys(nodes, nodes.count(), parts))
+    release(spark)
     full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = keys.join(full, "key").join(nodes.select("id", "n", narrow("sig").alias("sig")), "id").withColumn("comp", F.lit(0).cast("long"))
-    members = saved(members)
-    release(docs.sparkSession)
-    plain = members.select(F.col("key").alias("bucket"), "id", "n", "sig", F.lit(0).alias("half"), "comp", "pivot", "size")
-    large = plain.where(F.col("size") > SMALL)
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    members = saved(keys.join(full, "key").select(F.col("key").alias("bucket"), "slot", "id", F.lit(0).alias("half"), F.lit(0).cast("long").alias("comp"), "pivot", "size"))
+    signed_nodes = nodes.select("id", "n", "sig")
+    large = members.where(F.col("size") > SMALL)
+    block = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("size") / BLOCK))
     led = large.withColumn("bucket", F.when(F.col("size") > BLOCK, F.xxhash64("bucket", block)).otherwise(F.col("bucket")))
-    pairs = compare(plain.where(F.col("size") <= SMALL), "small").union(compare(led, "leaders")).distinct()
+    pairs = compare(members.where(F.col("size") <= SMALL).join(signed_nodes, "id"), "small").union(compare(led.join(signed_nodes, "id"), "nearest")).distinct()
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """Text and node of each id in the pairs; few ids are sent to the scan of the documents, many are joined."""
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = saved(nodes.join(ids, "id").select("id", "node", "rep"))
+        wanted = saved(nodes.join(ids, "id").select("id", "node", "rep", "rep_row"))
         hint = F.broadcast(wanted) if wanted.limit(KNOWN + 1).count() <= KNOWN else wanted
         source = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-        return source.join(hint, F.col("k").eqNullSafe(F.col("rep"))).select("id", "node", "text")
+        same = F.col("k").eqNullSafe(F.col("rep")) & (F.xxhash64("text") == F.col("rep_row"))
+        return source.join(hint, same).select("id", "node", "text")
 
-    links = saved(confirmed(pairs := saved(pairs), texts_of(pairs)))
-    hot = large.limit(1).count()
-    if hot:
-        roots = components(links)
+    pairs = saved(pairs)
+    links = saved(confirmed(pairs, texts_of(pairs)))
+    roots = components(links)
+    if large.limit(1).count():
         named = nodes.select("id", "node").join(roots, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("comp"))
         again = large.drop("comp").join(named, "id")
         split = again.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         again = again.join(split, "bucket")
-        parts = F.ceil(F.col("size") / BLOCK)
-        own = F.pmod(F.xxhash64("id"), parts)
-        again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        n_blocks = F.ceil(F.col("size") / BLOCK)
+        own = F.pmod(F.xxhash64("id"), n_blocks)
+        again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
         again = again.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).withColumn("half", F.col("own").cast("int"))
-        more = saved(compare(again, "across").join(pairs, ["a", "b"], "left_anti"))
+        more = saved(compare(again.join(signed_nodes, "id"), "across").join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            links = saved(links.union(confirmed(more, texts_of(more))))
-            roots = components(links)
-    else:
-        roots = components(links)
+            # The later links join components, so only their roots take part.
+            found = confirmed(more, texts_of(more))
+            for end in ("a", "b"):
+                found = found.join(roots.withColumnsRenamed({"node": end, "root": f"root_{end}"}), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+            found = saved(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+            joined = components(found).withColumnsRenamed({"node": "root", "root": "last"})
+            alone = joined.select(F.col("root").alias("node"), "last")
+            roots = roots.join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+            roots = saved(roots.union(alone.join(roots.select("node"), "node", "left_anti").select("node", F.col("last").alias("root"))))
     roots = roots.join(nodes.select("node", "rep"), "node")
     named = roots.groupBy("root").agg(F.min("rep").alias("linked"))
     roots = roots.join(named, "root").select("node", "linked")

@@ -5,15 +5,17 @@ hashes, so equal windows have equal anchors.
 
 1. Seeds: every document gives the distinct anchors of its windows; anchors
    that stand in two documents at least are seeds.
-2. Extension: around a seed, the windows it anchors are compared at full
-   length, by two hashes of all 50 words; the smallest document of each window
-   is found.
-3. Windows that also start in a smaller document are joined into maximal runs,
+2. Extension: a seed extends both ways over all windows that it anchors in a
+   document, 50 words at least. Equal extensions (two hashes of all their words)
+   need one look: all but the smallest document lose the whole of it.
+3. Seeds with extensions that differ are compared window by window, one document
+   for each different extension.
+4. Windows that also start in a smaller document are joined into maximal runs,
    which are cut from the text.
 
 Only hashes are exchanged, with map-side minima, so a passage that a third of
 all documents share is one small row from each task. Texts are exchanged once,
-by document, and used twice.
+by document, and used three times.
 """
 
 from __future__ import annotations
@@ -70,8 +72,8 @@ def anchors(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
-def seeded_windows(rows: DataFrame) -> DataFrame:
-    """``h1, h2, doc_id, row, start`` of the windows whose anchor is a seed; ``rows`` is (doc_id, text, row, seeds)."""
+def extensions(rows: DataFrame) -> DataFrame:
+    """``anchor, u1, u2, doc_id, row, start, n``: runs of ``n`` windows with one seed as anchor; ``rows`` is (doc_id, text, row, seeds)."""
 
     def run(batches):
         windows = Windows()
@@ -81,40 +83,70 @@ def seeded_windows(rows: DataFrame) -> DataFrame:
             bounds = seeds.offsets.to_numpy()
             flat = seeds.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for lo, words, rows, at, found, sums in windows(batch.column(1)):
-                keep = np.zeros(len(at), bool)
-                cuts = np.searchsorted(at, words.bounds)
-                for row in range(len(words.bounds) - 1):
-                    a, b = cuts[row], cuts[row + 1]
+                if not len(at):
+                    continue
+                row = rows[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(at)) - 1
+                keep = np.zeros(len(first), bool)
+                cuts = np.searchsorted(row[first], np.arange(len(words.bounds)))
+                for r in range(len(words.bounds) - 1):
+                    a, b = cuts[r], cuts[r + 1]
                     if b > a:
-                        keep[a:b] = np.isin(found[a:b], flat[bounds[lo + row] : bounds[lo + row + 1]])
-                at = at[keep]
-                if len(at):
-                    h1, h2 = windows.hashes(sums, at)
-                    row = rows[at]
-                    out = [h1.view(np.int64), h2.view(np.int64), ids[lo + row], number[lo + row], at - words.bounds[row]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h1", "h2", "doc_id", "row", "start"])
+                        keep[a:b] = np.isin(found[first[a:b]], flat[bounds[lo + r] : bounds[lo + r + 1]])
+                first, last = first[keep], last[keep]
+                if len(first):
+                    a, b, r = at[first], at[last], row[first]
+                    whole = mix((sums[b + WINDOW] - sums[a]) * windows.powers.get(len(sums))[1][a] ^ (b - a).astype(np.uint64))
+                    ends = mix(windows.hashes(sums, a)[0] * np.uint64(0x9E3779B97F4A7C15) + windows.hashes(sums, b)[1])
+                    out = [found[first].view(np.int64), whole.view(np.int64), ends.view(np.int64), ids[lo + r], number[lo + r], (a - words.bounds[r]).astype(np.int32), (b - a + 1).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["anchor", "u1", "u2", "doc_id", "row", "start", "n"])
+
+    return rows.mapInArrow(run, "anchor long, u1 long, u2 long, doc_id long, row long, start int, n int")
+
+
+def whole_windows(rows: DataFrame) -> DataFrame:
+    """``h1, h2, doc_id, row, start`` of the windows in ``runs`` (start, n); ``rows`` is (doc_id, text, row, runs)."""
+
+    def run(batches):
+        windows = Windows()
+        for batch in batches:
+            ids, number, runs = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+            for lo, words, _, _, _, sums in windows(batch.column(1)):
+                starts = [(r, x["start"], x["n"]) for r in range(len(words.bounds) - 1) for x in runs[lo + r]]
+                if not starts:
+                    continue
+                r, first, n = (np.array(x) for x in zip(*starts))
+                at = np.repeat(words.bounds[r] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                r = np.repeat(r, n)
+                h1, h2 = windows.hashes(sums, at)
+                out = [h1.view(np.int64), h2.view(np.int64), ids[lo + r], number[lo + r], (at - words.bounds[r]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h1", "h2", "doc_id", "row", "start"])
 
-    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, start long")
+    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, start int")
 
 
-def removed_words(n: int, starts: np.ndarray) -> np.ndarray:
+def removed_words(n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Flags of the words under runs of windows."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, starts, 1)
-    np.add.at(change, starts + WINDOW, -1)
+    np.add.at(change, starts + counts - 1 + WINDOW, -1)
     return np.cumsum(change[:-1]) > 0
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` of (doc_id, text, starts)."""
+    """``doc_id, n_words, n_removed, kept_sha256, kept`` of (doc_id, text, runs)."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, starts in zip(batch.column(1).cast(pa.large_binary()), batch.column(2)):
+            for text, runs in zip(batch.column(1).cast(pa.large_binary()), batch.column(2)):
                 words = (text.as_py() or b"").split()
                 n = 0
-                if starts.is_valid and len(starts):
-                    gone = removed_words(len(words), starts.values.to_numpy())
+                if runs.is_valid and len(runs):
+                    gone = removed_words(len(words), runs.values.field("start").to_numpy(), runs.values.field("n").to_numpy())
                     n = int(gone.sum())
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                 else:
@@ -142,12 +174,21 @@ def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     seeds = seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
     texts = rows.withColumn("row", F.xxhash64("text")).repartition("doc_id")
-    windows = seeded_windows(texts.join(seeds.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "row", "seeds"))
+    found = extensions(texts.join(seeds.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "row", "seeds"))
+    equal = found.groupBy("anchor", "u1", "u2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    several = equal.groupBy("anchor").agg((F.min("first") < F.max("first")).alias("several"))
+    equal = equal.join(several, "anchor").where(F.col("several") | (F.col("first") < F.col("last"))).drop("last")
+    judged = found.join(equal, ["anchor", "u1", "u2"]).withColumn("run", F.struct("row", "start", "n"))
+    later = judged.where("first < doc_id").select("doc_id", "run")
+    different = judged.where("first = doc_id and several").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    wanted = F.filter("runs", lambda r: r["row"].eqNullSafe(F.col("row")))
+    windows = whole_windows(texts.join(different.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "row", wanted.alias("runs")))
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    gone = windows.join(first, ["h1", "h2"]).where("lo < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("row", "start")).alias("gone"))
-    starts = F.transform(F.filter("gone", lambda g: g["row"].eqNullSafe(F.col("row"))), lambda g: g["start"]).alias("starts")
-    marked = texts.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", starts)
-    loose = all_rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<long>").alias("starts"))
+    parts = windows.join(first, ["h1", "h2"]).where("lo < doc_id").select("doc_id", F.struct("row", "start", F.lit(1).alias("n")).alias("run"))
+    gone = later.union(parts).groupBy("doc_id").agg(F.collect_list("run").alias("gone"))
+    runs = F.transform(F.filter("gone", lambda g: g["row"].eqNullSafe(F.col("row"))), lambda g: F.struct(g["start"].alias("start"), g["n"].alias("n"))).alias("runs")
+    marked = texts.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", runs)
+    loose = all_rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
     return cut(marked.unionByName(loose))
 
 

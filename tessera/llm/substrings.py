@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
+from .tables import saved
 from .textblocks import Powers, blocks, byte_values, slide
 
 LENGTH, GRAM = 50, 24
+COPIED = 500_000  # texts that stand in several documents and may be sent to all tasks, as two hashes and a key
 SPAN = LENGTH - GRAM  # an anchor lies at most so many bytes into its string
 
 
@@ -79,14 +81,14 @@ class Part:
         return hashes[first], docs[first] != docs[np.append(first[1:], len(docs)) - 1]
 
     def suffixes(self, live: np.ndarray):
-        """By block: first document, bytes, offsets, and of each live anchor its place, the first and last start of its strings, and its row."""
+        """By block: first document, bytes, offsets, and of each live anchor its place, the first and last start of its strings, its row and its hash."""
         for lo, data, offsets, grams, first, last, least, row in self.anchors():
             cut = least >> self.shift
             at = np.searchsorted(live, cut)
             at[at == len(live)] = 0
             keep = np.flatnonzero(live[at] == cut) if len(live) else np.zeros(0, np.int64)
             begin, end, value, owner = first[keep], last[keep], least[keep], row[keep]
-            out: list = [[], [], [], []]
+            out: list = [[], [], [], [], []]
             while len(begin):
                 place = np.full(len(begin), -1)
                 left = np.arange(len(begin))
@@ -97,54 +99,46 @@ class Part:
                     if not len(left):
                         break
                 stop = np.minimum(end - 1, place)
-                for to, x in zip(out, (place, begin, stop, owner)):
+                for to, x in zip(out, (place, begin, stop, owner, value)):
                     to.append(x)
                 rest = stop + 1 < end
                 begin, end, value, owner = stop[rest] + 1, end[rest], value[rest], owner[rest]
             if out[0]:
-                place, begin, stop, owner = map(np.concatenate, out)
+                place, begin, stop, owner, value = map(np.concatenate, out)
                 order = np.lexsort((begin, owner))
-                yield lo, data, offsets, place[order], begin[order], stop[order], owner[order]
+                yield lo, data, offsets, place[order], begin[order], stop[order], owner[order], value[order]
 
-    def entries(self, live: np.ndarray) -> tuple[dict, list]:
-        """The distinct suffixes as (string from its first start to its last end, length before the anchor) with number and smallest document; and all places by block."""
+    def entries(self, live: np.ndarray, ranges: int) -> tuple[list, list]:
+        """By range (of the anchor's hash) the distinct suffixes: (from the anchor on, before it, number, smallest document); and all places by block, with number and smallest document."""
         known: dict[tuple[bytes, int], tuple[int, int]] = {}
+        out: list[list] = [[] for _ in range(ranges)]
         places = []
-        for lo, data, offsets, place, begin, stop, owner in self.suffixes(live):
+        for lo, data, offsets, place, begin, stop, owner, value in self.suffixes(live):
             text = data.tobytes()
-            number = np.empty(len(place), np.int64)
-            docs = self.ids[lo + owner].tolist()
-            least = np.empty(len(place), np.int64)
-            for k, (p, a, b, d) in enumerate(zip(place.tolist(), begin.tolist(), stop.tolist(), docs)):
-                key = text[a : b + LENGTH], p - a
-                found = known.get(key)
-                if found is None:
-                    found = known[key] = len(known), d
-                number[k], least[k] = found
+            found = []
+            columns = place.tolist(), begin.tolist(), (stop + LENGTH).tolist(), self.ids[lo + owner].tolist(), (value % np.uint64(ranges)).tolist()
+            for p, a, b, d, r in zip(*columns):
+                key = text[a:b], p - a
+                hit = known.get(key)
+                if hit is None:
+                    hit = known[key] = len(known), d
+                    out[r].append((text[p:b], text[a:p], *hit))
+                found.append(hit)
+            number, least = np.array(found, np.int64).T
             places.append((lo, offsets, place, begin, stop, owner, number, least))
-        return known, places
-
-
-def order_of(known: dict, ranges: int) -> list[list[tuple[bytes, bytes, int, int]]]:
-    """Suffixes by range (of their first GRAM bytes) in order: (from the anchor on, before it, number, smallest document)."""
-    out: list[list] = [[] for _ in range(ranges)]
-    for (string, before), (number, doc) in known.items():
-        suffix = string[before:]
-        out[int.from_bytes(hashlib.blake2b(suffix[:GRAM], digest_size=8).digest(), "big") % ranges].append((suffix, string[:before], number, doc))
-    for run in out:
-        run.sort()
-    return out
+        return out, places
 
 
 def front_coded(run: list) -> dict[str, bytes]:
-    """A sorted run: for each suffix the prefix shared with the one before, its length, the length before the anchor, the rest, and its document."""
+    """A run in order: for each suffix the prefix shared with the one before, its length, the length before the anchor, the rest, its document and its number."""
+    run.sort()
     shared, tails, last = bytearray(), [], b""
     for suffix, _, _, _ in run:
         h = common(last, suffix, 0)
         shared.append(h)
         tails.append(suffix[h:])
         last = suffix
-    return {"shared": bytes(shared), "sizes": bytes(len(s) for s, _, _, _ in run), "befores": bytes(len(b) for _, b, _, _ in run), "tails": b"".join(tails), "lefts": b"".join(b for _, b, _, _ in run), "docs": np.array([d for _, _, _, d in run], "<i8").tobytes()}
+    return {"shared": bytes(shared), "sizes": bytes(len(s) for s, _, _, _ in run), "befores": bytes(len(b) for _, b, _, _ in run), "tails": b"".join(tails), "lefts": b"".join(b for _, b, _, _ in run), "docs": np.array([d for _, _, _, d in run], "<i8").tobytes(), "numbers": np.array([k for _, _, k, _ in run], "<i4").tobytes()}
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -245,7 +239,7 @@ def answers(group: list) -> list[int]:
     return masks
 
 
-RUN = "part int, rng int, shared binary, sizes binary, befores binary, tails binary, lefts binary, docs binary"
+RUN = "part int, rng int, shared binary, sizes binary, befores binary, tails binary, lefts binary, docs binary, numbers binary"
 
 
 def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
@@ -257,9 +251,9 @@ def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
         rows = []
         if len(table) and len(replies):
             part = Part(table, bits)
-            known, _ = part.entries(fp.live_of(replies, part.fingerprints()[0]))
+            runs, _ = part.entries(fp.live_of(replies, part.fingerprints()[0]), parts)
             number = table.column("part")[0].as_py()
-            rows = [{"part": number, "rng": r, **front_coded(run)} for r, run in enumerate(order_of(known, parts)) if run]
+            rows = [{"part": number, "rng": r, **front_coded(run)} for r, run in enumerate(runs) if run]
         return pa.Table.from_pylist(rows, schema=fp.schema_of(RUN))
 
     def merge(table: pa.Table) -> pa.Table:
@@ -278,19 +272,18 @@ def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
             group.append(e)
         if group:
             close()
-        return pa.table([table.column("part"), pa.array([1] * len(rows), pa.int32()), table.column("rng"), pa.array([m.tobytes() for m in masks], pa.binary())], schema=fp.schema_of(fp.REPLY))
+        return pa.table([table.column("part"), pa.array([1] * len(rows), pa.int32()), table.column("rng"), pa.array([r["numbers"] + m.tobytes() for r, m in zip(rows, masks)], pa.binary())], schema=fp.schema_of(fp.REPLY))
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         part = Part(table, bits)
         gone: dict[int, list] = {}
         found = [r for r in replies.to_pylist() if r["kind"] == 1]
         if found:
-            known, places = part.entries(fp.live_of(replies, part.fingerprints()[0]))
-            mask_of = np.zeros(len(known), np.int64)
-            masks = {r["rng"]: np.frombuffer(r["data"], "<u4") for r in found}
-            for r, run in enumerate(order_of(known, parts)):
-                if run:
-                    mask_of[[number for _, _, number, _ in run]] = masks[r]
+            runs, places = part.entries(fp.live_of(replies, part.fingerprints()[0]), 1)
+            mask_of = np.zeros(len(runs[0]), np.int64)
+            for data in (r["data"] for r in found):  # numbers of suffixes, then their masks
+                both = np.frombuffer(data, "<u4").reshape(2, -1)
+                mask_of[both[0]] = both[1]
             for lo, offsets, place, begin, stop, owner, number, least in places:
                 later = part.ids[lo + owner] > least
                 mask = np.where(later, (1 << (SPAN + 1)) - 1, mask_of[number])
@@ -348,9 +341,17 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = fp.bits_for(2 * size // (SPAN + 2))
-    texts = rows.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
+    # Whole copies of a text need no search: all but the smallest document lose everything. Where there are too many such texts to send, they are searched like others.
+    keyed = rows.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    copied = saved(keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
+    if copied.limit(COPIED + 1).count() > COPIED:
+        copied = copied.limit(0)
+    keyed = keyed.join(F.broadcast(copied), ["h1", "h2"], "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.octet_length("text") >= LENGTH), F.lit(False)))
+    n = F.octet_length("text").cast("long")
+    copies = keyed.where("copy").select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    texts = keyed.where("not copy").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
     loose = rows.where("doc_id is null").mapInArrow(lambda batches: (b for batch in batches for b in digest(batch.column(0), batch.column(1), {}).to_batches()), DIGEST)
-    return cut_documents(texts, parts, bits).union(loose)
+    return cut_documents(texts, parts, bits).union(copies).union(loose)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

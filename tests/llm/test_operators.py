@@ -25,7 +25,7 @@ def fixture_rows(seed: int = 3) -> list[tuple]:
     words = ["the", "Mit", "License", "été", "ñu", "a1", "x,y", "foo.", "ab　c", "general", "public", "license", "apache", "été"]
     text = lambda n: r.choice([" ", "\n", "\t "]).join(r.choice(words) + str(r.randrange(400)) * r.randrange(2) for _ in range(n))
     shared, long = text(70), text(4000)
-    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "MIT license mit License"), (6, "aa" * 120), (7, "aa" * 100), (8, long), (9, long + " tail"), (10, shared), (11, text(30) + " " + shared + " " + text(30)), (12, text(20) + "\n" + shared[:400] + text(60)), (13, shared), (13, shared), (14, text(300)), (15, "x " * 500)]
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "MIT license mit License"), (6, "aa" * 120), (7, "aa" * 100), (8, long), (9, long + " tail"), (10, shared), (11, text(30) + " " + shared + " " + text(30)), (12, text(20) + "\n" + shared[:400] + text(60)), (13, shared), (13, shared), (14, text(300)), (14, shared + " more"), (14, text(9)), (15, "x " * 500)]
     for i in range(16, 60):
         base = rows[r.randrange(8, len(rows))][1] if i % 2 else text(r.randrange(5, 200))
         cut = base.split(" ")
