@@ -370,10 +370,10 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
             for end in ("a", "b"):
                 found = found.join(roots.withColumnsRenamed({"node": end, "root": f"root_{end}"}), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
             found = saved(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
-            joined = components(found).withColumnsRenamed({"node": "root", "root": "last"})
-            alone = joined.select(F.col("root").alias("node"), "last")
-            roots = roots.join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-            roots = saved(roots.union(alone.join(roots.select("node"), "node", "left_anti").select("node", F.col("last").alias("root"))))
+            joined = components(found)
+            moved = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+            alone = joined.join(roots.select("node"), "node", "left_anti").select("node", "root")
+            roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("last", "root").alias("root")).union(alone))
     roots = roots.join(nodes.select("node", "rep"), "node")
     named = roots.groupBy("root").agg(F.min("rep").alias("linked"))
     roots = roots.join(named, "root").select("node", "linked")
