@@ -95,6 +95,23 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert sorted((x.doc_id, x.component_id) for x in got.collect()) == list(enumerate(components(60, links)))
 
 
+def test_near_duplicates_that_only_the_second_pass_links(spark, monkeypatch):
+    """Links found after the first components join them, and bring in nodes that had none."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    compare = near_dedup.compare
+    monkeypatch.setattr(near_dedup, "compare", lambda members, how: compare(members, how).where(F.lit(how != "nearest")))
+    r = random.Random(3)
+    rows, base = [], [f"w{i}" for i in range(100)]
+    for i in range(24):
+        base[r.randrange(100)] = f"e{i}"
+        rows.append((i, " ".join(base)))
+    rows.append((24, "one two three four five six"))
+    got = near_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(a, b) for a in range(25) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert sorted((x.doc_id, x.component_id) for x in got.collect()) == list(enumerate(components(25, links)))
+
+
 def test_pigeonhole_finds_every_pair_within_the_distance():
     r = np.random.default_rng(2)
     sig = r.integers(0, 256, (1, near_dedup.ROW), dtype=np.uint8)
