@@ -26,7 +26,10 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "caption", "colgroup"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+ENDS |= dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"})) | dict.fromkeys(("rt", "rp"), ({"rt", "rp"}, {"ruby"}))
+FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "head", "html"}
 DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "math", "canvas", "object", "applet", "audio", "video", "map", "fieldset", "datalist"}
 # Words of class, id and role that mark what is not the article.
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager contentinfo complementary search skip".split())
@@ -36,10 +39,13 @@ DEPTH = 400
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links")
+    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children, self.score, self.length, self.linked, self.links = tag, parent, [], 0.0, 0, 0, 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.block = parent.block if parent and tag in INLINE else self  # the innermost block
+        self.cut = parent.cut if parent else None  # the outermost dropped element
 
 
 def dropped(tag: str, rest: str) -> bool:
@@ -59,13 +65,25 @@ def dropped(tag: str, rest: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without dropped elements; open elements end with the page, and a tag that the page cuts off is no text."""
+    """The tree of a page without dropped elements; open elements end with the page, and a tag that the page cuts off is no text.
+
+    Dropped elements are opened and closed like others, so implied end tags and
+    those of their parents end them; only their text and children are left out.
+    """
     root = Node("#root", None)
-    top, depth, skip = root, 0, None  # skip: the open dropped elements
+    top, opened = root, {}  # opened: by tag, the open elements, innermost last
     at, n = 0, len(page)
 
+    def close(node: Node) -> None:
+        nonlocal top
+        while top is not node.parent:
+            opened[top.tag].pop()
+            top = top.parent
+
     def text(piece: str) -> None:
-        if piece and skip is None:
+        if top.tag == "head" and piece.strip():
+            close(top)
+        if piece and top.cut is None:
             top.children.append(entities.unescape(piece) if "&" in piece else piece)
 
     while at < n:
@@ -81,57 +99,51 @@ def parse(page: str) -> Node:
         tag, closing, rest = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
         if not closing and tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            close = page.find(">", end.start()) if end else -1
-            at = close + 1 if close >= 0 else n
-            continue
-        if skip is not None:
-            # An element of dropped content ends it; nested ones of its tag are counted.
-            if tag == skip[0] and tag not in VOID:
-                skip[1] += -1 if closing else not rest.endswith("/") or 1
-                if not skip[1]:
-                    skip = None
-            elif closing and tag in ("body", "html"):
-                skip = None
+            close_at = page.find(">", end.start()) if end else -1
+            at = close_at + 1 if close_at >= 0 else n
             continue
         if closing:
-            node, ahead = top, []
-            while node is not root and node.tag != tag and not (tag in INLINE and node.tag not in INLINE):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                while top is not node:
-                    top, depth = top.parent, depth - 1
-                top, depth = node.parent, depth - 1
+            if opened.get(tag):
+                node = opened[tag][-1]
+                # An inline end tag stays within its block, unless it is the dropped element's own.
+                if tag not in INLINE or top.block is node.block or node.cut is node:
+                    close(node)
+            elif tag in ("body", "html") and top.cut is not None:
+                close(top.cut)
             continue
+        if top.tag == "head" and tag not in IN_HEAD:
+            close(top)
         if tag not in INLINE and tag not in VOID or tag == "hr":
-            node = top
-            while node.tag in INLINE:
-                node = node.parent
-            if node.tag == "p":  # a block ends an open paragraph
-                while top is not node.parent:
-                    top, depth = top.parent, depth - 1
+            node = top.block
+            # A block ends an open paragraph; formatting that is open there goes on in the block.
+            if node.tag == "p" and not (node.cut is None and top.cut is not None and top.cut.tag in FORMATTING):
+                close(node)
         if tag in ENDS:
             same, scope = ENDS[tag]
-            node = top
-            while node is not root and node.tag not in same and node.tag not in scope:
-                node = node.parent
+            node = max((opened[t][-1] for t in same | scope if opened.get(t)), key=lambda x: x.depth, default=root)
             if node.tag in same:
-                while top is not node.parent:
-                    top, depth = top.parent, depth - 1
+                close(node)
         if tag in VOID:
-            if tag == "br":
+            if tag == "br" and top.cut is None:
                 top.children.append(" ")
-            elif tag == "hr":
+            elif tag == "hr" and top.cut is None:
                 top.children.append(Node("hr", top))
             continue
-        if dropped(tag, rest):
-            if not rest.endswith("/"):
-                skip = [tag, 1]
+        node = Node(tag, top)
+        if top.cut is not None:
+            if rest.endswith("/") and (opened.get("svg") or opened.get("math")):
+                continue
+        elif dropped(tag, rest):
             top.children.append(Node("#gap", top))
-            continue
-        if depth < DEPTH:
-            node = Node(tag, top)
+            if rest.endswith("/"):
+                continue
+            node.cut = node
+        elif top.depth < DEPTH:
             top.children.append(node)
-            top, depth = node, depth + 1
+        else:
+            continue
+        opened.setdefault(tag, []).append(node)
+        top = node
     return root
 
 

@@ -349,6 +349,25 @@ def test_html_pages(spark):
     assert html_text.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><div><p class=notice>Note<p>Article one.</p><p>Article two.</p></div></body>", "Article one.\nArticle two."),
+        ("<body><ul><li class=ad>x<li>y</ul><p>article, all of it</body>", "y\narticle, all of it"),
+        ("<body><table><tr class=ad><td>x<tr><td>y, z</table>", "y, z"),
+        ("<body><table><tbody class=ad><tr><td>x<tbody><tr><td>y, z</table>", "y, z"),
+        ("<body><dl><dt class=promo>x<dd>one, two</dl><p>after", "one, two\nafter"),
+        ("<body><div><div class=ad><span>x</div><p>one, two</p></div>", "one, two"),
+        ("<html><head><title>t</title><meta charset=utf-8><p>one, two</p><p>three</p>", "one, two\nthree"),
+        ("<body><p>one <a class=ad href=u><div>x</div></a><p>two, three</body>", "one\ntwo, three"),
+        ("<body><nav><svg><path d=1/><g/></svg><div>x</div></nav><p>one, two</body>", "one, two"),
+        ("<div class=ad><div>x</div>y<div>z</div></div><p>one, two</p>", "one, two"),
+    ],
+)
+def test_html_dropped_elements_end_as_others_do(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
