@@ -35,11 +35,10 @@ DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager contentinfo complementary search skip".split())
 SCORED = {"p", "pre", "blockquote", "td", "li", "dd"}
 LISTS = {"ul", "ol", "div", "table", "dl", "section"}
-DEPTH = 400
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut")
+    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut", "chars", "commas", "starts", "ends")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children, self.score, self.length, self.linked, self.links = tag, parent, [], 0.0, 0, 0, 0
@@ -138,17 +137,15 @@ def parse(page: str) -> Node:
             if rest.endswith("/"):
                 continue
             node.cut = node
-        elif top.depth < DEPTH:
-            top.children.append(node)
         else:
-            continue
+            top.children.append(node)
         opened.setdefault(tag, []).append(node)
         top = node
     return root
 
 
 def measure(root: Node) -> list[Node]:
-    """All nodes, parents first; fills the text lengths, those in links, and the number of links."""
+    """All nodes, parents first; fills the text lengths, those in links, the number of links, and what ``joined`` tells."""
     nodes = [root]
     for node in nodes:
         nodes.extend(c for c in node.children if isinstance(c, Node))
@@ -158,15 +155,38 @@ def measure(root: Node) -> list[Node]:
         node.length = own + sum(c.length for c in inner)
         node.links = sum(c.links for c in inner) + (node.tag == "a")
         node.linked = node.length if node.tag == "a" else sum(c.linked for c in inner)
+        node.chars, node.commas, node.starts, node.ends = joined(node)
     return nodes
 
 
+def joined(node: Node) -> tuple[int, int, bool, bool]:
+    """Length and commas of the node's text as ``blocks_of`` gives it, joined by single spaces, and whether space stands before and after; from those of its children, so that deep trees take no longer."""
+    if is_menu(node):
+        return 0, 0, False, False
+    chars, commas, starts, ends = 0, 0, False, False
+    for c in node.children:
+        if isinstance(c, str):
+            words = " ".join(c.split())
+            n, k, before, after = len(words), words.count(",") + words.count("，"), c[:1].isspace(), c[-1:].isspace()
+        else:
+            n, k, before, after = c.chars, c.commas, c.starts, c.ends
+        if n:
+            starts = starts if chars else ends or before
+            chars += n + (chars > 0 and (ends or before))
+            commas, ends = commas + k, after
+        else:
+            ends = ends or before or after
+    if not chars:
+        starts = ends
+    return (chars, commas, starts, ends) if node.tag in INLINE else (chars, commas, True, True)
+
+
 def density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
-def plain(node: Node) -> str:
-    return " ".join(" ".join(blocks_of([node])).split())
+def is_menu(node: Node) -> bool:
+    return node.tag in LISTS and node.links >= 3 and density(node) > 0.75
 
 
 def blocks_of(nodes: list[Node]) -> list[str]:
@@ -188,7 +208,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
             piece.append(item)
         elif item.tag in INLINE:
             work.extend(reversed(item.children))
-        elif not (item.tag in LISTS and item.links >= 3 and density(item) > 0.75):
+        elif not is_menu(item):
             flush()
             work.append(None)
             work.extend(reversed(item.children))
@@ -204,8 +224,7 @@ def main_text(page: str) -> str:
         blocky = node.tag in SCORED or node.tag == "div" and any(isinstance(c, str) and c.strip() for c in node.children)
         if not blocky or not node.length:
             continue
-        words = plain(node)
-        points = 1 + words.count(",") + words.count("，") + min(len(words) / 100, 3)
+        points = 1 + node.commas + min(node.chars / 100, 3)
         up, level = node.parent, 0
         while up is not None and level < 5:
             up.score += points / (1, 2, 6, 9, 12)[level]

@@ -368,6 +368,26 @@ def test_html_dropped_elements_end_as_others_do(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("n", [1_000, 50_000])
+def test_html_of_any_depth(n):
+    """Deep elements are blocks, and their end tags close themselves; measures do not walk the tree again for each element."""
+    start, end = "".join(f"<div><p>a{i}, b</p>" for i in range(n)), "</div>" * n
+    want = "\n".join([*(f"a{i}, b" for i in range(n)), "last, one"])
+    assert html_text.main_text(f"<article><section>{start}{end}</section><p>last, one</p></article><p>after</p>") == want
+    assert html_text.main_text("<article>" + "<font><p>one, two" * n + "</article>") == "\n".join(["one, two"] * n)
+    assert html_text.main_text("<article>" + "<blockquote>" * n + "one, two" + "</blockquote>" * n + "<p>three</p></article>") == "one, two\nthree"
+
+
+def test_html_measures_agree_with_the_text():
+    r = random.Random(8)
+    tags = ["div", "p", "b", "a", "ul", "li", "section", "span", "td"]
+    for _ in range(300):
+        page = "".join(r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", "<br>", "<hr>", " ", "\n x, y", "word，", "z ", "<nav>no</nav>"]) for _ in range(40))
+        for node in html_text.measure(html_text.parse(page)):
+            text = " ".join(" ".join(html_text.blocks_of([node])).split())
+            assert (node.chars, node.commas) == (len(text), text.count(",") + text.count("，")), page
+
+
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
