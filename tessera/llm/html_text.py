@@ -1,11 +1,14 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a light tree. Elements that never hold article text (by tag, or
-by the words of class, id and role) are left out while it is built. Paragraphs
-then earn points for length and commas and pass them to their ancestors, less
+A page becomes a light tree. Elements that never hold article text by their tag
+are left out while it is built; those marked by the words of class, id and role
+are left out of it then, unless they hold most of the page's paragraph text or a
+class of theirs says content (see ``prune``). If no text is left that way, words
+do not count. Paragraphs then earn points for length and commas and pass them to their ancestors, less
 with each level; a container's score is discounted by the share of its text in
 links. The best container is kept, widened to the article around it, or joined
-by its well-scored siblings; lists of links inside are menus and go too.
+by its well-scored siblings; lists of links inside are menus and go too, but not
+those under a heading or with long link texts, such as references.
 
 Pages are independent rows: nothing is shuffled, and a task holds one page's tree.
 """
@@ -33,38 +36,51 @@ IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "head", "html"}
 DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "math", "canvas", "object", "applet", "audio", "video", "map", "fieldset", "datalist"}
 # Words of class, id and role that mark what is not the article.
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager contentinfo complementary search skip".split())
+THREAD_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
+CONTENT_WORDS = {"content", "main", "article"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LEADS = HEADINGS | {"th", "caption"}
+TITLE = 30  # characters: link texts of this length on average are titles, not entries of a menu
 SCORED = {"p", "pre", "blockquote", "td", "li", "dd"}
 LISTS = {"ul", "ol", "div", "table", "dl", "section"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut", "chars", "commas", "starts", "ends")
+    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut", "gone", "marks", "chars", "commas", "starts", "ends", "prose", "headed")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children, self.score, self.length, self.linked, self.links = tag, parent, [], 0.0, 0, 0, 0
         self.depth = parent.depth + 1 if parent else 0
         self.block = parent.block if parent and tag in INLINE else self  # the innermost block
-        self.cut = parent.cut if parent else None  # the outermost dropped element
+        self.cut = parent.cut if parent else None  # the outermost dropped or marked element
+        self.gone = parent.gone if parent else False  # in a dropped element
+        self.marks = None  # its words that mark what is not the article
+        self.headed = tag in LEADS  # a heading, or begins with one, or comes right after one
 
 
-def dropped(tag: str, rest: str) -> bool:
+def dropped(tag: str, rest: str) -> bool | set[str]:
+    """Whether the element is never article text; else its words that mark what is not the article."""
     if tag in DROPPED:
         return True
     if not rest or tag in ("html", "body", "article", "main"):
         return False
+    marks: set[str] = set()
+    content = False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if not DROPPED_WORDS.isdisjoint(words):
-                return True
+            for one in value.split():
+                words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
+                found = DROPPED_WORDS.intersection(words)
+                marks |= found
+                content |= not found and not CONTENT_WORDS.isdisjoint(words)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return False
+    return set() if content else marks
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without dropped elements; open elements end with the page, and a tag that the page cuts off is no text.
+    """The tree of a page without dropped elements, and with marked ones; open elements end with the page, and a tag that the page cuts off is no text.
 
     Dropped elements are opened and closed like others, so implied end tags and
     those of their parents end them; only their text and children are left out.
@@ -82,7 +98,7 @@ def parse(page: str) -> Node:
     def text(piece: str) -> None:
         if top.tag == "head" and piece.strip():
             close(top)
-        if piece and top.cut is None:
+        if piece and not top.gone:
             top.children.append(entities.unescape(piece) if "&" in piece else piece)
 
     while at < n:
@@ -123,22 +139,27 @@ def parse(page: str) -> Node:
             if node.tag in same:
                 close(node)
         if tag in VOID:
-            if tag == "br" and top.cut is None:
+            if tag == "br" and not top.gone:
                 top.children.append(" ")
-            elif tag == "hr" and top.cut is None:
+            elif tag == "hr" and not top.gone:
                 top.children.append(Node("hr", top))
             continue
         node = Node(tag, top)
-        if top.cut is not None:
+        if top.gone:
             if rest.endswith("/") and (opened.get("svg") or opened.get("math")):
                 continue
-        elif dropped(tag, rest):
-            top.children.append(Node("#gap", top))
-            if rest.endswith("/"):
-                continue
-            node.cut = node
         else:
-            top.children.append(node)
+            marks = dropped(tag, rest)
+            if marks and node.cut is None:
+                node.cut = node
+            if marks is True or marks and rest.endswith("/"):
+                top.children.append(Node("#gap", top))
+                if rest.endswith("/"):
+                    continue
+                node.gone = True
+            else:
+                node.marks = marks
+                top.children.append(node)
         opened.setdefault(tag, []).append(node)
         top = node
     return root
@@ -149,6 +170,22 @@ def measure(root: Node) -> list[Node]:
     nodes = [root]
     for node in nodes:
         nodes.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(nodes):
+        previous = None
+        for c in node.children:
+            if isinstance(c, str):
+                previous = c if c.strip() else previous
+            elif c.tag != "#gap":
+                node.headed |= previous is None and c.headed
+                previous = c
+    for node in nodes:
+        previous = None
+        for c in node.children:
+            if isinstance(c, str):
+                previous = c if c.strip() else previous
+            elif c.tag != "#gap":
+                c.headed |= node.headed and previous is None or isinstance(previous, Node) and previous.tag in HEADINGS
+                previous = c
     for node in reversed(nodes):
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         inner = [c for c in node.children if isinstance(c, Node)]
@@ -156,9 +193,38 @@ def measure(root: Node) -> list[Node]:
         node.links = sum(c.links for c in inner) + (node.tag == "a")
         node.linked = node.length if node.tag == "a" else sum(c.linked for c in inner)
         node.chars, node.commas, node.starts, node.ends = joined(node)
+        node.prose = node.length - node.linked if node.tag in SCORED else sum(c.prose for c in inner)
     return nodes
 
 
+def prune(root: Node, nodes: list[Node]) -> bool:
+    """Leaves out marked elements, and says whether there were any.
+
+    A marked element stays if it holds more than half of the text of the page's
+    scored elements: it is the layout around the article. It does not if the page
+    has its one article or main elsewhere. Comments can be longer than the article
+    before them, so what is marked as such stays only if no scored text comes first.
+    """
+    if not any(node.marks for node in nodes):
+        return False
+    inside, articles = set(), []
+    for node in nodes:
+        if node.parent in inside:
+            inside.add(node)
+        elif node.tag in ("article", "main") and node.cut is None and node.length:
+            inside.add(node)
+            articles.append(node)
+    before, work = 0, [root]  # in page order
+    while work:
+        node = work.pop()
+        if node.marks and (2 * node.prose <= root.prose or len(articles) == 1 and node not in inside or before and not THREAD_WORDS.isdisjoint(node.marks)):
+            node.tag, node.children = "#gap", []
+        elif node.tag in SCORED:
+            before += node.prose
+        work.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return True
+
+
 def joined(node: Node) -> tuple[int, int, bool, bool]:
     """Length and commas of the node's text as ``blocks_of`` gives it, joined by single spaces, and whether space stands before and after; from those of its children, so that deep trees take no longer."""
     if is_menu(node):
@@ -186,7 +252,10 @@ def density(node: Node) -> float:
 
 
 def is_menu(node: Node) -> bool:
-    return node.tag in LISTS and node.links >= 3 and density(node) > 0.75
+    """A list of links: neither under a heading or with one, nor of link texts as long as titles."""
+    if node.tag not in LISTS or node.links < 3 or density(node) <= 0.75 or node.linked >= TITLE * node.links:
+        return False
+    return not node.headed
 
 
 def blocks_of(nodes: list[Node]) -> list[str]:
@@ -219,6 +288,12 @@ def blocks_of(nodes: list[Node]) -> list[str]:
 def main_text(page: str) -> str:
     root = parse(page)
     nodes = measure(root)
+    if prune(root, nodes):
+        return best_text(root, measure(root)) or best_text(whole := parse(page), measure(whole))
+    return best_text(root, nodes)
+
+
+def best_text(root: Node, nodes: list[Node]) -> str:
     held = set()
     for node in nodes:
         blocky = node.tag in SCORED or node.tag == "div" and any(isinstance(c, str) and c.strip() for c in node.children)

@@ -368,6 +368,31 @@ def test_html_dropped_elements_end_as_others_do(page, want):
     assert html_text.main_text(page) == want
 
 
+BODY = "<h1>T</h1><p>One, two, three and four.</p><p>Five, six, seven.</p>"
+TEXT = "T\nOne, two, three and four.\nFive, six, seven."
+LINKS = "".join(f"<li><a href=/{i}>Part {i}</a>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        *((f"<body><div class='{c}'>{BODY}</div><div class=foot><p>x</p></div>", TEXT) for c in ("has-sidebar", "no-sidebar", "side-by-side", "content has-sidebar", "page comments-open")),
+        (f"<body><div class='main-content no-sidebar'>{BODY}</div><div id=comments><p>{'long, long ' * 30}</p></div>", TEXT),
+        (f"<body><div>{BODY}</div><div id=comments><p>{'long, long ' * 30}</p></div>", TEXT),
+        (f"<body><div class=cookie-notice><p>{'long, long ' * 30}</p></div><article>{BODY}</article>", TEXT),
+        (f"<body><div class=ad>{'long, long ' * 30}</div><div>{BODY}</div>", TEXT),
+        ("<body><div class='widget'><div class=sidebar>One, two</div></div>", "One, two"),
+        (f"<body><div class=share-bar>x</div><div class=has-sidebar>{BODY}<div class=sidebar><p>x, y</p></div></div>", TEXT),
+        (f"<article>{BODY}<h2>References</h2><ul>{LINKS}</ul></article>", f"{TEXT}\nReferences\nPart 0\nPart 1\nPart 2\nPart 3"),
+        (f"<article>{BODY}<section><h2>References</h2><div><ol>{LINKS}</ol></div></section></article>", f"{TEXT}\nReferences\nPart 0\nPart 1\nPart 2\nPart 3"),
+        (f"<article>{BODY}<ol>{'<li><a href=x>Smith, J. and Jones, K. (2010): On titles</a>' * 3}</ol></article>", TEXT + "\nSmith, J. and Jones, K. (2010): On titles" * 3),
+        (f"<article><ul>{LINKS}</ul>{BODY}</article>", TEXT),
+    ],
+)
+def test_html_words_alone_do_not_drop_the_article(page, want):
+    assert html_text.main_text(page) == want
+
+
 @pytest.mark.parametrize("n", [1_000, 50_000])
 def test_html_of_any_depth(n):
     """Deep elements are blocks, and their end tags close themselves; measures do not walk the tree again for each element."""
