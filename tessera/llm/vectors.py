@@ -1,6 +1,6 @@
 """Near-duplicate vectors by range search on a robust-pruned flat graph.
 
-1. Equal vectors of a label are one node with a count.
+1. Vectors of a label that are equal or positive multiples are one node with a count.
 2. Each label gets centroids from k-means on a bounded sample (about
    ``SAMPLE`` nodes); every node joins the shards of its OVERLAP nearest
    centroids. A shard beyond two blocks of BLOCK nodes is dealt out as pairs of
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -40,15 +40,19 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def scaled(vector: str) -> Column:
+    """The vector divided by its largest component, so no square overflows or vanishes and multiples of it are equal; null if that is zero or there is none."""
+    top = F.nullif(F.array_max(F.transform(vector, F.abs)), F.lit(0.0))
+    return F.when(top.isNotNull(), F.transform(vector, lambda x: x / top))
+
+
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """``grp`` (label and dimension), ``id`` (smallest vec_id), ``copies`` and the unit vector ``v`` of each distinct vector that can be linked."""
+    """``grp`` (label and dimension), ``id`` (smallest vec_id), ``copies``, the unit vector ``v`` and the vector ``raw`` it comes from, of each distinct vector that can be linked; vectors that are equal when ``scaled`` are one."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("label").isNotNull() & F.col("v").isNotNull()).where(fine)
-    rows = rows.withColumn("top", F.array_max(F.transform("v", F.abs))).where("top > 0")
-    nodes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    # Scaled by the largest component first, so no square overflows or vanishes.
-    nodes = nodes.withColumn("v", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))).withColumn("norm", norm)
+    rows = rows.withColumn("v", scaled("v")).where("v is not null")
+    nodes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("norm", norm)
     return nodes.select(F.concat_ws(":", F.col("label").cast("string"), F.size("v")).alias("grp"), "id", "copies", F.transform("v", lambda x: x / F.col("norm")).alias("v"), "label", F.col("v").alias("raw"))
 
 
@@ -274,8 +278,7 @@ def duplicates(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = nodes.join(counts, "id").join(joined.withColumnRenamed("node", "id"), "id", "left")
     per = per.select("label", "raw", (F.col("n") + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    scaled = F.transform("v", lambda x: x / F.nullif(F.array_max(F.transform("v", F.abs)), F.lit(0.0)))
-    out = named.withColumn("raw", scaled).join(per, ["label", "raw"], "left")
+    out = named.withColumn("raw", scaled("v")).join(per, ["label", "raw"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -319,6 +319,14 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.duplicates(frame.limit(0)).count() == 0
 
 
+def test_multiples_of_a_vector(spark):
+    """v, 2v and 4v are linked with each other, and each row comes once; -v is linked with none of them."""
+    v = [0.5, -0.25, 0.125, 0.0]
+    rows = [(i, [k * x for x in v], label) for i, (k, label) in enumerate([(1, 0), (2, 0), (4, 0), (4, 0), (-1, 0), (2, 1), (1, 1), (8, None), (0, 0)])]
+    got = vectors.duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    assert sorted(map(tuple, got.collect())) == [(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (3, 3, 0, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True)]
+
+
 def test_graph_search_recall():
     r = np.random.default_rng(7)
     x = np.concatenate([c + r.normal(size=(30, 16)) * 0.05 for c in r.normal(size=(20, 16))])
