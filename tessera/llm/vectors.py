@@ -11,7 +11,8 @@
    from the shard's medoid and the query's own node, which goes on from every
    node within the range. Cosines are computed in double precision, so what is
    found is verified. A few queries of each shard are audited against all its
-   nodes; a miss widens the beam, and at last the shard is compared whole.
+   nodes; a miss widens the beam, and at last the shard is compared whole. Pairs
+   that share no shard are not found; ``audit`` measures how many those are.
 5. A pair that several shards hold counts in the first of them, so counts are
    sums; only a spanning link for each node leaves a shard, never its pairs.
 """
@@ -43,7 +44,8 @@ def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def scaled(vector: str) -> Column:
     """The vector divided by its largest component, so no square overflows or vanishes and multiples of it are equal; null if that is zero or there is none."""
     top = F.nullif(F.array_max(F.transform(vector, F.abs)), F.lit(0.0))
-    return F.when(top.isNotNull(), F.transform(vector, lambda x: x / top))
+    # Over an array of one, so that the largest is found once and not for each component.
+    return F.when(top.isNotNull(), F.element_at(F.transform(F.array(top), lambda t: F.transform(vector, lambda x: x / t)), 1))
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
@@ -260,6 +262,58 @@ def links(members: DataFrame, adjacency: DataFrame) -> DataFrame:
     return rows.groupBy("grp", "cluster", "lo", "hi").applyInArrow(run, "id long, n long, root long")
 
 
+def renamed(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+
+
+def linked(nodes: DataFrame) -> DataFrame:
+    """``links`` of the nodes."""
+    members = saved(units(saved(assigned(nodes, saved(fit(nodes))))))
+    return saved(links(members, saved(graph(members))))
+
+
+def audit(rows: DataFrame, *, queries: int = AUDIT, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """``grp, queries, pairs, found``: for each label and dimension, the links of up to ``queries`` fixed nodes in all its vectors, and how many of them ``duplicates`` finds.
+
+    Unlike the audit of a shard, this sees pairs that share no shard. The queries
+    go out in blocks of at most CENTROID_ROWS; no task holds more than a batch of
+    nodes beside them.
+    """
+    nodes = saved(nodes_of(renamed(rows, key, vector, label).where("vec_id is not null")))
+    found = linked(nodes).groupBy("id").agg(F.sum("n").alias("found"))
+    order = Window.partitionBy("grp").orderBy(F.xxhash64("id", F.lit(7)), "id")
+    chosen = saved(nodes.withColumn("k", F.row_number().over(order)).where(F.col("k") <= queries).select("grp", "id", "v"))
+    spark, parts, block = rows.sparkSession, [], []
+
+    def part(block: list) -> DataFrame:
+        mine: dict[str, list] = {}
+        for row in block:
+            mine.setdefault(row.grp, []).append(row)
+        shared = spark.sparkContext.broadcast({g: (np.array([r.id for r in own]), np.array([r.v for r in own])) for g, own in mine.items()})
+
+        def run(batches):
+            for batch in batches:
+                groups, ids, copies = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                for g in dict.fromkeys(groups.tolist()):
+                    at = np.flatnonzero(groups == g)
+                    asked, x = shared.value[g]
+                    near = (x @ as_matrix(batch.column(3).take(pa.array(at))).T >= COSINE) & (asked[:, None] != ids[at][None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(near @ copies[at])], names=["id", "pairs"])
+
+        return nodes.where(F.col("grp").isin(list(mine))).select("grp", "id", "copies", "v").mapInArrow(run, "id long, pairs long").groupBy("id").agg(F.sum("pairs").alias("pairs"))
+
+    for row in chosen.orderBy("grp", "id").toLocalIterator():
+        block.append(row)
+        if len(block) == CENTROID_ROWS:
+            parts.append(part(block))
+            block = []
+    truth = part(block)
+    for more in parts:
+        truth = truth.union(more)
+    per = chosen.select("grp", "id").join(truth, "id").join(found, "id", "left")
+    return per.groupBy("grp").agg(F.count("*").alias("queries"), F.sum("pairs").alias("pairs"), F.sum(F.coalesce("found", F.lit(0))).cast("long").alias("found"))
+
+
 def duplicates(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row.
 
@@ -270,10 +324,9 @@ def duplicates(rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding
     equal vectors are linked with each other. Other columns are not read; an
     empty table gives an empty result.
     """
-    named = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    named = renamed(rows, key, vector, label)
     nodes = saved(nodes_of(named.where("vec_id is not null")))
-    members = saved(units(saved(assigned(nodes, saved(fit(nodes))))))
-    found = saved(links(members, saved(graph(members))))
+    found = linked(nodes)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = nodes.join(counts, "id").join(joined.withColumnRenamed("node", "id"), "id", "left")

@@ -327,6 +327,23 @@ def test_multiples_of_a_vector(spark):
     assert sorted(map(tuple, got.collect())) == [(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (3, 3, 0, False), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True)]
 
 
+def test_audit_sees_pairs_that_share_no_shard(spark, monkeypatch):
+    """With one shard a node many pairs are lost; the audit counts all pairs of its queries and those that are found."""
+    monkeypatch.setattr(vectors, "PER_CLUSTER", 20)
+    monkeypatch.setattr(vectors, "OVERLAP", 1)
+    r = np.random.default_rng(9)
+    base = r.normal(size=(150, 16))
+    x = np.concatenate([base, base + r.normal(size=base.shape) * 0.3])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = int((unit @ unit.T >= 0.93).sum()) - len(x)
+    found = sum(row.n_links for row in vectors.duplicates(frame).collect())
+    assert 0 < found < pairs
+    assert [tuple(row) for row in vectors.audit(frame, queries=len(x)).collect()] == [("0:16", len(x), pairs, found)]
+    few = vectors.audit(frame, queries=40).collect()[0]
+    assert few.queries == 40 and few.found <= few.pairs < pairs
+
+
 def test_graph_search_recall():
     r = np.random.default_rng(7)
     x = np.concatenate([c + r.normal(size=(30, 16)) * 0.05 for c in r.normal(size=(20, 16))])
