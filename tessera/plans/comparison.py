@@ -1,7 +1,7 @@
 """Queries that compare insurers.
 
 Binding: nations are insurers, brands are codes; a card is a nation's line of a
-brand, from line items with their supplier and part. Evidence is found where a
+brand, from all line items with their supplier and part, in the order of size. Evidence is found where a
 returned item is among them.
 """
 
@@ -16,16 +16,16 @@ from .names import table
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``insurer, coverage_code, canonical, name, ord, mapping_status, evidence_status, flags, hits_by_doc_type, evidences``: one for a nation, brand and size class."""
+    """``insurer, coverage_code, canonical, name, ord, mapping_status, evidence_status, flags, hits_by_doc_type, evidences``: one for a nation, brand and size."""
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     rows = line.join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
-    rows = rows.where("l_quantity <= 5").groupBy(F.col("n_name").alias("insurer"), "p_brand", (F.col("p_size") % 3).alias("ord"))
+    rows = rows.groupBy(F.col("n_name").alias("insurer"), "p_brand", F.col("p_size").alias("ord"))
     rows = rows.agg(F.min("p_type").alias("name"), *[F.count_if(F.col("l_returnflag") == f).alias(f) for f in "RNA"])
     found = F.col("R") > 0
-    code = F.when((F.col("ord") == 2) & (F.col("N") % 3 == 0), F.lit(None)).otherwise(F.col("p_brand"))
+    code = F.when((F.col("ord") % 3 == 2) & (F.col("N") % 3 == 0), F.lit(None)).otherwise(F.col("p_brand"))
     flags = F.when(found & (F.col("N") == 0) & (F.col("A") == 0), F.array(F.lit("policy_only"))).otherwise(F.array().cast("array<string>"))
     evidence = F.struct(F.lit("약관").alias("doc_type"), F.lit("f").alias("file_path"), F.col("R").cast("int").alias("page"), F.lit("s").alias("snippet"), F.lit("k").alias("match_keyword"))
     evidences = F.when(found, F.array(evidence)).otherwise(F.expr("cast(array() as array<struct<doc_type:string,file_path:string,page:int,snippet:string,match_keyword:string>>)"))
@@ -34,9 +34,9 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CARDS_SQL = """
-x AS (SELECT n_name AS insurer, p_brand, p_size % 3 AS ord, min(p_type) AS name, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'A') AS a
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity <= 5 GROUP BY ALL),
-y AS (SELECT *, CASE WHEN ord = 2 AND n % 3 = 0 THEN NULL ELSE p_brand END AS coverage_code FROM x),
+x AS (SELECT n_name AS insurer, p_brand, p_size AS ord, min(p_type) AS name, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'A') AS a
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+y AS (SELECT *, CASE WHEN ord % 3 = 2 AND n % 3 = 0 THEN NULL ELSE p_brand END AS coverage_code FROM x),
 cards AS (SELECT insurer, coverage_code, CASE WHEN coverage_code IS NULL THEN '' ELSE 'brand ' || p_brand END AS canonical, name, ord, CASE WHEN (r + n) % 4 = 0 THEN 'unmatched' ELSE 'matched' END AS mapping_status,
   r > 0 AS found, r > 0 AND n = 0 AND a = 0 AS policy_only, CASE WHEN r > 0 THEN '약관 p.' || r ELSE '-' END AS ref, r, n, a FROM y),
 lastc AS (SELECT * FROM cards WHERE coverage_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY insurer, coverage_code ORDER BY ord DESC) = 1)"""
@@ -80,7 +80,9 @@ def codes_common(spark, sf_dir):
 
 
 def codes_unique(spark, sf_dir):
-    return compare.unique_codes(cards(spark, sf_dir).where("array_contains(flags, 'policy_only')"))
+    """Here a code is a brand and a size."""
+    rows = cards(spark, sf_dir).withColumn("coverage_code", F.concat("coverage_code", F.lit("/"), F.col("ord").cast("string")))
+    return compare.unique_codes(rows.where("array_contains(flags, 'policy_only')"))
 
 
 def unmatched_rate(spark, sf_dir):
@@ -142,7 +144,7 @@ ORACLE_SQL = {
         FROM c CROSS JOIN (SELECT DISTINCT insurer FROM cards) i LEFT JOIN lastc l ON l.coverage_code = c.coverage_code AND l.insurer = i.insurer""",
     "insurer_count_per_code": f"WITH {CARDS_SQL} SELECT coverage_code, count(DISTINCT insurer) AS n_insurers FROM cards WHERE coverage_code IS NOT NULL GROUP BY 1",
     "codes_common": f"WITH {CARDS_SQL}, f AS (SELECT * FROM cards WHERE found) SELECT coverage_code FROM f WHERE coverage_code IS NOT NULL GROUP BY 1 HAVING count(DISTINCT insurer) = (SELECT count(DISTINCT insurer) FROM f)",
-    "codes_unique": f"WITH {CARDS_SQL} SELECT min(insurer) AS insurer, coverage_code FROM cards WHERE policy_only AND coverage_code IS NOT NULL GROUP BY coverage_code HAVING count(DISTINCT insurer) = 1",
+    "codes_unique": f"WITH {CARDS_SQL} SELECT min(insurer) AS insurer, coverage_code || '/' || ord AS coverage_code FROM cards WHERE policy_only AND coverage_code IS NOT NULL GROUP BY coverage_code, ord HAVING count(DISTINCT insurer) = 1",
     "unmatched_rate": f"WITH {CARDS_SQL} SELECT insurer, count(*) AS total, count(*) FILTER (mapping_status <> 'matched') AS unmatched, (count(*) FILTER (mapping_status <> 'matched') * 2000 + count(*)) // (2 * count(*)) AS tenths FROM cards GROUP BY 1",
     "matrix_classify": f"WITH {CARDS_SQL}, w AS (SELECT coverage_code, count(*) FILTER (found) AS with_evidence FROM lastc GROUP BY 1) SELECT coverage_code, with_evidence, CASE WHEN with_evidence >= 25 THEN 'full' WHEN with_evidence > 0 THEN 'partial' ELSE 'zero' END AS class FROM w",
     "matrix_cells": f"WITH {CARDS_SQL} SELECT coverage_code, insurer, found::BIGINT AS evidence_count, CASE WHEN mapping_status = 'matched' THEN 'm' ELSE 'u' END || '/' || found::INT || ' (' || r || '/' || n || '/' || a || ')' || CASE WHEN policy_only THEN ' [policy_only]' ELSE '' END AS cell FROM lastc",

@@ -1,6 +1,6 @@
 """Queries with chunk gates, integrity checks and warehouse shapes.
 
-Binding: documents are chunks (insurer = lang, excerpt = first 200 characters);
+Binding: documents are chunks (insurer = lang, excerpt = the whole text);
 order, customer and line item tables stand for the warehouse tables.
 """
 
@@ -31,7 +31,7 @@ NAME = "the las der"
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("lang").alias("ins_cd"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.substring("text", 1, 200).alias("excerpt"), F.lit(1).alias("page_number"))
+    return d.select(F.col("lang").alias("ins_cd"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("text").alias("excerpt"), F.lit(1).alias("page_number"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def _chain(slot: str) -> str:
     )
 
 
-JUDGED_SQL = "c AS (SELECT lang AS ins_cd, doc_id AS chunk_id, coalesce(text, '') AS t, coalesce(left(text, 200), '') AS e FROM documents), j AS (" + " UNION ALL ".join(f"SELECT ins_cd, chunk_id, e, '{s}' AS slot_key, {_chain(s)} AS reject_reason FROM c" for s in gates.SLOTS) + ")"
+JUDGED_SQL = "c AS (SELECT lang AS ins_cd, doc_id AS chunk_id, coalesce(text, '') AS t, coalesce(text, '') AS e FROM documents), j AS (" + " UNION ALL ".join(f"SELECT ins_cd, chunk_id, e, '{s}' AS slot_key, {_chain(s)} AS reject_reason FROM c" for s in gates.SLOTS) + ")"
 FIRST_SQL = f"{JUDGED_SQL}, f AS (SELECT ins_cd, slot_key, min(chunk_id) AS chunk_id, arg_min(e, chunk_id) AS excerpt FROM j WHERE reject_reason IS NULL GROUP BY ALL)"
 
 
@@ -153,8 +153,8 @@ def q1_instances_with_amount(spark, sf_dir):
 
 
 def q2_evidences_of(spark, sf_dir):
-    t = tables(spark, sf_dir)
-    return t["evidence_ref"].where("instance_id between 1000 and 9000").select("evidence_id", "doc_type", "page", "rank", "snippet")
+    """The evidences of every instance."""
+    return tables(spark, sf_dir)["evidence_ref"].select("instance_id", "evidence_id", "doc_type", "page", "rank", "snippet")
 
 
 def q3_confirmed_primary(spark, sf_dir):
@@ -194,7 +194,7 @@ def q10_across_insurers(spark, sf_dir):
 
 def q11_missing_instances(spark, sf_dir):
     t = tables(spark, sf_dir)
-    expected = t["product"].where("product_id <= 200").select("product_id").withColumn("variant_id", F.explode(F.array(*map(F.lit, range(4)))))
+    expected = t["product"].select("product_id").withColumn("variant_id", F.explode(F.array(*map(F.lit, range(4)))))
     return W.missing_instances(expected, t, ["product_id", "variant_id"])
 
 
@@ -230,7 +230,7 @@ ORACLE_SQL = {
     "dup_check": "SELECT p_name, p_brand, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1",
     "row_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")),
     "q1_instances_with_amount": f"WITH {TABLES_SQL} SELECT ci.instance_id, coverage_code, coverage_name_raw, value_text, status AS amount_status FROM ci LEFT JOIN af ON af.instance_id = ci.instance_id WHERE insurer_id = 7",
-    "q2_evidences_of": f"WITH {TABLES_SQL} SELECT evidence_id, doc_type, page, rank, snippet FROM er WHERE instance_id BETWEEN 1000 AND 9000",
+    "q2_evidences_of": f"WITH {TABLES_SQL} SELECT instance_id, evidence_id, doc_type, page, rank, snippet FROM er",
     "q3_confirmed_primary": f"WITH {TABLES_SQL} SELECT af.instance_id, coverage_code, value_text, evidence_id FROM af JOIN ci ON ci.instance_id = af.instance_id WHERE status = 'CONFIRMED' AND source_priority = 'PRIMARY'",
     "q4_without_evidence": f"WITH {TABLES_SQL} SELECT instance_id, coverage_code, coverage_name_raw FROM ci WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.instance_id = ci.instance_id)",
     "q5_amounts_across": f"WITH {TABLES_SQL} SELECT insurer_name, ci.instance_id, value_text, status FROM ci JOIN insurer i ON i.insurer_id = ci.insurer_id LEFT JOIN af ON af.instance_id = ci.instance_id WHERE coverage_code = '{CODE}'",
@@ -239,7 +239,7 @@ ORACLE_SQL = {
     "q8_variant_difference": f"WITH {TABLES_SQL}, x AS (SELECT 'A' || lpad(CAST(instance_id // 10 % 3000 AS VARCHAR), 4, '0') AS coverage_code, variant_key FROM ci JOIN variant v ON v.variant_id = ci.variant_id WHERE product_id % 5 = 2) SELECT DISTINCT coverage_code FROM x WHERE variant_key = 'male' AND NOT EXISTS (SELECT 1 FROM x y WHERE y.variant_key = 'old' AND y.coverage_code = x.coverage_code)",
     "q9_profiles_of": f"WITH {TABLES_SQL} SELECT product_id, p.profile_id, metadata FROM product p JOIN profile f ON f.profile_id = p.profile_id WHERE product_id IN (1, 2, 3, 5, 8, 13)",
     "q10_across_insurers": f"WITH {TABLES_SQL}, c AS (SELECT instance_id, count(*) AS n FROM er GROUP BY 1) SELECT coverage_code, insurer_name, max(value_text) AS value_text, coalesce(sum(n), 0)::BIGINT AS evidence_count FROM ci JOIN insurer i ON i.insurer_id = ci.insurer_id LEFT JOIN af ON af.instance_id = ci.instance_id LEFT JOIN c ON c.instance_id = ci.instance_id WHERE coverage_code = '{CODE}' GROUP BY ALL",
-    "q11_missing_instances": f"WITH {TABLES_SQL} SELECT product_id, variant_id::INT AS variant_id FROM product CROSS JOIN (SELECT unnest(range(4)) AS variant_id) WHERE product_id <= 200 AND NOT EXISTS (SELECT 1 FROM ci WHERE ci.product_id = product.product_id AND ci.variant_id = variant_id)".replace("= variant_id)", "= v.variant_id)").replace("unnest(range(4)) AS variant_id)", "unnest(range(4)) AS variant_id) v").replace("variant_id::INT", "v.variant_id::INT"),
+    "q11_missing_instances": f"WITH {TABLES_SQL} SELECT product_id, variant_id::INT AS variant_id FROM product CROSS JOIN (SELECT unnest(range(4)) AS variant_id) WHERE NOT EXISTS (SELECT 1 FROM ci WHERE ci.product_id = product.product_id AND ci.variant_id = variant_id)".replace("= variant_id)", "= v.variant_id)").replace("unnest(range(4)) AS variant_id)", "unnest(range(4)) AS variant_id) v").replace("variant_id::INT", "v.variant_id::INT"),
     "q13_lookup": f"WITH {TABLES_SQL} SELECT instance_id, value_text FROM af WHERE status = 'CONFIRMED' AND source_priority = 'SECONDARY'",
     "latest_checkpoint": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "event_axis": """WITH w AS (SELECT p_partkey, ['암진단비', '재진단암 진단확정', '항암 약물치료', '암수술비(다빈치)', '암입원일당', '암진단비 입원', '화재'][CAST(p_partkey % 7 + 1 AS INT)] AS w FROM part),

@@ -14,23 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_names(part: DataFrame) -> DataFrame:
-    """Parts as scope rows: every third name upper-cased with its type in brackets, every third with hyphens, the rest plain."""
+    """Parts as scope rows: every third name upper-cased with its type in brackets, every third with hyphens, the rest plain or, in odd sizes, with the brand."""
     kind = F.col("p_partkey") % 3
-    name = F.when(kind == 0, F.concat(F.upper("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")"))).when(kind == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).otherwise(F.col("p_name"))
+    name = F.when(kind == 0, F.concat(F.upper("p_name"), F.lit(" ("), F.col("p_type"), F.lit(")"))).when(kind == 1, F.replace("p_name", F.lit(" "), F.lit("-"))).when(F.col("p_size") % 2 == 1, F.concat("p_name", F.lit(" "), "p_brand")).otherwise(F.col("p_name"))
     return part.select("p_partkey", "p_brand", name.alias("name"))
 
 
-RAW_SQL = "SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) || ' (' || p_type || ')' WHEN 1 THEN replace(p_name, ' ', '-') ELSE p_name END AS name FROM part"
+RAW_SQL = "SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) || ' (' || p_type || ')' WHEN 1 THEN replace(p_name, ' ', '-') ELSE p_name || CASE WHEN p_size % 2 = 1 THEN ' ' || p_brand ELSE '' END END AS name FROM part"
 
 
 def entries(part: DataFrame) -> DataFrame:
-    """Dictionary rows: every second part is canonical by name, with name and type as alias."""
-    rows = part.where("p_partkey % 2 = 0")
-    return rows.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("coverage_code"), F.col("p_name").alias("canonical"), F.concat("p_name", F.lit(" "), F.col("p_type")).alias("alias"), F.col("p_partkey").alias("row_no"))
+    """Dictionary rows: every part is canonical by name, with name and type as alias."""
+    return part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("coverage_code"), F.col("p_name").alias("canonical"), F.concat("p_name", F.lit(" "), F.col("p_type")).alias("alias"), F.col("p_partkey").alias("row_no"))
 
 
 FORM_SQL = "lower(regexp_replace({}, '[^가-힣a-zA-Z0-9]', '', 'g'))"
-DICTIONARY_SQL = f"""e AS (SELECT 'P' || p_partkey AS coverage_code, p_name AS canonical, p_name || ' ' || p_type AS alias, p_partkey AS row_no FROM part WHERE p_partkey % 2 = 0),
+DICTIONARY_SQL = f"""e AS (SELECT 'P' || p_partkey AS coverage_code, p_name AS canonical, p_name || ' ' || p_type AS alias, p_partkey AS row_no FROM part),
 k AS (SELECT canonical AS key, coverage_code, canonical, 'exact' AS match_type, row_no * 4 AS seq FROM e
   UNION ALL SELECT {FORM_SQL.format('canonical')}, coverage_code, canonical, 'normalized', row_no * 4 + 1 FROM e
   UNION ALL SELECT alias, coverage_code, canonical, 'alias', row_no * 4 + 2 FROM e
