@@ -1,21 +1,20 @@
-"""Substring dedup of word passages: seed on winnowed anchors, extend, keep what reaches the threshold.
-
-A window is WINDOW = 50 words. Its anchor is the minimum of its GRAM-word
-hashes, so equal windows have equal anchors.
-
-1. Seeds: every document gives the distinct anchors of its windows; anchors
-   that stand in two documents at least are seeds.
-2. Extension: a seed extends both ways over all windows that it anchors in a
-   document, 50 words at least. Equal extensions (two hashes of all their words)
-   need one look: all but the smallest document lose the whole of it.
-3. Seeds with extensions that differ are compared window by window, one document
-   for each different extension.
-4. Windows that also start in a smaller document are joined into maximal runs,
-   which are cut from the text.
-
-Only hashes are exchanged, with map-side minima, so a passage that a third of
-all documents share is one small row from each task. Texts are exchanged once,
-by document, and used three times.
+"""Substring dedup of word passages: seed on winnowed anchors, extend both ways, keep what reaches the threshold.
+
+A window is WINDOW = 50 words. Its anchor is the first smallest of its GRAM-word
+hashes, so equal windows have equal anchors at equal places.
+
+1. Seeds: each document gives the places of its anchors, with the windows that
+   they serve. Of the places of an anchor the first one (smallest document) leads.
+2. Every other place of the anchor is paired with the leading one, and the match
+   is extended both ways, word by word. A maximal match of WINDOW words or more
+   with a smaller document is removed from the larger one.
+3. Windows of a place that its leader does not have are seeds themselves, with
+   the whole window as the key: again the first place leads, and pairs are
+   extended. A window has one key, so nothing is left after this round.
+
+Pairs are as many as places, never all pairs of a group. The leader's words
+come to its followers in pieces of CHUNK words, each fetched once a document.
+Hot anchors, windows and pieces are joined by ``join_keyed`` or in several copies.
 """
 
 from __future__ import annotations
@@ -24,137 +23,228 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import Powers, Words, append, blocks, byte_values, mix, slide, space_words
+from .tables import HOT, drop, join_keyed, saved, scratch
+from .textblocks import Powers, Words, blocks, byte_values, mix, space_words
 
-WINDOW, GRAM = 50, 20
+WINDOW, GRAM, CHUNK = 50, 20, 64
+BITS = 6  # a place is (word number, words from its first window to it, words from its last window to it), the latter in BITS bits each
+ID = ["doc_id", "row"]
+LEADER = "lead struct<doc_id:bigint,row:bigint,at:bigint>"
+RUNS = "array<struct<a:int,b:int>>"
 
 
-class Windows:
-    """Per row: anchors of all windows, and whole-window hashes of chosen starts."""
+def first_least(values: np.ndarray, w: int) -> np.ndarray:
+    """Place of the first smallest of each ``w`` consecutive values, by doubling."""
+    if len(values) < w:
+        return np.zeros(0, np.int64)
+    at, span = np.arange(len(values)), 1
 
-    def __init__(self) -> None:
-        self.powers, self.values, self.table = Powers(), byte_values(False), space_words()
+    def joined(at: np.ndarray, step: int) -> np.ndarray:
+        left, right = at[:-step], at[step:]
+        return np.where(values[right] < values[left], right, left)
 
-    def __call__(self, column: pa.Array):
-        """Yields the first row, the words, the row of each word, the starts of whole windows, their anchors and the sums for ``hashes``."""
-        for lo, _, data, offsets in blocks(column):
-            words = Words(data, offsets, self.table, self.values, self.powers)
-            sums, rows = self.powers.prefix(words.hashes), words.rows()
-            minima = slide(self.powers.grams(sums, GRAM), WINDOW - GRAM + 1)
-            at = np.flatnonzero(rows[: len(minima)] == rows[WINDOW - 1 :][: len(minima)]) if len(minima) else np.zeros(0, np.int64)
-            yield lo, words, rows, at, minima[at], sums
-
-    def hashes(self, sums: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows at these starts; the second one over mixed sums of the first half and the whole."""
-        whole = self.powers.grams(sums, WINDOW, at)
-        half = self.powers.grams(sums, WINDOW // 2, at)
-        return whole, mix(half * np.uint64(0x9E3779B97F4A7C15) + (whole >> np.uint64(7)))
+    while 2 * span <= w:
+        at, span = joined(at, span), 2 * span
+    return joined(at, w - span) if w > span else at
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """``anchor, doc_id``, once for each document of an Arrow batch."""
-
-    def run(batches):
-        windows = Windows()
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, _, rows, at, found, _ in windows(batch.column(1)):
-                if not len(at):
-                    continue
-                row = rows[at]
-                new = np.ones(len(at), bool)
-                new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(ids[lo + row[new]])], names=["anchor", "doc_id"])
-
-    return docs.mapInArrow(run, "anchor long, doc_id long")
-
-
-def extensions(rows: DataFrame) -> DataFrame:
-    """``anchor, u1, u2, doc_id, row, start, n``: runs of ``n`` windows with one seed as anchor; ``rows`` is (doc_id, text, row, seeds)."""
+    """``key, doc_id, row, at``: the places of all anchors of ``docs`` (doc_id, row, text)."""
 
     def run(batches):
-        windows = Windows()
+        powers, values, table = Powers(), byte_values(False), space_words()
         for batch in batches:
-            ids, number = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            seeds = batch.column(3)
-            bounds = seeds.offsets.to_numpy()
-            flat = seeds.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, words, rows, at, found, sums in windows(batch.column(1)):
+            ids, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, data, offsets in blocks(batch.column(2)):
+                words = Words(data, offsets, table, values, powers)
+                grams = powers.grams(powers.prefix(words.hashes), GRAM)
+                at = np.flatnonzero(words.whole(WINDOW))
                 if not len(at):
                     continue
-                row = rows[at]
+                place, row = first_least(grams, WINDOW - GRAM + 1)[at], words.rows()[at]
                 new = np.ones(len(at), bool)
-                new[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+                new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(at)) - 1
-                keep = np.zeros(len(first), bool)
-                cuts = np.searchsorted(row[first], np.arange(len(words.bounds)))
-                for r in range(len(words.bounds) - 1):
-                    a, b = cuts[r], cuts[r + 1]
-                    if b > a:
-                        keep[a:b] = np.isin(found[first[a:b]], flat[bounds[lo + r] : bounds[lo + r + 1]])
-                first, last = first[keep], last[keep]
-                if len(first):
-                    a, b, r = at[first], at[last], row[first]
-                    whole = mix((sums[b + WINDOW] - sums[a]) * windows.powers.get(len(sums))[1][a] ^ (b - a).astype(np.uint64))
-                    ends = mix(windows.hashes(sums, a)[0] * np.uint64(0x9E3779B97F4A7C15) + windows.hashes(sums, b)[1])
-                    out = [found[first].view(np.int64), whole.view(np.int64), ends.view(np.int64), ids[lo + r], number[lo + r], (a - words.bounds[r]).astype(np.int32), (b - a + 1).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["anchor", "u1", "u2", "doc_id", "row", "start", "n"])
-
-    return rows.mapInArrow(run, "anchor long, u1 long, u2 long, doc_id long, row long, start int, n int")
-
-
-def whole_windows(rows: DataFrame) -> DataFrame:
-    """``h1, h2, doc_id, row, start`` of the windows in ``runs`` (start, n); ``rows`` is (doc_id, text, row, runs)."""
+                place, row = place[first], row[first]
+                coded = ((place - words.bounds[row]) << 2 * BITS) | ((place - at[first]) << BITS) | (place - at[last])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[place].view(np.int64)), pa.array(ids[lo + row]), pa.array(number[lo + row]), pa.array(coded)], names=["key", *ID, "at"])
+
+    return docs.select(*ID, "text").mapInArrow(run, "key long, doc_id long, row long, at long")
+
+
+def paired(places: DataFrame, keys: list[str]) -> DataFrame:
+    """``doc_id, row, at, lead``: the places of each key that stands in two documents with the place that leads it, but for that one itself."""
+    lead = F.min(F.struct("doc_id", "row", "at"))
+    leaders = saved(places.groupBy(*keys).agg(lead.alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("lead.doc_id < last").drop("last"))
+    pairs = join_keyed(places, leaders, keys, "n", places.count())
+    return pairs.where(F.struct(*ID, "at") != F.col("lead")).select(*ID, "at", "lead")
+
+
+def number(at: Column) -> Column:
+    return F.shiftright(at, 2 * BITS)
+
+
+def fetched(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """For each document of ``pairs`` its seeds, and the pieces of its leaders' texts that the windows of its seeds may need: ``doc_id, row, seeds, pieces``."""
+    place = number(F.col("lead.at"))
+    mine = F.col("at")
+    first = place - F.shiftright(mine, BITS).bitwiseAND((1 << BITS) - 1)
+    last = place - mine.bitwiseAND((1 << BITS) - 1) + WINDOW - 1
+    chunk = F.explode(F.sequence(F.expr("0L") + F.floor(first / CHUNK), F.floor(last / CHUNK))).alias("chunk")
+    owner = [F.col("lead.doc_id").alias("l_doc"), F.col("lead.row").alias("l_row")]
+    needs = saved(pairs.select(*ID, *owner, chunk).distinct())
+    piece = ["l_doc", "l_row", "chunk"]
+    wanted = saved(needs.groupBy(*piece).agg(F.count("*").alias("n")))
+    # Pieces that more than one in HOT of the needs ask for (so fewer than HOT) go out in several copies.
+    step = F.lit(needs.count() / HOT)
+    often = F.broadcast(wanted.where(F.col("n") > step).select(*piece, F.ceil(F.col("n") / step).cast("int").alias("copies")))
+    pieces = saved(cut_pieces(texts, wanted.groupBy("l_doc", "l_row").agg(F.collect_list("chunk").alias("chunks"))))
+    copies = F.coalesce("copies", F.lit(1))
+    pieces = pieces.join(often, piece, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+    asked = needs.join(often, piece, "left").withColumn("copy", F.pmod(F.xxhash64(*ID), copies).cast("int")).drop("copies")
+    got = asked.join(pieces, [*piece, "copy"]).groupBy(*ID).agg(F.collect_list(F.struct(*piece, "body")).alias("pieces"))
+    seeds = pairs.groupBy(*ID).agg(F.collect_set(F.struct("lead", "at")).alias("seeds"))
+    return seeds.join(got, ID)
+
+
+def cut_pieces(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``l_doc, l_row, chunk, body``: the words of the wanted pieces, joined by single spaces."""
 
     def run(batches):
-        windows = Windows()
         for batch in batches:
-            ids, number, runs = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
-            for lo, words, _, _, _, sums in windows(batch.column(1)):
-                starts = [(r, x["start"], x["n"]) for r in range(len(words.bounds) - 1) for x in runs[lo + r]]
-                if not starts:
-                    continue
-                r, first, n = (np.array(x) for x in zip(*starts))
-                at = np.repeat(words.bounds[r] + first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                r = np.repeat(r, n)
-                h1, h2 = windows.hashes(sums, at)
-                out = [h1.view(np.int64), h2.view(np.int64), ids[lo + r], number[lo + r], (at - words.bounds[r]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["h1", "h2", "doc_id", "row", "start"])
+            ids, number = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[list] = [[], [], [], []]
+            for i, row, text, chunks in zip(ids, number, batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist()):
+                words = text.as_py().split()
+                for c in chunks:
+                    body = words[c * CHUNK : (c + 1) * CHUNK]
+                    if body:
+                        for to, x in zip(out, (i, row, c, b" ".join(body))):
+                            to.append(x)
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["l_doc", "l_row", "chunk", "body"])
+
+    rows = texts.join(wanted.withColumnsRenamed({"l_doc": "doc_id", "l_row": "row"}), ID).select(*ID, "text", "chunks").dropDuplicates(ID)
+    return rows.mapInArrow(run, "l_doc long, l_row long, chunk long, body binary")
+
+
+class Leaders:
+    """The pieces of other texts that a document has, as stretches of words."""
+
+    def __init__(self, pieces: list[dict]) -> None:
+        self.of: dict[tuple, list] = {}
+        for p in sorted(pieces, key=lambda p: (p["l_doc"], p["l_row"], p["chunk"])):
+            words, stretches = p["body"].split(), self.of.setdefault((p["l_doc"], p["l_row"]), [])
+            if stretches and stretches[-1][0] + len(stretches[-1][1]) == p["chunk"] * CHUNK:
+                stretches[-1][1].extend(words)
+            else:
+                stretches.append((p["chunk"] * CHUNK, words))
+
+    def at(self, owner: tuple, place: int) -> tuple[list, int]:
+        """The stretch with this word, and the word's number in it."""
+        for start, words in self.of.get(owner, ()):
+            if start <= place < start + len(words):
+                return words, place - start
+        return [], 0
+
+
+def extended(a: list, i: int, b: list, j: int) -> tuple[int, int]:
+    """Start and end in ``a`` of the longest run of equal words through a[i] and b[j]; empty if these differ."""
+    n, k = min(len(a) - i, len(b) - j), 0
+    while k + 32 <= n and a[i + k : i + k + 32] == b[j + k : j + k + 32]:
+        k += 32
+    while k < n and a[i + k] == b[j + k]:
+        k += 1
+    if not k:
+        return i, i
+    n, m = min(i, j), 0
+    while m + 32 <= n and a[i - m - 32 : i - m] == b[j - m - 32 : j - m]:
+        m += 32
+    while m < n and a[i - m - 1] == b[j - m - 1]:
+        m += 1
+    return i - m, i + k
+
+
+def matched(doc_id: int, words: list, seeds: list, pieces: list) -> tuple[list, list]:
+    """Maximal matches of WINDOW words or more with smaller documents, as (start, end), and the first words of windows of seeds that their leaders do not have."""
+    leaders, runs, left = Leaders(pieces), [], []
+    mask, diagonal, a, b = (1 << BITS) - 1, None, 0, 0
+    found = []
+    for s in seeds:
+        lead, at = s["lead"], s["at"]
+        place, other = at >> 2 * BITS, lead["at"] >> 2 * BITS
+        found.append(((lead["doc_id"], lead["row"]), other - place, place, place - (at >> BITS & mask), place - (at & mask)))
+    for owner, shift, place, first, last in sorted(found):
+        # The match of the seed before on the same diagonal may have gone over this one.
+        if diagonal != (owner, shift) or first < a or last + WINDOW > b:
+            diagonal = owner, shift
+            a, b = extended(words, place, *leaders.at(owner, place + shift))
+            if b - a >= WINDOW and owner[0] < doc_id:
+                runs.append((a, b))
+        if b - a < WINDOW:
+            left.extend(range(first, last + 1))
+        else:
+            left.extend(range(first, min(a, last + 1)))
+            left.extend(range(max(b - WINDOW + 1, first), last + 1))
+    return runs, sorted(set(left))
 
-    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, start int")
 
+def extensions(rows: DataFrame) -> DataFrame:
+    """``doc_id, row, runs, windows`` of (doc_id, row, text, seeds, pieces): matches, and places and hashes of the windows left for the second round."""
 
-def removed_words(n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Flags of the words under runs of windows."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + counts - 1 + WINDOW, -1)
-    return np.cumsum(change[:-1]) > 0
+    def run(batches):
+        powers, values, table = Powers(), byte_values(False), space_words()
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(2)
+            out, windows = [], []
+            for lo, hi, data, offsets in blocks(texts):
+                words = Words(data, offsets, table, values, powers)
+                sums = powers.prefix(words.hashes)
+                raw = data.tobytes()
+                for k in range(lo, hi):
+                    own = raw[offsets[k - lo] : offsets[k - lo + 1]].split()
+                    runs, left = matched(ids[k], own, batch.column(3)[k].as_py(), batch.column(4)[k].as_py())
+                    out.append(runs)
+                    at = np.array(left, np.int64) + words.bounds[k - lo]
+                    whole, half = powers.grams(sums, WINDOW, at), powers.grams(sums, WINDOW // 2, at)
+                    second = mix(half * np.uint64(0x9E3779B97F4A7C15) + (whole >> np.uint64(7)))
+                    windows.append(list(zip(whole.view(np.int64).tolist(), second.view(np.int64).tolist(), left)))
+            kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int64())]))
+            columns = [[dict(zip(("a", "b"), r)) for r in x] for x in out], [[dict(zip(("h1", "h2", "start"), w)) for w in x] for x in windows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, kind) for x, kind in zip(columns, kinds))], names=[*ID, "runs", "windows"])
+
+    return rows.select(*ID, "text", "seeds", "pieces").mapInArrow(run, f"doc_id long, row long, runs {RUNS}, windows array<struct<h1:bigint,h2:bigint,start:bigint>>")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` of (doc_id, text, runs)."""
+    """``doc_id, n_words, n_removed, kept_sha256, kept`` of (doc_id, text, runs, seeds, pieces)."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, runs in zip(batch.column(1).cast(pa.large_binary()), batch.column(2)):
-                words = (text.as_py() or b"").split()
-                n = 0
-                if runs.is_valid and len(runs):
-                    gone = removed_words(len(words), runs.values.field("start").to_numpy(), runs.values.field("n").to_numpy())
-                    n = int(gone.sum())
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                else:
-                    kept = b" ".join(words)
-                for to, x in zip(out, (len(words), n, hashlib.sha256(kept).hexdigest(), kept)):
+            columns = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), *(batch.column(c) for c in (2, 3, 4))
+            for doc_id, text, runs, seeds, pieces in zip(*columns):
+                words, n = (text.as_py() or b"").split(), 0
+                gone = [(r["a"], r["b"]) for r in runs.as_py() or ()]
+                if seeds.is_valid:
+                    gone += matched(doc_id, words, seeds.as_py(), pieces.as_py())[0]
+                if gone:
+                    change = np.zeros(len(words) + 1, np.int64)
+                    for a, b in gone:
+                        change[a] += 1
+                        change[b] -= 1
+                    flags = np.cumsum(change[:-1]) > 0
+                    n = int(flags.sum())
+                    words = [w for w, g in zip(words, flags.tolist()) if not g]
+                kept = b" ".join(words)
+                for to, x in zip(out, (len(words) + n, n, hashlib.sha256(kept).hexdigest(), kept.decode())):
                     to.append(x)
             kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([y.decode() for y in x] if k == 3 else x, kind) for k, (x, kind) in enumerate(zip(out, kinds)))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(out, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
@@ -166,30 +256,25 @@ def dedup_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     a smaller key, in the input as it is. A null text has no words; texts of
     fewer than 50 words are kept whole. Rows of one key are not compared with
     each other; rows with a null key have no order, so they are kept whole and
-    take nothing from others. Other columns are not read.
+    take nothing from others. Other columns are not read. What is removed has
+    been compared word by word; hashes (64 bits of an anchor, 128 of a window)
+    only say what to compare.
     """
-    all_rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = all_rows.where("doc_id is not null")
-    seeds = anchors(rows)
-    shared = seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seeds = seeds.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("seeds"))
-    texts = rows.withColumn("row", F.xxhash64("text")).repartition("doc_id")
-    found = extensions(texts.join(seeds.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "row", "seeds"))
-    equal = found.groupBy("anchor", "u1", "u2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    several = equal.groupBy("anchor").agg((F.min("first") < F.max("first")).alias("several"))
-    equal = equal.join(several, "anchor").where(F.col("several") | (F.col("first") < F.col("last"))).drop("last")
-    judged = found.join(equal, ["anchor", "u1", "u2"]).withColumn("run", F.struct("row", "start", "n"))
-    later = judged.where("first < doc_id").select("doc_id", "run")
-    different = judged.where("first = doc_id and several").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    wanted = F.filter("runs", lambda r: r["row"].eqNullSafe(F.col("row")))
-    windows = whole_windows(texts.join(different.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "row", wanted.alias("runs")))
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    parts = windows.join(first, ["h1", "h2"]).where("lo < doc_id").select("doc_id", F.struct("row", "start", F.lit(1).alias("n")).alias("run"))
-    gone = later.union(parts).groupBy("doc_id").agg(F.collect_list("run").alias("gone"))
-    runs = F.transform(F.filter("gone", lambda g: g["row"].eqNullSafe(F.col("row"))), lambda g: F.struct(g["start"].alias("start"), g["n"].alias("n"))).alias("runs")
-    marked = texts.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", runs)
-    loose = all_rows.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
-    return cut(marked.unionByName(loose))
+    spark = docs.sparkSession
+    all_rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("row"), F.col(text).cast("string").alias("text"))
+    texts = all_rows.where("doc_id is not null and text is not null")
+    done: list[str] = []
+    with scratch(spark, done):
+        pairs = saved(paired(saved(anchors(texts)), ["key"]))
+        joined = texts.join(fetched(pairs, texts), ID).dropDuplicates(ID)
+    first = saved(extensions(joined))
+    drop(spark, done)
+    with scratch(spark, done):
+        windows = saved(first.select(*ID, F.explode("windows").alias("w")).select("w.h1", "w.h2", *ID, F.shiftleft("w.start", 2 * BITS).alias("at")))
+        pairs = paired(windows, ["h1", "h2"]).where("lead.doc_id < doc_id")
+        again = saved(fetched(saved(pairs), texts))
+    out = all_rows.join(first.select(*ID, "runs"), ID, "left").join(again, ID, "left")
+    return cut(out.select("doc_id", "text", "runs", "seeds", "pieces"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL = 50_000  # rows; the frames broadcast here have rows of at most a few hundred bytes
+HOT = 1024  # a key is hot if it holds more than one in HOT rows, so there are fewer than HOT hot keys
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,28 +39,51 @@ def scratch(spark: SparkSession, folders: list[str]):
         _kept = outer
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that are no longer used; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def hadoop_path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def drop(spark: SparkSession, folders: list[str]) -> None:
     while folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = hadoop_path(spark, folders.pop())
+        system.delete(path, True)
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """``frame`` written to a table in the shared folder and read back, so lost executors cost no more than a reread."""
+    """``frame`` written to a table in the shared folder and read back, so lost executors cost no more than a reread.
+
+    What was exchanged to make the table is deleted with the end of the write.
+    The table itself goes with ``drop``, or at last when the application ends.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     if _kept is not None:
         _kept.append(path)
+    place, system = hadoop_path(spark, path)
+    system.deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)
 
 
 def bounded(frame: DataFrame, limit: int = SMALL) -> DataFrame:
     """``frame``, marked for broadcast if it has at most ``limit`` rows; beyond that the join shuffles. Call it on written tables."""
     return F.broadcast(frame) if frame.limit(limit + 1).count() <= limit else frame
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row of fixed size for each key, with the ``count`` of its rows among ``total``.
+
+    The rows of hot keys stay where they are and get the (fewer than HOT) rows
+    of ``keyed`` by broadcast; only the others are shuffled. So no task gets
+    more than one in HOT rows for one key. Both frames are to be written tables.
+    """
+    hot = F.col(count) * HOT > F.lit(total)
+    often = keyed.where(hot)
+    seldom = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(keyed.where(~hot), on)
+    return seldom.unionByName(rows.join(F.broadcast(often), on))
