@@ -5,9 +5,10 @@ window is looked at only when its minimum is a benchmark fingerprint; the hit
 is then extended to the whole window by its own 64-bit hash. Equal windows have
 equal minima, so every shared span of 13 words or more is found.
 
-The documents are never shuffled. The benchmark index is sent to the tasks in
-blocks of at most ``BLOCK_BYTES`` of text; a benchmark beyond one block is run
-block after block over the same rows, and the hits are merged.
+A benchmark of at most ``BLOCK_BYTES`` is indexed once and broadcast, and the
+documents are not shuffled. Beyond that nothing of it passes the driver: its
+fingerprints and windows are tables, document fingerprints are joined with them,
+and what meets is extended to windows by a second join (``joined_hits``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import bounded, saved
 from .textblocks import Member, Powers, Words, append, blocks, byte_values, letter_words, slide
 
 WINDOW, GRAM = 13, 5
@@ -112,18 +114,67 @@ class Scanner:
                 yield n, at[whole[at]], lookup
 
 
-def index_blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES):
-    """Indexes of the items, each of at most ``limit`` bytes of text (or one item); the driver holds one block of texts at a time."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    for row in rows.toLocalIterator():
-        if texts and size + len(row.t.encode()) > limit:
-            yield Index(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(row.i or "")
-        texts.append(row.t)
-        size += len(row.t.encode())
-    yield Index(ids, texts)
+def item_windows(items: DataFrame) -> DataFrame:
+    """``fp, h, k, item``: fingerprint, hash and length of the windows of ``items`` (i, t); of items with fewer than 13 words the whole item, as its own fingerprint."""
+
+    def run(batches):
+        powers, values, table = Powers(), byte_values(True), letter_words()
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                words = Words(data, offsets, table, values, powers)
+                sums, rows, n = powers.prefix(words.hashes), words.rows(), np.diff(words.bounds)
+                minima = slide(powers.grams(sums, GRAM), WINDOW - GRAM + 1)
+                at = np.flatnonzero(words.whole(WINDOW)) if len(minima) else np.zeros(0, np.int64)
+                found = [(minima[at] if len(at) else at.view(np.uint64), powers.grams(sums, WINDOW, at), np.full(len(at), WINDOW), rows[at])]
+                for k in range(1, WINDOW):
+                    row = np.flatnonzero(n == k)
+                    h = powers.grams(sums, k, words.bounds[row])
+                    found.append((h, h, np.full(len(row), k), row))
+                fp, h, k, row = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(h.view(np.int64)), pa.array(k.astype(np.int32)), ids.take(pa.array(lo + row))], names=["fp", "h", "k", "item"])
+
+    return items.select("i", "t").mapInArrow(run, "fp long, h long, k int, item string")
+
+
+def text_windows(texts: DataFrame, short: list[int]) -> DataFrame:
+    """``fp, k, t1, t2, at, hs`` of ``texts`` (t1, t2, text): runs of windows with one fingerprint, from word ``at`` on, and their hashes; and all places of the ``short`` lengths."""
+
+    def run(batches):
+        powers, values, table = Powers(), byte_values(True), letter_words()
+        for batch in batches:
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, data, offsets in blocks(batch.column(2)):
+                words = Words(data, offsets, table, values, powers)
+                sums, rows = powers.prefix(words.hashes), words.rows()
+                for k in [*short, WINDOW]:
+                    at = np.flatnonzero(words.whole(k))
+                    if not len(at):
+                        continue
+                    h = powers.grams(sums, k, at)
+                    fp = slide(powers.grams(sums, GRAM), WINDOW - GRAM + 1)[at] if k == WINDOW else h
+                    new = np.append(True, (fp[1:] != fp[:-1]) | (at[1:] != at[:-1] + 1) | (rows[at[1:]] != rows[at[:-1]]))
+                    first = np.flatnonzero(new)
+                    row = rows[at[first]]
+                    hs = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(h.view(np.int64)))
+                    out = [pa.array(fp[first].view(np.int64)), pa.array(np.full(len(first), k, np.int32)), pa.array(t1[lo + row]), pa.array(t2[lo + row]), pa.array(at[first] - words.bounds[row]), hs]
+                    yield pa.RecordBatch.from_arrays(out, names=["fp", "k", "t1", "t2", "at", "hs"])
+
+    return texts.select("t1", "t2", "text").mapInArrow(run, "fp long, k int, t1 long, t2 long, at long, hs array<long>")
+
+
+def joined_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``t1, t2, n_hit, n_items, items_sha256`` of the texts with hits, by joins alone; a text is two hashes, so copies are judged once."""
+    known = saved(item_windows(items).distinct())
+    short = [r.k for r in known.where(F.col("k") < WINDOW).select("k").distinct().collect()]  # fewer than WINDOW
+    met = text_windows(texts, sorted(short)).join(known.select("fp", "k").distinct(), ["fp", "k"], "left_semi")
+    opened = met.select("t1", "t2", "k", "at", F.posexplode("hs").alias("i", "h")).select("t1", "t2", "k", "h", (F.col("at") + F.col("i")).alias("at"))
+    hits = saved(opened.join(known.select("h", "k").distinct(), ["h", "k"], "left_semi").distinct())
+    words = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("k") - 1))))).cast("long")
+    places = hits.groupBy("t1", "t2").agg(words.alias("n_hit"))
+    found = hits.select("t1", "t2", "h", "k").distinct().join(known.select("h", "k", "item"), ["h", "k"]).select("t1", "t2", "item").distinct()
+    names = F.array_join(F.array_sort(F.collect_list("item")), ",")
+    return places.join(found.groupBy("t1", "t2").agg(F.count("*").alias("n_items"), F.sha2(names, 256).alias("items_sha256")), ["t1", "t2"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", share: int = 20, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -135,22 +186,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     no hits; an item without words is in no document; a null item_id counts as
     the empty string; repeated rows are judged alike; columns of ``docs`` with
     the names of the result are replaced. No benchmark rows: nothing is hit.
+    A benchmark of more than ``limit`` bytes is joined, with the same result.
     """
     keep = docs.columns if keep is None else keep
-    indexes = list(index_blocks(benchmark, item_id, text=item_text, limit=limit))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+    size = items.agg(F.sum(F.octet_length("i") + F.octet_length("t") + 64)).first()[0] or 0
+    if size > limit:
+        return by_joins(docs, items, text, keep, share)
+    rows = items.collect()  # at most ``limit`` bytes
+    shared = docs.sparkSession.sparkContext.broadcast(Index([r.i for r in rows], [r.t for r in rows]))
 
     def make():
-        scanners = [Scanner(index) for index in indexes]
+        index = shared.value
+        scan = Scanner(index)
 
         def work(column):
             out: list[list] = [[], [], [], [], []]
-            for parts in zip(*(scan(column) for scan in scanners)):
-                n = int(parts[0][0])
-                hit, items = parts[0][1], {indexes[0].ids[i] for i in parts[0][2]}
-                for index, (_, more, found) in zip(indexes[1:], parts[1:]):
-                    hit = hit | more
-                    items |= {index.ids[i] for i in found}
-                n_hit = int(hit.sum())
+            for n, hit, found in scan(column):
+                n, n_hit, items = int(n), int(hit.sum()), {index.ids[i] for i in found}
                 values = n, n_hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), n_hit > 0 and share * n_hit >= n
                 for to, x in zip(out, values):
                     to.append(x)
@@ -162,6 +215,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     return append(docs, text, keep, make, FIELDS)
 
 
+def by_joins(docs: DataFrame, items: DataFrame, text: str, keep: list[str], share: int) -> DataFrame:
+    """``contamination`` for a benchmark of any size."""
+    coded = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    coded = coded.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+    def make():
+        powers, table = Powers(), letter_words()
+
+        def work(column):
+            counts = [np.diff(Words(data, offsets, table, None, powers).bounds) for _, _, data, offsets in blocks(column)]
+            return [pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())]
+
+        return work
+
+    counted = append(coded, "text", [c for c in coded.columns if c != "text"], make, "n_words long")
+    out = counted.join(bounded(saved(joined_hits(coded, items))), ["t1", "t2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    none = F.lit(hashlib.sha256().hexdigest())
+    new = {"n_words": F.col("n_words"), "n_hit": n_hit, "n_items": F.coalesce("n_items", F.lit(0)), "items_sha256": F.coalesce("items_sha256", none), "contaminated": (n_hit > 0) & (share * n_hit >= F.col("n_words"))}
+    return out.select(*[F.col(f"`k_{c}`").alias(c) for c in keep if c not in new], *[v.alias(c) for c, v in new.items()])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return contamination(docs, benchmark, keep=["doc_id"])

@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 Each source gets a target in words (water-filling under a cap of twice its
-size). The part of the target that amounts to whole copies of the source is
-certain; for the rest, every document gets an inclusion odds and a random odds,
-and documents are taken in the order of their quotient until the words taken
-come nearest the rest.
+size). What the target holds of whole copies of the source is certain. The rest
+is a sample of unequal probabilities: a document's inclusion probability is in
+proportion to its size class (``size_class``), such that the expected words are
+the rest. Classes whose probability would reach 1 are certain too. The others
+are ranked by random odds divided by inclusion odds, and are taken in that order
+until the words taken come nearest the rest.
 
 The order is never sorted as a whole: the quotient, mapped onto 36 bits, is
-counted in 4096 bins a source, the bin in which the target falls is counted
-again in 4096 bins, and so on; only documents that share all but the last level
+counted in 512 bins a source, the bin in which the target falls is counted
+again in 512 bins, and so on; only documents that share all but the last level
 are put in order. So a source with a third of all rows is summed map-side, and
-no task holds it.
+no task holds it. A source has at most 480 size classes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .tables import bounded, saved
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 SEED = "mix"
-LEVEL_BITS, LEVELS = 12, 3
+LEVEL_BITS, LEVELS = 9, 4
 BITS = LEVEL_BITS * LEVELS
 WORD = r"[^\x20\x09-\x0D]+"
 NEW = ["size", "source_size", "target", "copies", "taken"]
@@ -38,6 +40,32 @@ def unit(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.lit(seed), key).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
+def size_class(size: Column) -> Column:
+    """The size with all but its four leading bits cleared: eight classes for each doubling."""
+    low = F.greatest(F.length(F.bin(size)) - 4, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, low), low)
+
+
+def inclusion(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``c_source, z, p, certain, rest``: the inclusion probability of each source and size class, and the source's words that are left to the sample.
+
+    From the largest class down, a class is certain if with its like and all
+    smaller ones sampled in proportion to z it would have a probability of 1 or more.
+    """
+    per = sizes.where("size > 0").groupBy("source", size_class(F.col("size")).alias("z")).agg(F.sum("size").alias("words"))
+    per = per.join(bounded(plan.select("p_source", "rest")), same("source", "p_source"))
+    down = Window.partitionBy("source").orderBy(F.col("z").desc())
+    load = F.col("z").cast("decimal(19,0)") * F.col("words").cast("decimal(19,0)")
+    left = F.col("rest") - F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    below = F.sum(load).over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    per = per.withColumn("left", left).withColumn("below", below).withColumn("certain", F.col("left") * F.col("z") >= F.col("below"))
+    whole = Window.partitionBy("source")
+    factor = F.max(F.when(~F.col("certain"), F.struct("z", (F.col("left") / F.col("below")).alias("c")))).over(whole)["c"]
+    sure = F.coalesce(F.sum(F.when(F.col("certain"), F.col("words"))).over(whole), F.lit(0)).cast("double")
+    p = F.when(F.col("certain"), F.lit(1.0)).otherwise(F.col("z") * factor)
+    return per.select(F.col("source").alias("c_source"), "z", p.alias("p"), "certain", (F.col("rest") - sure).alias("rest"))
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """A row for each source with ``source_size`` and ``target``.
 
@@ -106,13 +134,15 @@ def mix(docs: DataFrame, *, share: float = SHARE, weights: tuple = WEIGHTS, most
     sizes = saved(docs.select(of_source, unit(of_key, seed).alias("u"), of_size))
     plan = source_targets(sizes, share, weights, most)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    plan = plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    plan = saved(plan.withColumnRenamed("source", "p_source"))
-    known = bounded(plan)
-    keyed = saved(sizes.where("size > 0").join(known.select("p_source", "p"), same("source", "p_source")).select("source", "size", rank_bits().alias("bits")))
-
-    cut = plan.where("source_size > 0").select(F.col("p_source").alias("source"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), "rest")
+    plan = saved(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "p_source"))
+    known = bounded(plan.drop("rest"))
+    classes = saved(inclusion(sizes, plan))
+    chances = bounded(classes.select("c_source", F.col("z").alias("c_z"), "p", "certain"))
+    in_class = same("source", "c_source") & (size_class(F.col("size")) == F.col("c_z"))
+    keyed = saved(sizes.where("size > 0").join(chances, in_class).where(~F.col("certain")).select("source", "size", rank_bits().alias("bits")))
+
+    cut = classes.where(~F.col("certain")).groupBy(F.col("c_source").alias("source")).agg(F.first("rest").alias("rest"))
+    cut = cut.select("source", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), "rest")
     for level in range(LEVELS):
         cut = refine(keyed, cut, level)
     # Documents of the last bin are taken while that brings the words nearer the rest.
@@ -122,13 +152,14 @@ def mix(docs: DataFrame, *, share: float = SHARE, weights: tuple = WEIGHTS, most
     last = last.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("bits", "size")))
     nearer = last.where(F.abs(F.col("upto") - F.col("rest")) < F.abs(F.col("upto") - F.col("words") - F.col("rest")))
     ends = nearer.groupBy("source").agg(F.max(F.struct("bits", "size")).alias("end")).withColumnRenamed("source", "e_source")
-    cut = bounded(saved(cut.join(ends, same("c_source", "e_source"), "left").select("c_source", "prefix", F.col("end.bits").alias("end_bits"), F.col("end.size").alias("end_size"))))
+    cut = saved(cut.join(ends, same("c_source", "e_source"), "left").select(F.col("c_source").alias("t_source"), "prefix", F.col("end.bits").alias("end_bits"), F.col("end.size").alias("end_size")))
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], of_source, unit(of_key, seed).alias("u"), of_size)
-    out = rows.join(known, same("source", "p_source")).join(cut, same("source", "c_source"), "left").withColumn("bits", rank_bits())
+    out = rows.join(known, same("source", "p_source")).join(chances, in_class, "left").join(bounded(cut), same("source", "t_source"), "left").withColumn("bits", rank_bits())
     bits = F.col("bits")
     inside = (prefix(bits, LEVELS) < F.col("prefix")) | (prefix(bits, LEVELS) == F.col("prefix")) & ((bits < F.col("end_bits")) | (bits == F.col("end_bits")) & (F.col("size") <= F.col("end_size")))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(inside, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("long")
+    more = F.col("certain") | F.coalesce(inside, F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long")
     return out.select(*[F.col(f"`k_{c}`").alias(c) for c in keep], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -147,11 +178,18 @@ c AS (SELECT *, cap * rest_weight < (total - before) * weight AS capped FROM o),
 f AS (SELECT arg_min(before, n) AS before, arg_min(rest_weight, n) AS rest_weight FROM c WHERE NOT capped),
 t AS (SELECT source, source_size, CASE WHEN capped OR f.before IS NULL THEN cap ELSE (total - f.before) * weight / f.rest_weight END AS target FROM c, f),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-r AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM q),
-k AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, r.rest,
-    least(floor(u * (1 - p) / (u * (1 - p) + (1 - u) * p) * 68719476736.0::DOUBLE), 68719476735)::BIGINT AS bits FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-g AS (SELECT source, bits, size, rest, sum(size) AS words FROM k WHERE size > 0 GROUP BY ALL),
+r AS (SELECT *, target - whole * source_size AS rest FROM q),
+z AS (SELECT d.source, ((d.size >> (greatest(length(to_binary(d.size)) - 4, 0))::BIGINT) << (greatest(length(to_binary(d.size)) - 4, 0))::BIGINT)::BIGINT AS z, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+b AS (SELECT z.source, z.z, z.words, r.rest, r.rest - coalesce(sum(z.words) OVER (PARTITION BY z.source ORDER BY z.z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS left_over,
+    (sum(z.z::HUGEINT * z.words) OVER (PARTITION BY z.source ORDER BY z.z DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS below FROM z JOIN r ON z.source IS NOT DISTINCT FROM r.source),
+e AS (SELECT *, left_over * z >= below AS certain FROM b),
+c2 AS (SELECT source, arg_max(left_over / below, z) FILTER (NOT certain) AS c, coalesce(sum(words) FILTER (certain), 0)::DOUBLE AS sure FROM e GROUP BY source),
+p AS (SELECT e.source, e.z, e.certain, CASE WHEN e.certain THEN 1.0::DOUBLE ELSE e.z * c2.c END AS p, e.rest - c2.sure AS rest FROM e JOIN c2 ON e.source IS NOT DISTINCT FROM c2.source),
+k AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, p.rest, p.certain,
+    least(floor(u * (1 - p) / (u * (1 - p) + (1 - u) * p) * 68719476736.0::DOUBLE), 68719476735)::BIGINT AS bits
+    FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.size > 0 AND p.z = ((d.size >> (greatest(length(to_binary(d.size)) - 4, 0))::BIGINT) << (greatest(length(to_binary(d.size)) - 4, 0))::BIGINT)::BIGINT),
+g AS (SELECT source, bits, size, rest, sum(size) AS words FROM k WHERE size > 0 AND NOT certain GROUP BY ALL),
 h AS (SELECT source, bits, size, abs(upto - rest) < abs(upto - words - rest) AS inside FROM (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bits, size) AS upto FROM g))
-SELECT k.doc_id, k.size, k.source_size, k.target, CASE WHEN k.size > 0 THEN (whole::BIGINT + coalesce(inside, false)::BIGINT) * k.size ELSE 0 END::BIGINT AS taken
+SELECT k.doc_id, k.size, k.source_size, k.target, CASE WHEN k.size > 0 THEN (whole::BIGINT + (certain OR coalesce(inside, false))::BIGINT) * k.size ELSE 0 END::BIGINT AS taken
 FROM k LEFT JOIN h ON k.source IS NOT DISTINCT FROM h.source AND k.bits = h.bits AND k.size = h.size
 """

@@ -247,6 +247,34 @@ def test_mixture_meets_targets(spark, docs):
     assert mixture.mix(empty(spark)).count() == 0
 
 
+def test_mixture_includes_by_probability(spark):
+    """200 sources with the same sizes: documents are taken as often as their inclusion probabilities say, the largest always."""
+    sizes = [300, 200] + [10 + 3 * (i % 30) for i in range(60)]
+    rows = [(1000 * s + i, "w " * n, f"s{s:03}") for s in range(200) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = mixture.mix(frame, share=0.5, weights=(1,), keep=["doc_id"]).collect()
+    classes = [n >> (low := max(0, n.bit_length() - 4)) << low for n in sizes]
+    rest, left, sure = 0.5 * sum(sizes), list(range(len(sizes))), set()
+    while True:  # the largest are certain while their probability would reach 1
+        factor = (rest - sum(sizes[i] for i in sure)) / sum(classes[i] * sizes[i] for i in left)
+        over = {i for i in left if classes[i] == max(classes[k] for k in left) and factor * classes[i] >= 1}
+        if not over:
+            break
+        sure |= over
+        left = [i for i in left if i not in over]
+    taken = np.zeros(len(sizes))
+    for r in got:
+        assert r.copies in (0, 1)
+        taken[r.doc_id % 1000] += r.copies
+    want = np.array([1.0 if i in sure else factor * classes[i] for i in range(len(sizes))])
+    assert sure and all(taken[i] == 200 for i in sure)
+    assert len({round(w, 6) for w in want}) > 10 and np.abs(taken / 200 - want).max() < 0.15 and np.corrcoef(taken, want)[0, 1] > 0.95
+    words = defaultdict(int)
+    for r in got:
+        words[r.doc_id // 1000] += r.taken
+    assert all(abs(w - rest) <= 100 for w in words.values())
+
+
 def test_mixture_runs_no_python_on_executors(spark, docs):
     plan = mixture.mix(docs, keep=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -330,6 +358,7 @@ def test_multiples_of_a_vector(spark):
 def test_audit_sees_pairs_that_share_no_shard(spark, monkeypatch):
     """With one shard a node many pairs are lost; the audit counts all pairs of its queries and those that are found."""
     monkeypatch.setattr(vectors, "PER_CLUSTER", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 20)  # a shard of over two blocks is split
     monkeypatch.setattr(vectors, "OVERLAP", 1)
     r = np.random.default_rng(9)
     base = r.normal(size=(150, 16))
