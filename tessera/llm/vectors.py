@@ -1,10 +1,12 @@
 """Near-duplicate vectors by range search on a robust-pruned flat graph.
 
 1. Vectors of a label that are equal or positive multiples are one node with a count.
-2. Each label gets centroids from k-means on a bounded sample (about
-   ``SAMPLE`` nodes); every node joins the shards of its OVERLAP nearest
-   centroids. A shard beyond two blocks of BLOCK nodes is dealt out as pairs of
-   blocks, so a task never holds more than two.
+2. A label's nodes are one shard. A shard of more than two blocks of BLOCK nodes is split by
+   k-means centroids, fitted on a bounded sample (about ``SAMPLE`` of its nodes);
+   its nodes join the new shards of their OVERLAP nearest centroids, and so on
+   until no shard is larger, so the work of a node does not grow with the label.
+   A shard that LEVELS splits leave larger is dealt out as pairs of blocks, so
+   a task never holds more than two.
 3. In each shard a graph is built: nearest nodes and a few others, thinned by
    robust pruning. The adjacency lists of all shards are united by node.
 4. In each shard all its nodes are queries on the united graph: greedy search
@@ -13,7 +15,7 @@
    found is verified. A few queries of each shard are audited against all its
    nodes; a miss widens the beam, and at last the shard is compared whole. Pairs
    that share no shard are not found; ``audit`` measures how many those are.
-5. A pair that several shards hold counts in the first of them, so counts are
+5. A pair that several shards hold counts in the one of the smallest number, so counts are
    sums; only a spanning link for each node leaves a shard, never its pairs.
 """
 
@@ -25,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import saved
+from .tables import join_keyed, saved
 
 COSINE = 0.93
-SAMPLE, PER_CLUSTER, CLUSTERS, OVERLAP, BLOCK = 8192, 512, 256, 3, 1024
+SAMPLE, PER_CLUSTER, CLUSTERS, OVERLAP, BLOCK, LEVELS = 8192, 512, 256, 3, 1024, 6
 NEAREST, OTHERS, DEGREE, ALPHA = 40, 6, 24, 1.2
 BEAM, SLACK, AUDIT = 16, 0.12, 32
-CENTROID_ROWS = 65_536  # centroids that are sent to the tasks at a time
+GROUP_BYTES = 16 << 20  # of the vectors that are assigned to centroids in one group
+SENT_BYTES = 32 << 20  # of the queries of an audit that are sent to the tasks at a time
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -75,64 +78,69 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(nodes: DataFrame) -> DataFrame:
-    """``grp, cluster, c``: the centroids of each group, from about SAMPLE of its nodes."""
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
-    sample = nodes.join(sizes, "grp").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("n") < F.lit(SAMPLE << 20))
+def fit(members: DataFrame) -> DataFrame:
+    """``grp, shard, cluster, c``: centroids of each shard of ``members`` (with its size ``n``), from about SAMPLE of its nodes."""
+    sample = members.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("n") < F.lit(SAMPLE << 20))
+    schema = pa.schema([("grp", pa.string()), ("shard", pa.int64()), ("cluster", pa.int32()), ("c", pa.list_(pa.float64()))])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         x = as_matrix(table.column("v"))
-        k = min(len(x), CLUSTERS, max(1, -(-table.column("n")[0].as_py() // PER_CLUSTER)))
-        return pa.table({"grp": [table.column("grp")[0].as_py()] * k, "cluster": list(range(k)), "c": kmeans(x, k).tolist()}, schema=pa.schema([("grp", pa.string()), ("cluster", pa.int32()), ("c", pa.list_(pa.float64()))]))
-
-    return sample.select("grp", "id", "n", "v").groupBy("grp").applyInArrow(run, "grp string, cluster int, c array<double>")
-
-
-def assigned(nodes: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``grp, id, copies, v, clusters``: the OVERLAP nearest clusters, nearest first. Centroids go out in bounded blocks of groups."""
-    per = centroids.groupBy("grp").agg(F.count("*").alias("k")).orderBy("grp")
-    parts, names, size = [], [], 0
-
-    def part(names: list[str]) -> DataFrame:
-        mine: dict[str, list] = {}
-        for row in centroids.where(F.col("grp").isin(names)).orderBy("grp", "cluster").collect():
-            mine.setdefault(row.grp, []).append(row.c)
-        shared = nodes.sparkSession.sparkContext.broadcast({g: np.array(c) for g, c in mine.items()})
-
-        def run(batches):
-            for batch in batches:
-                groups, v = np.array(batch.column(0).to_pylist(), object), batch.column(3)
-                out: list = [None] * len(groups)
-                for g in dict.fromkeys(groups.tolist()):
-                    at = np.flatnonzero(groups == g)
-                    score = as_matrix(v.take(pa.array(at))) @ shared.value[g].T
-                    near = np.argsort(-score, 1, kind="stable")[:, :OVERLAP]
-                    for i, row in zip(at.tolist(), near.tolist()):
-                        out[i] = row
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["grp", "id", "copies", "v", "clusters"])
-
-        return nodes.where(F.col("grp").isin(names)).select("grp", "id", "copies", "v").mapInArrow(run, "grp string, id long, copies long, v array<double>, clusters array<int>")
-
-    for row in per.toLocalIterator():
-        if names and size + row.k > CENTROID_ROWS:
-            parts.append(part(names))
-            names, size = [], 0
-        names.append(row.grp)
-        size += row.k
-    parts.append(part(names))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.union(more)
-    return out
-
-
-def units(nodes: DataFrame) -> DataFrame:
-    """A row for each node and unit of work it is in: ``grp, cluster, lo, hi`` (blocks), ``mine`` (the node's block)."""
-    rows = nodes.select("*", F.explode("clusters").alias("cluster"))
-    sizes = rows.groupBy("grp", "cluster").agg(F.count("*").alias("size"))
-    sizes = sizes.withColumn("blocks", F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int"))
-    rows = rows.join(sizes.select("grp", "cluster", "blocks"), ["grp", "cluster"])
+        k = min(len(x), CLUSTERS, -(-table.column("n")[0].as_py() // PER_CLUSTER))
+        grp, shard = (table.column(c)[0].as_py() for c in ("grp", "shard"))
+        return pa.table({"grp": [grp] * k, "shard": [shard] * k, "cluster": list(range(k)), "c": kmeans(x, k).tolist()}, schema=schema)
+
+    return sample.select("grp", "shard", "id", "n", "v").groupBy("grp", "shard").applyInArrow(run, "grp string, shard long, cluster int, c array<double>")
+
+
+def assigned(members: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``grp, shard, id, copies, v``: the members of each shard in the new shards of their OVERLAP nearest centroids. A group holds GROUP_BYTES of vectors and the centroids of one shard."""
+    names = ["grp", "shard", "id", "copies", "v", "near"]
+
+    def run(rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        centroids = centroids.sort_by("cluster")
+        score = as_matrix(rows.column("v")) @ as_matrix(centroids.column("c")).T
+        near = np.argsort(-score, 1, kind="stable")[:, :OVERLAP]
+        kinds = pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())
+        columns = [*(rows.column(c) for c in names[:-1]), pa.array(near.astype(np.int32).tolist(), kinds[-1])]
+        return pa.table([c.cast(kind) for c, kind in zip(columns, kinds)], names=names)
+
+    blocks = F.ceil(F.col("n") * F.col("bytes") / GROUP_BYTES)
+    rows = members.withColumn("bytes", 8 * F.size("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), blocks))
+    parts = rows.select(F.col("grp").alias("g"), F.col("shard").alias("s"), F.col("block").alias("b")).distinct()
+    copies = parts.join(centroids, (F.col("g") == F.col("grp")) & (F.col("s") == F.col("shard"))).select("g", "s", "b", "cluster", "c")
+    near = rows.select(*names[:-1], "block").groupBy("grp", "shard", "block").cogroup(copies.groupBy("g", "s", "b")).applyInArrow(run, "grp string, shard long, id long, copies long, v array<double>, near array<int>")
+    near = near.withColumn("cluster", F.explode("near"))
+    return near.select("grp", (F.col("shard") * CLUSTERS + F.col("cluster") + 1).alias("shard"), "id", "copies", "v")
+
+
+def shards_of(nodes: DataFrame) -> DataFrame:
+    """``grp, shard, id, copies, v, shards`` (all of the node's shards): a row for each node and shard."""
+    members = nodes.select("grp", F.lit(0).cast("long").alias("shard"), "id", "copies", "v")
+    done = []
+    for _ in range(LEVELS):
+        sizes = saved(members.groupBy("grp", "shard").agg(F.count("*").alias("n")))
+        total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+        if (most or 0) <= 2 * BLOCK:
+            break
+        sized = saved(join_keyed(members, sizes, ["grp", "shard"], "n", total))
+        done.append(sized.where(F.col("n") <= 2 * BLOCK).drop("n"))
+        large = sized.where(F.col("n") > 2 * BLOCK)
+        members = saved(assigned(large, saved(fit(large))))
+    if not done:
+        return members.withColumn("shards", F.array("shard"))
+    for more in done:
+        members = members.unionByName(more)
+    members = saved(members)
+    all_of = members.groupBy("grp", "id").agg(F.collect_list("shard").alias("shards"))
+    return members.join(all_of, ["grp", "id"])
+
+
+def units(rows: DataFrame) -> DataFrame:
+    """A row for each node and unit of work it is in: ``lo, hi`` (blocks), ``mine`` (the node's block) and ``shards_of``'s columns; a shard of up to two blocks is one unit."""
+    sizes = rows.groupBy("grp", "shard").agg(F.count("*").alias("size"))
+    sizes = saved(sizes.withColumn("blocks", F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")))
+    rows = join_keyed(rows, sizes, ["grp", "shard"], "size", sizes.agg(F.sum("size")).first()[0] or 0).drop("size")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "blocks")
 
@@ -149,7 +157,7 @@ def build(x: np.ndarray) -> list[np.ndarray]:
         score[np.arange(len(mine)), mine] = -2
         near = np.argpartition(-score, k - 1, 1)[:, :k] if k else np.zeros((len(mine), 0), np.int64)
         pool = np.concatenate([near, random.integers(0, n, (len(mine), OTHERS))], 1)
-        d = 1 - np.take_along_axis(x[mine] @ x.T, pool, 1)
+        d = 1 - np.take_along_axis(score, pool, 1)
         order = np.argsort(d, 1, kind="stable")
         pool, d = np.take_along_axis(pool, order, 1), np.take_along_axis(d, order, 1)
         between = 1 - np.einsum("nid,njd->nij", x[pool], x[pool])
@@ -173,7 +181,7 @@ def graph(members: DataFrame) -> DataFrame:
         lists = build(as_matrix(table.column("v")))
         return pa.table({"id": ids, "near": [ids[i].tolist() for i in lists]}, schema=pa.schema([("id", pa.int64()), ("near", pa.list_(pa.int64()))]))
 
-    lists = members.select("grp", "cluster", "lo", "hi", "id", "v").groupBy("grp", "cluster", "lo", "hi").applyInArrow(run, "id long, near array<long>")
+    lists = members.select("grp", "shard", "lo", "hi", "id", "v").groupBy("grp", "shard", "lo", "hi").applyInArrow(run, "id long, near array<long>")
     return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
@@ -222,6 +230,19 @@ def searched(x: np.ndarray, near: np.ndarray) -> np.ndarray:
     return found
 
 
+def owned(pairs: tuple[np.ndarray, np.ndarray], shards: list[list[int]], shard: int) -> np.ndarray:
+    """Which of the pairs (i, j) have no shard in common that has a smaller number than this one."""
+    wide = np.full((len(shards), max(map(len, shards))), -1, np.int64)
+    for i, row in enumerate(shards):
+        wide[i, : len(row)] = row
+    out = np.ones(len(pairs[0]), bool)
+    earlier = np.where((wide >= 0) & (wide < shard), wide, -1)
+    for a in range(0, len(out), 1 << 15):
+        x, y = (earlier[p[a : a + (1 << 15)]] for p in pairs)
+        out[a : a + (1 << 15)] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
+    return out
+
+
 def links(members: DataFrame, adjacency: DataFrame) -> DataFrame:
     """``id, n, root``: for each node of a unit the copies of linked nodes that count here, and the smallest node that it is joined with."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
@@ -229,26 +250,19 @@ def links(members: DataFrame, adjacency: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids, copies, mine = (table.column(c).to_numpy() for c in ("id", "copies", "mine"))
-        cluster, lo, hi = (table.column(c)[0].as_py() for c in ("cluster", "lo", "hi"))
+        shard, lo, hi = (table.column(c)[0].as_py() for c in ("shard", "lo", "hi"))
         n = len(ids)
         lists = [np.flatnonzero(np.isin(ids, np.array(row or [], np.int64), assume_unique=False)) for row in table.column("near").to_pylist()]
         near = np.full((n, max(1, max(map(len, lists)))), -1, np.int64)
         for i, row in enumerate(lists):
             near[i, : len(row)] = row
         found = searched(as_matrix(table.column("v")), near)
-        # The pair belongs to the first cluster that holds both, and there to its pair of blocks.
-        clusters = table.column("clusters").combine_chunks()
-        earlier = np.zeros((n, n), bool)
-        wide = np.full((n, OVERLAP), -1, np.int64)
-        for i, row in enumerate(clusters.to_pylist()):
-            wide[i, : len(row)] = row
-        for s in range(OVERLAP):
-            for t in range(OVERLAP):
-                a, b = wide[:, s], wide[:, t]
-                earlier |= (a[:, None] == b[None, :]) & (a[:, None] >= 0) & (a[:, None] < cluster)
-        count = found & ~earlier
+        i, j = np.nonzero(np.triu(found))
+        count = owned((i, j), table.column("shards").to_pylist(), shard)
         if lo != hi:
-            count &= mine[:, None] != mine[None, :]
+            count &= mine[i] != mine[j]
+        i, j = i[count], j[count]
+        counts = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
         root = np.arange(n)
         while True:  # smallest index reachable; found is symmetric
             low = np.minimum(root, np.where(found, root[None, :], n).min(1))
@@ -256,10 +270,10 @@ def links(members: DataFrame, adjacency: DataFrame) -> DataFrame:
             if (low == root).all():
                 break
             root = low
-        return pa.table([pa.array(ids), pa.array(count @ copies), pa.array(ids[root])], schema=schema)
+        return pa.table([pa.array(ids), pa.array(counts.astype(np.int64)), pa.array(ids[root])], schema=schema)
 
-    rows = members.join(adjacency, "id", "left").select("grp", "cluster", "lo", "hi", "id", "copies", "v", "clusters", "mine", "near")
-    return rows.groupBy("grp", "cluster", "lo", "hi").applyInArrow(run, "id long, n long, root long")
+    rows = members.join(adjacency, "id", "left").select("grp", "shard", "lo", "hi", "id", "copies", "v", "shards", "mine", "near")
+    return rows.groupBy("grp", "shard", "lo", "hi").applyInArrow(run, "id long, n long, root long")
 
 
 def renamed(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -268,7 +282,7 @@ def renamed(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 def linked(nodes: DataFrame) -> DataFrame:
     """``links`` of the nodes."""
-    members = saved(units(saved(assigned(nodes, saved(fit(nodes))))))
+    members = saved(units(saved(shards_of(nodes))))
     return saved(links(members, saved(graph(members))))
 
 
@@ -276,7 +290,7 @@ def audit(rows: DataFrame, *, queries: int = AUDIT, key: str = "vec_id", vector:
     """``grp, queries, pairs, found``: for each label and dimension, the links of up to ``queries`` fixed nodes in all its vectors, and how many of them ``duplicates`` finds.
 
     Unlike the audit of a shard, this sees pairs that share no shard. The queries
-    go out in blocks of at most CENTROID_ROWS; no task holds more than a batch of
+    go out in blocks of at most SENT_BYTES; no task holds more than a batch of
     nodes beside them.
     """
     nodes = saved(nodes_of(renamed(rows, key, vector, label).where("vec_id is not null")))
@@ -302,11 +316,13 @@ def audit(rows: DataFrame, *, queries: int = AUDIT, key: str = "vec_id", vector:
 
         return nodes.where(F.col("grp").isin(list(mine))).select("grp", "id", "copies", "v").mapInArrow(run, "id long, pairs long").groupBy("id").agg(F.sum("pairs").alias("pairs"))
 
+    size = 0
     for row in chosen.orderBy("grp", "id").toLocalIterator():
         block.append(row)
-        if len(block) == CENTROID_ROWS:
+        size += 8 * len(row.v)
+        if size >= SENT_BYTES:
             parts.append(part(block))
-            block = []
+            block, size = [], 0
     truth = part(block)
     for more in parts:
         truth = truth.union(more)
