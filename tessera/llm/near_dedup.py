@@ -7,16 +7,17 @@
    chunk differs in at most ERRORS; so every choice of ERRORS symbols of every
    chunk is left out in turn and the others are a key, and the pair meets under a
    key. DISTANCE lies 4.3 standard deviations above the mean of a pair at the
-   threshold. Keys that only one node has are dropped by an exchange of short
-   fingerprints before rows are exchanged. Nodes that share a key are compared
-   on all symbols, of 4 bits, under the first key that they share.
+   threshold. Keys are plain rows, counted with map-side sums; those that only one
+   node has are dropped. Nodes that share a key are compared on all symbols, of
+   4 bits, under the first key that they share.
 3. Candidates are confirmed on the whole sets, linked, and components labelled.
 
 Large buckets: up to SMALL members all pairs are compared and near ones given
 out. Beyond, a first pass gives out each member's nearest only; after these
 links are confirmed, a second pass gives out just the near pairs that lie in
-different components. A bucket beyond BLOCK members is dealt out in blocks. So
-a large group of copies costs about a row a member, and no pair is dropped.
+different components. A bucket beyond BLOCK members is dealt out in blocks; in
+the second pass, the members of its largest component are not compared with each
+other. So a large group of copies costs about a row a member, and no pair is dropped.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints as fp
 from .components import components
-from .tables import saved
+from .tables import join_keyed, saved
 from .textblocks import Powers, Words, append, blocks, byte_values, mix, space_words
 
 SHINGLE = 5
@@ -37,7 +37,7 @@ DISTANCE = (INDEXED // CHUNK) * (ERRORS + 1) - 1  # 31 of 64
 # Of all symbols cut to 4 bits, and of the first 64 of them: 4.3 and 5.6 standard deviations above the means at the threshold.
 NEAR, NEAR_FIRST = 161, 34
 ROW = 2 * INDEXED + SYMBOLS // 2  # bytes of a signature: the indexed symbols, then all in 4 bits
-SMALL, BLOCK, KNOWN = 64, 4096, 200_000
+SMALL, BLOCK, KNOWN = 64, 512, 200_000
 
 
 class Shingles:
@@ -138,33 +138,18 @@ def as_rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, ROW)
 
 
-def shared_keys(nodes: DataFrame, count: int, parts: int) -> DataFrame:
-    """``key, slot, id`` of the keys that several nodes have (and a few others by chance)."""
-    bits = fp.bits_for(count * INDEXED)
-    shift = np.uint64(64 - bits)
-    schema = pa.schema([("key", pa.int64()), ("slot", pa.int32()), ("id", pa.int64())])
+def keys_of(nodes: DataFrame) -> DataFrame:
+    """``key, slot, id``: the INDEXED keys of each of ``nodes`` (id, sig)."""
 
-    def sorted_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(key_matrix(as_rows(table.column("sig"))).reshape(-1) >> shift, return_counts=True)
-
-    def fingerprints(table: pa.Table) -> pa.Table:
-        keys, counts = sorted_keys(table)
-        return fp.runs(table.column("part")[0].as_py(), keys, counts > 1, parts, bits)
-
-    def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not len(table) or not len(replies):
-            return schema.empty_table()
-        keys = key_matrix(as_rows(table.column("sig")))
-        live = fp.live_of(replies, sorted_keys(table)[0])
-        cut = keys >> shift
-        at = np.searchsorted(live, cut)
-        at[at == len(live)] = 0
-        row, slot = np.nonzero(live[at] == cut) if len(live) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table([pa.array(keys[row, slot].view(np.int64)), pa.array(slot.astype(np.int32)), pa.array(table.column("id").to_numpy()[row])], schema=schema)
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = key_matrix(as_rows(batch.column(1))).view(np.int64).reshape(-1)
+            slots, ids = np.tile(np.arange(INDEXED, dtype=np.int32), batch.num_rows), np.repeat(batch.column(0).to_numpy(), INDEXED)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(slots), pa.array(ids)], names=["key", "slot", "id"])
 
-    dealt = nodes.select(F.pmod("id", F.lit(parts)).cast("int").alias("part"), "id", "sig")
-    live = fp.replies(dealt.groupBy("part").applyInArrow(fingerprints, fp.RUN))
-    return dealt.groupBy("part").cogroup(live.groupBy("part")).applyInArrow(rows, "key long, slot int, id long")
+    return nodes.select("id", "sig").mapInArrow(run, "key long, slot int, id long")
 
 
 DIFFERENT = np.array([(x & 15 > 0) + (x >> 4 > 0) for x in range(256)], np.uint8)
@@ -328,13 +313,13 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     one = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), place)), F.min(place))  # the row whose text stands for the node
     nodes = rows.where("node is not null").groupBy("node").agg(one.alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     nodes = nodes.select("node", F.col("one.doc_id").alias("rep"), F.col("one.row").alias("rep_row"), "n", "sig")
-    nodes = saved(nodes.withColumn("id", F.conv(F.hex(F.substring("node", 1, 7)), 16, 10).cast("long")))
+    # 64 bits of the set hash; two sets of a billion share them with a probability of 1 in 30, and then may lose links.
+    nodes = saved(nodes.withColumn("id", F.xxhash64("node")))
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = saved(shared_keys(nodes, nodes.count(), parts))
-    full = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = saved(keys.join(full, "key").select(F.col("key").alias("bucket"), "slot", "id", F.lit(0).alias("half"), F.lit(0).cast("long").alias("comp"), "pivot", "size"))
+    keys = keys_of(nodes)
+    shared = saved(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"))
+    members = join_keyed(keys, shared, ["key"], "size", INDEXED * nodes.count())
+    members = saved(members.select(F.col("key").alias("bucket"), "slot", "id", F.lit(0).alias("half"), F.lit(0).cast("long").alias("comp"), "pivot", "size"))
     signed_nodes = nodes.select("id", "n", "sig")
     large = members.where(F.col("size") > SMALL)
     block = F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("size") / BLOCK))
@@ -355,12 +340,16 @@ def duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
     roots = components(links)
     if large.limit(1).count():
         named = nodes.select("id", "node").join(roots, "node", "left").select("id", F.xxhash64(F.coalesce("root", "node")).alias("comp"))
-        again = large.drop("comp").join(named, "id")
-        split = again.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        again = again.join(split, "bucket")
-        n_blocks = F.ceil(F.col("size") / BLOCK)
-        own = F.pmod(F.xxhash64("id"), n_blocks)
-        again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+        again = saved(large.drop("comp").join(named, "id"))
+        # The largest component of a bucket is dealt out apart from the others, and its blocks meet only theirs.
+        parts = again.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        most = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).where("m.n < all")
+        n_main, n_rest = F.ceil(F.col("m.n") / BLOCK), F.ceil((F.col("all") - F.col("m.n")) / BLOCK)
+        most = saved(most.select("bucket", F.col("m.comp").alias("main"), n_main.alias("n_main"), n_rest.alias("n_rest"), "all"))
+        again = join_keyed(again, most, ["bucket"], "all", again.count()).withColumn("of_main", F.col("comp") == F.col("main"))
+        own = F.pmod(F.xxhash64("id"), F.when(F.col("of_main"), F.col("n_main")).otherwise(F.col("n_rest"))) + F.when(F.col("of_main"), F.lit(0)).otherwise(F.col("n_main"))
+        first = F.when(F.col("of_main"), F.col("n_main")).otherwise(F.lit(0)).cast("long")
+        again = again.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col("n_main") + F.col("n_rest") - 1)))
         again = again.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).withColumn("half", F.col("own").cast("int"))
         more = saved(compare(again.join(signed_nodes, "id"), "across").join(pairs, ["a", "b"], "left_anti"))
         if more.limit(1).count():

@@ -16,7 +16,7 @@ finds all equal strings; there are about 2 anchors in 28 bytes.
    prefixes, so no byte is compared twice. Neighbours that share GRAM bytes are
    one group, in which the smallest document of each string is found.
 4. The answers go back to the parts as bit masks, one for each suffix sent, and
-   the texts are cut. Texts are exchanged once, by part, and read three times.
+   the texts are cut. Texts are exchanged by part and read three times.
 
 A passage that a third of all documents share is one suffix from each part.
 """
@@ -35,6 +35,7 @@ from .tables import saved
 from .textblocks import Powers, blocks, byte_values, slide
 
 LENGTH, GRAM = 50, 24
+PART_BYTES, RANGE_BYTES = 24 << 20, 192 << 20  # of text to a part, which one task holds, and to a range of hashes, of which one task holds what is exchanged
 COPIED = 500_000  # texts that stand in several documents and may be sent to all tasks, as two hashes and a key
 SPAN = LENGTH - GRAM  # an anchor lies at most so many bytes into its string
 
@@ -242,16 +243,16 @@ def answers(group: list) -> list[int]:
 RUN = "part int, rng int, shared binary, sizes binary, befores binary, tails binary, lefts binary, docs binary, numbers binary"
 
 
-def cut_documents(texts: DataFrame, parts: int, bits: int) -> DataFrame:
+def cut_documents(texts: DataFrame, ranges: int, bits: int) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of (part, doc_id, text)."""
     def fingerprints(table: pa.Table) -> pa.Table:
-        return fp.runs(table.column("part")[0].as_py(), *Part(table, bits).fingerprints(), parts, bits)
+        return fp.runs(table.column("part")[0].as_py(), *Part(table, bits).fingerprints(), ranges, bits)
 
     def suffix_runs(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = []
         if len(table) and len(replies):
             part = Part(table, bits)
-            runs, _ = part.entries(fp.live_of(replies, part.fingerprints()[0]), parts)
+            runs, _ = part.entries(fp.live_of(replies, part.fingerprints()[0]), ranges)
             number = table.column("part")[0].as_py()
             rows = [{"part": number, "rng": r, **front_coded(run)} for r, run in enumerate(runs) if run]
         return pa.Table.from_pylist(rows, schema=fp.schema_of(RUN))
@@ -332,14 +333,20 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     documents, and may start within a character. A null text is empty; texts
     of fewer than 50 bytes are kept whole. Rows of one key are not compared
     with each other; rows with a null key have no order, so they are kept whole
-    and take nothing from others. Other columns are not read. ``parts`` (the
-    session's shuffle partitions by default) is to be set so that a part, held
-    by one task, has some tens of megabytes.
+    and take nothing from others. Other columns are not read.
+
+    Texts are dealt to ``parts`` by key (one for PART_BYTES by default, but as
+    many as the session's shuffle partitions where they have a megabyte each);
+    hashes to one range for RANGE_BYTES, or as many. Each part sends each range
+    one row, as in any shuffle. Whole copies of a text are collapsed at input,
+    by two hashes of it, where the texts that stand several times are at most
+    COPIED; beyond that they go through the merge, with the same result.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (size >> 20))
+    parts, ranges = parts or max(few, -(-size // PART_BYTES)), max(min(few, parts or few), -(-size // RANGE_BYTES))
     bits = fp.bits_for(2 * size // (SPAN + 2))
     # Whole copies of a text need no search: all but the smallest document lose everything. Where there are too many such texts to send, they are searched like others.
     keyed = rows.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
@@ -351,7 +358,7 @@ def dedup_substrings(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     copies = keyed.where("copy").select("doc_id", n.alias("n_bytes"), n.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256"), F.lit(b"").alias("kept"))
     texts = keyed.where("not copy").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
     loose = rows.where("doc_id is null").mapInArrow(lambda batches: (b for batch in batches for b in digest(batch.column(0), batch.column(1), {}).to_batches()), DIGEST)
-    return cut_documents(texts, parts, bits).union(copies).union(loose)
+    return cut_documents(texts, ranges, bits).union(copies).union(loose)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """A group of copies beyond the block size takes the passes for large buckets; a chain stays one component."""
     monkeypatch.setattr(near_dedup, "SMALL", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "KNOWN", 10)  # texts of more candidates are joined, not asked for by broadcast
     r = random.Random(1)
     base, rows = [f"w{i}" for i in range(120)], []
     for i in range(60):
@@ -123,6 +124,23 @@ def test_pigeonhole_finds_every_pair_within_the_distance():
         assert (near_dedup.key_matrix(sig) == near_dedup.key_matrix(other)).any()
 
 
+def test_signatures_keep_pairs_at_the_threshold():
+    """Planted pairs at a similarity of 0.75 to 0.8: what the multi-index finds is not lost by the cuts on all symbols."""
+    r, sets = np.random.default_rng(11), []
+    for k in range(1500):
+        n = int(r.integers(60, 400))
+        both = -(-n * (75 + k % 6) // 100)  # of a union of n
+        union = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        half = both + (n - both) // 2
+        sets += [np.sort(union[:half]), np.sort(np.concatenate([union[:both], union[half:]]))]
+    sig = near_dedup.signatures(sets)
+    first, second = sig[::2], sig[1::2]
+    meet = (near_dedup.key_matrix(first) == near_dedup.key_matrix(second)).any(1)
+    differ = near_dedup.DIFFERENT[first[:, 2 * near_dedup.INDEXED :] ^ second[:, 2 * near_dedup.INDEXED :]]
+    passed = (differ.sum(1) <= near_dedup.NEAR) & (differ[:, :32].sum(1) <= near_dedup.NEAR_FIRST)
+    assert meet.mean() >= 0.999 and passed[meet].all()
+
+
 def test_licenses_against_brute_force(spark, docs):
     phrases = [(p.split(), label) for p, label in licenses.PHRASES]
     extra = spark.createDataFrame([(900, licenses.TEMPLATES[0][1].upper(), "en", "s", 1), (901, "x Apache\n\nLICENSE, mit license", "en", "s", 1)], SCHEMA)
@@ -139,7 +157,7 @@ def test_licenses_against_brute_force(spark, docs):
     assert licenses.scan(empty(spark)).count() == 0
 
 
-def test_substrings_against_brute_force(spark, docs):
+def test_substrings_against_brute_force(spark, docs, monkeypatch):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
     first: dict[bytes, int] = {}
     for i, t in rows:
@@ -157,6 +175,10 @@ def test_substrings_against_brute_force(spark, docs):
     for parts in (1, 3):
         got = substrings.dedup_substrings(docs.withColumn("part", F.lit(0)), parts=parts)
         assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == sorted(want, key=str)
+    monkeypatch.setattr(substrings, "COPIED", 0)  # whole copies go through the merge too
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 1 << 14)
+    got = substrings.dedup_substrings(docs, parts=2)
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == sorted(want, key=str)
     assert substrings.dedup_substrings(empty(spark)).count() == 0
 
 
