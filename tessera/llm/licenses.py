@@ -1,66 +1,59 @@
 """License scan: matching statistics of documents against a generalised suffix automaton of licence words.
 
-The automaton is built over the words of all templates (a few hundred words,
-fixed), base phrases included. A document's words are numbered by the template
+The automaton is built over the words of all templates (whole licence texts, a
+few thousand words, fixed), base phrases included. A document's words are numbered by the template
 vocabulary; only runs of neighbouring words that also stand side by side in a
 template are streamed through the automaton, since any match of two words or
 more lies in such a run. At each word the automaton knows the longest suffix
 that stands in a template. Phrase occurrences are read off exactly; long
-matches of one template are chained in template order into covered spans.
+matches of one template are chained in template order into covered spans. A
+string that stands several times in a template may be chained at any of its places.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .textblocks import Member, Powers, Words, append, blocks, byte_values, letter_words
 
 # Phrases with their labels.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-# Passages of the public licence texts that name their licence apart from others.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("cc", "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit http creativecommons org licenses by 4 0"),
-]
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+TEMPLATES = [(label, " ".join(WORD.findall(text.translate(FOLD)))) for label, text in TEXTS]
 LONG, GAP, COVER = 6, 8, 10  # words of a long match, words between chained matches, words that a chain must cover to give its label
 FIELDS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,n_words:long,covered:long,coverage:double>>"
 
 
 class Automaton:
-    """Generalised suffix automaton; each state keeps the places where its strings end, one for each text."""
+    """Generalised suffix automaton; each state keeps all places (text, last word) where its strings end."""
 
     def __init__(self, texts: list[list[int]]) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        for text in texts:
+            state = 0
+            for word in text:
+                state = self.extend(state, word)
+        self.ends: list[list[tuple[int, int]]] = [[] for _ in self.next]
         for number, text in enumerate(texts):
             state = 0
             for place, word in enumerate(text):
-                state = self.extend(state, word)
-                at = state
-                while at and number not in self.ends[at]:
-                    self.ends[at][number] = place
+                state = at = self.next[state][word]
+                while at:
+                    self.ends[at].append((number, place))
                     at = self.link[at]
 
-    def add(self, length: int, link: int, moves: dict, ends: dict) -> int:
+    def add(self, length: int, link: int, moves: dict) -> int:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(ends)
         return len(self.next) - 1
 
     def split(self, parent: int, word: int) -> int:
@@ -68,7 +61,7 @@ class Automaton:
         target = self.next[parent][word]
         if self.length[target] == self.length[parent] + 1:
             return target
-        clone = self.add(self.length[parent] + 1, self.link[target], dict(self.next[target]), dict(self.ends[target]))
+        clone = self.add(self.length[parent] + 1, self.link[target], dict(self.next[target]))
         self.link[target] = clone
         while parent >= 0 and self.next[parent].get(word) == target:
             self.next[parent][word] = clone
@@ -78,7 +71,7 @@ class Automaton:
     def extend(self, last: int, word: int) -> int:
         if word in self.next[last]:
             return self.split(last, word)
-        state = self.add(self.length[last] + 1, 0, {}, {})
+        state = self.add(self.length[last] + 1, 0, {})
         while last >= 0 and word not in self.next[last]:
             self.next[last][word] = state
             last = self.link[last]
@@ -123,7 +116,7 @@ class Scanner:
 
     def ends_phrase(self, state: int, phrase: int) -> bool:
         while state > 0:
-            if self.automaton.length[state] == self.sizes[phrase] and self.automaton.ends[state].get(phrase) == self.sizes[phrase] - 1:
+            if self.automaton.length[state] == self.sizes[phrase] and (phrase, self.sizes[phrase] - 1) in self.automaton.ends[state]:
                 return True
             state = self.automaton.link[state]
         return False
@@ -162,25 +155,26 @@ class Scanner:
 
     def keep(self, last: int, match: tuple[int, int], matches: list) -> None:
         state, length = match
-        matches.append((last - length + 1, length, {t: end - length + 1 for t, end in self.automaton.ends[state].items() if t >= self.phrases}))
+        matches.append((last - length + 1, length, [(t, end - length + 1) for t, end in self.automaton.ends[state] if t >= self.phrases]))
 
     def chains(self, matches: list) -> list[dict]:
-        """Spans of one template: matches in its order, at most GAP words apart in the text and in the template."""
+        """Spans of one template: matches in its order, at most GAP words apart in the text and in the template, the best ones that do not overlap in the text."""
         out = []
-        for t in sorted({t for _, _, places in matches for t in places}):
-            spans: list[list[int]] = []  # first, end in the text, end in the template, covered
+        for t in sorted({t for _, _, places in matches for t, _ in places}):
+            links: list[list] = []  # end in the text, end in the template, words covered up to here, first word, whether it goes on
             for first, n, places in matches:
-                if t not in places:
-                    continue
-                place = places[t]
-                last = spans[-1] if spans else None
-                if last and 0 <= first - last[1] <= GAP and 0 <= place - last[2] <= GAP:
-                    last[1], last[2], last[3] = first + n, place + n, last[3] + n
-                elif not last or first >= last[1]:
-                    spans.append([first, first + n, place + n, n])
-                elif n > last[3]:
-                    spans[-1] = [first, first + n, place + n, n]
-            out += [{"label": self.labels[t], "first_word": s[0], "n_words": s[1] - s[0], "covered": s[3], "coverage": s[3] / self.sizes[t]} for s in spans if s[3] >= min(COVER, self.sizes[t])]
+                back = [k for k in range(max(0, len(links) - 64), len(links)) if 0 <= first - links[k][0] <= GAP]
+                for place in (p for number, p in places if number == t):
+                    before = max((k for k in back if 0 <= place - links[k][1] <= GAP), key=lambda k: links[k][2], default=None)
+                    covered, start = (0, first) if before is None else links[before][2:4]
+                    if before is not None:
+                        links[before][4] = True
+                    links.append([first + n, place + n, covered + n, start, False])
+            taken: list[tuple[int, int]] = []
+            for end, _, covered, start, _ in sorted((x for x in links if not x[4]), key=lambda x: (-x[2], x[3])):
+                if covered >= min(COVER, self.sizes[t]) and all(end <= a or start >= b for a, b in taken):
+                    taken.append((start, end))
+                    out.append({"label": self.labels[t], "first_word": start, "n_words": end - start, "covered": covered, "coverage": covered / self.sizes[t]})
         return sorted(out, key=lambda s: (s["first_word"], -s["covered"], s["label"]))
 
 
@@ -189,8 +183,8 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
 
     ``n_base``, ``first_word``, ``last_word`` and ``base_labels`` come from the
     base phrases alone. ``labels`` adds the templates of which a chain covers
-    COVER words. ``score`` is 1 with a base phrase, else the best chain's share
-    of its template, 0 without one. A null or empty text has no words, no
+    COVER words. ``score`` is 1 - (1 - b)(1 - c), where c is the best chain's
+    share of its template and b is a half with a base phrase; c and b are 0 without. A null or empty text has no words, no
     places (nulls) and empty labels. Repeated rows are scanned alike; columns
     of ``docs`` with the names of the result are replaced.
     """
@@ -204,7 +198,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None)
                 spans = scanner.chains(matches) if matches else []
                 base = {scanner.labels[p] for _, p in hits}
                 places = [place for place, _ in hits]
-                row = n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s["label"] for s in spans})), 1.0 if base else min(1.0, max((s["coverage"] for s in spans), default=0.0)), spans
+                row = n, len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s["label"] for s in spans})), 1 - (0.5 if base else 1.0) * (1 - min(1.0, max((s["coverage"] for s in spans), default=0.0))), spans
                 for to, x in zip(out, row):
                     to.append(x)
             span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("covered", pa.int64()), ("coverage", pa.float64())]))

@@ -157,6 +157,56 @@ def test_licenses_against_brute_force(spark, docs):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licence_matches_chains_and_labels_against_brute_force():
+    """On random templates and texts of few words, with repeated strings: longest matches, all places, and the best chains."""
+    r = random.Random(6)
+    words = [f"v{k}" for k in range(7)]
+    for _ in range(20):
+        templates = [(f"t{k}", " ".join(r.choice(words) for _ in range(r.randrange(20, 45)))) for k in range(3)]
+        scanner = licenses.Scanner([("v0 v1", "base")], templates)
+        texts = [t.split() for _, t in templates]
+        pieces = [texts[r.randrange(3)][a : a + r.randrange(5, 15)] for a in (r.randrange(20) for _ in range(6))]
+        text = [w for p in pieces for w in p + [r.choice(words + ["other"])] * r.randrange(3)]
+        occurs = lambda s, t: [k for k in range(len(t) - len(s) + 1) if t[k : k + len(s)] == s]
+        longest = []
+        for i in range(len(text)):
+            n = max(n for n in range(i + 2) if not n or any(occurs(text[i - n + 1 : i + 1], t) for t in [["v0", "v1"], *texts]))
+            longest.append(n)
+        code = {w: k for k, w in enumerate(sorted({w for t in texts for w in t} | {"v0", "v1"}))}
+        assert [n for _, n in scanner.automaton.stream([code.get(w, -1) for w in text])] == longest
+        matches = []
+        for i, n in enumerate(longest):
+            if n >= licenses.LONG and (i + 1 == len(text) or longest[i + 1] <= n):
+                s = text[i - n + 1 : i + 1]
+                matches.append((i - n + 1, n, sorted((k + 1, p) for k, t in enumerate(texts) for p in occurs(s, t))))
+        import pyarrow as pa
+
+        (n_words, hits, found), = scanner(pa.array([" ".join(text)]))
+        assert n_words == len(text) and sorted(p for p, _ in hits) == occurs(["v0", "v1"], text)
+        assert [(a, n, sorted(p)) for a, n, p in found] == matches
+        for k, (label, t) in enumerate(templates):
+            def best(first: int, place: int) -> int:  # most words that a chain from here on covers
+                return max((n + best(a + n, p + n) for a, n, places in matches for number, p in places if number == k + 1 and 0 <= a - first <= licenses.GAP and 0 <= p - place <= licenses.GAP), default=0)
+
+            most = max((n + best(a + n, p + n) for a, n, places in matches for number, p in places if number == k + 1), default=0)
+            got = [s for s in scanner.chains(matches) if s["label"] == label]
+            assert max((s["covered"] for s in got), default=0) == (most if most >= licenses.COVER else 0)
+            spans = sorted((s["first_word"], s["first_word"] + s["n_words"]) for s in got)
+            assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:])) and all(s["coverage"] == s["covered"] / len(t.split()) for s in got)
+
+
+def test_licence_texts_are_found_in_prose(spark):
+    """Clauses copied out of whole licences get their label and a graded score; a base phrase alone gives a half."""
+    whole = dict(licenses.TEMPLATES)
+    clause = " ".join(max((t for label, t in licenses.TEMPLATES if label == "apache"), key=len).split()[500:560])
+    rows = [(1, f"some words {clause} more words"), (2, f"x {whole['zlib']} y"), (3, "under the MIT license"), (4, "plain prose of no licence at all"), (5, None), (6, "")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "apache" and 0 < got[1].score < 0.1 and got[1].spans[0].covered == 60
+    assert got[2].labels == "zlib" and got[2].score == 1.0 and got[2].base_labels == ""
+    assert got[3].labels == "mit" and got[3].score == 0.5
+    assert all((got[i].labels, got[i].score, got[i].spans) == ("", 0.0, []) for i in (4, 5, 6))
+
+
 def test_substrings_against_brute_force(spark, docs, monkeypatch):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
     first: dict[bytes, int] = {}
