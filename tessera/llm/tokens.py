@@ -1,15 +1,17 @@
 """Token ids in binary shards, with a minimal perfect hash index for keyed access.
 
 Format. A shard row holds the raw ids of consecutive documents in key order
-(little-endian unsigned integers of ``WIDTH`` bytes, end id included) and the
-number of ids before it. An index row serves one segment of the keys: a pilot
+(little-endian unsigned integers of ``width`` bytes, two if all ids of the
+tokenizer fit, else four; end id included) and the number of ids before it. An index row serves one segment of the keys: a pilot
 for each bucket of keys, and by slot a fingerprint of the key, its shard, the
 offset in the shard and the number of ids. A key is hashed once, its bucket's
 pilot gives its slot, the fingerprint tells a foreign key, and shard and offset
 give the ids: constant time, and no keys are stored.
 
 A key is (doc_id, occurrence): rows that repeat a doc_id are numbered from 0 in
-the order of their texts, so every row stays addressable.
+the order of their texts, so every row stays addressable. Rows are dealt out by
+ranges of doc_id and the beginning of the text, so a doc_id (or null) of many
+rows fills several parts; ``carried`` numbers them through.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from .tables import saved
 from .textblocks import Powers, Words, blocks, byte_values, mix, space_words
 
-END_ID, WIDTH = 2, 2
+END_ID = 2
+PART_BYTES = 64 << 20  # of text to a part
+BEGINNING = 32  # characters of a text that tell rows of one key apart when they are dealt out
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15  # a shard is closed at so many ids or documents
 SEGMENT = 4096  # keys in an index segment, on average
 PER_BUCKET = 4
@@ -60,8 +64,8 @@ class Encoder:
 
     For tokenizers whose pieces never span white space (they drop it), the ids of
     a text are those of its words one after the other. Words are looked up by
-    hash and only new ones go through the tokenizer; ``spans`` is to be set for
-    other tokenizers, which then get whole texts. Seen words are kept in two
+    hash and only new ones go through the tokenizer; other tokenizers (``spans``,
+    also set where a few probes show it) get whole texts. Seen words are kept in two
     tables, of which the small one takes the new words.
     """
 
@@ -69,7 +73,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spans = Tokenizer.from_str(definition), spans
+        self.tokenizer = Tokenizer.from_str(definition)
+        words = ["a", "B,c", "it's", "9", "é"]
+        alone = [i for w in words for i in self.encode([w])[0]]
+        self.spans = spans or any(self.encode([space + space.join(words) + space])[0] != alone for space in (" ", "\n", "\t \n"))
         self.powers, self.values, self.table = Powers(), byte_values(False), space_words()
         self.main, self.recent = Words2Ids(), Words2Ids()
 
@@ -133,6 +140,13 @@ class Encoder:
         return inside[:-1], count, ids
 
 
+def width_of(definition: str) -> int:
+    """Bytes that hold every id of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    return 2 if max([END_ID, *Tokenizer.from_str(definition).get_vocab(with_added_tokens=True).values()]) < 1 << 16 else 4
+
+
 def key_hash(doc_ids: np.ndarray, null: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
     x = mix(np.where(null, np.uint64(0x5DEECE66D), doc_ids.astype(np.int64).view(np.uint64) + np.uint64(1) * (~null)))
     return mix(x + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + null.astype(np.uint64))
@@ -190,33 +204,37 @@ def packed(docs: DataFrame, definition: str, *, key: str, text: str, spans: bool
     The texts are range-partitioned by key, encoded where they arrive and packed in order; a task holds one Arrow batch and one shard.
     """
     shared = docs.sparkSession.sparkContext.broadcast(definition)  # one tokenizer file, whatever the input
+    width = width_of(definition)
 
     def run(batches):
         from pyspark import TaskContext
 
         longs = pa.list_(pa.int64())
         schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("keys", longs), ("occurrences", longs), ("offsets", longs), ("counts", longs)])
-        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder.of_worker(shared.value, spans), Shard(), 0, (), 0
+        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder.of_worker(shared.value, spans), Shard(width), 0, (), 0
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):
                 times = times + 1 if last == (key,) else 0
                 last = (key,)
                 if shard.full(len(ids)):
                     yield shard.row(part, seq, schema)
-                    shard, seq = Shard(), seq + 1
+                    shard, seq = Shard(width), seq + 1
                 shard.add(key, times, ids)
         if shard.keys:
             yield shard.row(part, seq, schema)
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (size >> 20)), -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.substring("text", 1, BEGINNING).asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     return rows.mapInArrow(run, "part long, seq long, n_ids long, payload binary, keys array<long>, occurrences array<long>, offsets array<long>, counts array<long>")
 
 
 class Shard:
     """Documents of a shard that is being filled."""
 
-    def __init__(self) -> None:
+    def __init__(self, width: int) -> None:
+        self.width = width
         self.keys, self.occurrences, self.offsets, self.counts, self.payload, self.size = [], [], [], [], [], 0
 
     def full(self, more: int) -> bool:
@@ -227,7 +245,9 @@ class Shard:
         self.occurrences.append(occurrence)
         self.offsets.append(self.size)
         self.counts.append(len(ids))
-        self.payload.append(ids.astype(f"<u{WIDTH}").tobytes())
+        if int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {ids.max()} does not fit in {self.width} bytes")
+        self.payload.append(ids.astype(f"<u{self.width}").tobytes())
         self.size += len(ids)
 
     def row(self, part: int, seq: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -239,29 +259,43 @@ def segment_of(key: Column, occurrence: Column, segments: int) -> Column:
     return F.pmod(F.xxhash64(key, occurrence), F.lit(segments))
 
 
+def carried(shards: DataFrame) -> DataFrame:
+    """``part, ahead, first, carry``: the ids before each part, its first key, and how many rows of that key the parts before hold. A row for each part, of PART_BYTES of text."""
+    per = shards.groupBy("part").agg(F.sum("n_ids").alias("all"), F.min_by(F.col("keys")[0], "seq").alias("first"), F.max_by(F.element_at("keys", -1), "seq").alias("last"), (F.max_by(F.element_at("occurrences", -1), "seq") + 1).alias("n_last"))
+    order = Window.partitionBy(F.lit(0)).orderBy("part")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    goes_on = (F.lag("part").over(order).isNotNull()) & F.col("first").eqNullSafe(F.lag("last").over(order))
+    per = per.withColumn("ahead", F.coalesce(F.sum("all").over(before), F.lit(0))).withColumn("own", F.when(goes_on, F.lag("n_last").over(order)).otherwise(F.lit(0)))
+    # The count goes on through parts that hold one key alone.
+    through = goes_on & F.lag(F.col("first").eqNullSafe(F.col("last"))).over(order)
+    per = per.withColumn("run", F.sum((~through).cast("long")).over(order))
+    return per.select("part", "ahead", "first", F.sum("own").over(Window.partitionBy("run").orderBy("part")).alias("carry"))
+
+
 def write_shards(docs: DataFrame, definition: str, *, key: str = "doc_id", text: str = "text", spans: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Writes shards and index; returns both tables, read back, and the number of index segments.
 
     Documents stand in ascending key order, null keys first; rows of one key in
     the order of their texts. A null or empty text is the end id alone. An empty
-    table gives empty tables. The shards: ``shard, start, n_ids, payload``; the
+    table gives empty tables. The shards: ``shard, start, width, n_ids, payload``; the
     index: ``segment, size, pilots, fingerprints, shards, offsets, counts``.
     """
     spark = docs.sparkSession
     shards = saved(packed(docs, definition, key=key, text=text, spans=spans))
     n_rows = shards.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    # Ids before a shard: those of earlier parts, by a sum over parts, and of earlier shards of the part.
-    by_part = shards.groupBy("part").agg(F.sum("n_ids").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "ahead")
+    # Ids before a shard: those of earlier parts, and of earlier shards of the part.
+    by_part = saved(carried(shards))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     places = shards.select("part", "seq", "n_ids").withColumn("within", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(by_part, "part")
-    places = saved(places.select((F.col("part") * (1 << 32) + F.col("seq")).alias("shard"), (F.col("ahead") + F.col("within")).alias("start")))
+    places = saved(places.select((F.col("part") * (1 << 32) + F.col("seq")).alias("shard"), (F.col("ahead") + F.col("within")).alias("start"), F.lit(width_of(definition)).alias("width")))
 
     segments = max(1, -(-n_rows // SEGMENT))
     shard = (F.col("part") * (1 << 32) + F.col("seq")).alias("shard")
-    entries = shards.select(shard, F.explode(F.arrays_zip("keys", "occurrences", "offsets", "counts")).alias("e")).select("shard", "e.*")
+    entries = shards.drop("payload").join(by_part, "part").select(shard, "first", "carry", F.explode(F.arrays_zip("keys", "occurrences", "offsets", "counts")).alias("e")).select("shard", "first", "carry", "e.*")
+    entries = entries.withColumn("occurrences", F.col("occurrences") + F.when(F.col("keys").eqNullSafe(F.col("first")), F.col("carry")).otherwise(F.lit(0))).drop("first", "carry")
     entries = entries.withColumn("segment", segment_of(F.col("keys"), F.col("occurrences"), segments))
     index = saved(entries.groupBy("segment").applyInArrow(index_segment, "segment long, size long, pilots binary, fingerprints binary, shards binary, offsets binary, counts binary"))
-    return shards.select(shard, "n_ids", "payload").join(places, "shard").select("shard", "start", "n_ids", "payload"), index, segments
+    return shards.select(shard, "n_ids", "payload").join(places, "shard").select("shard", "start", "width", "n_ids", "payload"), index, segments
 
 
 def hashes_of(table: pa.Table, key: str, occurrence: str) -> np.ndarray:
@@ -303,20 +337,28 @@ def read_ids(found: DataFrame, shards: DataFrame) -> DataFrame:
         if not len(found) or not len(shards):
             return schema.empty_table()
         start, payload = shards.column("start")[0].as_py(), memoryview(shards.column("payload")[0].as_buffer())
+        width = shards.column("width")[0].as_py()
         offsets, counts = found.column("offset").to_numpy(), found.column("n").to_numpy()
-        ids = [bytes(payload[WIDTH * o : WIDTH * (o + n)]) for o, n in zip(offsets.tolist(), counts.tolist())]
-        crc = [zlib.crc32(np.frombuffer(x, f"<u{WIDTH}").astype("<u4").tobytes()) for x in ids]
+        ids = [bytes(payload[width * o : width * (o + n)]) for o, n in zip(offsets.tolist(), counts.tolist())]
+        crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in ids]
         return pa.table([found.column("key"), pc.add(found.column("offset"), start), found.column("n"), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return found.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(read, "key long, start long, n long, crc long, ids binary")
 
 
+def occurrences(keys: DataFrame, step: int = 1 << 16) -> DataFrame:
+    """``key, occurrence`` for each row of ``keys``, from counts with map-side sums; keys of over ``step`` rows are opened by several tasks."""
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
+    numbers = lambda a, b: F.explode(F.sequence(a, b)).alias("occurrence")
+    few = counts.where(F.col("n") <= step).select("key", numbers(F.lit(0).cast("long"), F.col("n") - 1))
+    many = counts.where(F.col("n") > step).select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("k")).repartition("key", "k")
+    return few.union(many.select("key", numbers(F.col("k") * step, F.least(F.col("n"), (F.col("k") + 1) * step) - 1)))
+
+
 def digest(docs: DataFrame, definition: str, *, spans: bool = False) -> DataFrame:
     """Writes the ids of ``docs`` and reads each document back by its key: ``doc_id, start, n_tokens, ids_crc32``."""
     shards, index, segments = write_shards(docs, definition, spans=spans)
-    keys = docs.select(F.col("doc_id").cast("long").alias("key"))
-    keys = keys.withColumn("occurrence", F.row_number().over(Window.partitionBy("key").orderBy("key")).cast("long") - 1)
-    rows = read_ids(look_up(keys, index, segments), shards)
+    rows = read_ids(look_up(occurrences(docs.select(F.col("doc_id").cast("long").alias("key"))), index, segments), shards)
     return rows.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 

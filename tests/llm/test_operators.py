@@ -377,6 +377,31 @@ def test_token_ids_round_trip(spark, docs, monkeypatch):
     assert np.frombuffer(ids, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_token_ids_of_keys_with_many_rows(spark, monkeypatch):
+    """A key and null with most rows fill several parts; every row has its own occurrence, and ids beyond two bytes are kept."""
+    import json
+
+    vocabulary = {"[UNK]": 1, **{f"w{k}": 70_000 + k for k in range(50)}}
+    model = {"type": "WordLevel", "vocab": vocabulary, "unk_token": "[UNK]"}
+    definition = json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": model})
+    monkeypatch.setattr(tokens, "PART_BYTES", 700)
+    monkeypatch.setattr(tokens, "SHARD_DOCS", 7)
+    r = random.Random(5)
+    rows = [(r.choice([None, 5, 5, 5, r.randrange(9)]), " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(9)))) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        ids = [vocabulary[w] for w in t.split()] + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tokens.digest(frame, definition).collect()), key=str) == sorted(want, key=str)
+    keys = spark.createDataFrame([(1,)] * 3 + [(2,)] + [(None,)] * 10, "key long")
+    assert sorted(map(tuple, tokens.occurrences(keys, 4).collect()), key=str) == sorted([(1, 0), (1, 1), (1, 2), (2, 0), *((None, k) for k in range(10))], key=str)
+    shard = tokens.Shard(2)
+    with pytest.raises(ValueError):
+        shard.add(1, 0, np.array([70_000], np.uint32))
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     for n in (1, 2, 5, 1000, 5000):
         hashes = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
