@@ -1,11 +1,11 @@
-"""Broadcast only what was counted."""
+"""Broadcast, or send to the driver, only what was counted."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, LONGEST = 100_000, 300  # rows; bytes of a string
 
 
 def fits(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -15,3 +15,16 @@ def fits(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it has at most ``rows`` rows; beyond that the planner chooses."""
     return F.broadcast(frame) if fits(frame, rows) else frame
+
+
+def strings(frame: DataFrame, column: str, rows: int = BROADCAST_ROWS, longest: int = LONGEST) -> list[str] | None:
+    """The distinct strings of a column in order, if there are at most ``rows``, none of over ``longest`` bytes."""
+    short = F.when(F.octet_length(column) <= longest, F.col(column))
+    found = [r[0] for r in frame.where(F.col(column).isNotNull()).select(short.alias("s")).distinct().limit(rows + 1).collect()]
+    return sorted(found) if len(found) <= rows and None not in found else None
+
+
+def known(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same rows as a literal frame, marked for broadcast, if there are at most ``rows``: what they come from is not worked out again."""
+    found = frame.limit(rows + 1).collect()
+    return F.broadcast(frame.sparkSession.createDataFrame(found, frame.schema)) if len(found) <= rows else frame

@@ -33,7 +33,7 @@ def mapped(names: DataFrame, known: DataFrame, name: str = "name", form=text.map
     first stage. Unmatched names have null code and canonical and match type none.
     """
     raw, low = (known.select(F.col("key").alias(f"k{i}"), F.struct("coverage_code", "canonical", "match_type").alias(f"v{i}")) for i in (0, 1))
-    out = names.join(raw, F.col(name) == F.col("k0"), "left").join(low, form(F.col(name)) == F.col("k1"), "left")
+    out = names.withColumn("__form", form(F.col(name))).join(raw, F.col(name) == F.col("k0"), "left").join(low, F.col("__form") == F.col("k1"), "left")
     hit = F.coalesce("v0", "v1")
     return out.select(*names.columns, hit["coverage_code"].alias("coverage_code"), hit["canonical"].alias("canonical"), F.coalesce(hit["match_type"], F.lit("none")).alias("match_type"), F.when(hit.isNotNull(), "matched").otherwise("unmatched").alias("mapping_status"))
 

@@ -1,15 +1,18 @@
 """Evidence search: keywords in page lines, ranked per document type, with line context.
 
-Pages stay whole until a keyword is known to be on them: the join compares the
-search form of a page (lines kept apart) with the search form of a keyword, and
-only pages that match are opened into lines. A snippet is a slice of the page's
-own line array.
+Pages stay whole until a keyword is known to be on them: one pass over the search
+form of a page (lines kept apart) gives the keywords' forms that it holds, and
+only those are joined with keywords, by equality; only pages that match are
+opened into lines. So the work is that of the pages, not of pages times keywords.
+A snippet is a slice of the page's own line array.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import sizes, text
 
@@ -35,20 +38,41 @@ def keyword_rows(coverages: DataFrame, by: list[str], keep: str = text.SEARCH_CH
     return rows.withColumn("form", text.search_form(F.col("keyword"), keep)).where("form <> ''")
 
 
+def with_found(frame: DataFrame, column: str, values: list[str], name: str) -> DataFrame:
+    """``frame`` with ``name``, the distinct ``values`` (counted ones) that occur in the text column; rows without any are left out.
+
+    One pass over each text by an automaton of all values.
+    """
+    shared = frame.sparkSession.sparkContext.broadcast(values)
+    at = frame.columns.index(column)
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for value in shared.value:
+            automaton.add_word(value, value)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({value for _, value in automaton.iter(text)}) if text else [] for text in batch.column(at).to_pylist()] if len(automaton) else [[]] * batch.num_rows
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, name])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(name, ArrayType(StringType()))]))
+
+
 def containing(pages: DataFrame, keywords: DataFrame, on: list[str], method: str | None = None) -> DataFrame:
     """Pages (with ``forms``, their search form by line) joined with the keywords that they contain.
 
-    Few keywords are sent to the pages. Too many to send are joined on their
+    The distinct forms of keywords, where counted as few, are sent to the pages
+    (``with_found``). Too many to send, or too long, they are joined on their
     first GRAM characters, which are among the grams of a page that contains
     them, and then compared; shorter ones on all of theirs. Both ways give the same rows.
     """
-    method = method or ("broadcast" if sizes.fits(keywords) else "grams")
-    if method == "broadcast":
-        condition = F.contains(F.col("forms"), F.col("form"))
-        for c in on:
-            condition &= F.col(f"p.{c}") == F.col(f"k.{c}")
-        joined = pages.alias("p").join(F.broadcast(keywords.alias("k")), condition)
-        return joined.select("p.*", *[f"k.{c}" for c in keywords.columns if c not in on])
+    forms = None if method == "grams" else sizes.strings(keywords, "form")
+    if forms is not None:
+        hit = with_found(pages, "forms", forms, "form").withColumn("form", F.explode("form"))
+        return hit.join(sizes.small(keywords), [*on, "form"]).select(*pages.columns, *[c for c in keywords.columns if c not in on])
     # A gram never spans lines, since forms of keywords hold no line break.
     size = F.least(F.length("form"), F.lit(GRAM))
     keyed = keywords.withColumn("gram", F.substring("form", F.lit(1), size))
@@ -81,12 +105,19 @@ def top_hits(hits: DataFrame, by: list[str], k: int = PER_TYPE) -> DataFrame:
 def token_hits(pages: DataFrame, coverages: DataFrame, by: list[str], on: list[str], name: str = "name", token: str = "[가-힣]{2,}", stop=text.STOP_WORDS) -> DataFrame:
     """Fallback hits: lines that hold two core tokens at least of a name with two at least; the keyword is ``token_and(a,b)``."""
     names = coverages.withColumn("tokens", text.core_tokens(F.col(name), token, stop)).where(F.size("tokens") >= 2)
-    names = names.select(*by, "tokens").withColumn("keyword", text.token_label(F.col("tokens")))
-    pages = pages.select(*PAGE, "text")
-    condition = text.tokens_in(F.col("text"), F.col("tokens")) >= 2
-    for c in on:
-        condition &= F.col(f"p.{c}") == F.col(f"k.{c}")
-    pairs = pages.alias("p").join(sizes.small(names).alias("k"), condition).select("p.*", *[f"k.{c}" for c in names.columns if c not in on])
+    names = sizes.known(names.select(*by, "tokens", text.token_label(F.col("tokens")).alias("keyword")))
+    pages, each = pages.select(*PAGE, "text"), names.select("*", F.posexplode("tokens").alias("i", "token"))
+    values = sizes.strings(each, "token")
+    if values is not None:
+        held = F.transform("tokens", lambda t: F.array_contains("found", t))
+        opened = with_found(pages, "text", values, "found").withColumn("token", F.explode("found"))
+        # A name meets a page under the first of its tokens that the page holds.
+        pairs = opened.join(sizes.small(each), [*on, "token"]).where((F.array_position(held, True) == F.col("i") + 1) & (F.size(F.filter(held, lambda x: x)) >= 2))
+        pairs = pairs.select(*PAGE, "text", *[c for c in names.columns if c not in on])
+    else:
+        met = containing(pages.withColumnRenamed("text", "forms"), each.select(*by, "i", F.col("token").alias("form")), on, "grams")
+        met = met.groupBy(*PAGE, *[c for c in by if c not in on]).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
+        pairs = pages.join(met, PAGE).join(names, by).select(*PAGE, "text", *[c for c in names.columns if c not in on])
     numbers = F.filter(F.transform(text.lines_of(F.col("text")), lambda line, i: F.when(text.tokens_in(line, F.col("tokens")) >= 2, i)), lambda i: i.isNotNull())
     rows = pairs.withColumn("line_no", F.explode(numbers)).withColumn("snippet", text.around(text.lines_of(F.col("text")), F.col("line_no"), CONTEXT, SNIPPET))
     return rows.withColumn("kw_pos", F.lit(0)).drop("text", "tokens")

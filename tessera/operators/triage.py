@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sizes, text
-from ..functions import variants
+from ..functions import text, variants
+from . import search
 
 # Axis, words of which one must occur, words of which none may.
 AXES = [
@@ -23,19 +23,11 @@ def flags(coverages: DataFrame, pages: DataFrame, on: list[str], keep: str = tex
     suffix, a bridged term, or the name without brackets; and the first snippet of the first of these."""
     c = coverages.select(*on, "name", "canonical")
     forms = {"raw_present": F.col("name"), "canonical_present": F.col("canonical"), "suffix_gap": text.without_suffix(F.col("name")), "term_gap": variants.swapped(F.col("name"), "진단비", "진단"), "bracket_gap": F.when(F.contains("name", F.lit("(")), text.without_bracket_groups(F.col("name")))}
-    for k, value in forms.items():
-        c = c.withColumn(f"f_{k}", F.nullif(text.search_form(value, keep), F.lit("")))
-    p = pages.select(*[F.col(x).alias(f"p_{x}") for x in on], "file_path", "page", text.search_lines(F.col("text"), keep).alias("forms"))
-    same = [F.col(x) == F.col(f"p_{x}") for x in on]
-    hit = {k: F.coalesce(F.contains("forms", F.col(f"f_{k}")), F.lit(False)) for k in forms}
-    any_hit = hit["raw_present"]
-    for k in list(forms)[1:]:
-        any_hit |= hit[k]
-    condition = any_hit
-    for s in same:
-        condition &= s
-    rows = p.join(sizes.small(c), condition).select(*on, "name", "file_path", "page", *[v.alias(k) for k, v in hit.items()])
-    found = rows.groupBy(*on, "name").agg(*[F.max(k).alias(k) for k in forms], F.min_by(F.struct("file_path", "page"), F.struct("file_path", "page")).alias("first"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), text.search_form(value, keep).alias("form")) for k, value in forms.items()])
+    wanted = c.select(*on, "name", F.explode(kinds).alias("k")).select(*on, "name", "k.*").where("form <> ''").distinct()
+    p = pages.select(*search.PAGE, text.search_lines(F.col("text"), keep).alias("forms"))
+    rows = search.containing(p, wanted, on).select(*on, "name", "kind", "file_path", "page")
+    found = rows.groupBy(*on, "name").agg(*[F.max(F.col("kind") == k).alias(k) for k in forms], F.min(F.struct("file_path", "page")).alias("first"))
     out = coverages.select(*on, "name").join(found, [*on, "name"], "left")
     return out.select(*on, "name", *[F.coalesce(k, F.lit(False)).alias(k) for k in forms], "first.file_path", "first.page")
 
