@@ -30,7 +30,7 @@ from .components import components
 from .tables import join_keyed, saved
 
 COSINE = 0.93
-SAMPLE, PER_CLUSTER, CLUSTERS, OVERLAP, BLOCK, LEVELS = 8192, 512, 256, 3, 1024, 6
+SAMPLE, PER_CLUSTER, CLUSTERS, OVERLAP, BLOCK, LEVELS = 8192, 64, 256, 3, 512, 6
 NEAREST, OTHERS, DEGREE, ALPHA = 40, 6, 24, 1.2
 BEAM, SLACK, AUDIT = 16, 0.12, 32
 GROUP_BYTES = 16 << 20  # of the vectors that are assigned to centroids in one group
