@@ -37,7 +37,7 @@ DISTANCE = (INDEXED // CHUNK) * (ERRORS + 1) - 1  # 31 of 64
 # Of all symbols cut to 4 bits, and of the first 64 of them: 4.3 and 5.6 standard deviations above the means at the threshold.
 NEAR, NEAR_FIRST = 161, 34
 ROW = 2 * INDEXED + SYMBOLS // 2  # bytes of a signature: the indexed symbols, then all in 4 bits
-SMALL, BLOCK, KNOWN = 64, 512, 200_000
+SMALL, BLOCK, KNOWN = 64, 2048, 200_000
 
 
 class Shingles:
