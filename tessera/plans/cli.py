@@ -8,11 +8,13 @@ and replace what an earlier run left for the same insurers. Inputs are
 from __future__ import annotations
 
 import argparse
+import importlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import variants
+from ..functions import sizes, variants
 from ..operators import cards, compare, gates, mapping, report, scope, search, slots
 from ..sources import files, sinks
 
@@ -27,14 +29,37 @@ class Base:
         rows = files.table(self.spark, f"{self.path}/{name}")
         return rows.where(F.col("insurer").isin(self.insurers)) if self.insurers and "insurer" in rows.columns else rows
 
-    def write(self, frame: DataFrame, name: str) -> None:
-        sinks.replace_partitions(frame, f"{self.path}/{name}", ["insurer"])
+    def write(self, frame: DataFrame, name: str, insurer: str | None = None) -> None:
+        """Replaces the partitions of the insurers, or of one; an insurer without rows has none afterwards."""
+        every = [insurer] if insurer else self.insurers or []
+        sinks.replace_partitions(frame, f"{self.path}/{name}", ["insurer"], [{"insurer": i} for i in every])
+
+    def extract(self, manifest_csv: str, reader: Callable[[bytes], list[str]]) -> None:
+        """Scope names from the pages of each insurer's proposals (a manifest for each insurer), by the plain rules or, where they find too few, the hardened ones."""
+        for insurer in self.insurers or []:
+            pages = self.pages_of(manifest_csv.format(insurer=insurer), reader)
+            by = ["insurer", "file_path", "page"]
+            pages = pages.withColumn("insurer", F.lit(insurer))
+            found = [scope.names_in_text(pages, by, rules).select(*by, "i", "name") for rules in (scope.PLAIN, scope.HARDENED)]
+            plain, hardened = (scope.ordered_distinct(names, ["insurer", "name"], ["file_path", "page", "i"]) for names in found)
+            names = scope.with_hardening(plain, hardened, ["insurer"]).withColumn("ord", F.col("page") * 1_000_000 + F.col("i"))
+            self.write(names.select("insurer", "name", F.col("page").cast("string").alias("source_page"), "ord", "quality"), "scope", insurer)
+
+    def pages(self, manifest_csv: str, reader: Callable[[bytes], list[str]]) -> None:
+        """Page texts of the files in each insurer's manifest; files that cannot be read are rows of ``page_errors``."""
+        for insurer in self.insurers or []:
+            pages = self.pages_of(manifest_csv.format(insurer=insurer), reader).withColumn("insurer", F.lit(insurer))
+            self.write(pages.where("status = 'success'").select("insurer", "doc_type", "file_path", "page", "text"), "page_text", insurer)
+            self.write(pages.where("status <> 'success'").select("insurer", "doc_type", "file_path", "error"), "page_errors", insurer)
+
+    def pages_of(self, manifest_csv: str, reader: Callable[[bytes], list[str]]) -> DataFrame:
+        return files.extracted(self.spark, files.csv(self.spark, manifest_csv, files.MANIFEST, ["doc_type", "file_path"]), reader)
 
     def load(self, scope_csv: str, dictionary_csv: str, pages: str) -> None:
         for insurer in self.insurers or []:
             names = files.scope(self.spark, scope_csv.format(insurer=insurer)).withColumn("insurer", F.lit(insurer))
-            self.write(names, "scope")
-            self.write(files.page_text(self.spark, pages.format(insurer=insurer), insurer), "page_text")
+            self.write(names, "scope", insurer)
+            self.write(files.page_text(self.spark, pages.format(insurer=insurer), insurer), "page_text", insurer)
         rows = files.csv(self.spark, dictionary_csv, files.DICTIONARY).withColumnRenamed("ord", "row_no")
         rows.select("coverage_code", "canonical", "alias", "row_no").write.mode("overwrite").parquet(f"{self.path}/dictionary")
 
@@ -88,8 +113,9 @@ class Base:
         chunks = files.table(self.spark, f"{self.path}/coverage_chunk", **key, ins_cd=ins_cds)
         ssot = files.table(self.spark, f"{self.path}/coverage_mapping_ssot", coverage_code=code)
         found = gates.slot_rows(chunks, ssot, code).withColumns({k: F.lit(v) for k, v in key.items()})
-        sinks.replace_partitions(found, f"{self.path}/evidence_slot", list(key))
-        sinks.insert_payload(gates.payload(found).withColumns({k: F.lit(v) for k, v in key.items()}), f"{self.path}/compare_table_v2", list(key))
+        found = sizes.known(found)  # a row for each insurer and slot
+        sinks.replace_partitions(found, f"{self.path}/evidence_slot", list(key), [key])
+        sinks.insert_payload(gates.payload(found).withColumns({k: F.lit(v) for k, v in key.items()}), f"{self.path}/compare_table_v2", list(key), [key])
         if not found.limit(1).count():
             raise ValueError(f"no slot was found for {code} at {as_of_date}")
 
@@ -100,13 +126,18 @@ def run(spark: SparkSession, stage: str, base: str, insurers: list[str] | None =
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser()
-    parser.add_argument("stage", choices=["map", "search", "cards", "report", "compare", "compare_all", "slots", "gate"])
+    parser.add_argument("stage", choices=["extract", "pages", "map", "search", "cards", "report", "compare", "compare_all", "slots", "gate"])
     parser.add_argument("--base", required=True)
     parser.add_argument("--insurer", action="append")
     for name in ("a", "b", "code", "as-of-date"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--ins-cds", nargs="*")
+    parser.add_argument("--manifest-csv", help="of extract and pages; {insurer} stands for the insurer")
+    parser.add_argument("--reader", help="of extract and pages: module:function from a file's bytes to page texts")
     args = parser.parse_args(argv)
+    if args.reader:
+        module, name = args.reader.split(":")
+        args.reader = getattr(importlib.import_module(module), name)
     options = {k: v for k, v in vars(args).items() if k not in ("stage", "base", "insurer") and v is not None}
     run(SparkSession.builder.getOrCreate(), args.stage, args.base, args.insurer, **options)
 

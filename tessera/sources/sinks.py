@@ -48,15 +48,42 @@ def row_key(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
-def replace_partitions(frame: DataFrame, path: str, by: list[str]) -> None:
-    """Delete-then-insert: the partitions that ``frame`` has are replaced in one commit, others stay."""
+def partition(spark: SparkSession, path: str, key: dict):
+    """The folder of a table's partition, with the values in the order of the partition columns, and its file system."""
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *(f"{escaped(k)}={escaped(str(v))}" for k, v in key.items())]))
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def files_in(spark: SparkSession, path: str, key: dict) -> set[str]:
+    folder, system = partition(spark, path, key)
+    return {f.getPath().getName() for f in system.listStatus(folder)} if system.exists(folder) else set()
+
+
+def delete_partition(spark: SparkSession, path: str, key: dict) -> None:
+    """Deletes a partition; none is no error."""
+    folder, system = partition(spark, path, key)
+    system.delete(folder, True)
+
+
+def replace_partitions(frame: DataFrame, path: str, by: list[str], every: list[dict] | None = None) -> None:
+    """Delete-then-insert: the partitions that ``frame`` has are replaced in one commit, others stay.
+
+    ``every`` lists the partitions that the rerun stands for; those that it left
+    as they were have no row any more and are deleted, so nothing old is left.
+    """
+    spark = frame.sparkSession
+    before = [(key, files_in(spark, path, key)) for key in every or []]
     frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    for key, old in before:
+        if old and files_in(spark, path, key) == old:
+            delete_partition(spark, path, key)
 
 
-def insert_payload(frame: DataFrame, path: str, by: list[str]) -> DataFrame:
+def insert_payload(frame: DataFrame, path: str, by: list[str], every: list[dict] | None = None) -> DataFrame:
     """Appends payload rows by replacing their partition and returns them with their ids."""
     rows = frame.withColumn("table_id", row_key(*by))
-    replace_partitions(rows, path, by)
+    replace_partitions(rows, path, by, every)
     return rows.select("table_id", *by)
 
 
@@ -65,9 +92,38 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def without(children: dict[str, DataFrame], insurers: DataFrame, key: str = "insurer_id") -> dict[str, DataFrame]:
-    """Tables without the rows of some insurers, in the order given: children come before parents."""
-    return {name: frame.join(insurers.select(key), key, "left_anti") if key in frame.columns else frame for name, frame in children.items()}
+# How tables without an insurer hang on others, (child column, parent table, parent column).
+PARENTS = {
+    "product_variant": ("product_id", "product", "product_id"),
+    "evidence_ref": ("instance_id", "coverage_instance", "instance_id"),
+    "amount_fact": ("instance_id", "coverage_instance", "instance_id"),
+}
+
+
+def without(tables: dict[str, DataFrame], insurers: DataFrame, key: str = "insurer_id", parents: dict[str, tuple[str, str, str]] = PARENTS) -> dict[str, DataFrame]:
+    """Tables without the rows of some insurers: those that have the insurer's key, and by ``parents`` those that hang on rows that go, at any depth."""
+    gone: dict[str, DataFrame | None] = {}
+
+    def keys_gone(name: str) -> tuple[str, DataFrame] | None:
+        """The column of a table by which its rows go, and the values that do."""
+        if key in tables[name].columns:
+            return key, insurers.select(key)
+        column, parent, parent_key = parents.get(name, (None, None, None))
+        if parent not in tables or (rows := rows_gone(parent)) is None:
+            return None
+        return column, rows.select(F.col(parent_key).alias(column)).distinct()
+
+    def rows_gone(name: str) -> DataFrame | None:
+        if name not in gone:
+            found = keys_gone(name)
+            gone[name] = tables[name].join(found[1], found[0], "left_semi") if found else None
+        return gone[name]
+
+    out = {}
+    for name, frame in tables.items():
+        found = keys_gone(name)
+        out[name] = frame.join(found[1], found[0], "left_anti") if found else frame
+    return out
 
 
 def checkpoint_row(spark: SparkSession, path: str, insurer: str, step: str, status: str, rows: int | None = None, error: str | None = None) -> None:

@@ -129,6 +129,68 @@ def test_broken_csv_and_sinks(spark, tmp_path):
     assert {r.v for r in merged.collect()} == {None, "y"}
 
 
+def test_rerun_without_rows_deletes_what_it_stands_for(spark, tmp_path):
+    frame = spark.createDataFrame([("a b", 1, "x"), ("c", 1, "y"), ("c", 2, "z")], "k string, p int, v string")
+    every = [{"k": "a b"}, {"k": "c"}]
+    sinks.replace_partitions(frame, str(tmp_path / "t"), ["k"], every)
+    sinks.replace_partitions(frame.where("p = 2").withColumn("v", F.lit("new")), str(tmp_path / "t"), ["k"], every)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).select("k", "v").collect()] == [("c", "new")]
+    base = cli.Base(spark, str(tmp_path / "base"))
+    chunks = spark.createDataFrame([("A4210", "d", "N1", 1, "유사암 90일 면책 진단비 보험금", "유사암 90일 면책", 1)], "coverage_code string, as_of_date string, ins_cd string, chunk_id int, chunk_text string, excerpt string, page_number int")
+    spark.createDataFrame([("A4210", "N1", ["유사암"], "유사암진단비")], "coverage_code string, ins_cd string, anchor_keywords array<string>, insurer_coverage_name string").write.parquet(f"{base.path}/coverage_mapping_ssot")
+    chunks.write.parquet(f"{base.path}/coverage_chunk")
+    base.gate("A4210", "d", ["N1"])
+    assert spark.read.parquet(f"{base.path}/evidence_slot").count() > 0 and spark.read.parquet(f"{base.path}/compare_table_v2").count() == 1
+    chunks.withColumn("chunk_text", F.lit("no")).write.mode("overwrite").parquet(f"{base.path}/coverage_chunk")
+    with pytest.raises(ValueError, match="no slot"):
+        base.gate("A4210", "d", ["N1"])
+    assert not list((tmp_path / "base/evidence_slot").rglob("*.parquet")) and not list((tmp_path / "base/compare_table_v2").rglob("*.parquet"))
+
+
+def test_delete_cascades_by_keys(spark):
+    tables = {
+        "insurer": spark.createDataFrame([("i",), ("j",)], "insurer_id string"),
+        "product": spark.createDataFrame([("p", "i"), ("q", "j")], "product_id string, insurer_id string"),
+        "product_variant": spark.createDataFrame([("v", "p"), ("w", "q"), ("x", None)], "variant_id string, product_id string"),
+        "coverage_instance": spark.createDataFrame([("c", "i"), ("d", "j")], "instance_id string, insurer_id string"),
+        "evidence_ref": spark.createDataFrame([("e", "c"), ("f", "d")], "evidence_id string, instance_id string"),
+        "amount_fact": spark.createDataFrame([("a", "c"), ("b", "d")], "amount_id string, instance_id string"),
+        "coverage_canonical": spark.createDataFrame([("A1",)], "coverage_code string"),
+    }
+    left = sinks.without(tables, spark.createDataFrame([("i",)], "insurer_id string"))
+    assert {k: sorted(r[0] for r in f.select(tables[k].columns[0]).collect()) for k, f in left.items()} == {"insurer": ["j"], "product": ["q"], "product_variant": ["w", "x"], "coverage_instance": ["d"], "evidence_ref": ["f"], "amount_fact": ["b"], "coverage_canonical": ["A1"]}
+
+
+def test_extract_and_pages_stages(spark, tmp_path):
+    lines = "담보명 보험료 납기\n" + "\n".join(f"{k}. 암진단비{k}종 1,000만원" for k in range(1, 33))
+    (tmp_path / "p.html").write_text(f"<p>cover</p>\f{lines}", encoding="utf-8")
+    (tmp_path / "few.html").write_text("담보명 보험료\n1. 수술비 100만원\n합계", encoding="utf-8")
+    (tmp_path / "bad.html").write_bytes(b"\xff\xfe")
+    for insurer, names in (("kb", ["p"]), ("db", ["few", "bad"])):
+        (tmp_path / f"{insurer}.csv").write_text("doc_type,file_path\n" + "".join(f"가입설계서,{tmp_path}/{n}.html\n" for n in names), encoding="utf-8")
+    base = cli.Base(spark, str(tmp_path / "base"), ["kb", "db"])
+    cli.run(spark, "extract", base.path, base.insurers, manifest_csv=str(tmp_path / "{insurer}.csv"), reader=files.html_pages)
+    got = base.read("scope").orderBy("insurer", "ord").collect()
+    assert [(r.insurer, r.quality) for r in got] == [("db", "FAIL")] + [("kb", "OK")] * 32
+    assert got[0].name == "수술비" and got[1].name == "암진단비1종" and got[1].source_page == "2"
+    base.pages(str(tmp_path / "{insurer}.csv"), files.html_pages)
+    assert {(r.insurer, r.page) for r in base.read("page_text").collect()} == {("kb", 1), ("kb", 2), ("db", 1)}
+    assert [r.insurer for r in base.read("page_errors").collect()] == ["db"]
+
+
+def test_both_ways_of_token_search_agree(spark, monkeypatch):
+    from tessera.functions import sizes
+
+    texts = ["암 진단비 가나 다라", "가나 마바\n가나 다라 사아", "가나", "다라 마바 가나 가나", ""]
+    pages = spark.createDataFrame([("x" if i % 2 else "y", "약관", "f", i, t) for i, t in enumerate(texts)], "insurer string, doc_type string, file_path string, page int, text string")
+    names = spark.createDataFrame([(i, n) for n in ("가나 다라", "마바 다라 가나", "가나 가나", "혼자", "없음 여기") for i in "xy"], "insurer string, name string")
+    rows = lambda: sorted((r.insurer, r.name, r.page, r.line_no, r.keyword) for r in search.token_hits(pages, names, ["insurer", "name"], ["insurer"]).collect())
+    few = rows()
+    want = sorted((p.insurer, n.name, p.page, i, f"token_and({','.join(t[:2])})") for p in pages.collect() for n in names.collect() if n.insurer == p.insurer for t in [n.name.split()] if len(t) > 1 for i, line in enumerate(p.text.split("\n")) if sum(x in line for x in t) >= 2)
+    monkeypatch.setattr(sizes, "strings", lambda *_: None)
+    assert few == want and rows() == want
+
+
 def test_manifest_errors_are_rows(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"<p>one</p>\f two ")
     (tmp_path / "b.html").write_bytes(b"\xff\xfe")
