@@ -1,9 +1,10 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a light tree. Elements that never hold article text by their tag
-are left out while it is built; those marked by the words of class, id and role
-are left out of it then, unless they hold most of the page's paragraph text or a
-class of theirs says content (see ``prune``). If no text is left that way, words
+are left out while it is built; forms, elements of that kind that the page never
+ends, and those marked by the words of class, id and role are left out of it
+then, unless they hold most of the page's paragraph text or a class of theirs
+says content (see ``prune``). If no text is left that way, words
 do not count. Paragraphs then earn points for length and commas and pass them to their ancestors, less
 with each level; a container's score is discounted by the share of its text in
 links. The best container is kept, widened to the article around it, or joined
@@ -33,11 +34,14 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ENDS |= dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"})) | dict.fromkeys(("rt", "rp"), ({"rt", "rp"}, {"ruby"}))
 FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "head", "html"}
-DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "svg", "math", "canvas", "object", "applet", "audio", "video", "map", "fieldset", "datalist"}
+DROPPED = RAW | {"head", "nav", "header", "footer", "aside", "button", "select", "option", "menu", "dialog", "svg", "math", "canvas", "object", "applet", "audio", "video", "map", "datalist"}
+FORMS = {"form", "fieldset"}  # now and then around the whole page
+LAYOUT = {"nav", "header", "footer", "aside", "menu", "dialog", "object", *FORMS}
 # Words of class, id and role that mark what is not the article.
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager contentinfo complementary search skip".split())
 THREAD_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
 CONTENT_WORDS = {"content", "main", "article"}
+ABOUT_WORDS = {"no", "has", "with", "without", "not"}  # before a word, they say what the layout has, not what the element is
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEADS = HEADINGS | {"th", "caption"}
 TITLE = 30  # characters: link texts of this length on average are titles, not entries of a menu
@@ -62,21 +66,23 @@ def dropped(tag: str, rest: str) -> bool | set[str]:
     """Whether the element is never article text; else its words that mark what is not the article."""
     if tag in DROPPED:
         return True
-    if not rest or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    marks: set[str] = set()
+    marks: set[str] = {tag} if tag in FORMS else set()
+    if not rest:
+        return marks
     content = False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             for one in value.split():
                 words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
-                found = DROPPED_WORDS.intersection(words)
+                found = DROPPED_WORDS.intersection(b for a, b in zip(["", *words], words) if a not in ABOUT_WORDS)
                 marks |= found
                 content |= not found and not CONTENT_WORDS.isdisjoint(words)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return set() if content else marks
+    return marks & FORMS if content else marks
 
 
 def parse(page: str) -> Node:
@@ -88,6 +94,13 @@ def parse(page: str) -> Node:
     root = Node("#root", None)
     top, opened = root, {}  # opened: by tag, the open elements, innermost last
     at, n = 0, len(page)
+    last_end: dict[str, int] = {}  # of elements of LAYOUT, where the last end tag is
+
+    def ended(tag: str) -> bool:
+        """Whether an end tag of this kind is still to come."""
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}[\s/>]", page, re.I)), default=-1)
+        return last_end[tag] >= at
 
     def close(node: Node) -> None:
         nonlocal top
@@ -149,7 +162,7 @@ def parse(page: str) -> Node:
             if rest.endswith("/") and (opened.get("svg") or opened.get("math")):
                 continue
         else:
-            marks = dropped(tag, rest)
+            marks = {tag} if tag in LAYOUT and not ended(tag) else dropped(tag, rest)
             if marks and node.cut is None:
                 node.cut = node
             if marks is True or marks and rest.endswith("/"):
@@ -197,14 +210,17 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def prune(root: Node, nodes: list[Node]) -> bool:
-    """Leaves out marked elements, and says whether there were any.
+def prune(root: Node, nodes: list[Node], only: set[str] | None = None) -> bool:
+    """Leaves out marked elements (of the words ``only``, if given), and says whether there were any.
 
     A marked element stays if it holds more than half of the text of the page's
     scored elements: it is the layout around the article. It does not if the page
     has its one article or main elsewhere. Comments can be longer than the article
     before them, so what is marked as such stays only if no scored text comes first.
     """
+    for node in nodes:
+        if node.marks and only is not None:
+            node.marks = node.marks & only
     if not any(node.marks for node in nodes):
         return False
     inside, articles = set(), []
@@ -289,7 +305,12 @@ def main_text(page: str) -> str:
     root = parse(page)
     nodes = measure(root)
     if prune(root, nodes):
-        return best_text(root, measure(root)) or best_text(whole := parse(page), measure(whole))
+        text = best_text(root, measure(root))
+        if not text:
+            root = parse(page)
+            prune(root, measure(root), LAYOUT)
+            text = best_text(root, measure(root))
+        return text
     return best_text(root, nodes)
 
 
@@ -316,6 +337,9 @@ def best_text(root: Node, nodes: list[Node]) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     if up is not None:
+        outer = up.parent
+        while outer is not None:  # an article within an article belongs to it
+            up, outer = outer if outer.tag == "article" else up, outer.parent
         return "\n".join(blocks_of([up]))
     if best.tag in ("body", "#root", "html") or best.parent is None:
         return "\n".join(blocks_of([best]))

@@ -544,6 +544,50 @@ def test_html_words_alone_do_not_drop_the_article(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = [f"Paragraph {k}, with words, commas, and more words so that it counts, as it should." for k in range(3)]
+
+
+@pytest.mark.parametrize("opening", ["<div class='with-sidebar'>", "<div class='content has-sidebar'>", "<div class=search-results>", "<div class=no-comments>", "<div class=social-science>", "<div class='notice-board page'>", "<form id=aspnetForm method=post><input name=x>", "<nav><a href=/>Home</a>", "<fieldset>"])
+def test_html_wrappers_keep_the_article(opening):
+    article = "".join(f"<p>{p}</p>" for p in LONG)
+    tag = opening[1:].split(" ")[0].split(">")[0]
+    end = "" if tag == "nav" else f"</{tag}>"
+    got = html_text.main_text(f"<html><body>{opening}{article}{end}</body></html>")
+    assert got.removeprefix("Home\n") == "\n".join(LONG)
+    both = html_text.main_text(f"<body><p>{LONG[0]}</p>{opening}<div>{article}</div>{end}</body>")
+    assert all(p in both for p in LONG)
+
+
+def test_html_forms_and_nested_articles():
+    assert html_text.main_text("<body><form><p>Name</p><input><p>Password</p></form><div><p>One, two, three and four.</p><p>Five, six.</p></div></body>") == "One, two, three and four.\nFive, six."
+    assert html_text.main_text(f"<article><p>{LONG[0]}</p><article><p>{LONG[1]}</p><p>{LONG[2]}</p></article></article>") == "\n".join(LONG)
+    two = html_text.main_text(f"<main><article><p>{LONG[0]}</p></article><article><p>{LONG[1]}</p><p>{LONG[2]}</p></article></main>")
+    assert two == "\n".join(LONG[1:])
+
+
+def test_html_of_random_layouts():
+    """Pages made of a known article and of parts that are not the article: the text is the article's, whatever surrounds it."""
+    r = random.Random(12)
+    words = "amber, bridge canal dusk, ember field, grove harbor, island jetty".split()
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n)) + "."
+    for _ in range(150):
+        blocks, inner = [], []
+        for _ in range(r.randrange(3, 9)):
+            text = sentence(r.randrange(12, 60))
+            kind = r.choice(["p", "p", "p", "h2", "li", "blockquote", "link", "entity"])
+            shown = f"{text} &amp; {text}" if kind == "entity" else f"{text} <a href=x>here</a>\n  {text}" if kind == "link" else text
+            blocks.append(f"{text} & {text}" if kind == "entity" else f"{text} here {text}" if kind == "link" else text)
+            tag = {"link": "p", "entity": "p"}.get(kind, kind)
+            inner.append(f"<ul><li>{shown}</ul>" if tag == "li" else f"<{tag}>{shown}" + ("" if tag == "p" and r.random() < 0.3 else f"</{tag}>"))
+        menu = "<ul>" + "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(r.randrange(3, 9))) + "</ul>"
+        aside = [f"<nav>{menu}</nav>", f"<header><h1>{sentence(3)}</h1></header>", f"<aside><p>{sentence(9)}</p></aside>", f"<div class='{r.choice(['sidebar', 'cookie-notice', 'ad', 'share-bar'])}'><p>{sentence(9)}</p></div>", "<form><label>Mail <input></label></form>", "<script>var a = '<p>no</p>'</script>", f"<footer><p>{sentence(8)}</p></footer>", "<style>p { }</style>"]
+        before, after = r.sample(aside, r.randrange(4)), r.sample(aside, r.randrange(4))
+        comments = f"<div id=comments><p>{sentence(30)}</p></div>" if r.random() < 0.5 else ""
+        start, end = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>"), ("<div class='page has-sidebar'>", "</div>"), ("<section>", "</section>")])
+        page = f"<html><head><title>t</title></head><body>{''.join(before)}{start}{''.join(inner)}{end}{comments}{''.join(after)}</body></html>"
+        assert html_text.main_text(page) == "\n".join(blocks), page
+
+
 @pytest.mark.parametrize("n", [1_000, 50_000])
 def test_html_of_any_depth(n):
     """Deep elements are blocks, and their end tags close themselves; measures do not walk the tree again for each element."""
