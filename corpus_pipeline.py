@@ -10,12 +10,15 @@ since its result has been written by then.
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixture, near_dedup, quality, tables, tokens
 
-_left: list[str] = []
+_left: dict[tuple, list[str]] = defaultdict(list)  # by thread and folder, so runs in one process keep apart
 
 
 def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -65,8 +68,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage(work):
     def step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        tables.drop(spark, _left)
-        with tables.scratch(spark, _left):
+        left = _left[threading.get_ident(), sf_dir]
+        tables.drop(spark, left)
+        with tables.scratch(spark, left):
             return work(spark, docs, sf_dir)
 
     step.__doc__ = work.__doc__
