@@ -128,6 +128,10 @@ def slot_status(spark, sf_dir):
     return rows.select("conv_id", "slot", "status", "reason", F.size("refs").cast("long").alias("n_refs"), F.length("text").cast("long").alias("n_chars"))
 
 
+def slot_unknowns(spark, sf_dir):
+    return slots.unknown_counts(slots.profiles(turns(spark, sf_dir), ["conv_id"], TALK))
+
+
 def slot_pivot(spark, sf_dir):
     rows = slots.profiles(turns(spark, sf_dir).withColumnRenamed("role", "insurer"), ["conv_id", "insurer"], TALK)
     counts = rows.groupBy("slot").pivot("insurer", ["assistant", "system", "user"]).agg(F.count_if(F.col("status") == "found"))
@@ -155,7 +159,7 @@ l AS (SELECT conv_id, role, ord, ref, lines, generate_subscripts(lines, 1) - 1 A
 r AS (SELECT * FROM (VALUES ('numbers', '(?i)\\d+', 1), ('questions', '(?i)\\?|what|how', 1), ('names', '(?i)[a-z]{12,}', 2)) r(slot, pattern, k)),
 h AS (SELECT conv_id, role, ord, slot, line_no, ref, trim(array_to_string(lines[greatest(line_no - k, 0) + 1 : least(line_no + k + 1, len(lines))], chr(10)), ' ' || chr(10) || chr(9) || chr(13)) AS context FROM l, r WHERE regexp_matches(line, pattern))""".replace("\\\\", "\\")
 
-QUERIES = {f.__name__: f for f in (evidence_hits_top3, evidence_hits_by_grams, evidence_snippet, hits_by_doc_type, token_and_fallback, best_line_score, card_dedup, card_diverse3, evidence_refs, slot_extract, slot_status, slot_pivot, triage_flags, html_text, line_statistics)}
+QUERIES = {f.__name__: f for f in (evidence_hits_top3, evidence_hits_by_grams, evidence_snippet, hits_by_doc_type, token_and_fallback, best_line_score, card_dedup, card_diverse3, evidence_refs, slot_extract, slot_status, slot_unknowns, slot_pivot, triage_flags, html_text, line_statistics)}
 ORACLE_SQL = {
     "evidence_hits_top3": f"WITH {BASE_SQL} SELECT insurer, name, doc_type, rank, page, kw_pos, line_no FROM top",
     "evidence_hits_by_grams": f"WITH {BASE_SQL} SELECT insurer, name, doc_type, count(*) AS n_hits, min(page) AS first_page FROM hit GROUP BY ALL",
@@ -178,6 +182,8 @@ ORACLE_SQL = {
         f AS (SELECT conv_id, slot, count(DISTINCT ref) AS n_refs FROM h GROUP BY ALL)
         SELECT k.conv_id, r.slot, CASE WHEN n_refs IS NULL THEN 'unknown' ELSE 'found' END AS status, CASE WHEN n_refs IS NULL THEN 'no evidence lines matched regex' END AS reason, coalesce(n_refs, 0) AS n_refs, length(text) AS n_chars
         FROM (SELECT DISTINCT conv_id FROM conversations) k CROSS JOIN r LEFT JOIN f ON f.conv_id = k.conv_id AND f.slot = r.slot LEFT JOIN x ON x.conv_id = k.conv_id AND x.slot = r.slot""",
+    "slot_unknowns": f"""WITH {SLOT_SQL}, f AS (SELECT DISTINCT conv_id, slot FROM h)
+        SELECT r.slot, count(*) AS insurers, count(*) FILTER (f.conv_id IS NULL) AS unknown FROM (SELECT DISTINCT conv_id FROM conversations) k CROSS JOIN r LEFT JOIN f ON f.conv_id = k.conv_id AND f.slot = r.slot GROUP BY r.slot""",
     "slot_pivot": f"""WITH {SLOT_SQL}, f AS (SELECT DISTINCT conv_id, role, slot FROM h)
         SELECT r.slot, count(*) FILTER (role = 'assistant') AS assistant, count(*) FILTER (role = 'system') AS system, count(*) FILTER (role = 'user') AS user FROM r LEFT JOIN f ON f.slot = r.slot GROUP BY r.slot""",
     "triage_flags": f"""WITH {BASE_SQL}, c AS (SELECT g.insurer, phrase, tail, {FORM.format('phrase')} AS a, {FORM.format('tail')} AS b FROM items CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr')) g(insurer) WHERE phrase <> ''),
