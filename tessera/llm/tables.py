@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -25,18 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-_kept: list[str] | None = None
+_kept: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("kept", default=None)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession, folders: list[str]):
     """Notes the tables that are written inside in ``folders``, so that ``drop`` can delete them once their reader is done."""
-    global _kept
-    outer, _kept = _kept, folders
+    before = _kept.set(folders)
     try:
         yield
     finally:
-        _kept = outer
+        _kept.reset(before)
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -64,8 +64,8 @@ def saved(frame: DataFrame) -> DataFrame:
         frame.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    if _kept is not None:
-        _kept.append(path)
+    if (noted := _kept.get()) is not None:
+        noted.append(path)
     place, system = hadoop_path(spark, path)
     system.deleteOnExit(place)
     return spark.read.schema(frame.schema).parquet(path)
