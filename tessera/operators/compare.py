@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import cards as C
 
+MOST_INSURERS = 1000
 HAS_CODE = "coverage_code is not null and coverage_code <> ''"
 
 
@@ -66,12 +67,15 @@ def presence(cards: DataFrame, insurers: DataFrame) -> DataFrame:
     """``coverage_code, canonical_name, insurer, present, raw_name, matched, evidence_found`` for every code and insurer.
 
     The canonical name is the first that is not empty, by insurer and order.
-    ``insurers`` is a short list; it multiplies the codes, not the cards.
+    ``insurers`` is a short list (MOST_INSURERS, else an error); it multiplies the codes, not the cards.
     """
+    names = [r[0] for r in insurers.select("insurer").distinct().orderBy("insurer").limit(MOST_INSURERS + 1).collect()]
+    if len(names) > MOST_INSURERS:
+        raise ValueError(f"more than {MOST_INSURERS} insurers in a matrix")
     cells = last_of_code(cards, ["insurer"]).select("coverage_code", "insurer", F.col("name").alias("raw_name"), (F.col("mapping_status") == "matched").alias("matched"), (F.col("evidence_status") == "found").alias("evidence_found"))
     named = F.when(F.coalesce("canonical", F.lit("")) != "", F.struct("insurer", "ord", "canonical"))
     codes = cards.where(HAS_CODE).groupBy("coverage_code").agg(F.coalesce(F.min(named)["canonical"], F.lit("")).alias("canonical_name"))
-    grid = codes.withColumn("insurer", F.explode(F.array(*[F.lit(r[0]) for r in insurers.select("insurer").distinct().orderBy("insurer").collect()])))
+    grid = codes.withColumn("insurer", F.explode(F.array(*map(F.lit, names))))
     out = grid.join(cells, ["coverage_code", "insurer"], "left")
     return out.select("coverage_code", "canonical_name", "insurer", F.col("matched").isNotNull().alias("present"), "raw_name", "matched", "evidence_found")
 

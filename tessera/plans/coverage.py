@@ -11,8 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import variants
+from ..functions import text, variants
+from ..operators import cards as C
 from ..operators import compare, gates, scope
+from ..operators.search import TYPES
 from ..sources import sinks
 from .comparison import CARDS_SQL, cards
 from .gating import TABLES_SQL, tables
@@ -95,6 +97,30 @@ def rows_without_insurers(spark, sf_dir):
     return reduce(DataFrame.unionByName, [f.agg(F.count("*").alias("n")).select(F.lit(k).alias("table_name"), "n") for k, f in left.items()])
 
 
+def built_cards(spark, sf_dir):
+    """Parts are scope rows; a pack has up to three evidences by a part's size. Names that several parts share are one card."""
+    p = table(spark, sf_dir, "part")
+    by = [F.col("p_brand").alias("insurer"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")]
+    rows = p.select(*by, F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("coverage_code"), F.col("p_type").alias("canonical"), F.when(F.col("p_size") % 2 == 0, "matched").otherwise("unmatched").alias("mapping_status"))
+    size = F.col("p_size").cast("int")
+    kind = lambda k: F.element_at(F.array(*map(F.lit, TYPES)), (size + k) % 3 + 1)
+    one = lambda k: F.struct(kind(k).alias("doc_type"), F.lit("f").alias("file_path"), (size * k % 5).alias("page"), F.concat(F.lit("s"), (k % 2).cast("string")).alias("snippet"), F.when(k == 3, "token_and(a,b)").otherwise("kw").alias("match_keyword"))
+    evidences = F.transform(F.filter(F.array(*map(F.lit, (1, 2, 3))), lambda k: k <= size % 4), one)
+    pack = p.where("p_size % 5 <> 0").select(*by, evidences.alias("evidences"), F.create_map(F.lit(TYPES[0]), size.cast("long")).alias("hits_by_doc_type"), F.when(size % 7 == 0, F.array(F.lit("policy_only"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+    refs = F.transform("evidences", lambda e: F.concat(text.reference(e["doc_type"], e["page"]), F.lit("/"), e["snippet"]))
+    return C.built(rows, pack).select("insurer", "name", "coverage_code", "ord", "evidence_status", F.array_join(refs, "; ").alias("refs"), text.joined_or_dash(F.col("flags")).alias("flags_text"), C.source_summary().alias("sources"))
+
+
+def text_rules(spark, sf_dir):
+    """String rules on a name and a path for each part."""
+    name, path = pick(NAMES, "p_partkey"), F.concat(F.lit("a/"), F.col("p_brand"), F.lit("/"), F.col("p_name"), F.lit(".page.jsonl"))
+    loose = F.concat(F.lit(" \t"), name, F.lit("  x\n"))
+    matched = F.col("p_size") % 2 == 0
+    keys = variants.keywords(F.when(F.col("p_size") % 3 == 0, "").otherwise(name), F.col("p_name"), matched)
+    suffixes = F.array_compact(F.array(*text.each_suffix_removed(name)))
+    return table(spark, sf_dir, "part").select("p_partkey", text.without_suffix(name).alias("without_suffix"), F.array_join(suffixes, "|").alias("suffixes"), text.collapsed(loose).alias("collapsed"), text.stripped(loose).alias("stripped"), text.stem(path).alias("stem"), text.parent_name(path).alias("parent"), F.array_join(keys, "|").alias("keywords"), text.preview(name, 4, always=True).alias("preview"))
+
+
 A4210_SQL = rf"""
 WITH c AS (SELECT p_partkey AS chunk_id, {sql_list(CHUNKS)}[p_partkey % 12 + 1] AS t FROM part),
 b AS (SELECT chunk_id, t, CASE WHEN NOT contains(t, '유사암') THEN 'no_anchor_in_excerpt'
@@ -139,10 +165,25 @@ v AS (SELECT p_partkey, unnest([
 d AS (SELECT p_partkey, variant, min(o) AS o FROM v WHERE variant IS NOT NULL GROUP BY ALL)
 SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY o) - 1 AS pos, variant FROM d QUALIFY pos < 6
 """
-QUERIES = {f.__name__: f for f in (a4210_reasons, bridge_variants, declared_counts, hardened_names, table_names, first_card, upserted_orders, rows_without_insurers)}
+QUERIES = {f.__name__: f for f in (a4210_reasons, bridge_variants, declared_counts, hardened_names, table_names, first_card, upserted_orders, rows_without_insurers, built_cards, text_rules)}
 ORACLE_SQL = {
     "a4210_reasons": A4210_SQL,
     "bridge_variants": BRIDGE_SQL,
+    "built_cards": """WITH s AS (SELECT p_brand AS insurer, p_name AS name, arg_max('P' || p_partkey, p_partkey) AS coverage_code, min(p_partkey) AS ord FROM part GROUP BY ALL),
+        k AS (SELECT p_brand AS insurer, p_name AS name, arg_max(p_size, p_partkey) AS z FROM part WHERE p_size % 5 <> 0 GROUP BY ALL),
+        e AS (SELECT insurer, name, z, i, ['약관', '사업방법서', '상품요약서'][(z + i) % 3 + 1] AS doc_type, (z + i) % 3 AS t, z * i % 5 AS page, 's' || i % 2 AS snippet, i = 3 AS fell FROM k, (VALUES (1), (2), (3)) v(i) WHERE i <= z % 4),
+        d AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY insurer, name, doc_type, page, snippet ORDER BY i) = 1),
+        r AS (SELECT *, row_number() OVER (PARTITION BY insurer, name, doc_type ORDER BY fell, page, snippet) AS r FROM d),
+        b AS (SELECT *, row_number() OVER (PARTITION BY insurer, name ORDER BY least(r, 2), CASE WHEN r = 1 THEN t ELSE 0 END, fell, t, page, snippet) AS pick FROM r QUALIFY pick <= 3),
+        g AS (SELECT insurer, name, string_agg(doc_type || ' p.' || page || '/' || snippet, '; ' ORDER BY pick) AS refs FROM b GROUP BY ALL),
+        h AS (SELECT insurer, name, string_agg(doc_type || ' p.' || page, ' | ' ORDER BY t) AS sources FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY insurer, name, doc_type ORDER BY pick) = 1) GROUP BY ALL)
+        SELECT s.insurer, s.name, coverage_code, ord, CASE WHEN z % 4 > 0 THEN 'found' ELSE 'not_found' END AS evidence_status, coalesce(refs, '') AS refs, CASE WHEN z % 7 = 0 THEN 'policy_only' ELSE '-' END AS flags_text, coalesce(sources, '-') AS sources
+        FROM s LEFT JOIN k ON k.insurer = s.insurer AND k.name = s.name LEFT JOIN g ON g.insurer = s.insurer AND g.name = s.name LEFT JOIN h ON h.insurer = s.insurer AND h.name = s.name""",
+    "text_rules": f"""WITH n AS (SELECT *, {sql_list(NAMES)}[p_partkey % 10 + 1] AS s FROM part)
+        SELECT p_partkey, CASE WHEN ends_with(s, '보장특약') THEN left(s, -4) WHEN ends_with(s, '담보') OR ends_with(s, '특약') OR ends_with(s, '보장') THEN left(s, -2) END AS without_suffix,
+        concat_ws('|', CASE WHEN ends_with(s, '담보') THEN left(s, -2) END, CASE WHEN ends_with(s, '보장') THEN left(s, -2) END, CASE WHEN ends_with(s, '특약') THEN left(s, -2) END, CASE WHEN ends_with(s, '갱신형') THEN left(s, -3) END) AS suffixes,
+        s || ' x' AS collapsed, s || '  x' AS stripped, p_name || '.page' AS stem, p_brand AS parent,
+        CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN s || '|' || p_name ELSE p_name END AS keywords, left(s, 4) || '...' AS preview FROM n""",
     "declared_counts": """WITH p AS (SELECT c_custkey // 10 AS proposal, c_custkey % 10 + 1 AS page, CASE c_custkey % 7 WHEN 1 THEN c_custkey % 37 + 1 WHEN 3 THEN c_custkey % 37 + 3 WHEN 5 THEN c_custkey % 37 + 4 END AS declared FROM customer)
         SELECT proposal, arg_min(declared, page)::BIGINT AS declared FROM p WHERE page <= 8 AND declared IS NOT NULL GROUP BY proposal""",
     "hardened_names": """WITH n AS (SELECT c_nationkey AS insurer, count(*) FILTER (c_mktsegment = 'BUILDING') >= 12 AS ok FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1),

@@ -21,6 +21,9 @@ CARD = f"insurer string, coverage_name_raw string, coverage_code string, coverag
 PROFILE = "insurer string, coverage_code string, slots map<string,struct<text:string,refs:array<string>,status:string,reason:string>>, doc_type_coverage map<string,bigint>, evidence_refs array<string>"
 
 
+MOST_PATHS = 100_000
+
+
 def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
     """A CSV with header; quoted line breaks are read, ragged rows are kept and shown in ``_corrupt_record``.
 
@@ -94,9 +97,11 @@ def extracted(spark: SparkSession, manifest: DataFrame, pages_of: Callable[[byte
 
     ``pages_of`` turns a file's bytes into page texts; it is the place of a PDF
     library. A file that fails, or is missing, is one row with its error. The
-    manifest's paths are few, the files are read by the executors.
+    manifest's paths are few (MOST_PATHS, else an error), the files are read by the executors.
     """
-    paths = [r.file_path for r in manifest.select("file_path").distinct().collect()]
+    paths = [r.file_path for r in manifest.select("file_path").distinct().limit(MOST_PATHS + 1).collect()]
+    if len(paths) > MOST_PATHS:
+        raise ValueError(f"more than {MOST_PATHS} files in a manifest; split it")
     if not paths:
         return spark.createDataFrame([], "doc_type string, file_path string, page int, text string, status string, error string")
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select("path", "content")
