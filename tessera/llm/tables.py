@@ -81,7 +81,7 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, tot
 
     The rows of hot keys stay where they are and get the (fewer than HOT) rows
     of ``keyed`` by broadcast; only the others are shuffled. So no task gets
-    more than one in HOT rows for one key. Both frames are to be written tables.
+    more than one in HOT rows for one key. ``rows`` is read twice: a written table, or cheap to make again.
     """
     hot = F.col(count) * HOT > F.lit(total)
     often = keyed.where(hot)
