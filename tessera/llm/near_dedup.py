@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .tables import join_keyed, saved
-from .textblocks import Powers, Words, append, blocks, byte_values, mix, space_words
+from .textblocks import Powers, Words, append, blocks, byte_values, give_back, mix, space_words
 
 SHINGLE = 5
 SYMBOLS, INDEXED, CHUNK, ERRORS = 512, 64, 4, 1
@@ -148,6 +148,7 @@ def keys_of(nodes: DataFrame) -> DataFrame:
             keys = key_matrix(as_rows(batch.column(1))).view(np.int64).reshape(-1)
             slots, ids = np.tile(np.arange(INDEXED, dtype=np.int32), batch.num_rows), np.repeat(batch.column(0).to_numpy(), INDEXED)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(slots), pa.array(ids)], names=["key", "slot", "id"])
+        give_back()
 
     return nodes.select("id", "sig").mapInArrow(run, "key long, slot int, id long")
 
@@ -268,6 +269,8 @@ def compare(members: DataFrame, how: str) -> DataFrame:
                 yield from work(False)
         if held:
             yield from work(True)
+        held.clear()
+        give_back()
 
     rows = members.select("bucket", "slot", "id", "n", "sig", "half", "comp", "pivot").repartition("bucket").sortWithinPartitions("bucket", "half", "id")
     return rows.mapInArrow(run, PAIR).distinct()
@@ -291,6 +294,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int = 75) -> DataFr
             last = ids[-1] if ids else last
             keep = pa.array(out, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], names=["a", "b"])
+        give_back()
 
     left = texts.select(F.col("id").alias("a"), F.col("node").alias("node_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("node").alias("node_b"), F.col("text").alias("text_b"))

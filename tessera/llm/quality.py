@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textblocks import Powers, Words, append, blocks, byte_values, mix, space_words
+from .textblocks import Powers, Words, append, blocks, byte_values, give_back, mix, space_words
 
 BITS, SAMPLE, SHARDS, EPOCHS, THRESHOLD = 18, 12_000, 4, 3, 0.3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
@@ -145,6 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> np.nda
                 leader.learn(*example)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([len(seen)], pa.int64()), pa.array([leader.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
+        seen.clear()
+        give_back()
 
     parts = rows.select("text", "__label").mapInArrow(fit, "n long, w binary").collect()  # SHARDS rows of fixed size
     if not parts:

@@ -168,6 +168,18 @@ class Member:
         return at[contains(self.table, values[at])]
 
 
+def give_back() -> None:
+    """At the end of a task, returns freed memory to the system: Python workers stay, and those of an earlier step would hold theirs through the next."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others go without
+    if trim:
+        trim(0)
+
+
 def append(frame, text: str, keep: list[str], make, fields: str):
     """``frame`` with the columns ``keep`` and the further ``fields``, computed from whole Arrow batches of ``text``.
 
@@ -175,16 +187,22 @@ def append(frame, text: str, keep: list[str], make, fields: str):
     a list of Arrow arrays. A kept column whose name is among the new fields is
     replaced.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StringType, StructType
 
     new = StructType.fromDDL(fields)
     names = [c for c in keep if c not in new.names]
-    frame = frame.select(*[frame[f"`{c}`"] for c in names], frame[f"`{text}`"].cast("string").alias("__text"))
+    kept = [frame[f"`{c}`"] for c in names]
+    if text in names and frame.schema[text].dataType == StringType():
+        at, frame = names.index(text), frame.select(*kept)  # a kept text goes to the workers once
+    else:
+        at, frame = len(names), frame.select(*kept, frame[f"`{text}`"].cast("string").alias("__text"))
 
     def run(batches):
         work = make()
         for batch in batches:
             columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns + work(batch.column(len(names))), names=[*names, *new.names])
+            yield pa.RecordBatch.from_arrays(columns + work(batch.column(at)), names=[*names, *new.names])
+        del work
+        give_back()
 
     return frame.mapInArrow(run, StructType([*(frame.schema[c] for c in names), *new.fields]))
