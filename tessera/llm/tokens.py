@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import saved
-from .textblocks import Powers, Words, blocks, byte_values, mix, space_words
+from .textblocks import Powers, Words, blocks, byte_values, give_back, mix, space_words
 
 END_ID = 2
-PART_BYTES = 64 << 20  # of text to a part
+PART_BYTES = 24 << 20  # of text to a part
 BEGINNING = 32  # characters of a text that tell rows of one key apart when they are dealt out
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15  # a shard is closed at so many ids or documents
 SEGMENT = 4096  # keys in an index segment, on average
@@ -222,6 +222,7 @@ def packed(docs: DataFrame, definition: str, *, key: str, text: str, spans: bool
                 shard.add(key, times, ids)
         if shard.keys:
             yield shard.row(part, seq, schema)
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
