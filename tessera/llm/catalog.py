@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, html_text, licenses, mixture, near_dedup, passages, quality, substrings, tokens, vectors
+from . import decontaminate, html_text, licenses, merkle, mixture, near_dedup, passages, quality, substrings, tokens, vectors, whitening
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_html_text": html_text.query,
     "op9_passages": passages.query,
     "op10_quality": quality.query,
+    "op11_merkle": merkle.query,
+    "op12_whitening": whitening.query,
 }
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.SQL,
@@ -21,4 +23,5 @@ ORACLE_SQL = {
     "op6_decontaminate": decontaminate.SQL,
     "op7_vectors": vectors.SQL,
     "op9_passages": passages.SQL,
+    "op11_merkle": merkle.SQL,
 }
