@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, html_text, licenses, merkle, mixture, near_dedup, passages, quality, substrings, tokens, vectors, whitening
+from . import decontaminate, html_text, langid, licenses, merkle, mixture, near_dedup, passages, quality, substrings, tokens, vectors, whitening
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op11_merkle": merkle.query,
     "op12_whitening": whitening.query,
+    "op13_langid": langid.query,
 }
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.SQL,

@@ -135,7 +135,7 @@ def merged(parts: DataFrame, kind, d: int):
     fan = max(2, min(FAN, MERGE_BYTES // (8 * d * d)))
     schema = parts.schema
 
-    def merge(key, table: pa.Table) -> pa.Table:
+    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["id"])
         out = kind.of(rows[0])
         for row in rows[1:]:
