@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 SMALL = 50_000  # rows; the frames broadcast here have rows of at most a few hundred bytes
 HOT = 1024  # a key is hot if it holds more than one in HOT rows, so there are fewer than HOT hot keys
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: exchanged files go with the write, and Python workers get small batches.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,12 +59,14 @@ def saved(frame: DataFrame) -> DataFrame:
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         frame.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     if (noted := _kept.get()) is not None:
         noted.append(path)
     place, system = hadoop_path(spark, path)

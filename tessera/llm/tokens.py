@@ -9,17 +9,15 @@ pilot gives its slot, the fingerprint tells a foreign key, and shard and offset
 give the ids: constant time, and no keys are stored.
 
 A key is (doc_id, occurrence): rows that repeat a doc_id are numbered from 0 in
-the order of their texts, so every row stays addressable. Rows are dealt out by
-ranges of doc_id and the beginning of the text, so a doc_id (or null) of many
-rows fills several parts; ``carried`` numbers them through.
+the order of their texts' beginnings, then of their texts' hashes, so every row
+stays addressable. Rows are dealt out by ranges of that order, equal rows at
+random, so a doc_id (or null) of many rows fills several parts, whatever their
+texts; ``carried`` numbers them through.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
-import sys
-import types
 import zlib
 
 import numpy as np
@@ -33,11 +31,12 @@ from .textblocks import Powers, Words, blocks, byte_values, give_back, mix, spac
 
 END_ID = 2
 PART_BYTES = 24 << 20  # of text to a part
-BEGINNING = 32  # characters of a text that tell rows of one key apart when they are dealt out
+BEGINNING = 32  # characters of a text that order rows of one key, before the hash of the text
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15  # a shard is closed at so many ids or documents
 SEGMENT = 4096  # keys in an index segment, on average
 PER_BUCKET = 4
-WORD_RECENT, WORD_CACHE = 1 << 15, 3 << 19  # words in the small table, words that a Python worker keeps
+WORD_RECENT, WORD_CACHE = 1 << 14, 1 << 18  # words in the small table, words that a task keeps (about 40 bytes each)
+WORD_CHUNK = 4096  # words that go through the tokenizer at once
 
 
 class Words2Ids:
@@ -80,15 +79,6 @@ class Encoder:
         self.powers, self.values, self.table = Powers(), byte_values(False), space_words()
         self.main, self.recent = Words2Ids(), Words2Ids()
 
-    @classmethod
-    def of_worker(cls, definition: str, spans: bool) -> Encoder:
-        """The encoder of this Python worker: later tasks of the worker find the words that earlier ones have seen."""
-        store = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
-        key = hashlib.sha256(definition.encode()).hexdigest(), spans
-        if getattr(store, "encoder", (None,))[0] != key:
-            store.encoder = key, cls(definition, spans)
-        return store.encoder[1]
-
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -118,10 +108,14 @@ class Encoder:
         at2, old2 = self.recent.find(hashes)
         new = np.flatnonzero(~old & ~old2)
         if len(new):
-            ids = self.encode([bytes(data[a:b]).decode() for a, b in zip(words.starts[where[new]].tolist(), words.ends[where[new]].tolist())])
-            count = np.array([len(x) for x in ids], np.int64)
+            counts, ids = [], []
+            for chunk in np.split(where[new], range(WORD_CHUNK, len(new), WORD_CHUNK)):
+                coded = self.encode([bytes(data[a:b]).decode() for a, b in zip(words.starts[chunk].tolist(), words.ends[chunk].tolist())])
+                counts += map(len, coded)
+                ids.append(np.array([i for x in coded for i in x], np.uint32))
+            count = np.array(counts, np.int64)
             first = np.concatenate([[0], np.cumsum(count)[:-1]])
-            self.recent.add(hashes[new], first, count, np.array([i for x in ids for i in x], np.uint32))
+            self.recent.add(hashes[new], first, count, np.concatenate(ids))
             at2, old2 = self.recent.find(hashes)
         first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         for table, spots, mine in ((self.main, at, old), (self.recent, at2, old2 & ~old)):
@@ -211,7 +205,7 @@ def packed(docs: DataFrame, definition: str, *, key: str, text: str, spans: bool
 
         longs = pa.list_(pa.int64())
         schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("keys", longs), ("occurrences", longs), ("offsets", longs), ("counts", longs)])
-        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder.of_worker(shared.value, spans), Shard(width), 0, (), 0
+        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder(shared.value, spans), Shard(width), 0, (), 0
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):
                 times = times + 1 if last == (key,) else 0
@@ -222,12 +216,14 @@ def packed(docs: DataFrame, definition: str, *, key: str, text: str, spans: bool
                 shard.add(key, times, ids)
         if shard.keys:
             yield shard.row(part, seq, schema)
+        del encoder, shard
         give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (size >> 20)), -(-size // PART_BYTES))
-    rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.substring("text", 1, BEGINNING).asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    order = [F.col("key").asc_nulls_first(), F.substring("text", 1, BEGINNING).asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = rows.repartitionByRange(parts, *order, F.rand(3)).sortWithinPartitions(*order, "text")
     return rows.mapInArrow(run, "part long, seq long, n_ids long, payload binary, keys array<long>, occurrences array<long>, offsets array<long>, counts array<long>")
 
 
@@ -276,8 +272,8 @@ def carried(shards: DataFrame) -> DataFrame:
 def write_shards(docs: DataFrame, definition: str, *, key: str = "doc_id", text: str = "text", spans: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Writes shards and index; returns both tables, read back, and the number of index segments.
 
-    Documents stand in ascending key order, null keys first; rows of one key in
-    the order of their texts. A null or empty text is the end id alone. An empty
+    Documents stand in ascending key order, null keys first; rows of one key by
+    the first characters of their texts, then by the texts' hashes. A null or empty text is the end id alone. An empty
     table gives empty tables. The shards: ``shard, start, width, n_ids, payload``; the
     index: ``segment, size, pilots, fingerprints, shards, offsets, counts``.
     """
