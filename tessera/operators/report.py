@@ -68,12 +68,20 @@ def slot_pair_report(profile: DataFrame, code: str, a: str, b: str) -> str:
     return "\n".join([f"# {code}: {a} and {b}", ""] + table(["slot", a, b], [[x.slot, cell(x, a), cell(x, b)] for x in r]))
 
 
-def slot_report(profile: DataFrame, code: str, name: str, insurers: list[str]) -> str:
-    """Slots of all insurers; code and name are parameters."""
+def slot_report(profile: DataFrame, code: str, name: str, insurers: list[str], hits: DataFrame | None = None) -> str:
+    """Slots of all insurers; code and name are parameters. With ``hits`` (insurer and a column for each type) their table, and how many insurers lack a type."""
     r = rows(slots.compared(profile, insurers), "slot")
     lines = [[x.slot, *[x[f"{i}_status"] or "unknown" for i in insurers]] for x in r]
     unknown = rows(slots.unknown_counts(profile), "slot")
-    return "\n".join([f"# {code} {name}", ""] + table(["slot", *insurers], lines) + ["", "## Unknown", ""] + table(["slot", "insurers", "unknown"], [[u.slot, u.insurers, u.unknown] for u in unknown]))
+    out = [f"# {code} {name}".rstrip(), "", f"- insurers: {len(insurers)}", ""]
+    if hits is not None:
+        types = [c for c in hits.columns if c != "insurer"]
+        out += ["## Document types", ""] + table(["insurer", *types], [[x[c] for c in hits.columns] for x in rows(hits, "insurer")])
+        out += ["", *[f"- insurers with {x.doc_type} = 0: {x.insurers}" for x in slots.without_hits(hits, types).collect()], ""]
+    out += ["## Slots", ""] + table(["slot", *insurers], lines)
+    refs = [[x.slot, i, ", ".join(x[f"{i}_refs"] or []) or "-"] for x in r for i in insurers]
+    out += ["", "## References", ""] + table(["slot", "insurer", "references"], refs)
+    return "\n".join(out + ["", "## Unknown", ""] + table(["slot", "insurers", "unknown"], [[u.slot, u.insurers, u.unknown] for u in unknown]))
 
 
 def lint(report: str, forbidden=FORBIDDEN) -> list[str]:

@@ -62,3 +62,26 @@ def compared(profile: DataFrame, insurers: list[str]) -> DataFrame:
 
 def unknown_counts(profile: DataFrame) -> DataFrame:
     return profile.groupBy("slot").agg(F.count("*").alias("insurers"), F.count_if(F.col("status") == "unknown").alias("unknown"))
+
+
+def hits_by_type(pack: DataFrame, types) -> DataFrame:
+    """``insurer`` and a column for each type: the hits of its first pack row of the code."""
+    first = pack.groupBy("insurer").agg(F.min_by("hits_by_doc_type", "ord").alias("h"))
+    return first.select("insurer", *[F.coalesce(F.try_element_at("h", F.lit(t)), F.lit(0)).alias(t) for t in types])
+
+
+def without_hits(hits: DataFrame, types) -> DataFrame:
+    """For each type, how many insurers have no hit of it (a type that is 0)."""
+    return hits.agg(*[F.count_if(F.col(f"`{t}`") == 0).alias(t) for t in types]).select(F.explode(F.array(*[F.struct(F.lit(t).alias("doc_type"), F.col(f"`{t}`").alias("insurers")) for t in types])).alias("r")).select("r.*")
+
+
+def document(profile: DataFrame, hits: DataFrame, code: str, insurers: list[str]) -> DataFrame:
+    """One row: code, insurers, their number, hits by type for each insurer, and for each slot and insurer status, references and text."""
+    types = [c for c in hits.columns if c != "insurer"]
+    cell = F.struct("text", "refs", "status", F.col("text").isNotNull().alias("has_text"))
+    of_slot = profile.groupBy("slot").agg(F.array_sort(F.collect_list(F.struct("insurer", cell.alias("cell")))).alias("cells"))
+    listed = F.array_sort(F.collect_list(F.struct("slot", "cells")))
+    slots = of_slot.agg(F.map_from_entries(F.transform(listed, lambda s: F.struct(s["slot"], F.map_from_entries(s["cells"])))).alias("slots"))
+    by_type = hits.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("insurer", F.struct(*[F.col(f"`{t}`") for t in types]))))).alias("doc_type_hits"))
+    named = F.array(*map(F.lit, insurers))
+    return slots.join(F.broadcast(by_type), F.lit(True)).select(F.lit(code).alias("coverage_code"), named.alias("insurers"), F.lit(len(insurers)).alias("count"), "doc_type_hits", "slots")

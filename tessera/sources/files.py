@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text
+from . import workbooks
 
 SCOPE = "coverage_name_raw string, insurer string, source_page string"
 MAPPED = "coverage_name_raw string, insurer string, source_page string, coverage_code string, coverage_name_canonical string, mapping_status string, match_type string"
@@ -39,6 +40,11 @@ def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None
     return rows.withColumn("file", F.col("_metadata.file_path")).withColumn("ord", F.monotonically_increasing_id())
 
 
+def xlsx(spark: SparkSession, path: str, schema: str, headers: dict[str, str] | None = None) -> DataFrame:
+    """The active sheet of a workbook with the columns of a CSV."""
+    return workbooks.read(spark, path, schema, headers)
+
+
 def scope(spark: SparkSession, path: str) -> DataFrame:
     """Distinct stripped names of a scope file, with their first place."""
     rows = csv(spark, path, SCOPE, ["coverage_name_raw"])
