@@ -31,6 +31,25 @@ def rows_against(name: str, frame: DataFrame, condition: Column) -> DataFrame:
     return counted(name, frame.where(violating(condition)))
 
 
+def metrics(conditions: dict[str, Column]) -> list[Column]:
+    """How many rows violate each condition, as aggregates: of a query, or of ``DataFrame.observe`` while rows are written."""
+    return [F.count_if(violating(condition)).alias(name) for name, condition in conditions.items()]
+
+
+def table_checks(frame: DataFrame, conditions: dict[str, Column], links: dict[str, tuple[str, DataFrame, str]] | None = None) -> DataFrame:
+    """All row checks of a table, and its references (``column, parent, key``), in one scan: a row for each.
+
+    The parents' distinct keys are joined one after the other, so every row stays one row; a key that finds none counts.
+    """
+    conditions = dict(conditions)
+    for i, (name, (column, parent, key)) in enumerate((links or {}).items()):
+        there = parent.select(F.col(key).alias(f"__k{i}")).where(F.col(f"__k{i}").isNotNull()).distinct()
+        frame = frame.join(there, F.col(column) == F.col(f"__k{i}"), "left")
+        conditions[name] = F.col(column).isNull() | F.col(f"__k{i}").isNotNull()
+    counts = frame.agg(*metrics(conditions))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"`{n}`").alias("violations")) for n in conditions])).alias("c")).select("c.*")
+
+
 def code_format(frame: DataFrame, code: str = "coverage_code", name: str = "code_format") -> DataFrame:
     return rows_against(name, frame, F.col(code).rlike(CODE_FORMAT))
 
@@ -56,50 +75,51 @@ def orphans(child: DataFrame, columns: list[str], parent: DataFrame, keys: list[
     return child.dropna(subset=columns).join(parents, condition, "left_anti")
 
 
-def amount_checks(amounts: DataFrame, evidences: DataFrame, documents: DataFrame) -> list[DataFrame]:
+def amount_checks(amounts: DataFrame, evidences: DataFrame, documents: DataFrame, conditions: dict[str, Column] | None = None, links: dict | None = None) -> DataFrame:
     """Confirmed amounts have evidence and value, unconfirmed ones no value; primary ones come from proposals, secondary ones from another type."""
     confirmed = F.col("status") == "CONFIRMED"
-    kinds = amounts.join(evidences.select("evidence_id", "document_id"), "evidence_id", "left").join(documents.select("document_id", F.col("doc_type").alias("source_type")), "document_id", "left")
+    known = evidences.select("evidence_id", "document_id").dropDuplicates(["evidence_id"])
+    kinds = amounts.join(known, "evidence_id", "left").join(documents.select("document_id", F.col("doc_type").alias("source_type")).dropDuplicates(["document_id"]), "document_id", "left")
     source = F.coalesce(F.col("source_doc_type") if "source_doc_type" in amounts.columns else F.lit(None), F.col("source_type"))
-    return [
-        rows_against("confirmed_has_evidence", amounts, ~confirmed | F.col("evidence_id").isNotNull()),
-        rows_against("confirmed_has_value", amounts, ~confirmed | F.col("value_text").isNotNull()),
-        rows_against("unconfirmed_has_no_value", amounts, (F.col("status") != "UNCONFIRMED") | F.col("value_text").isNull()),
-        rows_against("primary_from_proposal", kinds, (F.col("source_priority") != "PRIMARY") | (source == "가입설계서")),
-        rows_against("secondary_from_others", kinds, (F.col("source_priority") != "SECONDARY") | source.isin("약관", "사업방법서", "상품요약서")),
-    ]
+    rules = {
+        "confirmed_has_evidence": ~confirmed | F.col("evidence_id").isNotNull(),
+        "confirmed_has_value": ~confirmed | F.col("value_text").isNotNull(),
+        "unconfirmed_has_no_value": (F.col("status") != "UNCONFIRMED") | F.col("value_text").isNull(),
+        "primary_from_proposal": (F.col("source_priority") != "PRIMARY") | (source == "가입설계서"),
+        "secondary_from_others": (F.col("source_priority") != "SECONDARY") | source.isin("약관", "사업방법서", "상품요약서"),
+    }
+    return table_checks(kinds, {**(conditions or {}), **rules}, links)
 
 
 def warehouse_checks(t: dict[str, DataFrame]) -> DataFrame:
-    """All checks over the nine tables, a row each."""
-    e, d, ci = t["evidence_ref"], t["document"], t["coverage_instance"]
-    out = [
-        code_format(t["coverage_canonical"]),
-        in_list(t["insurer"], "insurer_type", ENUMERATIONS["insurer_type"]),
-        in_list(d, "doc_type", ENUMERATIONS["doc_type"], "document_doc_type"),
-        in_list(e, "doc_type", ENUMERATIONS["doc_type"], "evidence_doc_type"),
-        in_list(ci, "mapping_status", ENUMERATIONS["mapping_status"]),
-        in_list(t["amount_fact"], "status", ENUMERATIONS["amount_status"], "amount_status"),
-        in_list(t["amount_fact"], "source_priority", ENUMERATIONS["source_priority"]),
-        rows_against("page_positive", e, F.col("page") > 0),
-        rows_against("rank_1_to_3", e, F.col("rank").between(1, 3)),
-        rows_against("snippet_not_empty", e, F.length(F.trim("snippet")) > 0),
-        unique(ci, ["product_id", "variant_id", "coverage_code"], "instance_unique"),
+    """All checks over the nine tables, a row each. The row checks and references of a table are one scan of it, each unique key another."""
+    listed = lambda column, kind=None: F.col(column).isin(*ENUMERATIONS[kind or column])
+    links = {
+        "product": [("insurer_id", "insurer"), ("profile_id", "doc_structure_profile")],
+        "product_variant": [("product_id", "product"), ("profile_id", "doc_structure_profile")],
+        "document": [("insurer_id", "insurer"), ("product_id", "product")],
+        "coverage_instance": [("insurer_id", "insurer"), ("product_id", "product"), ("variant_id", "product_variant"), ("coverage_code", "coverage_canonical")],
+        "evidence_ref": [("instance_id", "coverage_instance"), ("document_id", "document")],
+        "amount_fact": [("instance_id", "coverage_instance"), ("evidence_id", "evidence_ref")],
+    }
+    rules = {
+        "coverage_canonical": {"code_format": F.col("coverage_code").rlike(CODE_FORMAT)},
+        "insurer": {"insurer_type_in_list": listed("insurer_type")},
+        "product": {},
+        "product_variant": {},
+        "document": {"document_doc_type": listed("doc_type")},
+        "coverage_instance": {"mapping_status_in_list": listed("mapping_status")},
+        "evidence_ref": {"evidence_doc_type": listed("doc_type"), "page_positive": F.col("page") > 0, "rank_1_to_3": F.col("rank").between(1, 3), "snippet_not_empty": F.length(F.trim("snippet")) > 0},
+    }
+    references = {name: {f"{name}.{column}": (column, t[parent], column) for column, parent in own} for name, own in links.items()}
+    out = [table_checks(t[name], conditions, references.get(name)) for name, conditions in rules.items()]
+    amounts = {"amount_status": listed("status", "amount_status"), "source_priority_in_list": listed("source_priority")}
+    out.append(amount_checks(t["amount_fact"], t["evidence_ref"], t["document"], amounts, references["amount_fact"]))
+    out += [
+        unique(t["coverage_instance"], ["product_id", "variant_id", "coverage_code"], "instance_unique"),
         unique(t["amount_fact"], ["instance_id"], "amount_unique"),
         unique(t["product_variant"], ["product_id", "variant_key"], "variant_key_unique"),
-        *amount_checks(t["amount_fact"], e, d),
     ]
-    links = [
-        ("doc_structure_profile", None, None, None),
-        ("product", "insurer_id", "insurer", "insurer_id"), ("product", "profile_id", "doc_structure_profile", "profile_id"),
-        ("product_variant", "product_id", "product", "product_id"), ("product_variant", "profile_id", "doc_structure_profile", "profile_id"),
-        ("document", "insurer_id", "insurer", "insurer_id"), ("document", "product_id", "product", "product_id"),
-        ("coverage_instance", "insurer_id", "insurer", "insurer_id"), ("coverage_instance", "product_id", "product", "product_id"),
-        ("coverage_instance", "variant_id", "product_variant", "variant_id"), ("coverage_instance", "coverage_code", "coverage_canonical", "coverage_code"),
-        ("evidence_ref", "instance_id", "coverage_instance", "instance_id"), ("evidence_ref", "document_id", "document", "document_id"),
-        ("amount_fact", "instance_id", "coverage_instance", "instance_id"), ("amount_fact", "evidence_id", "evidence_ref", "evidence_id"),
-    ]
-    out += [foreign_key(t[a], c, t[b], k, f"{a}.{c}") for a, c, b, k in links if c]
     return reduce(DataFrame.unionByName, out)
 
 

@@ -110,6 +110,15 @@ def fk_checks(spark, sf_dir):
     return reduce(DataFrame.unionByName, [checks.foreign_key(t[a], c, t[b], k, f"{a}.{c} in {b}") for a, c, b, k in links])
 
 
+def one_scan_checks(spark, sf_dir):
+    """Row checks and references of the line items and of the orders, each table read once."""
+    items, orders, customer, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part", "supplier"))
+    of_items = {"price_per_piece": F.col("l_extendedprice") >= 1000 * F.col("l_quantity"), "large_is_discounted": (F.col("l_quantity") < 40) | (F.col("l_discount") > 0.02), "flag_in_list": F.col("l_returnflag").isin("A", "N")}
+    of_orders = {"price_positive": F.col("o_totalprice") > 1000, "priority_format": F.col("o_orderpriority").rlike("^[1-4]-[A-Z ]+$")}
+    out = checks.table_checks(items, of_items, {"item_of_cheap_order": ("l_orderkey", orders.where("o_totalprice < 200000"), "o_orderkey"), "item_of_small_part": ("l_partkey", part.where("p_size <= 25"), "p_partkey"), "item_of_rich_supplier": ("l_suppkey", supplier.where("s_acctbal > 0"), "s_suppkey")})
+    return out.unionByName(checks.table_checks(orders, of_orders, {"order_of_builder": ("o_custkey", customer.where("c_mktsegment = 'BUILDING'"), "c_custkey")}))
+
+
 def dup_check(spark, sf_dir):
     return mapping.violations(table(spark, sf_dir, "part"), ["p_name", "p_brand"])
 
@@ -214,7 +223,7 @@ def event_axis(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(triage.axes(word), ",").alias("axes"), triage.axis(word).alias("axis"))
 
 
-QUERIES = {f.__name__: f for f in (gate_reason, gate_filter, gate_statistics, first_passing_chunk, payload_json, contamination_check, violation_checks, fk_checks, dup_check, row_counts, q1_instances_with_amount, q2_evidences_of, q3_confirmed_primary, q4_without_evidence, q5_amounts_across, q6_policy_only, q7_by_variant, q8_variant_difference, q9_profiles_of, q10_across_insurers, q11_missing_instances, q13_lookup, latest_checkpoint, event_axis)}
+QUERIES = {f.__name__: f for f in (gate_reason, gate_filter, gate_statistics, first_passing_chunk, payload_json, contamination_check, violation_checks, fk_checks, one_scan_checks, dup_check, row_counts, q1_instances_with_amount, q2_evidences_of, q3_confirmed_primary, q4_without_evidence, q5_amounts_across, q6_policy_only, q7_by_variant, q8_variant_difference, q9_profiles_of, q10_across_insurers, q11_missing_instances, q13_lookup, latest_checkpoint, event_axis)}
 ORACLE_SQL = {
     "gate_reason": f"WITH {JUDGED_SQL} SELECT ins_cd, chunk_id, slot_key, reject_reason FROM j",
     "gate_filter": f"WITH {JUDGED_SQL} SELECT ins_cd, chunk_id, slot_key FROM j WHERE reject_reason IS NULL",
@@ -227,6 +236,13 @@ ORACLE_SQL = {
         UNION ALL SELECT 'segment_not_empty', count(*) FROM customer WHERE length(c_mktsegment) = 0 UNION ALL SELECT 'returned_is_discounted', count(*) FROM lineitem WHERE l_returnflag = 'R' AND NOT l_discount > 0
         UNION ALL SELECT 'orders_without_lines', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "fk_checks": " UNION ALL ".join(f"SELECT '{a}.{c} in {b}' AS check_name, count(*) AS violations FROM {a} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {b} y WHERE y.{k} = x.{c})" for a, c, b, k in [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"), ("documents", "doc_id", "labels", "doc_id"), ("customer", "c_custkey", "orders", "o_custkey")]),
+    "one_scan_checks": """SELECT 'price_per_piece' AS check_name, count(*) AS violations FROM lineitem WHERE NOT l_extendedprice >= 1000 * l_quantity
+        UNION ALL SELECT 'large_is_discounted', count(*) FROM lineitem WHERE l_quantity >= 40 AND l_discount <= 0.02 UNION ALL SELECT 'flag_in_list', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+        UNION ALL SELECT 'item_of_cheap_order', count(*) FROM lineitem WHERE l_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_totalprice < 200000)
+        UNION ALL SELECT 'item_of_small_part', count(*) FROM lineitem WHERE l_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 25)
+        UNION ALL SELECT 'item_of_rich_supplier', count(*) FROM lineitem WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)
+        UNION ALL SELECT 'price_positive', count(*) FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT 'priority_format', count(*) FROM orders WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-[A-Z ]+$')
+        UNION ALL SELECT 'order_of_builder', count(*) FROM orders WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')""",
     "dup_check": "SELECT p_name, p_brand, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1",
     "row_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")),
     "q1_instances_with_amount": f"WITH {TABLES_SQL} SELECT ci.instance_id, coverage_code, coverage_name_raw, value_text, status AS amount_status FROM ci LEFT JOIN af ON af.instance_id = ci.instance_id WHERE insurer_id = 7",

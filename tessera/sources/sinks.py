@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import checks
+
 
 def csv(frame: DataFrame, path: str, single: bool = False) -> None:
     """CSV with header; nulls as empty fields. ``single`` is for small exchange files."""
@@ -80,6 +84,90 @@ def replace_partitions(frame: DataFrame, path: str, by: list[str], every: list[d
             delete_partition(spark, path, key)
 
 
+def leaves(spark: SparkSession, path: str, depth: int) -> list:
+    """The partition folders ``depth`` levels below a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [place] if system.exists(place) else []
+    for _ in range(depth):
+        found = [f.getPath() for p in found for f in system.listStatus(p) if f.isDirectory() and "=" in f.getPath().getName()]
+    return found
+
+
+def publish(frame: DataFrame, path: str, by: list[str], conditions: dict[str, Column], more: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
+    """Replaces the partitions that ``frame`` has if all of it holds the ``conditions``; else raises AssertionError, and the table is as it was.
+
+    The rows are written once, to a hidden folder of the table, and counted
+    against the conditions by that write. ``more`` gets the staged rows and
+    returns further checks (``check_name, violations``), such as unique keys.
+    Then the staged partitions take the place of the old ones. Returns the rows
+    written and the violations, all 0.
+    """
+    spark, seen, mark = frame.sparkSession, Observation(), uuid.uuid4().hex
+    staged = f"{path.rstrip('/')}/.staged-{mark}"
+    folder, system = partition(spark, staged, {})
+    try:
+        observed = frame.observe(seen, F.count("*").alias("__rows"), *checks.metrics(conditions))
+        observed.write.partitionBy(*by).parquet(staged)
+        counts = dict(seen.get)
+        rows = counts.pop("__rows")
+        if more and rows:
+            counts |= {r.check_name: r.violations for r in more(spark.read.schema(frame.schema).parquet(staged)).collect()}
+        if bad := {k: v for k, v in sorted(counts.items()) if v}:
+            raise AssertionError("; ".join(f"{k}: {v}" for k, v in bad.items()))
+        for new in leaves(spark, staged, len(by)):
+            relative = new.toUri().getPath()[len(folder.toUri().getPath()) + 1 :]
+            target, aside = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{x}") for x in (relative, f".old-{mark}/{relative}"))
+            if system.exists(target):
+                system.mkdirs(aside.getParent())
+                system.rename(target, aside)
+            system.mkdirs(target.getParent())
+            if not system.rename(new, target):
+                raise OSError(f"{new} could not be moved to {target}")
+        return {"rows": rows, **counts}
+    finally:
+        system.delete(folder, True)
+        system.delete(partition(spark, f"{path.rstrip('/')}/.old-{mark}", {})[0], True)
+
+
+BUCKET, BUCKETS = "bucket", "_buckets-"  # the partition column; an empty file whose name tells the number of buckets
+
+
+def upsert(frame: DataFrame, path: str, keys: list[str], update: list[str] | None = None, buckets: int = 64) -> list[int]:
+    """Inserts or updates rows by key, and returns the buckets that were rewritten; the others' files stay.
+
+    The table is partitioned by ``bucket``, the hash of the key modulo
+    ``buckets`` (a number that stays with the table; a later one is not looked
+    at). A row with a known key replaces the old one, or of ``update`` only these
+    columns, the rest of the old row staying; a new key is a new row. A batch that holds a key twice or a null
+    key is refused.
+    """
+    spark = frame.sparkSession
+    for column in keys:
+        if frame.where(F.col(column).isNull()).limit(1).count():
+            raise ValueError(f"null in the key {column}")
+    if twice := frame.groupBy(*keys).count().where("count > 1").limit(1).collect():
+        raise ValueError(f"the batch holds a key twice: {[twice[0][k] for k in keys]}")
+    marks = [f for f in files_in(spark, path, {}) if f.startswith(BUCKETS)]
+    if marks:
+        buckets = int(marks[0][len(BUCKETS) :])
+    new = frame.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())  # at most ``buckets``
+    if not touched:
+        return []
+    if marks:
+        old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched))
+        rest = [c for c in old.columns if c not in [*keys, BUCKET]]
+        new = new.select(*old.columns).withColumn("__new", F.lit(True))
+        both = old.withColumn("__old", F.lit(True)).alias("o").join(new.alias("n"), [*keys, BUCKET], "full_outer")
+        taken = lambda c: F.col("__new").isNotNull() & (F.col("__old").isNull() | F.lit(not update or c in update))
+        new = both.select(*keys, *[F.when(taken(c), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest], BUCKET)
+    else:
+        put_text(spark, f"{path.rstrip('/')}/{BUCKETS}{buckets}", "")
+    publish(new.repartition(BUCKET), path, [BUCKET], {})
+    return touched
+
+
 def insert_payload(frame: DataFrame, path: str, by: list[str], every: list[dict] | None = None) -> DataFrame:
     """Appends payload rows by replacing their partition and returns them with their ids."""
     rows = frame.withColumn("table_id", row_key(*by))
