@@ -12,7 +12,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import sizes, text
 
@@ -61,6 +61,39 @@ def with_found(frame: DataFrame, column: str, values: list[str], name: str) -> D
     return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(name, ArrayType(StringType()))]))
 
 
+def with_places(frame: DataFrame, column: str, values: list[str], name: str) -> DataFrame:
+    """``frame`` with ``name``, the distinct (``form``, ``line_no``) at which the ``values`` occur in the text column; rows without any are left out.
+
+    One pass over each text by an automaton of all values; lines are found in the list of the text's line ends.
+    """
+    shared = frame.sparkSession.sparkContext.broadcast(values)
+    at = frame.columns.index(column)
+    kind = pa.list_(pa.struct([("form", pa.string()), ("line_no", pa.int32())]))
+
+    def run(batches):
+        import bisect
+
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for value in shared.value:
+            automaton.add_word(value, value)
+        automaton.make_automaton()
+
+        def places(text):
+            met = list(automaton.iter(text)) if text and len(automaton) else []
+            ends = [i for i, c in enumerate(text) if c == "\n"] if met else []
+            return [{"form": form, "line_no": line} for form, line in sorted({(form, bisect.bisect_left(ends, last)) for last, form in met})]
+
+        for batch in batches:
+            found = [places(text) for text in batch.column(at).to_pylist()]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+    field = StructType([StructField("form", StringType()), StructField("line_no", IntegerType())])
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(name, ArrayType(field))]))
+
+
 def containing(pages: DataFrame, keywords: DataFrame, on: list[str], method: str | None = None) -> DataFrame:
     """Pages (with ``forms``, their search form by line) joined with the keywords that they contain.
 
@@ -87,13 +120,24 @@ def containing(pages: DataFrame, keywords: DataFrame, on: list[str], method: str
     return pages.join(candidates, PAGE).where(F.contains("forms", F.col("form")))
 
 
-def line_hits(pages: DataFrame, keywords: DataFrame, on: list[str], keep: str = text.SEARCH_CHARS, method: str | None = None) -> DataFrame:
-    """A row for each keyword and line that contains it: the page's columns, the keyword's, ``line_no`` (from 0) and ``snippet``."""
+def line_hits(pages: DataFrame, keywords: DataFrame, on: list[str], keep: str = text.SEARCH_CHARS, method: str | None = None, context: int = CONTEXT) -> DataFrame:
+    """A row for each keyword and line that contains it: the page's columns, the keyword's, ``line_no`` (from 0) and ``snippet``.
+
+    Where the forms can be sent, the one pass over a page gives their lines too,
+    and snippets are cut before anything is joined, so no page's text is copied for its keywords.
+    """
     pages = pages.select(*PAGE, "text", text.search_lines(F.col("text"), keep).alias("forms"))
+    lines = text.lines_of(F.col("text"))
+    forms = None if method == "grams" else sizes.strings(keywords, "form")
+    if forms is not None:
+        met = with_places(pages, "forms", forms, "places").select(*PAGE, lines.alias("lines"), "places")
+        cut = F.transform("places", lambda p: F.struct(p["form"], p["line_no"], text.around(F.col("lines"), p["line_no"], context, SNIPPET).alias("snippet")))
+        met = met.select(*PAGE, F.explode(cut).alias("p")).select(*PAGE, "p.*")
+        return met.join(sizes.small(keywords), [*on, "form"]).select(*PAGE, *[c for c in keywords.columns if c not in PAGE], "line_no", "snippet")
     pairs = containing(pages, keywords, on, method)
     numbers = F.filter(F.transform(text.lines_of(F.col("forms")), lambda line, i: F.when(F.contains(line, F.col("form")), i)), lambda i: i.isNotNull())
     rows = pairs.withColumn("line_no", F.explode(numbers)).drop("forms")
-    return rows.withColumn("snippet", text.around(text.lines_of(F.col("text")), F.col("line_no"), CONTEXT, SNIPPET)).drop("text")
+    return rows.withColumn("snippet", text.around(lines, F.col("line_no"), context, SNIPPET)).drop("text")
 
 
 def top_hits(hits: DataFrame, by: list[str], k: int = PER_TYPE) -> DataFrame:

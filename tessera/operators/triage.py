@@ -18,18 +18,31 @@ AXES = [
 ]
 
 
-def flags(coverages: DataFrame, pages: DataFrame, on: list[str], keep: str = text.SEARCH_CHARS) -> DataFrame:
-    """For each coverage (``on``, ``name``, ``canonical``) whether its pages hold the raw name, the canonical name, the name without
-    suffix, a bridged term, or the name without brackets; and the first snippet of the first of these."""
+FLAGS = ("raw_present", "canonical_present", "suffix_gap", "term_gap", "bracket_gap")
+
+
+def snippets(coverages: DataFrame, pages: DataFrame, on: list[str], keep: str = text.SEARCH_CHARS, method: str | None = None) -> DataFrame:
+    """For each coverage (``on``, ``name``, ``canonical``) and each of FLAGS the first line (in the order of file, page and line) that holds
+
+    the raw name, the canonical name, the name without suffix, with the bridged
+    term, or without brackets: ``<flag>_snippet``, null where none does; and ``<flag>_page`` with its file and page.
+    """
     c = coverages.select(*on, "name", "canonical")
-    forms = {"raw_present": F.col("name"), "canonical_present": F.col("canonical"), "suffix_gap": text.without_suffix(F.col("name")), "term_gap": variants.swapped(F.col("name"), "진단비", "진단"), "bracket_gap": F.when(F.contains("name", F.lit("(")), text.without_bracket_groups(F.col("name")))}
+    forms = dict(zip(FLAGS, (F.col("name"), F.col("canonical"), text.without_suffix(F.col("name")), variants.swapped(F.col("name"), "진단비", "진단"), F.when(F.contains("name", F.lit("(")), text.without_bracket_groups(F.col("name"))))))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), text.search_form(value, keep).alias("form")) for k, value in forms.items()])
     wanted = c.select(*on, "name", F.explode(kinds).alias("k")).select(*on, "name", "k.*").where("form <> ''").distinct()
-    p = pages.select(*search.PAGE, text.search_lines(F.col("text"), keep).alias("forms"))
-    rows = search.containing(p, wanted, on).select(*on, "name", "kind", "file_path", "page")
-    found = rows.groupBy(*on, "name").agg(*[F.max(F.col("kind") == k).alias(k) for k in forms], F.min(F.struct("file_path", "page")).alias("first"))
+    rows = search.line_hits(pages, wanted, on, keep, method, context=0)
+    first = lambda k: F.min_by(F.when(F.col("kind") == k, F.struct("file_path", "page", "snippet")), F.when(F.col("kind") == k, F.struct("file_path", "page", "line_no")))
+    found = rows.groupBy(*on, "name").agg(*[first(k).alias(k) for k in FLAGS])
     out = coverages.select(*on, "name").join(found, [*on, "name"], "left")
-    return out.select(*on, "name", *[F.coalesce(k, F.lit(False)).alias(k) for k in forms], "first.file_path", "first.page")
+    return out.select(*on, "name", *[F.col(k)["snippet"].alias(f"{k}_snippet") for k in FLAGS], *[F.when(F.col(k).isNotNull(), F.struct(F.col(k)["file_path"], F.col(k)["page"])).alias(f"{k}_page") for k in FLAGS])
+
+
+def flags(coverages: DataFrame, pages: DataFrame, on: list[str], keep: str = text.SEARCH_CHARS) -> DataFrame:
+    """For each coverage which of FLAGS hold, and the first file and page at which one does."""
+    found = snippets(coverages, pages, on, keep)
+    first = F.array_min(F.array(*[f"{k}_page" for k in FLAGS]))
+    return found.select(*on, "name", *[F.col(f"{k}_page").isNotNull().alias(k) for k in FLAGS], first["file_path"].alias("file_path"), first["page"].alias("page"))
 
 
 def candidates(unmatched: DataFrame, counts: DataFrame, words: tuple = ("암",)) -> DataFrame:

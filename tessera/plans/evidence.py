@@ -144,6 +144,16 @@ def triage_flags(spark, sf_dir):
     return out.select("insurer", "name", "raw_present", "canonical_present", F.col("page").cast("long").alias("page"))
 
 
+def triage_snippets(spark, sf_dir):
+    """Four names for each benchmark text (the last five of its words 6 to 13; with a suffix; with the longer term; with brackets) and their first lines by flag; one syllable of all texts stands for the term."""
+    term = lambda c: F.replace(c, F.lit("the"), F.lit("진단"))
+    p = term(F.element_at("keywords", 2))
+    made = F.array(p, F.concat(p, F.lit(" 보장특약")), F.replace(p, F.lit("진단"), F.lit("진단비")), F.concat(p, F.lit(" (갱신형)")))
+    rows = phrases(spark, sf_dir).select("insurer", F.explode(F.array_distinct(made)).alias("name"), term(F.col("phrase")).alias("canonical")).where("canonical <> ''").distinct()
+    out = triage.snippets(rows, pages(spark, sf_dir).withColumn("text", term(F.col("text"))), ["insurer"], text.ANY_LETTERS)
+    return out.select("insurer", "name", *[F.coalesce(F.col(f"{k}_snippet"), F.lit("-")).alias(k) for k in triage.FLAGS])
+
+
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tags_removed(F.col("html")).alias("plain"))
 
@@ -159,7 +169,7 @@ l AS (SELECT conv_id, role, ord, ref, lines, generate_subscripts(lines, 1) - 1 A
 r AS (SELECT * FROM (VALUES ('numbers', '(?i)\\d+', 1), ('questions', '(?i)\\?|what|how', 1), ('names', '(?i)[a-z]{12,}', 2)) r(slot, pattern, k)),
 h AS (SELECT conv_id, role, ord, slot, line_no, ref, trim(array_to_string(lines[greatest(line_no - k, 0) + 1 : least(line_no + k + 1, len(lines))], chr(10)), ' ' || chr(10) || chr(9) || chr(13)) AS context FROM l, r WHERE regexp_matches(line, pattern))""".replace("\\\\", "\\")
 
-QUERIES = {f.__name__: f for f in (evidence_hits_top3, evidence_hits_by_grams, evidence_snippet, hits_by_doc_type, token_and_fallback, best_line_score, card_dedup, card_diverse3, evidence_refs, slot_extract, slot_status, slot_unknowns, slot_pivot, triage_flags, html_text, line_statistics)}
+QUERIES = {f.__name__: f for f in (evidence_hits_top3, evidence_hits_by_grams, evidence_snippet, hits_by_doc_type, token_and_fallback, best_line_score, card_dedup, card_diverse3, evidence_refs, slot_extract, slot_status, slot_unknowns, slot_pivot, triage_flags, triage_snippets, html_text, line_statistics)}
 ORACLE_SQL = {
     "evidence_hits_top3": f"WITH {BASE_SQL} SELECT insurer, name, doc_type, rank, page, kw_pos, line_no FROM top",
     "evidence_hits_by_grams": f"WITH {BASE_SQL} SELECT insurer, name, doc_type, count(*) AS n_hits, min(page) AS first_page FROM hit GROUP BY ALL",
@@ -189,6 +199,17 @@ ORACLE_SQL = {
     "triage_flags": f"""WITH {BASE_SQL}, c AS (SELECT g.insurer, phrase, tail, {FORM.format('phrase')} AS a, {FORM.format('tail')} AS b FROM items CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr')) g(insurer) WHERE phrase <> ''),
         f AS (SELECT c.insurer, phrase, bool_or(a <> '' AND contains(norm, a)) AS ra, bool_or(b <> '' AND contains(norm, b)) AS rb, min(page) AS page FROM c JOIN n ON n.insurer = c.insurer AND (a <> '' AND contains(norm, a) OR b <> '' AND contains(norm, b)) GROUP BY ALL)
         SELECT DISTINCT c.insurer, c.phrase AS name, coalesce(ra, false) AS raw_present, coalesce(rb, false) AS canonical_present, page FROM c LEFT JOIN f ON f.insurer = c.insurer AND f.phrase = c.phrase""",
+    "triage_snippets": rf"""WITH {BASE_SQL}, p AS (SELECT DISTINCT insurer, page, line_no, replace(line, 'the', '진단') AS line, lower(regexp_replace(replace(line, 'the', '진단'), '[^\p{{L}}0-9]', '', 'g')) AS norm FROM l),
+        i AS (SELECT replace(phrase, 'the', '진단') AS canonical, replace(tail, 'the', '진단') AS t FROM items WHERE phrase <> ''),
+        c AS (SELECT DISTINCT name, canonical FROM (SELECT t AS name, canonical FROM i UNION ALL SELECT t || ' 보장특약', canonical FROM i UNION ALL SELECT replace(t, '진단', '진단비'), canonical FROM i UNION ALL SELECT t || ' (갱신형)', canonical FROM i)),
+        k AS (SELECT name, canonical, unnest(['raw_present', 'canonical_present', 'suffix_gap', 'term_gap', 'bracket_gap']) AS kind,
+            unnest([name, canonical, CASE WHEN name LIKE '%보장특약' THEN left(name, length(name) - 4) END, CASE WHEN contains(name, '진단비') THEN replace(name, '진단비', '진단') WHEN contains(name, '진단') THEN replace(name, '진단', '진단비') END,
+            CASE WHEN contains(name, '(') THEN regexp_replace(name, '\([^)]*\)', '', 'g') END]) AS value FROM c),
+        w AS (SELECT name, kind, lower(regexp_replace(value, '[^\p{{L}}0-9]', '', 'g')) AS form FROM k WHERE value IS NOT NULL),
+        h AS (SELECT insurer, name, kind, arg_min(trim(line, ' ' || chr(9) || chr(13)), (page, line_no)) AS snippet FROM p JOIN w ON form <> '' AND contains(norm, form) GROUP BY ALL),
+        a AS (SELECT insurer, name, max(snippet) FILTER (kind = 'raw_present') AS raw_present, max(snippet) FILTER (kind = 'canonical_present') AS canonical_present, max(snippet) FILTER (kind = 'suffix_gap') AS suffix_gap, max(snippet) FILTER (kind = 'term_gap') AS term_gap, max(snippet) FILTER (kind = 'bracket_gap') AS bracket_gap FROM h GROUP BY ALL)
+        SELECT g.insurer, c.name, coalesce(left(raw_present, 500), '-') AS raw_present, coalesce(left(canonical_present, 500), '-') AS canonical_present, coalesce(left(suffix_gap, 500), '-') AS suffix_gap, coalesce(left(term_gap, 500), '-') AS term_gap, coalesce(left(bracket_gap, 500), '-') AS bracket_gap
+        FROM c CROSS JOIN (VALUES ('de'), ('en'), ('es'), ('fr')) g(insurer) LEFT JOIN a ON a.insurer = g.insurer AND a.name = c.name""",
     "html_text": r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages",
     "line_statistics": f"WITH {BASE_SQL} SELECT insurer, doc_type, count(*) AS pages, sum(len(lines))::BIGINT AS lines, sum(length(array_to_string(lines, chr(10))))::BIGINT AS chars FROM ls GROUP BY ALL",
 }
