@@ -3,8 +3,10 @@
 A page becomes a light tree. Elements that never hold article text by their tag
 are left out while it is built; forms, elements of that kind that the page never
 ends, and those marked by the words of class, id and role are left out of it
-then, unless they hold most of the page's paragraph text or a class of theirs
-says content (see ``prune``). If no text is left that way, words
+then, unless they hold most of the page's text and next to nothing stands
+outside them, or a class of theirs says content (see ``prune``). Only a name that consists of
+such words marks an element; one that merely has such a word in it (side-effects)
+counts only for a list of links. If no text is left that way, words
 do not count. Paragraphs then earn points for length and commas and pass them to their ancestors, less
 with each level; a container's score is discounted by the share of its text in
 links. The best container is kept, widened to the article around it, or joined
@@ -39,18 +41,22 @@ FORMS = {"form", "fieldset"}  # now and then around the whole page
 LAYOUT = {"nav", "header", "footer", "aside", "menu", "dialog", "object", *FORMS}
 # Words of class, id and role that mark what is not the article.
 DROPPED_WORDS = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus replies reply respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager contentinfo complementary search skip".split())
+# Words that go with those and change nothing.
+FILLER_WORDS = set("area bar block body bottom box button buttons close column container count desktop entry field fixed form global group head heading icon icons id inner input item items js label left link links list meta mobile module outer panel policy post posts primary region right secondary section site sticky tab text title top unit wrap wrapper zone".split())
+NEVER_WORDS = {"cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login", "ad", "ads", "advert", "adverts", "advertisement", "advertising"}
 THREAD_WORDS = {"comment", "comments", "disqus", "replies", "reply", "respond"}
 CONTENT_WORDS = {"content", "main", "article"}
 ABOUT_WORDS = {"no", "has", "with", "without", "not"}  # before a word, they say what the layout has, not what the element is
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 LEADS = HEADINGS | {"th", "caption"}
+OUTSIDE = 25  # characters of text: fewer outside an element are no article
 TITLE = 30  # characters: link texts of this length on average are titles, not entries of a menu
 SCORED = {"p", "pre", "blockquote", "td", "li", "dd"}
 LISTS = {"ul", "ol", "div", "table", "dl", "section"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut", "gone", "marks", "chars", "commas", "starts", "ends", "prose", "headed")
+    __slots__ = ("tag", "parent", "children", "score", "length", "linked", "links", "depth", "block", "cut", "gone", "marks", "weak", "chars", "commas", "starts", "ends", "free", "headed")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children, self.score, self.length, self.linked, self.links = tag, parent, [], 0.0, 0, 0, 0
@@ -59,30 +65,34 @@ class Node:
         self.cut = parent.cut if parent else None  # the outermost dropped or marked element
         self.gone = parent.gone if parent else False  # in a dropped element
         self.marks = None  # its words that mark what is not the article
+        self.weak = False  # such a word stands among others
         self.headed = tag in LEADS  # a heading, or begins with one, or comes right after one
 
 
-def dropped(tag: str, rest: str) -> bool | set[str]:
-    """Whether the element is never article text; else its words that mark what is not the article."""
+def dropped(tag: str, rest: str) -> tuple[bool | set[str], bool]:
+    """Whether the element is never article text, else its words that mark what is not the article; and whether it has such words among others."""
     if tag in DROPPED:
-        return True
+        return True, False
     if tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
     marks: set[str] = {tag} if tag in FORMS else set()
     if not rest:
-        return marks
-    content = False
+        return marks, False
+    content = weak = False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             for one in value.split():
                 words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
                 found = DROPPED_WORDS.intersection(b for a, b in zip(["", *words], words) if a not in ABOUT_WORDS)
-                marks |= found
+                others = [w for w in words if w and w not in found and w not in FILLER_WORDS and not w.isdigit()]
+                if found and not others:
+                    marks |= found
+                weak |= bool(found and others)
                 content |= not found and not CONTENT_WORDS.isdisjoint(words)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return marks & FORMS if content else marks
+            return True, False
+    return (marks & FORMS if content else marks), weak and not content
 
 
 def parse(page: str) -> Node:
@@ -162,7 +172,7 @@ def parse(page: str) -> Node:
             if rest.endswith("/") and (opened.get("svg") or opened.get("math")):
                 continue
         else:
-            marks = {tag} if tag in LAYOUT and not ended(tag) else dropped(tag, rest)
+            marks, node.weak = ({tag}, False) if tag in LAYOUT and not ended(tag) else dropped(tag, rest)
             if marks and node.cut is None:
                 node.cut = node
             if marks is True or marks and rest.endswith("/"):
@@ -206,23 +216,28 @@ def measure(root: Node) -> list[Node]:
         node.links = sum(c.links for c in inner) + (node.tag == "a")
         node.linked = node.length if node.tag == "a" else sum(c.linked for c in inner)
         node.chars, node.commas, node.starts, node.ends = joined(node)
-        node.prose = node.length - node.linked if node.tag in SCORED else sum(c.prose for c in inner)
+        node.free = 0 if node.tag == "a" or node.tag in HEADINGS else own + sum(c.free for c in inner if not c.marks)
     return nodes
 
 
 def prune(root: Node, nodes: list[Node], only: set[str] | None = None) -> bool:
     """Leaves out marked elements (of the words ``only``, if given), and says whether there were any.
 
-    A marked element stays if it holds more than half of the text of the page's
-    scored elements: it is the layout around the article. It does not if the page
-    has its one article or main elsewhere. Comments can be longer than the article
-    before them, so what is marked as such stays only if no scored text comes first.
+    An element marked by words stays if it holds more than half of the page's
+    text and less than ``OUTSIDE`` characters, headings and links not counted, stand outside marked elements: it is the
+    layout around the article. Comments, adverts, consent and the like stay only
+    if nothing stands outside. A form, or an element that the page never ends,
+    without such words stays if it holds more than half of the text. None does if the page
+    has its one article or main elsewhere. An element that has such a word among
+    others goes if more than half of it are links.
     """
     for node in nodes:
         if node.marks and only is not None:
             node.marks = node.marks & only
-    if not any(node.marks for node in nodes):
+    if not any(node.marks or node.weak for node in nodes):
         return False
+    if only is not None:
+        measure(root)
     inside, articles = set(), []
     for node in nodes:
         if node.parent in inside:
@@ -230,13 +245,21 @@ def prune(root: Node, nodes: list[Node], only: set[str] | None = None) -> bool:
         elif node.tag in ("article", "main") and node.cut is None and node.length:
             inside.add(node)
             articles.append(node)
-    before, work = 0, [root]  # in page order
+    free, text = root.free, root.length - root.linked
+    work = [root]  # in page order
     while work:
         node = work.pop()
-        if node.marks and (2 * node.prose <= root.prose or len(articles) == 1 and node not in inside or before and not THREAD_WORDS.isdisjoint(node.marks)):
+        if node.marks:
+            most = 2 * (node.length - node.linked) > text
+            wraps = most and (not len(articles) == 1 or node in inside)
+            if wraps and not node.marks <= LAYOUT:
+                wraps = not free if node.marks & (THREAD_WORDS | NEVER_WORDS) else free < OUTSIDE
+            if wraps:
+                free += node.free
+            else:
+                node.tag, node.children = "#gap", []
+        elif node.weak and only is None and density(node) > 0.5:
             node.tag, node.children = "#gap", []
-        elif node.tag in SCORED:
-            before += node.prose
         work.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return True
 

@@ -640,3 +640,31 @@ def test_quality_edge_rows(spark, docs):
     labels = spark.createDataFrame([(4, 1), (4, None), (14, 0), (15, 0), (999, 1)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in quality.score(docs, quality.train(docs, labels)).collect())
     assert quality.score(empty(spark), none).count() == 0
+
+
+SIDE = "".join(f"<p>Side note {k}, which is long, says things, and has commas, as the article has.</p>" for k in range(20))
+BREAKS = "One, two, three and four.<br>Five, six, seven.<br><br>Eight, nine, ten and some more words."
+
+
+@pytest.mark.parametrize("mark", ["id=comments", "class=sidebar", "class=cookie-notice", "class='cookie-consent'", "class='newsletter'", "id=newsletter-form", "class='comment-list'", "class='sidebar-left widget-area'", "role=complementary", "class=related-posts"])
+@pytest.mark.parametrize("tag", ["div", "section", "form"])
+def test_html_side_parts_longer_than_the_article(tag, mark):
+    side = f"<{tag} {mark}>{SIDE}</{tag}>"
+    paragraphs = "".join(f"<p>{p}</p>" for p in LONG)
+    for article, want in ((paragraphs, "\n".join(LONG)), (BREAKS, "One, two, three and four. Five, six, seven. Eight, nine, ten and some more words.")):
+        for page in (f"<body><div id=post>{article}</div>{side}</body>", f"<body>{side}<div id=post>{article}</div></body>", f"<body><div id=post>{article}{side}</div></body>"):
+            assert html_text.main_text(page) == want, page
+
+
+def test_html_words_within_the_article():
+    inner = f"<h2>Effects</h2><p class='side-effects'>{LONG[0]}</p><section id=search-algorithms><h2>Search</h2><p>{LONG[1]}</p></section><div class=social-history><p>{LONG[2]}</p></div><p class=notice>gone</p>"
+    want = "\n".join(["Effects", LONG[0], "Search", LONG[1], LONG[2]])
+    for opening, end in (("<article>", "</article>"), ("<div class=post>", "</div>"), ("<main>", "</main>")):
+        assert html_text.main_text(f"<body><div class=ad>x, y</div>{opening}{inner}{end}<footer>f</footer></body>") == want
+    links = "".join(f"<p><a href=/{k}>Another page of this kind, number {k}</a></p>" for k in range(5))
+    assert html_text.main_text(f"<article><p>{LONG[0]}</p><div class=share-with-friends>{links}</div><p>{LONG[1]}</p></article>") == "\n".join(LONG[:2])
+
+
+def test_html_sentence_before_the_article():
+    assert html_text.main_text(f"<body><p class=cookie-notice>We use cookies, as all do, and you agree to that.</p><div>{BREAKS}</div></body>") == "One, two, three and four. Five, six, seven. Eight, nine, ten and some more words."
+    assert html_text.main_text(f"<body><h1>Title of the page, quite a long one</h1><div class=sidebar>{SIDE}</div></body>").count("Side note") == 20
