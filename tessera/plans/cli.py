@@ -82,7 +82,7 @@ class Base:
             self.write(pages.where("status <> 'success'").select("insurer", "doc_type", "file_path", "error"), "page_errors", insurer)
 
     def pages_of(self, manifest_csv: str, reader: Callable[[bytes], list[str]]) -> DataFrame:
-        return files.extracted(self.spark, files.csv(self.spark, manifest_csv, files.MANIFEST, ["doc_type", "file_path"]), reader)
+        return files.extracted(files.csv(self.spark, manifest_csv, files.MANIFEST, ["doc_type", "file_path"]), reader)
 
     def load(self, scope_csv: str, dictionary_csv: str, pages: str) -> None:
         """Scope and page files of each insurer (``{insurer}`` stands for it in the paths), and the dictionary (CSV or XLSX)."""
@@ -235,7 +235,7 @@ def main(argv: list[str] | None = None) -> None:
         parser.add_argument(f"--{name}")
     parser.add_argument("--ins-cds", nargs="*")
     parser.add_argument("--manifest-csv", help="of extract and pages; {insurer} stands for the insurer")
-    parser.add_argument("--reader", help="of extract and pages: module:function from a file's bytes to page texts")
+    parser.add_argument("--reader", help="of extract and pages: module:function from a file's bytes (or, if it has the attribute streams, the open file) to page texts")
     parser.add_argument("--scope-csv", help="of load and run; {insurer} stands for the insurer")
     parser.add_argument("--dictionary-csv", help="of load and run; a CSV or XLSX file")
     parser.add_argument("--pages", help="of load and run: an insurer's folder of page files")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +23,6 @@ CARD = f"insurer string, coverage_name_raw string, coverage_code string, coverag
 PROFILE = "insurer string, coverage_code string, slots map<string,struct<text:string,refs:array<string>,status:string,reason:string>>, doc_type_coverage map<string,bigint>, evidence_refs array<string>"
 
 
-MOST_PATHS = 100_000
-
-
 def csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
     """A CSV with header; quoted line breaks are read, ragged rows are kept and shown in ``_corrupt_record``.
 
@@ -98,36 +96,125 @@ def jdbc(spark: SparkSession, url: str, query: str, predicates: list[str] | None
     return spark.read.jdbc(url, query, properties=properties)
 
 
-def extracted(spark: SparkSession, manifest: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+BINS = 1024
+
+
+def jdbc_ranges(spark: SparkSession, url: str, source: str, column: str, parts: int, **properties) -> DataFrame:
+    """A database table read by up to ``parts`` ranges of an integer column that hold about the same number of rows, and one for its nulls.
+
+    The database counts the rows of ``BINS`` equal steps between the least and
+    the largest value, and within a step that holds more than a range should, again, down to
+    single values; ranges end where the counts do. So neither gaps nor dense places make one task long. Filters and
+    columns that a query needs are left to the database.
+    """
+    ask = lambda query: spark.read.jdbc(url, f"({query}) counted", properties=properties)
+    low, high, total = ask(f"select min({column}) as low, max({column}) as high, count({column}) as n from {source}").first()
+    if low is None:
+        return spark.read.jdbc(url, source, properties=properties)
+    share, done, open_steps = total / parts, [], [(int(low), int(high) + 1, int(total))]  # steps: first value, end, rows
+    while open_steps:
+        first, end, n = open_steps.pop()
+        if n <= share / 2 or end - first == 1:
+            done.append((first, n))
+            continue
+        step = -(-(end - first) // BINS)
+        bins = ask(f"select bin, count(*) as n from (select cast(({column} - ({first})) / {step} as int) as bin from {source} where {column} >= {first} and {column} < {end}) steps group by bin")
+        # At most BINS rows; fewer than 2 * parts of them are looked into again.
+        open_steps += [(first + int(r[0]) * step, min(end, first + (int(r[0]) + 1) * step), int(r[1])) for r in bins.collect()]
+    cuts, held = [], 0
+    for first, n in sorted(done):
+        if held and held + n / 2 > share * (len(cuts) + 1) and len(cuts) < parts - 1:
+            cuts.append(first)
+        held += n
+    edges = [None, *cuts, None]
+    ranges = [" and ".join([f"{column} >= {a}"] * (a is not None) + [f"{column} < {b}"] * (b is not None)) or f"{column} is not null" for a, b in zip(edges[:-1], edges[1:])]
+    return spark.read.jdbc(url, source, predicates=[*ranges, f"{column} is null"], properties=properties)
+
+
+def jdbc_append(frame: DataFrame, url: str, table: str, **properties) -> None:
+    """Appends the rows; columns that the frame lacks, such as generated ids, are the database's."""
+    frame.write.jdbc(url, table, mode="append", properties=properties)
+
+
+PAGES_SCHEMA = "doc_type string, file_path string, page int, text string, status string, error string"
+BATCH_CHARS = 4 << 20  # of pages that a task holds before it hands them on
+
+
+def opened(path: str):
+    """A file of any store that Arrow knows (local, HDFS, S3, GCS), for reading; local paths need no scheme."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+    return system.open_input_file(place)
+
+
+def scanned(manifest: DataFrame, pages_of: Callable[[BinaryIO], Iterable[str]], open_file: Callable[[str], BinaryIO] = opened, parts: int | None = None) -> DataFrame:
     """Pages of the files in a manifest (``doc_type, file_path``): ``doc_type, file_path, page, text, status, error``.
 
-    ``pages_of`` turns a file's bytes into page texts; it is the place of a PDF
-    library. A file that fails, or is missing, is one row with its error. The
-    manifest's paths are few (MOST_PATHS, else an error), the files are read by the executors.
+    The manifest is dealt out by path and may be of any length; the task that
+    holds a row opens its file and hands on the pages that ``pages_of`` yields
+    as they come, so neither a file nor a list of files is ever held as a whole. What fails is a
+    row with its error, after the pages that came before it.
     """
-    paths = [r.file_path for r in manifest.select("file_path").distinct().limit(MOST_PATHS + 1).collect()]
-    if len(paths) > MOST_PATHS:
-        raise ValueError(f"more than {MOST_PATHS} files in a manifest; split it")
-    if not paths:
-        return spark.createDataFrame([], "doc_type string, file_path string, page int, text string, status string, error string")
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(paths).select("path", "content")
+    spark = manifest.sparkSession
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def rows(doc_type, path):
+        number = 0
+        try:
+            with open_file(path) as file:
+                for number, page in enumerate(pages_of(file), 1):
+                    yield doc_type, path, number, page.strip(), "success", None
+        except FileNotFoundError:
+            yield doc_type, path, None, None, "error", "file not found"
+        except Exception as error:  # noqa: BLE001  the row is the report
+            yield doc_type, path, None, None, "error", f"{type(error).__name__}: {error}"
 
     def read(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+        names = ["doc_type", "file_path", "page", "text", "status", "error"]
 
+        def batch_of(held):
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*held), kinds)], names=names)
+
+        held, size = [], 0
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(path, i, page.strip(), "success", None) for i, page in enumerate(pages_of(bytes(content)), 1)]
-                except Exception as error:  # noqa: BLE001  the row is the report
-                    rows.append((path, None, None, "error", f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "status", "error"]).astype({"page": "Int32"})
-
-    pages = files.mapInPandas(read, "path string, page int, text string, status string, error string")
-    key = F.regexp_replace("path", "^file:(//)?", "")
-    out = manifest.join(pages, F.regexp_replace("file_path", "^file:(//)?", "") == key, "left")
-    return out.select("doc_type", "file_path", "page", "text", F.coalesce("status", F.lit("error")).alias("status"), F.when(F.col("status").isNull(), "file not found").otherwise(F.col("error")).alias("error"))
+            for doc_type, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for row in rows(doc_type, path):
+                    held.append(row)
+                    size += len(row[3] or "") + 64
+                    if size > BATCH_CHARS:
+                        yield batch_of(held)
+                        held, size = [], 0
+        if held:
+            yield batch_of(held)
+
+    return manifest.select("doc_type", "file_path").where("file_path is not null").repartition(parts, "file_path").mapInArrow(read, PAGES_SCHEMA)
+
+
+def extracted(manifest: DataFrame, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+    """As ``scanned``, with a reader that takes a whole file's bytes, unless it says that it ``streams``; it is the place of a PDF library."""
+    return scanned(manifest, pages_of if getattr(pages_of, "streams", False) else lambda file: pages_of(bytes(file.read())))
+
+
+def html_stream(file: BinaryIO, size: int = 1 << 16) -> Iterator[str]:
+    """One page for each form feed, tags removed, read piece by piece."""
+    import codecs
+    import re
+
+    decoder, left = codecs.getincrementaldecoder("utf-8")(), ""
+    while True:
+        piece = file.read(size)
+        *whole, left = (left + decoder.decode(bytes(piece), final=not piece)).split("\f")
+        yield from (re.sub(r"<[^>]*>", " ", page) for page in whole)
+        if not piece:
+            yield re.sub(r"<[^>]*>", " ", left)
+            return
+
+
+html_stream.streams = True
 
 
 def html_pages(content: bytes) -> list[str]:

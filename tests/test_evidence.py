@@ -195,7 +195,7 @@ def test_manifest_errors_are_rows(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"<p>one</p>\f two ")
     (tmp_path / "b.html").write_bytes(b"\xff\xfe")
     manifest = spark.createDataFrame([("약관", str(tmp_path / "a.html")), ("약관", str(tmp_path / "b.html"))], "doc_type string, file_path string")
-    got = sorted((r.page or 0, r.text, r.status) for r in files.extracted(spark, manifest, files.html_pages).collect())
+    got = sorted((r.page or 0, r.text, r.status) for r in files.extracted(manifest, files.html_pages).collect())
     assert [g[2] for g in got] == ["error", "success", "success"] and [g[1] for g in got[1:]] == ["one", "two"]
 
 
