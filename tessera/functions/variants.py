@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -62,3 +62,59 @@ def keywords(canonical: Column, raw: Column, matched: Column, rules: Column | No
         for name, rule in RULES.items():
             out = F.when(rules == name, with_rule(rule)).otherwise(out)
     return out
+
+
+RULE = "rule_set string, ord int, kind string, words array<string>, put string"
+
+
+def rule_rows(name: str) -> list[tuple]:
+    """The rows of a rule set: ``variant_rule(rule_set, ord, kind, words, put)``.
+
+    Kinds: ``name``; ``suffix`` (the first of ``words`` that fits is cut off);
+    ``cut`` (the one word, if the name ends in it); ``swap`` (word and ``put``
+    change places); ``replace`` (a name with the first word: the last word by ``put``); ``spaces``; ``no_groups`` and ``no_brackets`` (of
+    names with brackets); ``limit`` (``put`` variants at most).
+    """
+    if name == "short":
+        rules = [("name", [], None), ("suffix", list(text.SUFFIXES), None), ("swap", ["진단비"], "진단"), ("spaces", [], None), ("limit", [], "4")]
+    else:
+        rules = [("name", [], None), ("suffix", list(text.SUFFIXES), None), ("swap", ["진단비"], "진단")]
+        rules += [("replace", [needle, a], b) for needle, changes in BRIDGES for a, b in changes]
+        rules += [("swap", [a], b) for a, b in PAIRS] + [("no_groups", [], None), ("no_brackets", [], None)]
+        rules += [("cut", [s], None) for s in text.EACH_SUFFIX] + [("limit", [], "6")]
+    return [(name, i, *rule) for i, rule in enumerate(rules)]
+
+
+def rule_arrays(rules: DataFrame) -> DataFrame:
+    """``rule_set, rules``: the rules of a set in order, one row for each set."""
+    return rules.groupBy("rule_set").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "words", "put"))).alias("rules"))
+
+
+def by_rules(name: Column, rules: Column) -> Column:
+    """The variants of a name by an array of rules: each applied to the name itself, then distinct and cut. Without rules the name alone."""
+    first = lambda r: F.get(r["words"], F.lit(0))
+    less = lambda s: F.substring(name, F.lit(1), F.length(name) - F.length(s))
+    brackets = F.contains(name, F.lit("(")) & F.contains(name, F.lit(")"))
+
+    def applied(r: Column) -> Column:
+        fits = F.get(F.filter(r["words"], lambda s: F.endswith(name, s)), F.lit(0))
+        kind = r["kind"]
+        return (
+            F.when(kind == "name", name)
+            .when(kind.isin("suffix", "cut"), F.when(fits.isNotNull(), less(fits)))
+            .when(kind == "swap", F.when(F.contains(name, first(r)), F.replace(name, first(r), r["put"])).when(F.contains(name, r["put"]), F.replace(name, r["put"], first(r))))
+            .when(kind == "replace", F.when(F.contains(name, first(r)), F.replace(name, F.element_at(r["words"], -1), r["put"])))
+            .when(kind == "spaces", text.collapsed(name))
+            .when((kind == "no_groups") & brackets, text.without_bracket_groups(name))
+            .when((kind == "no_brackets") & brackets, text.without_bracket_chars(name))
+        )
+
+    limit = F.coalesce(F.array_max(F.transform(F.filter(rules, lambda r: r["kind"] == "limit"), lambda r: r["put"].cast("int"))), F.lit(1 << 30))
+    found = F.slice(text.distinct_in_order(F.transform(F.filter(rules, lambda r: r["kind"] != "limit"), applied)), 1, limit)
+    return F.coalesce(found, F.array(name))
+
+
+def keywords_by_rules(canonical: Column, raw: Column, matched: Column, rules: Column) -> Column:
+    """As ``keywords``, with the rules of a table: those of the row's set, null for none (the base names as they are)."""
+    base = F.when(matched & (F.coalesce(canonical, F.lit("")) != ""), F.array(canonical, raw)).otherwise(F.array(raw))
+    return F.when(rules.isNull(), base).otherwise(F.array_distinct(F.flatten(F.transform(text.distinct_in_order(base), lambda c: by_rules(c, rules)))))

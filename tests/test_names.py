@@ -88,3 +88,27 @@ def test_names_in_tables(spark):
 
 def test_axis(spark):
     assert column(spark, ["암진단비", "재진단암 진단확정", "화재", "항암수술비"], triage.axis) == ["Diagnosis", "Re-diagnosis", None, None]
+
+
+def test_variant_rules_as_a_table(spark):
+    """The rule table gives what the rules in code give, and a set that a user adds works beside them."""
+    listed = ["암진단비(유사암(4대)제외)담보", "4대유사암 진단비특약", "통합암(4대유사암제외)진단", "표적항암치료비 보장특약", "재진단암", "입원일당  갱신형", "특약", "", "수술비(갱신형)보장", "4대특정암수술"]
+    rules = spark.createDataFrame(variants.rule_rows("short") + variants.rule_rows("long") + [("own", 0, "cut", ["형"], None), ("own", 1, "replace", ["재", "진단"], "x")], variants.RULE)
+    frame = spark.createDataFrame([(s, n) for s in ("short", "long", "own", None) for n in listed], "rule_set string, n string").join(variants.rule_arrays(rules), "rule_set", "left")
+    got = {(r.rule_set, r.n): r.v for r in frame.select("rule_set", "n", variants.by_rules(F.col("n"), F.col("rules")).alias("v")).collect()}
+    for name, rule in variants.RULES.items():
+        want = spark.createDataFrame([(n,) for n in listed], "n string").select("n", rule(F.col("n")).alias("v")).collect()
+        assert all(got[name, r.n] == r.v for r in want), name
+    assert got["own", "재진단암"] == ["재x암"] and got["own", "입원일당  갱신형"] == ["입원일당  갱신"] and got["own", "특약"] == [] and got[None, "특약"] == ["특약"]
+
+
+def test_keywords_with_rule_sets(spark):
+    """V13: the sets of the insurers, by code and by table."""
+    rules = spark.createDataFrame(variants.rule_rows("short") + variants.rule_rows("long"), variants.RULE)
+    rows = [("short", "암진단비", "암진단비담보", True), ("long", "암진단비(유사암제외)", "암 진단비(유사암제외)", True), ("short", "", "수술비보장", True), ("long", "x", "수술비(갱신형)", False), (None, "a", "a", True)]
+    frame = spark.createDataFrame(rows, "rule_set string, c string, r string, m boolean").join(variants.rule_arrays(rules), "rule_set", "left")
+    code = variants.keywords(F.col("c"), F.col("r"), F.col("m"), F.col("rule_set"))
+    table = variants.keywords_by_rules(F.col("c"), F.col("r"), F.col("m"), F.col("rules"))
+    for r in frame.where("rule_set is not null").select(code.alias("a"), table.alias("b")).collect():
+        assert r.a == r.b and len(r.a) > 1
+    assert frame.where("rule_set is null").select(table.alias("b")).first().b == ["a", "a"]
