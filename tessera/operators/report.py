@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import cards as C
-from . import compare, slots
+from . import compare, search, slots
 
 # Words that no report may hold.
 FORBIDDEN = ("추천", "유리", "불리", "우수", "열등", "최고", "최저", "가장", "좋", "나쁨")
@@ -42,6 +42,49 @@ def insurer_report(cards: DataFrame, review: DataFrame, insurer: str) -> str:
     return "\n".join(out)
 
 
+def row_line(*cells) -> F.Column:
+    """A table row; null and empty cells are dashes."""
+    parts = [F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("-")) for c in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+
+
+def insurer_lines(cards: DataFrame, pack: DataFrame) -> DataFrame:
+    """The reports of all insurers at once, as rows ``insurer, section, a, b, c, line``, in the order of these columns.
+
+    The lines are those of ``insurer_report``. Every part is made where its
+    rows are; nothing is gathered for a report but by the sort that writes it.
+    """
+    col = F.col
+    per = C.stats(cards, "insurer")
+    fixed = lambda frame, section, lines: frame.select("insurer", F.lit(section).alias("section"), F.posexplode(F.array(*lines)).alias("a", "line")).select("insurer", "section", "a", F.lit("").alias("b"), F.lit(0).cast("long").alias("c"), "line")
+    listed = lambda frame, section, line, a=F.lit(0), b=F.lit(""), c=F.lit(0): frame.select("insurer", F.lit(section).alias("section"), a.cast("int").alias("a"), b.alias("b"), c.cast("long").alias("c"), line.alias("line"))
+    literal = lambda *lines: [F.lit(x) for x in lines]
+    head = [F.concat(F.lit("# "), F.upper("insurer"), F.lit(" coverage report")), *literal("", "## Summary", "")]
+    head += [F.concat(F.lit(f"- {k}: "), col(k).cast("string")) for k in per.columns if k != "insurer"]
+    kinds = cards.where("evidence_status = 'found'").select("insurer", F.explode("hits_by_doc_type").alias("doc_type", "hits")).groupBy("insurer", "doc_type").agg(F.sum("hits").alias("hits"), F.count_if(col("hits") > 0).alias("coverages"))
+    review = pack.where("mapping_status = 'unmatched'")
+    top = text.preview(search.top_hits_text(), 100)
+    shown = row_line(col("coverage_code"), col("canonical"), col("name"), col("evidence_status"), C.top_reference(), C.source_summary(), text.joined_or_dash(col("flags")))
+    order = {"a": col("sort_group"), "b": col("sort_value"), "c": col("ord")}
+    parts = [
+        fixed(per, 0, head + literal("", "## Evidence sources", "", *table(["doc type", "hits", "coverages"], []))),
+        listed(kinds, 1, row_line(col("doc_type"), col("hits"), col("coverages")), b=col("doc_type")),
+        fixed(per, 2, literal("", "## Coverages", "", *table(["code", "canonical", "name", "evidence", "first", "sources", "flags"], []))),
+        listed(cards, 3, shown, **order),
+        fixed(per, 4, literal("", "## Unmatched", "", *table(["name", "hits"], []))),
+        listed(review.join(per.select("insurer"), "insurer", "left_semi"), 5, row_line(col("name"), top), b=col("name")),
+        fixed(per, 6, literal("", "## Without evidence", "")),
+        listed(cards.where("evidence_status = 'not_found'"), 7, F.concat(F.lit("- "), col("name")), **order),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+LINE_ORDER = ("section", "a", "b", "c", "line")
+
+
 def pair_report(pairs: DataFrame, name_a: str, name_b: str) -> str:
     s = compare.pair_stats(pairs).first()
     mark = lambda x: "-" if x is None else f"{'✓' if x.evidence_found else '✗'} {x.top_evidence_ref}"

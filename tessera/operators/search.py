@@ -224,7 +224,12 @@ def packs(coverages: DataFrame, pages: DataFrame, fallback: DataFrame | None = N
     return out.select(*coverages.columns, evidences.alias("evidences"), counts.alias("hits_by_doc_type"), flags.alias("flags"), (F.col("mapping_status") == "unmatched").alias("needs_alias_review"))
 
 
+def top_hits_text() -> Column:
+    """The first three evidences of a pack row, each with its reference."""
+    first = F.transform(F.slice("evidences", 1, 3), lambda e: F.concat(text.reference(e["doc_type"], e["page"]), F.lit(": "), text.preview(e["snippet"], 100, always=True)))
+    return F.array_join(first, " | ")
+
+
 def unmatched_review(pack: DataFrame) -> DataFrame:
     """Unmatched coverages with their first hits, for a person to look at; no code is ever suggested."""
-    first = F.transform(F.slice("evidences", 1, 3), lambda e: F.concat(text.reference(e["doc_type"], e["page"]), F.lit(": "), text.preview(e["snippet"], 100, always=True)))
-    return pack.where("mapping_status = 'unmatched'").select(F.col("name").alias("coverage_name_raw"), F.array_join(first, " | ").alias("top_hits"), F.lit("").alias("suggested_canonical_code"))
+    return pack.where("mapping_status = 'unmatched'").select(F.col("name").alias("coverage_name_raw"), top_hits_text().alias("top_hits"), F.lit("").alias("suggested_canonical_code"))

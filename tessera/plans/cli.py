@@ -129,14 +129,10 @@ class Base:
         self.step("cards", ["evidence_pack", "scope", "scope_mapped"], work)
 
     def report(self) -> None:
-        """A report of each insurer; the row count is that of its lines."""
+        """A report of each insurer, all in one job; the row count is that of its lines."""
         def work(part: Base) -> dict[str, int]:
-            rows, review, lines = part.read("coverage_cards"), part.read("evidence_pack"), {}
-            for insurer in part.insurers:
-                text = report.insurer_report(rows, search.unmatched_review(review.where(F.col("insurer") == insurer)), insurer)
-                sinks.markdown(self.spark, text, f"{self.path}/reports/{insurer}.md")
-                lines[insurer] = text.count("\n") + 1
-            return lines
+            lines = report.insurer_lines(part.read("coverage_cards"), part.read("evidence_pack"))
+            return sinks.text_files(lines, f"{self.path}/reports", "insurer", list(report.LINE_ORDER), ".md")
 
         self.step("report", ["coverage_cards", "evidence_pack"], work)
 

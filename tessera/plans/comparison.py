@@ -7,11 +7,12 @@ returned item is among them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compare, triage
+from ..operators import cards as C
+from ..operators import compare, report, triage
 from .names import table
 
 
@@ -116,11 +117,17 @@ def card_sort(spark, sf_dir):
 
 
 def card_stats(spark, sf_dir):
-    from ..operators import cards as C
-
     return C.stats(cards(spark, sf_dir), "insurer")
 
 
+def report_lines(spark, sf_dir):
+    """The reports of all insurers, line by line; a pack has the evidences of its card."""
+    made = C.sorted_cards(cards(spark, sf_dir))
+    lines = report.insurer_lines(made, made)
+    k = F.row_number().over(Window.partitionBy("insurer").orderBy(*report.LINE_ORDER))
+    return lines.select("insurer", k.cast("long").alias("k"), "line")
+
+
 def snapshot_deltas(spark, sf_dir):
     """Orders by customer, of two years, and the change."""
     o = table(spark, sf_dir, "orders")
@@ -134,7 +141,7 @@ def code_candidates(spark, sf_dir):
     return triage.candidates(rows.where("mapping_status = 'unmatched'").select("insurer", "name").distinct(), counts, ("ECONOMY", "MEDIUM"))
 
 
-QUERIES = {f.__name__: f for f in (pair_compare, pair_stats, presence_matrix, insurer_count_per_code, codes_common, codes_unique, unmatched_rate, matrix_classify, matrix_cells, matrix_pivot, empty_rates, card_sort, card_stats, snapshot_deltas, code_candidates)}
+QUERIES = {f.__name__: f for f in (pair_compare, pair_stats, presence_matrix, insurer_count_per_code, codes_common, codes_unique, unmatched_rate, matrix_classify, matrix_cells, matrix_pivot, empty_rates, card_sort, card_stats, report_lines, snapshot_deltas, code_candidates)}
 ORACLE_SQL = {
     "pair_compare": f"WITH {PAIR_SQL} SELECT coverage_code, canonical_name, a_name, b_name, a_found, b_found, a_ref, b_ref, notes FROM p",
     "pair_stats": f"""WITH {PAIR_SQL} SELECT count(*) AS total_codes_compared, count(*) FILTER (in_a AND in_b AND a_matched AND b_matched) AS both_matched_count, count(*) FILTER (in_a AND in_b AND NOT (a_matched AND b_matched)) AS either_unmatched_count,
@@ -154,6 +161,17 @@ ORACLE_SQL = {
         SELECT *, (empty * 2000 + cards) // (2 * cards) AS tenths FROM e""",
     "card_sort": f"""WITH {CARDS_SQL} SELECT insurer, ord, name, CASE WHEN mapping_status = 'matched' THEN 0 ELSE 1 END::BIGINT AS sort_group, CASE WHEN mapping_status = 'matched' THEN coalesce(coverage_code, '') ELSE name END AS sort_value, ref, ref AS sources, CASE WHEN policy_only THEN 'policy_only' ELSE '-' END AS flags_text FROM cards""",
     "card_stats": f"""WITH {CARDS_SQL} SELECT insurer, count(*) AS total_coverages, count(*) FILTER (mapping_status = 'matched') AS matched, count(*) FILTER (mapping_status <> 'matched') AS unmatched, count(*) FILTER (found) AS evidence_found, count(*) FILTER (NOT found) AS evidence_not_found FROM cards GROUP BY 1""",
+    "report_lines": f"""WITH {CARDS_SQL}, s AS (SELECT insurer, count(*) AS t, count(*) FILTER (mapping_status = 'matched') AS m, count(*) FILTER (found) AS f FROM cards GROUP BY 1),
+        d AS (SELECT insurer, kind, sum(hits) AS hits, count(*) FILTER (hits > 0) AS n FROM (SELECT insurer, '약관' AS kind, r AS hits FROM cards WHERE found UNION ALL SELECT insurer, '사업방법서', n FROM cards WHERE found UNION ALL SELECT insurer, '상품요약서', a FROM cards WHERE found) GROUP BY ALL),
+        w AS (SELECT insurer, 0 AS section, i AS a, '' AS b, 0 AS c, line FROM (SELECT insurer, unnest(['# ' || upper(insurer) || ' coverage report', '', '## Summary', '', '- total_coverages: ' || t, '- matched: ' || m, '- unmatched: ' || t - m, '- evidence_found: ' || f, '- evidence_not_found: ' || t - f, '', '## Evidence sources', '', '| doc type | hits | coverages |', '|---|---|---|']) AS line, unnest(range(14)) AS i FROM s)
+        UNION ALL SELECT insurer, 1, 0, kind, 0, '| ' || kind || ' | ' || hits || ' | ' || n || ' |' FROM d
+        UNION ALL SELECT insurer, 2, i, '', 0, line FROM (SELECT insurer, unnest(['', '## Coverages', '', '| code | canonical | name | evidence | first | sources | flags |', '|---|---|---|---|---|---|---|']) AS line, unnest(range(5)) AS i FROM s)
+        UNION ALL SELECT insurer, 3, (mapping_status <> 'matched')::INT, CASE WHEN mapping_status = 'matched' THEN coalesce(coverage_code, '') ELSE name END, ord, '| ' || coalesce(coverage_code, '-') || ' | ' || coalesce(nullif(canonical, ''), '-') || ' | ' || name || ' | ' || CASE WHEN found THEN 'found' ELSE 'not_found' END || ' | ' || ref || ' | ' || ref || ' | ' || CASE WHEN policy_only THEN 'policy_only' ELSE '-' END || ' |' FROM cards
+        UNION ALL SELECT insurer, 4, i, '', 0, line FROM (SELECT insurer, unnest(['', '## Unmatched', '', '| name | hits |', '|---|---|']) AS line, unnest(range(5)) AS i FROM s)
+        UNION ALL SELECT insurer, 5, 0, name, 0, '| ' || name || ' | ' || CASE WHEN found THEN ref || ': s...' ELSE '-' END || ' |' FROM cards WHERE mapping_status = 'unmatched'
+        UNION ALL SELECT insurer, 6, i, '', 0, line FROM (SELECT insurer, unnest(['', '## Without evidence', '']) AS line, unnest(range(3)) AS i FROM s)
+        UNION ALL SELECT insurer, 7, (mapping_status <> 'matched')::INT, CASE WHEN mapping_status = 'matched' THEN coalesce(coverage_code, '') ELSE name END, ord, '- ' || name FROM cards WHERE NOT found)
+        SELECT insurer, row_number() OVER (PARTITION BY insurer ORDER BY section, a, b, c, line) AS k, line FROM w""",
     "snapshot_deltas": """WITH b AS (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), a AS (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
         SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, coalesce(a.n, 0) - coalesce(b.n, 0) AS n_change FROM b FULL JOIN a ON a.o_custkey = b.o_custkey""",
     "code_candidates": f"""WITH {CARDS_SQL}, h AS (SELECT insurer, name, count(*) FILTER (found) AS hits FROM cards GROUP BY ALL)

@@ -47,6 +47,32 @@ def markdown(spark: SparkSession, content: str, path: str) -> None:
     put_text(spark, path, content)
 
 
+def text_files(frame: DataFrame, path: str, name: str, order: list[str], suffix: str) -> dict[str, int]:
+    """A text file ``<value of name><suffix>`` below ``path`` for each value, with its ``line`` rows in order; the lines of each.
+
+    All files are one job: a value's rows meet in one task, which sorts and
+    writes them; its part file is then moved to its name. Line breaks within a line stay.
+    """
+    spark, staged = frame.sparkSession, f"{path.rstrip('/')}/.staged-{uuid.uuid4().hex}"
+    top, system = partition(spark, staged, {})
+    try:
+        dealt = frame.repartition(F.col(name)).sortWithinPartitions(name, *order)
+        dealt.select(F.col(name).alias("__name"), F.col("line").alias("value")).write.partitionBy("__name").text(staged)
+        counts = {r[0]: r[1] for r in frame.groupBy(name).count().collect()}  # a row for each file
+        unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        for folder in leaves(spark, staged, 1):
+            parts = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise OSError(f"{len(parts)} files for {folder}")
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{unescaped(folder.getName().split('=', 1)[1])}{suffix}")
+            system.delete(target, False)
+            if not system.rename(parts[0], target):
+                raise OSError(f"{parts[0]} could not be moved to {target}")
+        return counts
+    finally:
+        system.delete(top, True)
+
+
 def row_key(*columns: str) -> Column:
     """A deterministic id from a natural key, so reruns agree."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)

@@ -147,3 +147,22 @@ def test_awkward_workbooks(spark, tmp_path):
     workbook(tmp_path / "empty.xlsx", [])
     assert not workbooks.read(spark, str(tmp_path / "empty.xlsx"), "p string").count()
     assert [workbooks.column_number(r) for r in ("A1", "Z9", "AA1", "AB12", "BA3")] == [0, 25, 26, 27, 52]
+
+
+def test_reports_of_all_insurers_are_those_of_each(spark, tmp_path):
+    from tessera.operators import cards as C
+    from tessera.plans import comparison
+    from tessera.sources import sinks
+
+    made = C.sorted_cards(comparison.cards(spark, "/root/testdata/sf0.001"))
+    some = [r.insurer for r in made.select("insurer").distinct().orderBy("insurer").limit(2).collect()]
+    name = F.when(F.col("insurer") == some[0], "a b=c").otherwise(F.col("insurer"))
+    made = made.where(F.col("insurer").isin(some)).withColumn("insurer", name)
+    counts = sinks.text_files(report.insurer_lines(made, made), str(tmp_path / "r"), "insurer", list(report.LINE_ORDER), ".md")
+    assert {p.name for p in (tmp_path / "r").iterdir() if not p.name.endswith(".crc")} == {"a b=c.md", f"{some[1]}.md"}
+    for insurer in ("a b=c", some[1]):
+        want = report.insurer_report(made, search.unmatched_review(made.where(F.col("insurer") == insurer)), insurer)
+        got, want = (tmp_path / f"r/{insurer}.md").read_text(encoding="utf-8").splitlines(), want.splitlines()
+        # Cards that are equal in code and order may change places.
+        assert sorted(got) == sorted(want) and counts[insurer] == len(want) > 30
+        assert [(i, x) for i, x in enumerate(got) if not x.startswith("| ")] == [(i, x) for i, x in enumerate(want) if not x.startswith("| ")]
