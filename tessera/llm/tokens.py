@@ -17,7 +17,10 @@ texts; ``carried`` numbers them through.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -35,8 +38,9 @@ BEGINNING = 32  # characters of a text that order rows of one key, before the ha
 SHARD_IDS, SHARD_DOCS = 1 << 20, 1 << 15  # a shard is closed at so many ids or documents
 SEGMENT = 4096  # keys in an index segment, on average
 PER_BUCKET = 4
-WORD_RECENT, WORD_CACHE = 1 << 14, 1 << 18  # words in the small table, words that a task keeps (about 40 bytes each)
-WORD_CHUNK = 4096  # words that go through the tokenizer at once
+WORD_RECENT, WORD_CACHE = 1 << 14, 1 << 20  # words in the small table, words that a Python worker keeps (about 25 bytes each)
+BLOCK = 1 << 19  # bytes of text at once
+WORD_CHUNK, WORD_JOIN = 4096, 32  # words that go through the tokenizer at once, words that are joined to a text for it
 
 
 class Words2Ids:
@@ -44,12 +48,13 @@ class Words2Ids:
 
     def __init__(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.first, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.first, self.count, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def add(self, hashes: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
         known = np.concatenate([self.known, hashes])
         order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], np.concatenate([self.first, first + len(self.ids)])[order], np.concatenate([self.count, count])[order]
+        self.known, self.first = known[order], np.concatenate([self.first, (first + len(self.ids)).astype(np.uint32)])[order]
+        self.count = np.concatenate([self.count, count.astype(np.uint32)])[order]
         self.ids = np.concatenate([self.ids, ids])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,12 +84,36 @@ class Encoder:
         self.powers, self.values, self.table = Powers(), byte_values(False), space_words()
         self.main, self.recent = Words2Ids(), Words2Ids()
 
+    @classmethod
+    def of_worker(cls, definition: str, spans: bool) -> Encoder:
+        """The encoder of this Python worker, so that later tasks find the words that earlier ones have seen; a worker keeps one, of at most 25 MB of words, and the tokenizer."""
+        store = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker"))
+        key = hashlib.sha256(definition.encode()).hexdigest(), spans
+        if getattr(store, "encoder", (None,))[0] != key:
+            store.encoder = key, cls(definition, spans)
+        return store.encoder[1]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and how many each has.
+
+        Words are joined by spaces to short texts, which costs the tokenizer less
+        than a text for each; an id belongs to the word in which its piece begins.
+        """
+        texts = [" ".join(words[k : k + WORD_JOIN]) for k in range(0, len(words), WORD_JOIN)]
+        ids, places, base = [], [], 0
+        for text, coded in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            ids += coded.ids
+            places += [base + place for place, _ in coded.offsets]
+            base += len(text) + 1
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return np.array(ids, np.uint32), np.diff(np.searchsorted(np.array(places, np.int64), ends), prepend=0)
+
     def __call__(self, column: pa.Array):
         """For each row an array of ids, the end id last."""
-        for lo, hi, data, offsets in blocks(column):
+        for lo, hi, data, offsets in blocks(column, BLOCK):
             if self.spans:
                 texts = [bytes(data[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield from (np.array([*ids, END_ID], np.uint32) for ids in self.encode(texts))
@@ -108,14 +137,11 @@ class Encoder:
         at2, old2 = self.recent.find(hashes)
         new = np.flatnonzero(~old & ~old2)
         if len(new):
-            counts, ids = [], []
-            for chunk in np.split(where[new], range(WORD_CHUNK, len(new), WORD_CHUNK)):
-                coded = self.encode([bytes(data[a:b]).decode() for a, b in zip(words.starts[chunk].tolist(), words.ends[chunk].tolist())])
-                counts += map(len, coded)
-                ids.append(np.array([i for x in coded for i in x], np.uint32))
-            count = np.array(counts, np.int64)
+            chunks = np.split(where[new], range(WORD_CHUNK, len(new), WORD_CHUNK))
+            coded = [self.encode_words([bytes(data[a:b]).decode() for a, b in zip(words.starts[c].tolist(), words.ends[c].tolist())]) for c in chunks]
+            count = np.concatenate([c for _, c in coded])
             first = np.concatenate([[0], np.cumsum(count)[:-1]])
-            self.recent.add(hashes[new], first, count, np.concatenate(ids))
+            self.recent.add(hashes[new], first, count, np.concatenate([i for i, _ in coded]))
             at2, old2 = self.recent.find(hashes)
         first, count = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         for table, spots, mine in ((self.main, at, old), (self.recent, at2, old2 & ~old)):
@@ -205,7 +231,7 @@ def packed(docs: DataFrame, definition: str, *, key: str, text: str, spans: bool
 
         longs = pa.list_(pa.int64())
         schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("keys", longs), ("occurrences", longs), ("offsets", longs), ("counts", longs)])
-        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder(shared.value, spans), Shard(width), 0, (), 0
+        part, encoder, shard, seq, last, times = TaskContext.get().partitionId(), Encoder.of_worker(shared.value, spans), Shard(width), 0, (), 0
         for batch in batches:
             for key, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1))):
                 times = times + 1 if last == (key,) else 0
