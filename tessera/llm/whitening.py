@@ -217,10 +217,15 @@ def whitened(rows: DataFrame, *, key: str, column: str, components: int = COMPON
     factor = factor_of(rows, column, dimensions) if dimensions > 0 else None
     if factor is None:
         return spark.createDataFrame([], fields)
-    shared = spark.sparkContext.broadcast(Whitening(factor, components))  # d * components doubles
+    shared = spark.sparkContext.broadcast(vars(Whitening(factor, components)))  # d * components doubles, as plain arrays
+
+    def sent() -> Whitening:
+        white = Whitening.__new__(Whitening)
+        vars(white).update(shared.value)
+        return white
 
     def moments(batches):
-        white = shared.value
+        white = sent()
         out = Moments(len(white.variance))
         for _, _, x in blocks_of(batches, 0, dimensions):
             out.add(white(x))
@@ -228,13 +233,13 @@ def whitened(rows: DataFrame, *, key: str, column: str, components: int = COMPON
             yield row_of(out)
         give_back()
 
-    real = shared.value.real
+    real = shared.value["real"]
     spread = merged(rows.select(column).mapInArrow(moments, "id long, n long, mean binary, products binary"), Moments, components)
     error = np.abs(spread.products / spread.n - np.eye(len(real)))[np.ix_(real, real)]
     error = float(error.max()) if error.size else 0.0
 
     def run(batches):
-        white = shared.value
+        white = sent()
         k = len(white.variance)
         for batch, rows, x in blocks_of(batches, 1, dimensions):
             if not len(rows):
