@@ -4,7 +4,8 @@
 2. A label's nodes are one shard. A shard of more than two blocks of BLOCK nodes is split by
    k-means centroids, fitted on a bounded sample (about ``SAMPLE`` of its nodes);
    its nodes join the new shards of their OVERLAP nearest centroids, and so on
-   until no shard is larger, so the work of a node does not grow with the label.
+   until no shard is larger. Of all new shards of a level a node keeps the COPIES
+   nearest, so neither its copies nor its work multiply with the levels.
    A shard that LEVELS splits leave larger is dealt out as pairs of blocks, so
    a task never holds more than two.
 3. In each shard a graph is built: nearest nodes and a few others, thinned by
@@ -13,10 +14,15 @@
    from the shard's medoid and the query's own node, which goes on from every
    node within the range. Cosines are computed in double precision, so what is
    found is verified. A few queries of each shard are audited against all its
-   nodes; a miss widens the beam, and at last the shard is compared whole. Pairs
-   that share no shard are not found; ``audit`` measures how many those are.
-5. A pair that several shards hold counts in the one of the smallest number, so counts are
-   sums; only a spanning link for each node leaves a shard, never its pairs.
+   nodes; a miss widens the beam, and at last the shard is compared whole.
+5. The search goes on beyond the query's own shards: a node of its beam lies in other
+   shards too, and the query enters the VISITS best of these there, as one row a visit, and
+   walks on from that node. So pairs that share no shard are met as well. A shard with
+   many visitors is searched in parts of about VISITORS.
+6. A pair that several shards hold counts in the one of the smallest number, a pair that shares
+   none in the first visit that can meet it, so counts are sums; only a spanning link for
+   each node leaves a shard, never its pairs. Pairs that neither way meets are not found;
+   ``audit`` measures how many those are.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ COSINE = 0.93
 SAMPLE, PER_CLUSTER, CLUSTERS, OVERLAP, BLOCK, LEVELS = 8192, 64, 256, 3, 512, 6
 NEAREST, OTHERS, DEGREE, ALPHA = 40, 6, 24, 1.2
 BEAM, SLACK, AUDIT = 16, 0.12, 32
+COPIES, VISITS, VISITORS = 6, 4, 1024
 GROUP_BYTES = 16 << 20  # of the vectors that are assigned to centroids in one group
 SENT_BYTES = 32 << 20  # of the queries of an audit that are sent to the tasks at a time
 
@@ -94,24 +101,28 @@ def fit(members: DataFrame) -> DataFrame:
 
 
 def assigned(members: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``grp, shard, id, copies, v``: the members of each shard in the new shards of their OVERLAP nearest centroids. A group holds GROUP_BYTES of vectors and the centroids of one shard."""
-    names = ["grp", "shard", "id", "copies", "v", "near"]
+    """``grp, shard, id, copies, v``: the members of each shard in the new shards of their OVERLAP nearest centroids, of which a node keeps the COPIES nearest. A group holds GROUP_BYTES of vectors and the centroids of one shard."""
+    names = ["grp", "id", "copies", "v", "near"]
+    near_type = pa.list_(pa.struct([("far", pa.float64()), ("shard", pa.int64())]))
 
     def run(rows: pa.Table, centroids: pa.Table) -> pa.Table:
         centroids = centroids.sort_by("cluster")
         score = as_matrix(rows.column("v")) @ as_matrix(centroids.column("c")).T
-        near = np.argsort(-score, 1, kind="stable")[:, :OVERLAP]
-        kinds = pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32())
-        columns = [*(rows.column(c) for c in names[:-1]), pa.array(near.astype(np.int32).tolist(), kinds[-1])]
-        return pa.table([c.cast(kind) for c, kind in zip(columns, kinds)], names=names)
+        order = np.argsort(-score, 1, kind="stable")[:, :OVERLAP]
+        far, shards = -np.take_along_axis(score, order, 1), rows.column("shard").to_numpy()[:, None] * CLUSTERS + order + 1
+        inner = pa.StructArray.from_arrays([pa.array(far.reshape(-1)), pa.array(shards.reshape(-1).astype(np.int64))], names=["far", "shard"])
+        near = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1, dtype=np.int32) * order.shape[1]), inner)
+        kinds = pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), near_type
+        return pa.table([c.cast(kind) for c, kind in zip([*(rows.column(c) for c in names[:-1]), near], kinds)], names=names)
 
     blocks = F.ceil(F.col("n") * F.col("bytes") / GROUP_BYTES)
     rows = members.withColumn("bytes", 8 * F.size("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), blocks))
     parts = rows.select(F.col("grp").alias("g"), F.col("shard").alias("s"), F.col("block").alias("b")).distinct()
     copies = parts.join(centroids, (F.col("g") == F.col("grp")) & (F.col("s") == F.col("shard"))).select("g", "s", "b", "cluster", "c")
-    near = rows.select(*names[:-1], "block").groupBy("grp", "shard", "block").cogroup(copies.groupBy("g", "s", "b")).applyInArrow(run, "grp string, shard long, id long, copies long, v array<double>, near array<int>")
-    near = near.withColumn("cluster", F.explode("near"))
-    return near.select("grp", (F.col("shard") * CLUSTERS + F.col("cluster") + 1).alias("shard"), "id", "copies", "v")
+    near = rows.select("grp", "shard", "id", "copies", "v", "block").groupBy("grp", "shard", "block").cogroup(copies.groupBy("g", "s", "b")).applyInArrow(run, "grp string, id long, copies long, v array<double>, near array<struct<far:double,shard:long>>")
+    # A node came with at most COPIES rows, so a group here is at most COPIES * OVERLAP places.
+    near = near.groupBy("grp", "id").agg(F.first("copies").alias("copies"), F.first("v").alias("v"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, COPIES).alias("near"))
+    return near.withColumn("near", F.explode("near")).select("grp", F.col("near.shard").alias("shard"), "id", "copies", "v")
 
 
 def shards_of(nodes: DataFrame) -> DataFrame:
@@ -185,13 +196,34 @@ def graph(members: DataFrame) -> DataFrame:
     return lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
 
-def range_search(x: np.ndarray, near: np.ndarray, beam: int) -> np.ndarray:
-    """Cosines of the pairs (query, node) that the search meets, -2 elsewhere; all rows are queries. ``near`` is padded with -1."""
+def padded(ids: np.ndarray, column: pa.ChunkedArray) -> np.ndarray:
+    """For each row the places in ``ids`` (ascending) of the ids of its list that are there, padded with -1."""
+    lists = column.combine_chunks()
+    sizes = np.array([len(x or ()) for x in lists.to_pylist()], np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row, at = np.repeat(np.arange(len(sizes)), sizes), np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+    here = ids[at] == flat
+    return ragged(row[here], at[here], len(sizes))
+
+
+def ragged(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The values of each of ``n`` rows (``row`` ascending) as a matrix padded with -1."""
+    sizes = np.bincount(row, minlength=n)
+    out = np.full((n, max(1, int(sizes.max(initial=0)))), -1, np.int64)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = value
+    return out
+
+
+def range_search(x: np.ndarray, near: np.ndarray, beam: int, queries: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """Cosines of the pairs (query, node) that the search meets, -2 elsewhere; without ``queries`` all rows are queries that start at themselves. ``near`` is padded with -1."""
     n = len(x)
-    score, seen, done = np.full((n, n), -2.0), np.zeros((n, n), bool), np.zeros((n, n), bool)
+    if queries is None:
+        queries, starts = x, np.arange(n)
+    m = len(queries)
+    score, seen, done = np.full((m, n), -2.0), np.zeros((m, n), bool), np.zeros((m, n), bool)
     medoid = int(np.argmax(x @ x.sum(0)))
-    score[:, medoid], seen[:, medoid] = x @ x[medoid], True
-    score[np.arange(n), np.arange(n)], seen[np.arange(n), np.arange(n)] = 1.0, True
+    score[:, medoid], seen[:, medoid] = queries @ x[medoid], True
+    score[np.arange(m), starts], seen[np.arange(m), starts] = np.einsum("ij,ij->i", queries, x[starts]), True
     while True:
         edge = np.partition(score, n - min(beam, n), 1)[:, n - min(beam, n)]
         go = seen & ~done & ((score >= COSINE - SLACK) | (score >= edge[:, None]))
@@ -199,66 +231,98 @@ def range_search(x: np.ndarray, near: np.ndarray, beam: int) -> np.ndarray:
             return score
         done |= go
         q, u = np.nonzero(go)
-        fresh = np.zeros((n, n), bool)
+        fresh = np.zeros((m, n), bool)
         for a in range(0, len(q), 1 << 16):
             nodes = near[u[a : a + (1 << 16)]]
-            queries = np.repeat(q[a : a + (1 << 16)], nodes.shape[1])
+            asked = np.repeat(q[a : a + (1 << 16)], nodes.shape[1])
             nodes = nodes.reshape(-1)
-            fresh[queries[nodes >= 0], nodes[nodes >= 0]] = True
+            fresh[asked[nodes >= 0], nodes[nodes >= 0]] = True
         fresh &= ~seen
         seen |= fresh
         q, v = np.nonzero(fresh)
         for a in range(0, len(q), 1 << 15):
             i, j = q[a : a + (1 << 15)], v[a : a + (1 << 15)]
-            score[i, j] = np.einsum("ij,ij->i", x[i], x[j])
+            score[i, j] = np.einsum("ij,ij->i", queries[i], x[j])
 
 
-def searched(x: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Linked pairs as a symmetric matrix; audited, and searched more widely where the audit finds a miss."""
-    n, beam = len(x), BEAM
-    audit = np.random.default_rng(1).permutation(n)[:AUDIT]
-    truth = x[audit] @ x.T >= COSINE
+def searched(x: np.ndarray, near: np.ndarray, queries: np.ndarray | None = None, starts: np.ndarray | None = None) -> np.ndarray:
+    """Cosines as ``range_search`` gives them; audited, and searched more widely where the audit finds a missing link."""
+    asked, beam = x if queries is None else queries, BEAM
+    audit = np.random.default_rng(1).permutation(len(asked))[:AUDIT]
+    truth = asked[audit] @ x.T >= COSINE
     for _ in range(3):
-        found = range_search(x, near, beam) >= COSINE
-        found |= found.T
-        if not (truth & ~found[audit]).any():
-            break
+        score = range_search(x, near, beam, queries, starts)
+        if not (truth & (score[audit] < COSINE)).any():
+            return score
         beam *= 4
-    else:
-        found = x @ x.T >= COSINE
-    found[np.arange(n), np.arange(n)] = False
-    return found
+    return asked @ x.T
 
 
-def owned(pairs: tuple[np.ndarray, np.ndarray], shards: list[list[int]], shard: int) -> np.ndarray:
-    """Which of the pairs (i, j) have no shard in common that has a smaller number than this one."""
-    wide = np.full((len(shards), max(map(len, shards))), -1, np.int64)
-    for i, row in enumerate(shards):
-        wide[i, : len(row)] = row
-    out = np.ones(len(pairs[0]), bool)
-    earlier = np.where((wide >= 0) & (wide < shard), wide, -1)
-    for a in range(0, len(out), 1 << 15):
-        x, y = (earlier[p[a : a + (1 << 15)]] for p in pairs)
-        out[a : a + (1 << 15)] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any((1, 2))
+def onward(score: np.ndarray, shards: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``query, shard, entry, score`` of the VISITS best shards that each query can enter from its beam: those of the beam's nodes in which the query itself is not. ``shards`` is padded with -1."""
+    n = len(score)
+    top = np.argpartition(-score, min(BEAM, n - 1), 1)[:, :BEAM]
+    out = []
+    for a in range(0, n, 256):
+        mine = top[a : a + 256]
+        to = shards[mine]  # query, node of the beam, shard
+        known = np.take_along_axis(score[a : a + 256], mine, 1)
+        fine = (to >= 0) & (known > -2)[:, :, None]
+        for own in shards[a : a + 256].T:
+            fine &= to != own[:, None, None]
+        q, b, s = np.nonzero(fine)
+        shard, gain, entry = to[q, b, s], known[q, b], mine[q, b]
+        order = np.lexsort((entry, -gain, shard, q))
+        q, shard, gain, entry = (c[order] for c in (q, shard, gain, entry))
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (shard[1:] != shard[:-1])
+        q, shard, gain, entry = (c[first] for c in (q, shard, gain, entry))
+        order = np.lexsort((shard, -gain, q))
+        q, shard, gain, entry = (c[order] for c in (q, shard, gain, entry))
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < VISITS
+        out.append((q[keep] + a, shard[keep], entry[keep], gain[keep]))
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def wide(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of shards as a matrix, padded with -1."""
+    lists = column.combine_chunks()
+    sizes = np.array([len(x or ()) for x in lists.to_pylist()], np.int64)
+    return ragged(np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(sizes))
+
+
+def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest number that each row of ``x`` shares with the row of ``y`` (both padded with -1); the largest long if none."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(x), none)
+    for column in y.T:
+        out = np.minimum(out, np.where((x == column[:, None]) & (x >= 0), x, none).min(1, initial=none))
     return out
 
 
-def links(members: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """``id, n, root``: for each node of a unit the copies of linked nodes that count here, and the smallest node that it is joined with."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+def owned(pairs: tuple[np.ndarray, np.ndarray], shards: np.ndarray, shard: int) -> np.ndarray:
+    """Which of the pairs (i, j) have no shard in common that has a smaller number than this one."""
+    i, j = pairs
+    return np.concatenate([np.zeros(0, bool), *(common(shards[i[a : a + (1 << 15)]], shards[j[a : a + (1 << 15)]]) >= shard for a in range(0, len(i), 1 << 15))])
+
+
+def links(members: DataFrame) -> DataFrame:
+    """``id, n, root, visits``: for each node of a unit the copies of linked nodes that count here, the smallest node that it is joined with, and where its search goes on."""
+    visit = pa.struct([("shard", pa.int64()), ("score", pa.float64()), ("entry", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("visits", pa.list_(visit))])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         ids, copies, mine = (table.column(c).to_numpy() for c in ("id", "copies", "mine"))
         shard, lo, hi = (table.column(c)[0].as_py() for c in ("shard", "lo", "hi"))
-        n = len(ids)
-        lists = [np.flatnonzero(np.isin(ids, np.array(row or [], np.int64), assume_unique=False)) for row in table.column("near").to_pylist()]
-        near = np.full((n, max(1, max(map(len, lists)))), -1, np.int64)
-        for i, row in enumerate(lists):
-            near[i, : len(row)] = row
-        found = searched(as_matrix(table.column("v")), near)
+        n, shards = len(ids), wide(table.column("shards"))
+        score = searched(as_matrix(table.column("v")), padded(ids, table.column("near")))
+        score[np.arange(n), np.arange(n)] = -2.0
+        found = score >= COSINE
+        found |= found.T
         i, j = np.nonzero(np.triu(found))
-        count = owned((i, j), table.column("shards").to_pylist(), shard)
+        count = owned((i, j), shards, shard)
         if lo != hi:
             count &= mine[i] != mine[j]
         i, j = i[count], j[count]
@@ -270,10 +334,61 @@ def links(members: DataFrame, adjacency: DataFrame) -> DataFrame:
             if (low == root).all():
                 break
             root = low
-        return pa.table([pa.array(ids), pa.array(counts.astype(np.int64)), pa.array(ids[root])], schema=schema)
+        q, to, entry, gain = onward(score, shards)
+        inner = pa.StructArray.from_arrays([pa.array(to), pa.array(gain), pa.array(ids[entry])], fields=list(visit))
+        visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(q, np.arange(n + 1)).astype(np.int32)), inner)
+        return pa.table([pa.array(ids), pa.array(counts.astype(np.int64)), pa.array(ids[root]), visits], schema=schema)
 
-    rows = members.join(adjacency, "id", "left").select("grp", "shard", "lo", "hi", "id", "copies", "v", "shards", "mine", "near")
-    return rows.groupBy("grp", "shard", "lo", "hi").applyInArrow(run, "id long, n long, root long")
+    rows = members.select("grp", "shard", "lo", "hi", "id", "copies", "v", "shards", "mine", "near")
+    return rows.groupBy("grp", "shard", "lo", "hi").applyInArrow(run, "id long, n long, root long, visits array<struct<shard:long,score:double,entry:long>>")
+
+
+def visited(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``id, n, root`` as ``links``, for pairs that share no shard: the nodes of ``chosen`` (``id, visits``) go into the shards that they visit."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+
+    def run(own: pa.Table, guests: pa.Table) -> pa.Table:
+        if not own.num_rows or not guests.num_rows:
+            return schema.empty_table()
+        own, guests = own.sort_by("id"), guests.sort_by("id")
+        ids, asked = own.column("id").to_numpy(), guests.column("id").to_numpy()
+        x, q, shard = as_matrix(own.column("v")), as_matrix(guests.column("v")), own.column("shard")[0].as_py()
+        start = np.minimum(np.searchsorted(ids, guests.column("entry").to_numpy()), len(ids) - 1)  # in another block than the entry: some node
+        found = searched(x, padded(ids, own.column("near")), q, start) >= COSINE
+        i, j = np.nonzero(found)
+        homes, to, their_homes, their_to = (wide(t.column(c)) for t in (guests, own) for c in ("shards", "to"))
+        count, none = np.zeros(len(i), bool), np.iinfo(np.int64).max
+        for a in range(0, len(i), 1 << 15):
+            g, m = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+            apart, first = common(homes[g], their_homes[m]) == none, common(to[g], their_homes[m]) == shard
+            # Where each of the two visits the other, the visits of the smaller node count.
+            count[a : a + (1 << 15)] = apart & first & ((asked[g] < ids[m]) | (common(their_to[m], homes[g]) == none))
+        copies, guests_copies = own.column("copies").to_numpy(), guests.column("copies").to_numpy()
+        here, there = np.bincount(j[count], guests_copies[i[count]], len(ids)), np.bincount(i[count], copies[j[count]], len(asked))
+        root, guests_root = ids.copy(), asked.copy()
+        while True:  # smallest node reachable by the links found
+            low = np.minimum(guests_root, np.where(found, root[None, :], none).min(1))
+            back = np.minimum(root, np.where(found, low[:, None], none).min(0))
+            if (low == guests_root).all() and (back == root).all():
+                break
+            root, guests_root = back, low
+        met, guests_met = found.any(0), found.any(1)
+        columns = [(ids[met], asked[guests_met]), (here[met], there[guests_met]), (root[met], guests_root[guests_met])]
+        return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], schema=schema)
+
+    names = ["grp", "shard", "lo", "part", "id", "copies", "v", "shards", "to"]
+    own = members.where("lo = hi").join(chosen.select("id", F.col("visits.shard").alias("to")), "id", "left")
+    at_home = own.where(F.col("shard") == F.col("shards")[0]).select("grp", "id", "copies", "v", "shards", "to")
+    guests = saved(at_home.join(chosen, "id").withColumn("visit", F.explode("visits")).select("grp", "id", "copies", "v", "shards", "to", "visit.shard", "visit.entry"))
+    counts = guests.groupBy("grp", "shard").agg(F.count("*").alias("guests"))
+    blocks = members.where("lo = hi").groupBy("grp", "shard").agg(F.collect_set("lo").alias("los"))
+    keyed = saved(blocks.join(counts, ["grp", "shard"]).withColumn("parts", F.ceil(F.col("guests") / VISITORS).cast("int")))
+    total = keyed.agg(F.sum("guests")).first()[0] or 0
+    guests = join_keyed(guests, keyed, ["grp", "shard"], "guests", total)
+    guests = guests.withColumn("part", F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")).withColumn("lo", F.explode("los"))
+    own = own.join(keyed.select("grp", "shard", "parts"), ["grp", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["grp", "shard", "lo", "part"]
+    return own.select(*names, "near").groupBy(*key).cogroup(guests.select(*names, "entry").groupBy(*key)).applyInArrow(run, "id long, n long, root long")
 
 
 def renamed(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
@@ -281,15 +396,22 @@ def renamed(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 
 def linked(nodes: DataFrame) -> DataFrame:
-    """``links`` of the nodes."""
+    """``id, n, root`` of the nodes: what each finds in its own shards and in those that it visits."""
     members = saved(units(saved(shards_of(nodes))))
-    return saved(links(members, saved(graph(members))))
+    members = saved(members.join(graph(members), "id", "left"))
+    found = saved(links(members))
+    visits = found.select("id", F.explode("visits").alias("w")).groupBy("id", "w.shard").agg(F.max(F.struct("w.score", "w.entry")).alias("best"))
+    # A node's shards are few, and each gives at most VISITS.
+    best = F.sort_array(F.collect_list(F.struct("best.score", "shard", "best.entry")), asc=False)
+    chosen = saved(visits.groupBy("id").agg(F.slice(best, 1, VISITS).alias("visits")))
+    found = found.drop("visits")
+    return found.unionByName(saved(visited(members, chosen))) if chosen.limit(1).count() else found
 
 
 def audit(rows: DataFrame, *, queries: int = AUDIT, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``grp, queries, pairs, found``: for each label and dimension, the links of up to ``queries`` fixed nodes in all its vectors, and how many of them ``duplicates`` finds.
 
-    Unlike the audit of a shard, this sees pairs that share no shard. The queries
+    Unlike the audit of a shard, this sees pairs that share no shard and that no visit meets. The queries
     go out in blocks of at most SENT_BYTES; no task holds more than a batch of
     nodes beside them.
     """

@@ -485,6 +485,49 @@ def test_audit_at_the_constants_of_the_module(spark):
     assert got.queries == 1000 and got.pairs >= 990 and got.found >= 0.95 * got.pairs
 
 
+def test_vectors_at_several_levels(spark, monkeypatch):
+    """Four shards a split: at three levels and more a node keeps COPIES shards at most and nearly all planted pairs are found."""
+    monkeypatch.setattr(vectors, "CLUSTERS", 4)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    r = np.random.default_rng(4)
+    a = r.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e = r.normal(size=a.shape)
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = r.uniform(0.93, 0.97, (1500, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * e])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    members = vectors.shards_of(vectors.nodes_of(vectors.renamed(frame, "vec_id", "embedding", "label")))
+    assert members.groupBy("id").count().agg(F.max("count")).first()[0] <= vectors.COPIES
+    assert members.agg(F.max("shard")).first()[0] > 4 + 4 * 4  # numbers of the third level
+    got = vectors.audit(frame, queries=500).collect()[0]
+    assert got.queries == 500 and got.pairs >= 490 and got.found >= 0.95 * got.pairs
+
+
+def test_vectors_visit_other_shards(spark, monkeypatch):
+    """With one shard a node, pairs that share none are met by visits, each counted once, in whatever parts the visitors come."""
+    for name, value in {"PER_CLUSTER": 20, "BLOCK": 20, "OVERLAP": 1, "COPIES": 1, "VISITORS": 16}.items():
+        monkeypatch.setattr(vectors, name, value)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(420, 4))  # no clusters, so links cross every border
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.93
+    np.fill_diagonal(close, False)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000 + i, (2 * x[i]).tolist(), 0) for i in range(3)]  # copies count too
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    copies = np.ones(len(x), int)
+    copies[:3] = 2
+    nodes = vectors.saved(vectors.nodes_of(vectors.renamed(frame, "vec_id", "embedding", "label")))
+    members = vectors.saved(vectors.units(vectors.saved(vectors.shards_of(nodes))))
+    shard = {row.id: row.shard for row in members.collect()}
+    apart = sum(copies[b] for a, b in zip(*np.nonzero(close)) if shard[a] != shard[b])
+    within = sum(copies[b] for a, b in zip(*np.nonzero(close)) if shard[a] == shard[b])
+    counts = {row.id: row.n for row in vectors.linked(nodes).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert apart > 100 and sum(counts.values()) >= within + 0.9 * apart
+    assert all(counts[i] <= (close[i] * copies).sum() for i in range(len(x)))
+
+
 def test_graph_search_recall():
     r = np.random.default_rng(7)
     x = np.concatenate([c + r.normal(size=(30, 16)) * 0.05 for c in r.normal(size=(20, 16))])
