@@ -506,8 +506,8 @@ def test_vectors_at_several_levels(spark, monkeypatch):
 
 
 def test_vectors_visit_other_shards(spark, monkeypatch):
-    """With one shard a node, pairs that share none are met by visits, each counted once, in whatever parts the visitors come."""
-    for name, value in {"PER_CLUSTER": 20, "BLOCK": 20, "OVERLAP": 1, "COPIES": 1, "VISITORS": 16}.items():
+    """With two shards a node, most pairs that share none are met by visits, each counted once, in whatever parts the visitors come."""
+    for name, value in {"PER_CLUSTER": 10, "BLOCK": 10, "OVERLAP": 2, "COPIES": 2, "VISITORS": 16}.items():
         monkeypatch.setattr(vectors, name, value)
     r = np.random.default_rng(3)
     x = r.normal(size=(420, 4))  # no clusters, so links cross every border
@@ -520,11 +520,11 @@ def test_vectors_visit_other_shards(spark, monkeypatch):
     copies[:3] = 2
     nodes = vectors.saved(vectors.nodes_of(vectors.renamed(frame, "vec_id", "embedding", "label")))
     members = vectors.saved(vectors.units(vectors.saved(vectors.shards_of(nodes))))
-    shard = {row.id: row.shard for row in members.collect()}
-    apart = sum(copies[b] for a, b in zip(*np.nonzero(close)) if shard[a] != shard[b])
-    within = sum(copies[b] for a, b in zip(*np.nonzero(close)) if shard[a] == shard[b])
+    shards = {row.id: set(row.shards) for row in members.collect()}
+    apart = sum(copies[b] for a, b in zip(*np.nonzero(close)) if not shards[a] & shards[b])
+    within = sum(copies[b] for a, b in zip(*np.nonzero(close)) if shards[a] & shards[b])
     counts = {row.id: row.n for row in vectors.linked(nodes).groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    assert apart > 100 and sum(counts.values()) >= within + 0.9 * apart
+    assert apart > 50 and sum(counts.values()) >= within + 0.9 * apart
     assert all(counts[i] <= (close[i] * copies).sum() for i in range(len(x)))
 
 
