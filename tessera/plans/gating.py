@@ -34,13 +34,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("lang").alias("ins_cd"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.col("text").alias("excerpt"), F.lit(1).alias("page_number"))
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
+def judge(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
     # One row for each language of the mapping table.
     ssot = spark.createDataFrame([(i,) for i in ("de", "en", "es", "fr")], "ins_cd string").withColumn("anchor_keywords", F.array(*map(F.lit, ANCHORS))).withColumn("insurer_coverage_name", F.lit(NAME))
     return gates.judged(rows, ssot, PROFILE)
 
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(chunks(spark, sf_dir))
+
+
 def gate_reason(spark, sf_dir):
     return judged(spark, sf_dir).select("ins_cd", "chunk_id", "slot_key", "reject_reason")
 
@@ -54,7 +58,7 @@ def gate_statistics(spark, sf_dir):
 
 
 def first_passing_chunk(spark, sf_dir):
-    return gates.first_passing(judged(spark, sf_dir), ["ins_cd"], ["chunk_id", "excerpt"])
+    return gates.first_passing(chunks(spark, sf_dir), judge, ["ins_cd"], ["chunk_id", "excerpt"])
 
 
 def payload_json(spark, sf_dir):
@@ -66,7 +70,7 @@ def payload_json(spark, sf_dir):
 
 
 def contamination_check(spark, sf_dir):
-    rows = gates.first_passing(judged(spark, sf_dir), ["ins_cd"], ["chunk_id", "excerpt"])
+    rows = gates.first_passing(chunks(spark, sf_dir), judge, ["ins_cd"], ["chunk_id", "excerpt"])
     return gates.contamination(rows, {"waiting_period": "trash|th", "exclusions": "License", "subtype_coverage_map": "ó"})
 
 
