@@ -9,13 +9,18 @@ A snippet is a slice of the page's own line array.
 
 from __future__ import annotations
 
+import sys
+
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import sizes, text
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this module
+
 # Document types in order of priority, the type that is counted under another one, and limits.
 POLICY, METHOD, SUMMARY, LEAFLET = "약관", "사업방법서", "상품요약서", "상품설명서"
 TYPES = (POLICY, METHOD, SUMMARY)
@@ -38,6 +43,16 @@ def keyword_rows(coverages: DataFrame, by: list[str], keep: str = text.SEARCH_CH
     return rows.withColumn("form", text.search_form(F.col("keyword"), keep)).where("form <> ''")
 
 
+SLICE = 64  # rows that a task holds as Python strings at once
+
+
+def slices(batches):
+    """Arrow batches in parts of at most SLICE rows: a batch of long texts is never all strings, or copied, at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def with_found(frame: DataFrame, column: str, values: list[str], name: str) -> DataFrame:
     """``frame`` with ``name``, the distinct ``values`` (counted ones) that occur in the text column; rows without any are left out.
 
@@ -53,7 +68,7 @@ def with_found(frame: DataFrame, column: str, values: list[str], name: str) -> D
         for value in shared.value:
             automaton.add_word(value, value)
         automaton.make_automaton()
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted({value for _, value in automaton.iter(text)}) if text else [] for text in batch.column(at).to_pylist()] if len(automaton) else [[]] * batch.num_rows
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, name])
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
@@ -85,7 +100,7 @@ def with_places(frame: DataFrame, column: str, values: list[str], name: str) ->
             ends = [i for i, c in enumerate(text) if c == "\n"] if met else []
             return [{"form": form, "line_no": line} for form, line in sorted({(form, bisect.bisect_left(ends, last)) for last, form in met})]
 
-        for batch in batches:
+        for batch in slices(batches):
             found = [places(text) for text in batch.column(at).to_pylist()]
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
             yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))

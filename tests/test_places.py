@@ -47,3 +47,13 @@ def test_strings_that_are_sent_are_bounded_in_bytes(spark, monkeypatch):
     assert len(sizes.strings(frame, "s")) == 2
     monkeypatch.setattr(sizes, "STRING_BYTES", 99)
     assert sizes.strings(frame, "s") is None and [len(b) for b in sizes.blocks(frame, "s")] == [1, 1]
+
+
+def test_a_batch_is_never_all_strings_at_once():
+    """Batches come in slices, whole and in order, so Python's memory does not grow with the rows of a batch."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["i"]) for n in (0, 1, search.SLICE, 10 * search.SLICE + 3)]
+    parts = list(search.slices(batches))
+    assert max(p.num_rows for p in parts) <= search.SLICE
+    assert [v for p in parts for v in p.column(0).to_pylist()] == [v for b in batches for v in b.column(0).to_pylist()]
