@@ -22,7 +22,7 @@ over the evidence (number of characters times the distance of the second
 language). The curve, and the cross-entropy above which a text is taken for
 none of the languages (``rejected``: its score is at most 0.5), are calibrated
 on documents that a second model, counted without them, has not seen:
-at most ``SAMPLE`` of those whose crc32 of doc_id modulo 4 is ``FOLD``, in hash order.
+all learnt ones whose crc32 of doc_id modulo 4 is ``FOLD``.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from .textblocks import Powers, Words, append, blocks, byte_values, give_back, m
 
 ORDER = 5
 LONGEST = 64
-HELD_OUT, FOLD, SAMPLE = 2, 3, 4000
+HELD_OUT, FOLD = 2, 3
 MODEL_BYTES = 48 << 20
 TOKENS_KEPT = 1 << 18  # tokens that a task keeps: beyond, a counting task hands them on and a scoring task forgets
 WIDTH = 4.0  # standard deviations above the mean cross-entropy at which a text is rejected
@@ -365,36 +365,40 @@ class Calibration(NamedTuple):
     ceilings: list[float]
 
 
-def calibrated(rows: list, langs: list[str]) -> Calibration:
-    """From rows with the true language ``lang`` and ``__best, __ce, __far``. Without rows: the plain evidence, no ceiling."""
-    rows = [r for r in rows if r["__best"] is not None]
+def calibrated(judged: DataFrame, langs: list[str]) -> Calibration:
+    """From all rows with the true language ``lang`` and ``__best, __ce, __far``. Without rows: the plain evidence, no ceiling.
+
+    Means and deviations are sums by language, each Newton step of the curve one sum over the table; only sums come to the driver.
+    """
     ceilings = [math.inf] * len(langs)
-    if not rows:
+    right = F.get(F.array(*map(F.lit, langs)), F.col("__best")) == F.col("lang")
+    rows = saved(judged.where("__best is not null").select("__best", "__ce", "__far", right.alias("right")))
+    good = F.when(F.col("right"), F.col("__ce"))
+    sums = rows.groupBy("__best").agg(F.count("*").alias("all"), F.count(good).alias("n"), F.avg(good).alias("mean"), F.stddev_pop(good).alias("std")).collect()  # a row for each language
+    if not sums:
         return Calibration(1.0, 0.0, ceilings)
-    far = np.array([r["__far"] for r in rows])
-    right = np.array([langs[r["__best"]] == r["lang"] for r in rows])
+    for r in sums:
+        if r["n"] > 1:
+            ceilings[r["__best"]] = float(r["mean"] + WIDTH * r["std"])
+    n_right = sum(r["n"] for r in sums)
+    n_wrong = sum(r["all"] for r in sums) - n_right
     # Smoothed targets and a weak pull to (1, 0) keep the curve finite where all are right.
-    target = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))
-    x, w = np.column_stack([far, np.ones(len(far))]), np.array([1.0, 0.0])
+    target = F.when(F.col("right"), (n_right + 1) / (n_right + 2)).otherwise(1 / (n_wrong + 2))
+    far, w = F.col("__far"), np.array([1.0, 0.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - target) + 0.1 * (w - [1.0, 0.0])
-        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), slope)
-        w = np.clip(w, [0.0, -20.0], [20.0, 20.0])  # more evidence never lowers the score
-    for i in range(len(langs)):
-        ce = np.array([r["__ce"] for r, good in zip(rows, right) if good and r["__best"] == i])
-        if len(ce) > 1:
-            ceilings[i] = float(ce.mean() + WIDTH * ce.std())
+        z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), far * float(w[0]) + float(w[1])))
+        step = rows.select("__far", target.alias("t"), (1 / (1 + F.exp(-z))).alias("p")).withColumn("v", F.expr("p * (1 - p)")).withColumn("e", F.expr("p - t"))
+        e1, e0, v2, v1, v0 = step.agg(F.sum(F.col("e") * far), F.sum("e"), F.sum(F.col("v") * far * far), F.sum(F.col("v") * far), F.sum("v")).first()
+        slope = np.array([e1, e0]) + 0.1 * (w - [1.0, 0.0])
+        new = w - np.linalg.solve(np.array([[v2, v1], [v1, v0]]) + 0.1 * np.eye(2), slope)
+        new = np.clip(new, [0.0, -20.0], [20.0, 20.0])  # more evidence never lowers the score
+        done = np.abs(new - w).max() < 1e-9
+        w = new
+        if done:
+            break
     return Calibration(float(w[0]), float(w[1]), ceilings)
 
 
-def sample(rows: DataFrame, size: int) -> DataFrame:
-    """``lang, text`` of at most ``size`` different rows, those with the smallest hashes. Only hashes are sorted."""
-    rows = rows.select("lang", "text", F.xxhash64("text", "lang").alias("h"))
-    last = rows.select("h").distinct().orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    return rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).select("lang", "text")
-
-
 def learnt(docs: DataFrame) -> tuple[DataFrame | None, list[str], Calibration]:
     """The model, its languages and the calibration, from the rows of ``docs`` that have a language and are not held out."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), fold_of(F.col("doc_id")).alias("fold")).where((F.col("fold") != HELD_OUT) & F.col("lang").isNotNull())
@@ -403,12 +407,11 @@ def learnt(docs: DataFrame) -> tuple[DataFrame | None, list[str], Calibration]:
     if not langs:
         return None, [], Calibration(1.0, 0.0, [])
     model = model_of(words, "n")
-    asked = sample(rows.where((F.col("fold") == FOLD) & F.col("text").isNotNull()), SAMPLE)
     seen = words.select("lang", (F.col("n") - F.col("n_apart")).alias("n"), "word").where("n > 0")
     if not seen.limit(1).count():
-        return model, langs, calibrated([], langs)
-    judged = ranked(scored(saved(asked), model_of(seen, "n"), langs, text="text", keep=["lang"]), langs)
-    return model, langs, calibrated(judged.collect(), langs)  # at most SAMPLE rows of numbers
+        return model, langs, Calibration(1.0, 0.0, [math.inf] * len(langs))
+    asked = rows.where((F.col("fold") == FOLD) & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
+    return model, langs, calibrated(ranked(scored(asked, model_of(seen, "n"), langs, text="text", keep=["lang"]), langs), langs)
 
 
 def scored(docs: DataFrame, model: DataFrame, langs: list[str], *, text: str, keep: list[str]) -> DataFrame:

@@ -241,3 +241,27 @@ def test_languages_of_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 30 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_languages_are_calibrated_on_all_documents_of_the_fold(spark, monkeypatch):
+    """No sample: every learnt document of the fold counts, and the curve is that of all its rows at once."""
+    monkeypatch.setattr(langid, "SAMPLE", 5, raising=False)
+    seen, real = [], langid.calibrated
+
+    def kept(rows, langs):
+        seen.append((rows if isinstance(rows, list) else rows.collect(), langs))
+        return real(rows, langs)
+
+    monkeypatch.setattr(langid, "calibrated", kept)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    _, langs, got = langid.learnt(docs)
+    rows, _ = seen[0]
+    assert len(rows) == docs.where((langid.fold_of(F.col("doc_id")) == langid.FOLD) & F.col("lang").isNotNull() & F.col("text").isNotNull()).count() > 5
+    rows = [r for r in rows if r["__best"] is not None]
+    far, right = np.array([r["__far"] for r in rows]), np.array([langs[r["__best"]] == r["lang"] for r in rows])
+    target = np.where(right, (right.sum() + 1) / (right.sum() + 2), 1 / ((~right).sum() + 2))
+    p = 1 / (1 + np.exp(-(got.slope * far + got.base)))
+    assert 0 < got.slope < 20 and abs(((p - target) * far).sum() + 0.1 * (got.slope - 1)) < 1e-6 and abs((p - target).sum() + 0.1 * got.base) < 1e-6
+    for i, ceiling in enumerate(got.ceilings):
+        ce = np.array([r["__ce"] for r, good in zip(rows, right) if good and r["__best"] == i])
+        assert abs(ceiling - (ce.mean() + langid.WIDTH * ce.std())) < 1e-9 if len(ce) > 1 else ceiling == math.inf
