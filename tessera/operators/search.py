@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import sizes, text
 
@@ -25,7 +26,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 POLICY, METHOD, SUMMARY, LEAFLET = "약관", "사업방법서", "상품요약서", "상품설명서"
 TYPES = (POLICY, METHOD, SUMMARY)
 PER_TYPE, CONTEXT, SNIPPET = 3, 2, 500
-GRAM = 6
+GRAM = 8  # characters: shorter forms are their own gram; a longer one's gram is its beginning, the greatest power of two of characters
+GRAM_BITS = (22, 27)  # the filter of grams that pages get has 2**22 to 2**27 bits (16 MB); between, 64 to 128 for each gram, of which two are set
+GRAM_BLOCK = 1 << 20  # characters that are hashed at once
+KEYED_BYTES = 32 << 20  # keywords with grams that are broadcast, at most
+GRAM_PLACES = ArrayType(StructType([StructField("size", IntegerType()), StructField("gram", LongType()), StructField("line_no", IntegerType()), StructField("pieces", ArrayType(StringType()))]))
 PAGE = ["insurer", "doc_type", "file_path", "page"]
 
 
@@ -109,50 +114,131 @@ def with_places(frame: DataFrame, column: str, values: list[str], name: str) ->
     return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(name, ArrayType(field))]))
 
 
-def containing(pages: DataFrame, keywords: DataFrame, on: list[str], method: str | None = None) -> DataFrame:
-    """Pages (with ``forms``, their search form by line) joined with the keywords that they contain.
+def gram_size(length: int) -> int:
+    return length if length < GRAM else 1 << (length.bit_length() - 1)
+
+
+def gram_hashes(string: str, lengths: list[int]):
+    """For each of the ascending ``lengths`` the 64-bit hashes of all windows of so many characters, by their start. A window is two of a power of two, which may overlap."""
+
+    def mixed(a, b):
+        out = a * np.uint64(0x9E3779B97F4A7C15)
+        out += b
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        return out
+
+    hashes, width = np.frombuffer(string.encode("utf-32-le"), "<u4").astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1
+    for length in lengths:
+        while 2 * width <= length:
+            hashes, width = mixed(hashes[:-width], hashes[width:]), 2 * width
+        more = length - width
+        yield length, mixed(hashes[:-more], hashes[more:]) if more else hashes
+
+
+def gram_places(texts: list[str], lengths: list[int], bits: np.ndarray) -> list[list[dict]]:
+    """For each text its places: a line and a gram that the filter lets pass, with what stands there, as far as a form of that gram may reach."""
+    joined = "\n".join(texts)
+    blocks = range(0, len(joined), GRAM_BLOCK)
+    breaks = [np.flatnonzero(np.frombuffer(joined[at : at + GRAM_BLOCK].encode("utf-32-le"), "<u4") == 10) + at for at in blocks]
+    ends = np.concatenate([*breaks, [len(joined)]]).astype(np.int64)
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
+    first = np.searchsorted(ends, starts)  # the line in which a text begins
+    bound = (len(bits) * 8).bit_length() - 1
+    shift, low = np.uint64(64 - bound), np.uint64((1 << bound) - 1)
+
+    def holds(slots):
+        return np.flatnonzero(bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1)
+
+    met: list[dict] = [{} for _ in texts]
+    for at in blocks:
+        for length, hashes in gram_hashes(joined[at : at + GRAM_BLOCK + lengths[-1] - 1], lengths):
+            hashes = hashes[:GRAM_BLOCK]
+            passed = holds(hashes >> shift)
+            passed = passed[holds(hashes[passed] & low)]
+            place = passed + at
+            line = np.searchsorted(ends, place)
+            inside = place + length <= ends[line]  # a gram never spans lines, since forms hold no line break
+            passed, place, line = passed[inside], place[inside], line[inside]
+            stop = np.minimum(place + (length if length < GRAM else 2 * length - 1), ends[line])
+            number = np.searchsorted(starts, place, "right") - 1
+            for i, row, gram, begin, end in zip(number.tolist(), (line - first[number]).tolist(), hashes[passed].view(np.int64).tolist(), place.tolist(), stop.tolist()):
+                met[i].setdefault((row, length, gram), set()).add(joined[begin:end])
+    return [[{"size": length, "gram": gram, "line_no": row, "pieces": sorted(pieces)} for (row, length, gram), pieces in sorted(found.items())] for found in met]
+
+
+def with_gram(keywords: DataFrame) -> DataFrame:
+    """``keywords`` with ``size`` and ``gram``, the length and the hash of the beginning by which a form is looked for."""
+    at = keywords.columns.index("form")
 
-    The distinct forms of keywords, where counted as few, are sent to the pages
-    (``with_found``). Too many to send, or too long, they are joined on their
-    first GRAM characters, which are among the grams of a page that contains
-    them, and then compared; shorter ones on all of theirs. Both ways give the same rows.
+    def run(batches):
+        for batch in slices(batches):
+            forms = batch.column(at).to_pylist()
+            lengths = [gram_size(len(form)) for form in forms]
+            grams = [next(gram_hashes(form[:n], [n]))[1].view(np.int64)[0] for form, n in zip(forms, lengths)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths, pa.int32()), pa.array(grams, pa.int64())], names=[*batch.schema.names, "size", "gram"])
+
+    return keywords.where("form <> ''").mapInArrow(run, StructType([*keywords.schema.fields, StructField("size", IntegerType()), StructField("gram", LongType())]))
+
+
+def with_gram_places(frame: DataFrame, column: str, keyed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``frame`` with ``name``, the places of its text column at which a form of ``keyed`` (with grams) may begin, and ``keyed``, for a join on size and gram.
+
+    Pages get a bitmap of the grams (a Bloom filter), not the grams. What it lacks is
+    no keyword's gram, so only the rest becomes rows; what it holds by chance finds
+    no keyword in the join. Rows without places are left out.
     """
-    forms = None if method == "grams" else sizes.strings(keywords, "form")
-    if forms is not None:
-        hit = with_found(pages, "forms", forms, "form").withColumn("form", F.explode("form"))
-        return hit.join(sizes.small(keywords), [*on, "form"]).select(*pages.columns, *[c for c in keywords.columns if c not in on])
-    # A gram never spans lines, since forms of keywords hold no line break.
-    size = F.least(F.length("form"), F.lit(GRAM))
-    keyed = keywords.withColumn("gram", F.substring("form", F.lit(1), size))
-    lengths = sorted(r[0] for r in keyed.select(F.length("gram")).distinct().collect())  # at most GRAM values
-    # Grams are cut from single lines (finding the i-th character takes longer in a longer text) and go out with the page's key alone.
-    lines = pages.select(*PAGE, F.explode(F.array_distinct(text.lines_of(F.col("forms")))).alias("line"))
-    opened = lines.select(*PAGE, F.lit("").alias("gram")).limit(0)
-    for n in lengths:
-        places = F.explode(F.sequence(F.lit(1), F.length("line") - n + 1))
-        opened = opened.union(lines.where(F.length("line") >= n).select(*PAGE, "line", places.alias("i")).select(*PAGE, F.substring("line", F.col("i"), F.lit(n)).alias("gram")))
-    candidates = opened.join(keyed, [*on, "gram"]).select(*PAGE, *[c for c in keywords.columns if c not in PAGE]).distinct()
-    return pages.join(candidates, PAGE).where(F.contains("forms", F.col("form")))
+    known = keyed.agg(F.count("*").alias("n"), F.sum(F.octet_length("form")).alias("bytes"), F.sort_array(F.collect_set("size")).alias("lengths")).first()
+    if not known.n:
+        return frame.limit(0).withColumn(name, F.lit(None).cast(GRAM_PLACES)), keyed
+    bound = min(max(GRAM_BITS[0], (64 * known.n).bit_length()), GRAM_BITS[1])
+    slots = F.array(F.shiftrightunsigned("gram", 64 - bound), F.col("gram").bitwiseAND(F.lit((1 << bound) - 1)))
+    slot = F.col("slot") + 1  # Spark's bitmaps count from 1
+    rows = keyed.select(F.explode(slots).alias("slot")).groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    bits = np.zeros(1 << (bound - 3), np.uint8)
+    for row in rows:
+        bits[(row.b - 1) << 12 : row.b << 12] = np.frombuffer(row.bits, np.uint8)
+    shared, lengths, at = frame.sparkSession.sparkContext.broadcast(bits), list(known.lengths), frame.columns.index(column)
+    kind = pa.list_(pa.struct([("size", pa.int32()), ("gram", pa.int64()), ("line_no", pa.int32()), ("pieces", pa.list_(pa.string()))]))
+
+    def run(batches):
+        for batch in slices(batches):
+            found = gram_places([text or "" for text in batch.column(at).to_pylist()], lengths, shared.value)
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*batch.schema.names, name])
+            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+    few = known.n <= sizes.BROADCAST_ROWS and known.bytes <= KEYED_BYTES
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, StructField(name, GRAM_PLACES)])), F.broadcast(keyed) if few else keyed
+
+
+def begins(places: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """Places joined with the keywords that stand there: one row for each line and keyword, since a form has one gram."""
+    rows = places.join(keyed, [*on, "size", "gram"])
+    return rows.where(F.exists("pieces", lambda piece: F.startswith(piece, F.col("form")))).drop("size", "gram", "pieces")
 
 
 def line_hits(pages: DataFrame, keywords: DataFrame, on: list[str], keep: str = text.SEARCH_CHARS, method: str | None = None, context: int = CONTEXT) -> DataFrame:
     """A row for each keyword and line that contains it: the page's columns, the keyword's, ``line_no`` (from 0) and ``snippet``.
 
-    Where the forms can be sent, the one pass over a page gives their lines too,
-    and snippets are cut before anything is joined, so no page's text is copied for its keywords.
+    The one pass over a page gives the lines too, and snippets are cut before
+    anything is joined, so no page's text is copied for its keywords. The distinct
+    forms of keywords, where counted as few, are sent to the pages (``with_places``).
+    Too many to send, or too long, they are met by hashes of their beginnings
+    (``with_gram_places``) and then compared. Both ways give the same rows.
     """
     pages = pages.select(*PAGE, "text", text.search_lines(F.col("text"), keep).alias("forms"))
     lines = text.lines_of(F.col("text"))
     forms = None if method == "grams" else sizes.strings(keywords, "form")
     if forms is not None:
-        met = with_places(pages, "forms", forms, "places").select(*PAGE, lines.alias("lines"), "places")
-        cut = F.transform("places", lambda p: F.struct(p["form"], p["line_no"], text.around(F.col("lines"), p["line_no"], context, SNIPPET).alias("snippet")))
-        met = met.select(*PAGE, F.explode(cut).alias("p")).select(*PAGE, "p.*")
-        return met.join(sizes.small(keywords), [*on, "form"]).select(*PAGE, *[c for c in keywords.columns if c not in PAGE], "line_no", "snippet")
-    pairs = containing(pages, keywords, on, method)
-    numbers = F.filter(F.transform(text.lines_of(F.col("forms")), lambda line, i: F.when(F.contains(line, F.col("form")), i)), lambda i: i.isNotNull())
-    rows = pairs.withColumn("line_no", F.explode(numbers)).drop("forms")
-    return rows.withColumn("snippet", text.around(lines, F.col("line_no"), context, SNIPPET)).drop("text")
+        met, fields = with_places(pages, "forms", forms, "places"), ["form", "line_no"]
+    else:
+        met, keyed = with_gram_places(pages, "forms", with_gram(keywords), "places")
+        fields = ["size", "gram", "line_no", "pieces"]
+    met = met.select(*PAGE, lines.alias("lines"), "places")
+    cut = F.transform("places", lambda p: F.struct(*[p[f].alias(f) for f in fields], text.around(F.col("lines"), p["line_no"], context, SNIPPET).alias("snippet")))
+    met = met.select(*PAGE, F.explode(cut).alias("p")).select(*PAGE, "p.*")
+    rows = met.join(sizes.small(keywords), [*on, "form"]) if forms is not None else begins(met, keyed, on)
+    return rows.select(*PAGE, *[c for c in keywords.columns if c not in PAGE], "line_no", "snippet")
 
 
 def top_hits(hits: DataFrame, by: list[str], k: int = PER_TYPE) -> DataFrame:
@@ -174,7 +260,8 @@ def token_hits(pages: DataFrame, coverages: DataFrame, by: list[str], on: list[s
         pairs = opened.join(sizes.small(each), [*on, "token"]).where((F.array_position(held, True) == F.col("i") + 1) & (F.size(F.filter(held, lambda x: x)) >= 2))
         pairs = pairs.select(*PAGE, "text", *[c for c in names.columns if c not in on])
     else:
-        met = containing(pages.withColumnRenamed("text", "forms"), each.select(*by, "i", F.col("token").alias("form")), on, "grams")
+        places, keyed = with_gram_places(pages, "text", with_gram(each.select(*by, "i", F.col("token").alias("form"))), "places")
+        met = begins(places.select(*PAGE, F.inline("places")), keyed, on).select(*PAGE, *[c for c in by if c not in PAGE], "i").distinct()
         met = met.groupBy(*PAGE, *[c for c in by if c not in on]).agg(F.count("*").alias("n")).where("n >= 2").drop("n")
         pairs = pages.join(met, PAGE).join(names, by).select(*PAGE, "text", *[c for c in names.columns if c not in on])
     numbers = F.filter(F.transform(text.lines_of(F.col("text")), lambda line, i: F.when(text.tokens_in(line, F.col("tokens")) >= 2, i)), lambda i: i.isNotNull())

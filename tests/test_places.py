@@ -57,3 +57,49 @@ def test_a_batch_is_never_all_strings_at_once():
     parts = list(search.slices(batches))
     assert max(p.num_rows for p in parts) <= search.SLICE
     assert [v for p in parts for v in p.column(0).to_pylist()] == [v for b in batches for v in b.column(0).to_pylist()]
+
+
+def test_grams_are_one_pass_over_pages_and_few_rows(spark, tmp_path, monkeypatch):
+    """By grams, pages are read once and never shuffled with their text, and only places of a keyword's gram become rows; lines and blocks of any length, repeated pages and null keys keep all hits."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(search, "GRAM_BLOCK", 64)
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("ab가😀") for _ in range(n))
+    texts = ["\n".join(word(draw.choice((0, 3, 20, 150))) for _ in range(draw.randrange(5))) for _ in range(40)]
+    forms = sorted({word(n) for n in (1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 15, 16, 40)} | {text[at : at + n].split("\n")[0] for text in texts for n in (1, 7, 8, 11, 16, 31, 33, 70, 130) for at in (0, 5)} - {""})
+    rows = [("k", None if i % 7 == 0 else "약관", f"f{i % 2}", i, text) for i, text in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[3]], PAGES).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    keywords = spark.createDataFrame([("k", i, form, form) for i, form in enumerate(forms)], "insurer string, kw_pos int, keyword string, form string")
+    want = sorted((i, k, n) for *_, i, text in [*rows, rows[3]] for k, form in enumerate(forms) for n, line in enumerate(text.split("\n")) if form in line)
+    keep = "가-힣a-z😀"
+    hits = search.line_hits(pages, keywords, ["insurer"], keep, "grams")
+    assert want and sorted((r.page, r.kw_pos, r.line_no) for r in hits.collect()) == want
+    assert sorted((r.page, r.kw_pos, r.line_no) for r in search.line_hits(pages, keywords, ["insurer"], keep).collect()) == want
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    rare = search.with_gram(spark.createDataFrame([("x" * 20,), ("y" * 5,)], "form string"))
+    places, _ = search.with_gram_places(pages, "text", rare, "places")
+    assert places.count() == 0
+    none = search.line_hits(pages, keywords.where("form = 'none'"), ["insurer"], keep, "grams")
+    assert none.columns == hits.columns and none.count() == 0
+    # A filter that lets everything pass changes no row.
+    passed = search.gram_places(["ab\ncdefghijkl", ""], [2, 8], np.full(1 << 12, 255, np.uint8))
+    assert [(p["line_no"], p["size"], p["pieces"]) for p in passed[0] if p["line_no"] == 0] == [(0, 2, ["ab"])] and passed[1] == []
+    assert sorted(p["pieces"][0] for p in passed[0] if p["size"] == 8) == ["cdefghijkl", "defghijkl", "efghijkl"]
+    monkeypatch.setattr(search, "GRAM_BITS", (15, 15))
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", 1)
+    assert sorted((r.page, r.kw_pos, r.line_no) for r in search.line_hits(pages, keywords, ["insurer"], keep, "grams").collect()) == want
+
+
+def test_tokens_too_many_to_send_are_met_by_grams(spark, monkeypatch):
+    texts = ["골절수술 비용과 암진단\n골절수술\n비용", "골절수술\n비용", "암진단 비용 골절수술"]
+    pages = spark.createDataFrame([("k", "약관", "f", i, t) for i, t in enumerate(texts)], PAGES)
+    names = spark.createDataFrame([("k", "골절수술 비용"), ("k", "암진단 비용"), ("k", "암진단 없음"), ("z", "골절수술 비용")], "insurer string, name string")
+    found = lambda: sorted((r.name, r.page, r.line_no, r.snippet) for r in search.token_hits(pages, names, ["insurer", "name"], ["insurer"]).collect())
+    sent = found()
+    assert [r[:3] for r in sent] == [("골절수술 비용", 0, 0), ("골절수술 비용", 2, 0), ("암진단 비용", 0, 0), ("암진단 비용", 2, 0)]
+    monkeypatch.setattr(sizes, "STRING_BYTES", 1)
+    assert found() == sent
